@@ -3,9 +3,20 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_round_trip
+from .simhash import op5_simhash_components
+from .mixing import OP7_SQL, op7_mix_sources
+from .sharding import OP10_SQL, op10_extendible_shards
+from .token_store import op1_token_id_output
 
 QUERIES = {
+    "op1_token_id_output": op1_token_id_output,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_simhash_components": op5_simhash_components,
+    "op7_mix_sources": op7_mix_sources,
+    "op10_extendible_shards": op10_extendible_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_mix_sources": OP7_SQL,
+    "op10_extendible_shards": OP10_SQL,
+}
