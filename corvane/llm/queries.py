@@ -5,11 +5,13 @@ from __future__ import annotations
 from .bpe import op4_bpe_round_trip
 from .simhash import op5_simhash_components
 from .mixing import OP7_SQL, op7_mix_sources
+from .quality import OP3_SQL, op3_line_frequency_rules
 from .sharding import OP10_SQL, op10_extendible_shards
 from .token_store import op1_token_id_output
 
 QUERIES = {
     "op1_token_id_output": op1_token_id_output,
+    "op3_line_frequency_rules": op3_line_frequency_rules,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_simhash_components": op5_simhash_components,
     "op7_mix_sources": op7_mix_sources,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_line_frequency_rules": OP3_SQL,
     "op7_mix_sources": OP7_SQL,
     "op10_extendible_shards": OP10_SQL,
 }
