@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_bpe_round_trip
 from .simhash import op5_simhash_components
+from .lattice import op6_lattice_scores
 from .mixing import OP7_SQL, op7_mix_sources
 from .quality import OP3_SQL, op3_line_frequency_rules
 from .sharding import OP10_SQL, op10_extendible_shards
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_line_frequency_rules": op3_line_frequency_rules,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_simhash_components": op5_simhash_components,
+    "op6_lattice_scores": op6_lattice_scores,
     "op7_mix_sources": op7_mix_sources,
     "op10_extendible_shards": op10_extendible_shards,
 }
