@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import OP2_SQL, op2_one_bit_neighbours
 from .bpe import op4_bpe_round_trip
 from .simhash import op5_simhash_components
 from .lattice import op6_lattice_scores
@@ -12,6 +13,7 @@ from .token_store import op1_token_id_output
 
 QUERIES = {
     "op1_token_id_output": op1_token_id_output,
+    "op2_one_bit_neighbours": op2_one_bit_neighbours,
     "op3_line_frequency_rules": op3_line_frequency_rules,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_simhash_components": op5_simhash_components,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_one_bit_neighbours": OP2_SQL,
     "op3_line_frequency_rules": OP3_SQL,
     "op7_mix_sources": OP7_SQL,
     "op10_extendible_shards": OP10_SQL,
