@@ -31,12 +31,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Characters of texts that are looked up together.
+PORTION = 1 << 20
+
+
 class ForcedBoundaryBpe:
     """Encoder and decoder over a tokenizers JSON file of the byte-level BPE kind.
 
     Truncation and padding are off. Strings of special tokens in a text become their ids, as the tokenizers library does.
-    ``cache_entries`` and ``cache_key_chars`` bound the memory of fragments: the cache is emptied when full, and longer fragments
-    are not kept.
+    ``cache_entries`` and ``cache_key_chars`` bound the memory of fragments: at most two generations of so many entries and one
+    portion's fragments are held, and longer fragments are not kept.
     """
 
     def __init__(self, path: str, cache_entries: int = 400_000, cache_key_chars: int = 64):
@@ -60,6 +64,7 @@ class ForcedBoundaryBpe:
         self.fragments = self.pattern().findall
         self.limit, self.key_chars = cache_entries, cache_key_chars
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def pairs_never_inside(tokens: Iterable[bytes]) -> np.ndarray:
@@ -105,20 +110,37 @@ class ForcedBoundaryBpe:
             out.update((f, ids[a : b + 1].tobytes()) for f, a, b in zip(now, starts.tolist(), at.tolist()))
         return out
 
+    def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each whole text, as little-endian integers of dtype's width. Null counts as empty."""
+        at = 0
+        while at < len(texts):
+            chars, end = 0, at
+            while end < len(texts) and chars < PORTION:
+                chars += len(texts[end] or "")
+                end += 1
+            yield from self._portion(texts[at:end])
+            at = end
+
+    def _portion(self, texts: list[str | None]) -> Iterator[bytes]:
+        if len(self.known) > self.limit:
+            self.older, self.known = self.known, {}
+        found = [self.fragments(t or "") for t in texts]
+        parts = [list(map(self.known.get, f)) for f in found]
+        missing = {f: None for fs, ps in zip(found, parts) if None in ps for f, p in zip(fs, ps) if p is None}
+        new, unknown = {}, []
+        for f in missing:
+            if (ids := self.older.get(f)) is None:
+                unknown.append(f)
+            else:
+                new[f] = ids
+        if unknown:
+            new.update(self.learn(unknown))
+        self.known.update(new if max(map(len, new), default=0) <= self.key_chars else {f: i for f, i in new.items() if len(f) <= self.key_chars})
+        for fs, ps in zip(found, parts):
+            yield b"".join([new[f] if p is None else p for f, p in zip(fs, ps)] if None in ps else ps)
+
     def encode_bytes(self, text: str | None) -> bytes:
-        """The ids of the whole text, as little-endian integers of dtype's width. Null counts as empty."""
-        found = self.fragments(text or "")
-        try:
-            return b"".join(map(self.known.__getitem__, found))
-        except KeyError:
-            new = self.learn(dict.fromkeys(f for f in found if f not in self.known))
-            out = b"".join([self.known[f] if f in self.known else new[f] for f in found])
-            if len(self.known) + len(new) > self.limit:
-                self.known.clear()
-            for f, ids in new.items():
-                if len(f) <= self.key_chars and len(self.known) < self.limit:
-                    self.known[f] = ids
-            return out
+        return next(self.encode_many([text]))
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), dtype=self.dtype)
@@ -145,7 +167,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
         for batch in batches:
-            parts = [bpe.encode(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            parts = [np.frombuffer(x, bpe.dtype) for x in bpe.encode_many(batch.column(batch.schema.get_field_index(text)).to_pylist())]
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
             values = np.concatenate([*parts, np.empty(0, bpe.dtype)]).astype(np.int32)
             out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
@@ -176,8 +198,8 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
         bpe = loaded(tokenizer)
         for batch in batches:
             n, digests, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = bpe.encode(text).tolist()
+            for encoded in bpe.encode_many(batch.column(1).to_pylist()):
+                ids = np.frombuffer(encoded, bpe.dtype).tolist()
                 n.append(len(ids))
                 digests.append(hashlib.sha256(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())

@@ -173,8 +173,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([n], pa.int64()), pa.array([len(held)], pa.int32()), pa.array([payload], pa.binary())], names=["part", "block", "part_start", "n_ids", "n_docs", "payload"])
 
         for batch in batches:
-            for doc_id, text, part in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                encoded = bpe.encode_bytes(text) + end
+            doc_ids, texts, parts = (batch.column(k).to_pylist() for k in range(3))
+            for doc_id, encoded, part in zip(doc_ids, bpe.encode_many(texts), parts):
+                encoded += end
                 if held and n + len(encoded) // width > block_ids:
                     yield closed()
                     block, start, held, ids, n = block + 1, start + n, [], [], 0
