@@ -9,6 +9,7 @@ from .lattice import op6_lattice_scores
 from .mixing import OP7_SQL, op7_mix_sources
 from .quality import OP3_SQL, op3_line_frequency_rules
 from .sharding import OP10_SQL, op10_extendible_shards
+from .suffix import op8_suffix_removal
 from .token_store import op1_token_id_output
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_simhash_components": op5_simhash_components,
     "op6_lattice_scores": op6_lattice_scores,
     "op7_mix_sources": op7_mix_sources,
+    "op8_suffix_removal": op8_suffix_removal,
     "op10_extendible_shards": op10_extendible_shards,
 }
 
