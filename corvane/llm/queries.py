@@ -8,6 +8,7 @@ from .simhash import op5_simhash_components
 from .lattice import op6_lattice_scores
 from .mixing import OP7_SQL, op7_mix_sources
 from .quality import OP3_SQL, op3_line_frequency_rules
+from .rollup import op9_token_rollup
 from .sharding import OP10_SQL, op10_extendible_shards
 from .suffix import op8_suffix_removal
 from .token_store import op1_token_id_output
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_lattice_scores": op6_lattice_scores,
     "op7_mix_sources": op7_mix_sources,
     "op8_suffix_removal": op8_suffix_removal,
+    "op9_token_rollup": op9_token_rollup,
     "op10_extendible_shards": op10_extendible_shards,
 }
 
