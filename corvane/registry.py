@@ -23,3 +23,14 @@ def register(name: str, sql: str | None = None):
         return query
 
     return add
+
+
+def load() -> None:
+    """Imports all modules that register queries."""
+    import importlib
+    import pkgutil
+
+    from . import queries
+
+    for module in pkgutil.iter_modules(queries.__path__):
+        importlib.import_module(f"{queries.__name__}.{module.name}")
