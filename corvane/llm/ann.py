@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Vectors and queries in a block, the seed of the rotation, and the error bound in standard deviations of the estimate.
-BLOCK, QUERY_BLOCK, SEED, DEVIATIONS = 4096, 1024, 7, 4.0
+BLOCK, QUERY_BLOCK, SEED, DEVIATIONS = 4096, 1024, 7, 2.0
+#: Pairs of vectors that are gathered at once for exact distances.
+PAIRS = 1 << 13
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -58,29 +60,38 @@ class OneBitCodes:
         return base - scale * np.minimum(estimate + slack, 1.0), base - scale * np.maximum(estimate - slack, -1.0)
 
 
-def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows, summed from the first component on."""
-    total = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        total += (a[:, k] - b[:, k]) ** 2
-    return np.sqrt(total)
+def exact_distances(a: np.ndarray, of: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows a[of] to b[at], summed from the first component on, a portion of pairs at a time."""
+    out = np.empty(len(of))
+    for start in range(0, len(of), PAIRS):
+        square = a[of[start : start + PAIRS]] - b[at[start : start + PAIRS]]
+        square *= square
+        out[start : start + PAIRS] = np.sqrt(np.add.accumulate(square, axis=1)[:, -1])
+    return out
 
 
 def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, deviations: float) -> pd.DataFrame:
-    """The k nearest vectors of one block to each query, its own id left out."""
+    """The k nearest vectors of one block to each query, its own id left out.
+
+    The k vectors of the least upper bounds are measured first; the largest of their distances is the limit that lower bounds of
+    others are held against.
+    """
     out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
     codes = OneBitCodes(vectors, rotation(vectors.shape[1]))
-    for at in range(0, len(queries), 256):
-        low, high = codes.bounds(queries[at : at + 256], deviations)
-        own = query_ids[at : at + 256, None] == ids[None, :]
+    for at in range(0, len(queries), 64):
+        part, own = queries[at : at + 64], query_ids[at : at + 64, None] == ids[None, :]
+        low, high = codes.bounds(part, deviations)
         low[own], high[own] = np.inf, np.inf
-        limit = np.partition(high, min(k, high.shape[1]) - 1, axis=1)[:, min(k, high.shape[1]) - 1]
+        near = min(k, len(ids))
+        first = np.argpartition(high, near - 1, axis=1)[:, :near]
+        q = np.repeat(np.arange(len(part)), near)
+        score = np.where(own[q, first.reshape(-1)], np.inf, exact_distances(part, q, vectors, first.reshape(-1)))
+        limit = score.reshape(len(part), near).max(axis=1) ** 2 * (1 + 1e-9)
         q, v = np.nonzero((low <= limit[:, None]) & ~own)
-        score = exact_distances(queries[at + q], vectors[v])
+        score = exact_distances(part, q, vectors, v)
         order = np.lexsort((ids[v], score, q))
         q, v, score = q[order], v[order], score[order]
-        first = np.searchsorted(q, q)
-        best = np.arange(len(q)) - first < k
+        best = np.arange(len(q)) - np.searchsorted(q, q) < k
         out["query_id"].append(query_ids[at + q[best]])
         out["vec_id"].append(ids[v[best]])
         out["score"].append(score[best])
