@@ -31,17 +31,17 @@ def drawn(rows: DataFrame, components: DataFrame, keys: Sequence[str], seed: str
     w = Window.partitionBy("prior").orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("weight").over(Window.partitionBy("prior"))
     ranged = components.withColumn("_to", F.sum("weight").over(w) / total).withColumn("_last", F.row_number().over(Window.partitionBy("prior").orderBy(F.desc("component"))) == 1)
-    ranged = ranged.withColumn("_from", F.col("_to") - F.col("weight") / total).withColumnRenamed("value", "_v")
-    name = F.col(prior)
+    ranged = ranged.withColumn("_from", F.col("_to") - F.col("weight") / total)
+    ranged = ranged.select(F.col("prior").alias("_prior"), F.struct(*ranged.columns).alias("_k"))
+    name, c = F.col(prior), lambda field: F.col(f"_k.{field}")
     keyed = rows.withColumn("_u", stable_noise(F.lit(seed), F.lit("component"), *map(F.col, keys), name)).withColumn("_p", stable_noise(F.lit(seed), F.lit("value"), *map(F.col, keys), name))
-    if prior != "prior":
-        ranged = ranged.withColumnRenamed("prior", prior)
-    joined = keyed.join(ranged, prior).where((F.col("_u") >= F.col("_from")) & ((F.col("_u") < F.col("_to")) | F.col("_last")))
-    _, a, b = D._space(F.col, F.col("low"))
-    kernel = D.kernel_quantile("family", "_p", a, b, F.coalesce("mean", "alpha"), F.coalesce("std", "beta"))
-    x = F.when(F.col("family").isin("normal", "beta"), F.when(F.col("scale") == "log", F.exp(kernel)).otherwise(kernel)).otherwise(D.closed_quantile(F.col("_p")))
-    text = F.when(F.col("family") == D.DISCRETE, F.col("_v")).otherwise(x.cast("string"))
-    return joined.select(*rows.columns, "component", text.alias("value_text"), F.when(F.col("family") == D.DISCRETE, F.col("_v").try_cast("double")).otherwise(x).alias("value"))
+    joined = keyed.join(F.broadcast(ranged), name == F.col("_prior")).where((F.col("_u") >= c("_from")) & ((F.col("_u") < c("_to")) | c("_last")))
+    _, a, b = D._space(c, c("low"))
+    kernel = D.kernel_quantile(c("family"), F.col("_p"), a, b, F.coalesce(c("mean"), c("alpha")), F.coalesce(c("std"), c("beta")))
+    x = F.when(c("family").isin("normal", "beta"), F.when(c("scale") == "log", F.exp(kernel)).otherwise(kernel)).otherwise(D.closed_quantile(F.col("_p"), c))
+    text = F.when(c("family") == D.DISCRETE, c("value")).otherwise(x.cast("string"))
+    value = F.when(c("family") == D.DISCRETE, c("value").try_cast("double")).otherwise(x)
+    return joined.select(*[F.col(n) for n in rows.columns], c("component").alias("component"), text.alias("value_text"), value.alias("value"))
 
 
 def first_valid(rows: DataFrame, keys: Sequence[str], n: int, valid, attempts: int = 20) -> DataFrame:

@@ -1 +1 @@
-"""Part of corvane."""
+"""Plans made from rows, recipes and seeded draws."""

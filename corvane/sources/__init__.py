@@ -1 +1 @@
-"""Part of corvane."""
+"""Readers and writers."""
