@@ -1,8 +1,8 @@
 """BPE encoding and decoding with forced boundaries.
 
 A byte pair that occurs inside no token of the vocabulary is a certain cut: no merge can ever join its two bytes. Such cuts before
-ASCII white space split a text into fragments, which are encoded independently and concatenated. Fragments repeat a lot, so each
-task keeps the ids of those it has met.
+ASCII white space, and before punctuation that follows a word, split a text into fragments, which are encoded independently and
+concatenated. Fragments repeat a lot, so each task keeps the ids of those it has met.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,12 +78,16 @@ class ForcedBoundaryBpe:
         return never
 
     def pattern(self) -> re.Pattern:
-        """Matches one fragment after the other: a cut lies where a character that isn't white space meets ASCII white space and the
-        pair of bytes there is never inside a token. After characters beyond U+FFFF no cut is looked for."""
+        """Matches one fragment after the other: a cut lies where a character that isn't white space meets ASCII white space, or an
+        ASCII letter that ends a word meets punctuation, and the pair of bytes there is never inside a token. The pre-tokenizer also
+        parts the text at these places. After characters beyond U+FFFF no cut is looked for."""
         open_after = "".join(chr(c) for c in range(0xD800) if chr(c).encode()[-1] in self.uncertain) + "\uffff-\U0010ffff"
         space = re.escape(ASCII_SPACE) + OTHER_SPACE
+        letters = [*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]
+        marks = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not chr(c).isalnum() and self.never[letters, c].all())
+        word = f"[{re.escape(ASCII_SPACE)}]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?<=[A-Za-z])(?=[{marks}])"
         more = f"[{OTHER_SPACE}]|(?<=[{re.escape(open_after[:-3]) + open_after[-3:]}])[{re.escape(ASCII_SPACE)}]"
-        return re.compile(f"(?:[{space}]*[^{space}]+|[{space}]+)(?:(?:{more})[{space}]*[^{space}]*)*")
+        return re.compile(f"{word}|(?:[{space}]*+[^{space}]++|[{space}]++)(?:(?:{more})[{space}]*+[^{space}]*+)*+")
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -125,19 +130,26 @@ class ForcedBoundaryBpe:
         if len(self.known) > self.limit:
             self.older, self.known = self.known, {}
         found = [self.fragments(t or "") for t in texts]
-        parts = [list(map(self.known.get, f)) for f in found]
-        missing = {f: None for fs, ps in zip(found, parts) if None in ps for f, p in zip(fs, ps) if p is None}
-        new, unknown = {}, []
-        for f in missing:
-            if (ids := self.older.get(f)) is None:
-                unknown.append(f)
-            else:
-                new[f] = ids
-        if unknown:
-            new.update(self.learn(unknown))
-        self.known.update(new if max(map(len, new), default=0) <= self.key_chars else {f: i for f, i in new.items() if len(f) <= self.key_chars})
-        for fs, ps in zip(found, parts):
-            yield b"".join([new[f] if p is None else p for f, p in zip(fs, ps)] if None in ps else ps)
+        flat = list(chain.from_iterable(found))
+        parts = list(map(self.known.get, flat))
+        if None in parts:
+            missing = [i for i, p in enumerate(parts) if p is None]
+            new: dict[str, bytes] = dict.fromkeys(flat[i] for i in missing)
+            unknown = []
+            for f in new:
+                if (ids := self.older.get(f)) is None:
+                    unknown.append(f)
+                else:
+                    new[f] = ids
+            if unknown:
+                new.update(self.learn(unknown))
+            for i in missing:
+                parts[i] = new[flat[i]]
+            self.known.update(new if max(map(len, new)) <= self.key_chars else {f: i for f, i in new.items() if len(f) <= self.key_chars})
+        at = 0
+        for f in found:
+            yield b"".join(parts[at : at + len(f)])
+            at += len(f)
 
     def encode_bytes(self, text: str | None) -> bytes:
         return next(self.encode_many([text]))

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .bpe import loaded
 from .common import shared_dir, table
 
+#: Slots of the table that pairs are looked up in.
+TABLE_BITS = 18
 HEADER = struct.Struct("<4sIIIII")
 MAGIC = b"RPB1"
 BLOCK_SCHEMA = "part int, block int, part_start long, n_ids long, n_docs int, payload binary"
@@ -33,10 +35,13 @@ def grammar(ids: np.ndarray, base: int, max_rules: int, rounds: int, least: int)
     """
     seq, rules = ids.astype(np.uint32), []
     made = 0
+    half = 16 if base + max_rules <= 1 << 16 else 32
+    kind = np.uint32 if half == 16 else np.uint64
+    low = kind((1 << half) - 1)
     for turn in range(rounds):
         if len(seq) < 2 or made >= max_rules:
             break
-        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        keys = seq[:-1].astype(kind) << kind(half) | seq[1:].astype(kind)
         ordered = np.sort(keys)
         heads = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
         counts = np.diff(np.concatenate((heads, [len(ordered)])))
@@ -45,20 +50,22 @@ def grammar(ids: np.ndarray, base: int, max_rules: int, rounds: int, least: int)
             break
         share = max(1, (max_rules - made) // 2) if turn + 1 < rounds else max_rules - made
         if len(often) > share:
-            often = often[np.argsort(-counts[often], kind="stable")[:share]]
-        chosen = np.sort(ordered[heads[often]])
-        left, right = np.zeros(base + made + 1, bool), np.zeros(base + made + 1, bool)
-        left[chosen >> np.uint64(32)] = True
-        right[chosen & np.uint64(0xFFFFFFFF)] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        slot = np.searchsorted(chosen, keys[at])
-        slot[slot == len(chosen)] = 0
-        hit = chosen[slot] == keys[at]
-        at, slot = at[hit], slot[hit]
-        run = np.arange(len(at)) - np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(at) != 1)), np.arange(len(at)), 0))
+            often = often[np.argpartition(-counts[often], share)[:share]]
+        often = often[np.argsort(-counts[often], kind="stable")]
+        # A hash table of the chosen pairs; of two in one slot the more frequent one stays.
+        chosen = ordered[heads[often]]
+        slots = np.full(1 << TABLE_BITS, -1, np.int32)
+        spread = lambda x: (x * kind(0x9E3779B1)) >> kind(2 * half - TABLE_BITS)
+        slots[spread(chosen[::-1])] = np.arange(len(chosen) - 1, -1, -1, dtype=np.int32)
+        slot = slots[spread(keys)]
+        at = np.flatnonzero((chosen[slot] == keys) & (slot >= 0))
+        slot = slot[at]
+        place = np.arange(len(at), dtype=np.int32)
+        run = place - np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(at) != 1)), place, 0))
         at, slot = at[run % 2 == 0], slot[run % 2 == 0]
-        used, slot = np.unique(slot, return_inverse=True)
-        rules.append(np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        present = np.bincount(slot, minlength=len(chosen)) > 0
+        used, slot = np.flatnonzero(present), (np.cumsum(present) - 1)[slot]
+        rules.append(np.stack([chosen[used] >> kind(half), chosen[used] & low], axis=1).astype(np.uint32))
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq[at] = base + made + slot
@@ -74,7 +81,7 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return np.array(lengths[base:], dtype=np.uint32)
 
 
-def pack(ids: np.ndarray, doc_ids: list[int | None], doc_lengths: list[int], base: int, max_rules: int = 15_000, rounds: int = 5, least: int = 8) -> bytes:
+def pack(ids: np.ndarray, doc_ids: list[int | None], doc_lengths: list[int], base: int, max_rules: int = 15_000, rounds: int = 3, least: int = 8) -> bytes:
     """One block. doc_ids may hold None; the lengths sum up to len(ids)."""
     max_rules = max(0, min(max_rules, (1 << 16) - base)) if base < 1 << 16 else max_rules
     seq, rules = grammar(ids, base, max_rules, rounds, least)
