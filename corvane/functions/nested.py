@@ -35,7 +35,8 @@ def flatten_graph(plans: DataFrame, graph: str = "graph_spec", keep: Sequence[st
 def flatten_json(rows: DataFrame, column: str, keep: Sequence[str], depth: int = 4) -> DataFrame:
     """keep, path, value_text, value of every leaf of a JSON column, as a/b/0; levels below ``depth`` stay JSON text.
 
-    Objects and arrays are opened level by level; text that isn't JSON gives no rows, an empty container none either.
+    Objects and arrays are opened level by level; text that isn't JSON gives no rows, an empty container none either, a null leaf a
+    null value.
     """
     keys = [F.col(k) for k in keep]
     open_ = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v is not null")
@@ -43,7 +44,7 @@ def flatten_json(rows: DataFrame, column: str, keep: Sequence[str], depth: int =
     for level in range(depth + 1):
         kind = F.schema_of_variant("v")
         inner = kind.startswith("OBJECT") | kind.startswith("ARRAY") if level < depth else F.lit(False)
-        leaf = open_.where(~inner).select(*keys, F.ltrim(F.col("path"), F.lit("/")).alias("path"), F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value_text"))
+        leaf = open_.where(~inner).select(*keys, F.ltrim(F.col("path"), F.lit("/")).alias("path"), F.when(~F.is_variant_null("v"), F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))).alias("value_text"))
         done = leaf if done is None else done.unionByName(leaf)
         if level < depth:
             open_ = _opened(open_.where(inner), keys)

@@ -135,7 +135,7 @@ def parse_list(value: Column, quoted_only: bool = False) -> Column:
     """
     text = F.trim(F.coalesce(value, F.lit("")))
     if quoted_only:
-        return F.filter(F.transform(F.regexp_extract_all(text, F.lit("'([^']+)'"), 1), F.trim), lambda x: x.isNotNull())
+        return F.filter(F.transform(F.regexp_extract_all(text, F.lit("'([^']+)'"), 1), lambda x: F.trim(x)), lambda x: x.isNotNull())
     item = r"""(?:'[^']*'|"[^"]*")"""
     whole = text.rlike(rf"^(?:\[\s*(?:{item}\s*(?:,\s*{item}\s*)*,?\s*)?\]|{item})$")
     items = F.transform(F.regexp_extract_all(text, F.lit(f"({item})"), 1), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
