@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, shared_dir, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = "mix-1"
@@ -56,7 +56,7 @@ def systematic_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, mos
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     digest = F.md5(key)
-    sized = docs.withColumns({"_size": word_count(F.col("text")), "_hash": digest})
+    sized = (docs if "_size" in docs.columns else docs.withColumn("_size", word_count(F.col("text")))).withColumn("_hash", digest)
     octave = F.floor(4 * F.log2(F.col("_size") + F.lit(1.0))).cast("int")
     sized = sized.withColumn("_bucket", octave * 256 + F.conv(F.substring("_hash", 1, 2), 16, 10).cast("int"))
     buckets = sized.groupBy("source", "_bucket").agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("n"))
@@ -78,9 +78,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    # Only sizes travel: the text ends at the count of its words.
-    sized = systematic_copies(docs)
+    # Words are counted once; only sizes travel.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("_size"))
+    sized = systematic_copies(written(docs, shared_dir(spark)))
     return sized.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
