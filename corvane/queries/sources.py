@@ -92,7 +92,7 @@ def ordered_pipelines(spark, sf_dir):
     return steps.select(F.col("plugin").alias("what")).unionByName(issues.select(F.col("issue").alias("what"))).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("zip_members", "SELECT source, count(*) AS n, sum(len(lang)) AS chars FROM documents GROUP BY 1")
+@register("zip_members", "SELECT source, count(*) AS n, sum(len(lang))::BIGINT AS chars FROM documents GROUP BY 1")
 def zip_members(spark, sf_dir):
     """Tables inside archives."""
     import pyarrow as pa
