@@ -106,13 +106,13 @@ class ForcedBoundaryBpe:
                 n += 1
             now, joined = joined[:n], joined[n:]
             ids = np.frombuffer(self.ids_of(["".join(now)])[0], dtype=self.dtype)
-            ends = np.cumsum([len(f.encode()) for f in now])
+            ends = np.cumsum([len(f) if f.isascii() else len(f.encode()) for f in now])
             done = np.cumsum(self.lengths[ids])
             at = np.searchsorted(done, ends)
             if len(ids) == 0 or at[-1] != len(ids) - 1 or not np.array_equal(done[at], ends):
                 raise ValueError("a token crosses a forced boundary")
-            starts = np.concatenate(([0], at[:-1] + 1))
-            out.update((f, ids[a : b + 1].tobytes()) for f, a, b in zip(now, starts.tolist(), at.tolist()))
+            raw, edges = ids.tobytes(), (self.dtype.itemsize * np.concatenate(([0], at + 1))).tolist()
+            out.update((f, raw[a:b]) for f, a, b in zip(now, edges, edges[1:]))
         return out
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:

@@ -125,23 +125,20 @@ class Block:
         self.flat: np.ndarray | None = None
 
     def _expanded(self, seq: np.ndarray) -> np.ndarray:
-        if self.flat is None:  # every rule's ids, one after the other
-            self.rule_starts = np.concatenate(([0], np.cumsum(self.rule_lengths))).astype(np.int64)
-            self.flat = np.empty(int(self.rule_starts[-1]), np.uint32)
-            flat, starts, base = self.flat, self.rule_starts.tolist(), self.base
-            for r, (a, b) in enumerate(self.rules.tolist()):
-                s, e = starts[r], starts[r + 1]
-                m = s + (1 if a < base else starts[a - base + 1] - starts[a - base])
-                flat[s:m] = a if a < base else flat[starts[a - base] : starts[a - base + 1]]
-                flat[m:e] = b if b < base else flat[starts[b - base] : starts[b - base + 1]]
+        if self.flat is None:  # every symbol's ids, one after the other
+            self.starts = np.concatenate((np.arange(self.base), self.base + np.cumsum(self.rule_lengths) - self.rule_lengths)).astype(np.int64)
+            self.flat = np.concatenate((np.arange(self.base), np.zeros(int(self.rule_lengths.sum()), np.int64))).astype(np.uint32)
+            flat, lengths = self.flat, self.lengths.tolist()
+            starts = self.starts.tolist()
+            for r, (a, b) in enumerate(self.rules.tolist(), self.base):
+                m = starts[r] + lengths[a]
+                flat[starts[r] : m] = flat[starts[a] : starts[a] + lengths[a]]
+                flat[m : starts[r] + lengths[r]] = flat[starts[b] : starts[b] + lengths[b]]
         lengths = self.lengths[seq]
-        heads = np.cumsum(lengths) - lengths
-        out = np.repeat(seq.astype(np.uint32), lengths)
-        is_rule = np.flatnonzero(seq >= self.base)
-        n = lengths[is_rule]
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(heads[is_rule], n) + inner] = self.flat[np.repeat(self.rule_starts[seq[is_rule].astype(np.int64) - self.base], n) + inner]
-        return out
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[seq] - ends + lengths, lengths)
+        at += np.arange(len(at))
+        return self.flat[at]
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start to stop of the block; only the symbols that cover them are expanded."""
