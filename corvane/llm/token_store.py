@@ -10,7 +10,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +27,21 @@ MAGIC = b"RPB1"
 BLOCK_SCHEMA = "part int, block int, part_start long, n_ids long, n_docs int, payload binary"
 
 
-def grammar(ids: np.ndarray, base: int, max_rules: int, rounds: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+def grammar(ids: np.ndarray, base: int, max_rules: int, rounds: int | None, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): rule r, an id pair, is symbol base + r.
 
     Every round counts all adjacent pairs and replaces, at once, the most frequent ones that occur ``least`` times or more; where
-    chosen pairs overlap, every other one from the left is taken. A rule only names earlier symbols.
+    chosen pairs overlap, every other one from the left is taken. A rule only names earlier symbols. Without a number of rounds they
+    go on until no pair occurs that often or no rule is free.
     """
     seq, rules = ids.astype(np.uint32), []
     made = 0
     half = 16 if base + max_rules <= 1 << 16 else 32
     kind = np.uint32 if half == 16 else np.uint64
     low = kind((1 << half) - 1)
-    for turn in range(rounds):
+    factor = kind(0x9E3779B1 if half == 16 else 0x9E3779B97F4A7C15)
+    spread = lambda x: (x * factor) >> kind(2 * half - TABLE_BITS)
+    for turn in count() if rounds is None else range(rounds):
         if len(seq) < 2 or made >= max_rules:
             break
         keys = seq[:-1].astype(kind) << kind(half) | seq[1:].astype(kind)
@@ -48,18 +51,26 @@ def grammar(ids: np.ndarray, base: int, max_rules: int, rounds: int, least: int)
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        share = max(1, (max_rules - made) // 2) if turn + 1 < rounds else max_rules - made
+        share = max_rules - made if turn + 1 == rounds else max(1, (max_rules - made) // 2)
         if len(often) > share:
             often = often[np.argpartition(-counts[often], share)[:share]]
         often = often[np.argsort(-counts[often], kind="stable")]
-        # A hash table of the chosen pairs; of two in one slot the more frequent one stays.
+        # A hash table of the chosen pairs; of two in one slot the more frequent one stays, others are searched for.
         chosen = ordered[heads[often]]
         slots = np.full(1 << TABLE_BITS, -1, np.int32)
-        spread = lambda x: (x * kind(0x9E3779B1)) >> kind(2 * half - TABLE_BITS)
         slots[spread(chosen[::-1])] = np.arange(len(chosen) - 1, -1, -1, dtype=np.int32)
         slot = slots[spread(keys)]
-        at = np.flatnonzero((chosen[slot] == keys) & (slot >= 0))
-        slot = slot[at]
+        at = np.flatnonzero(slot >= 0)
+        slot, wanted = slot[at], keys[at]
+        hit = chosen[slot] == wanted
+        moved = np.flatnonzero(slots[spread(chosen)] != np.arange(len(chosen)))
+        if len(moved):
+            moved = moved[np.argsort(chosen[moved])]
+            missed = np.flatnonzero(~hit)
+            found = np.minimum(np.searchsorted(chosen[moved], wanted[missed]), len(moved) - 1)
+            same = chosen[moved[found]] == wanted[missed]
+            slot[missed[same]], hit[missed[same]] = moved[found[same]], True
+        at, slot = at[hit], slot[hit]
         place = np.arange(len(at), dtype=np.int32)
         run = place - np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(at) != 1)), place, 0))
         at, slot = at[run % 2 == 0], slot[run % 2 == 0]
@@ -81,7 +92,7 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return np.array(lengths[base:], dtype=np.uint32)
 
 
-def pack(ids: np.ndarray, doc_ids: list[int | None], doc_lengths: list[int], base: int, max_rules: int = 15_000, rounds: int = 3, least: int = 8) -> bytes:
+def pack(ids: np.ndarray, doc_ids: list[int | None], doc_lengths: list[int], base: int, max_rules: int = 15_000, rounds: int | None = None, least: int = 8) -> bytes:
     """One block. doc_ids may hold None; the lengths sum up to len(ids)."""
     max_rules = max(0, min(max_rules, (1 << 16) - base)) if base < 1 << 16 else max_rules
     seq, rules = grammar(ids, base, max_rules, rounds, least)

@@ -38,6 +38,23 @@ def test_rules_shorten_and_name_earlier_symbols():
     assert token_store.expansion_lengths(rules, 10).min() >= 2
 
 
+def test_blocks_are_packed_until_no_pair_is_frequent():
+    passage = np.random.default_rng(4).permutation(50_000)[:2000].astype(np.uint32)
+    payload = token_store.pack(np.tile(passage, 100), [1], [200_000], 50_000)
+    block = token_store.Block(payload)
+    pairs = np.unique(np.stack([block.seq[:-1], block.seq[1:]]), axis=1, return_counts=True)[1]
+    assert len(block.rules) < 15_000 and pairs.max(initial=0) < 8 and len(block.seq) < 1000
+    assert np.array_equal(block.ids(), np.tile(passage, 100))
+
+
+@pytest.mark.parametrize("base", [50_000, 70_000])
+def test_pairs_in_one_slot_are_all_replaced(base):
+    ids = np.repeat(np.random.default_rng(6).permutation(base)[:12_000].astype(np.uint32).reshape(-1, 2), 8, axis=0).reshape(-1)
+    want = np.unique(np.stack([ids[:-1], ids[1:]]), axis=1, return_counts=True)
+    seq, rules = token_store.grammar(ids, base, 15_000, 1, 8)
+    assert {tuple(p) for p in rules.tolist()} == {tuple(p) for p, n in zip(want[0].T.tolist(), want[1].tolist()) if n >= 8}
+
+
 @pytest.mark.parametrize("block_ids", [1 << 20, 50])
 def test_documents_written_and_read(spark, docs, corpus, block_ids):
     path = shared_dir(spark)
