@@ -23,6 +23,8 @@ from .graph import components
 FAN, SLICE = 8, 1 << 19
 #: Fingerprints of one group in one task; larger groups are dealt to pairs of tiles.
 GROUP = 40_000
+#: Classes of texts, and their shingles, of one tile when similarities are checked, and pairs looked at between two looks at what is connected.
+TILE, TILE_SHINGLES, PORTION = 1000, 1 << 21, 1 << 12
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -55,15 +57,18 @@ def fingerprint(hashes: list[int]) -> int:
 
 
 def with_fingerprint(docs: DataFrame, k: int = 4) -> DataFrame:
-    """doc_id, text_hash, fingerprint (a long of the 64 bits) of each row; a null text is empty."""
+    """doc_id, text_hash, fingerprint (a long of the 64 bits), n (its shingles) of each row; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(shingle_hashes(words_of(t), k)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, dtype=np.uint64).astype(np.int64))], names=["doc_id", "text_hash", "fingerprint"])
+            prints, sizes = [], []
+            for t in batch.column(2).to_pylist():
+                hashes = shingle_hashes(words_of(t), k)
+                prints.append(fingerprint(hashes)), sizes.append(len(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, dtype=np.uint64).astype(np.int64)), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "fingerprint", "n"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fingerprint long, n long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -229,30 +234,92 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFram
     return prints.join(found, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def verified(edges: DataFrame, prints: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
-    """The links whose ends' first documents have a Jaccard similarity of ``least`` or more on their distinct k-word shingles."""
+def similar_links(codes: np.ndarray, group: np.ndarray, own: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> tuple[list[int], list[int]]:
+    """Links of ``least`` similarity that connect whatever all such pairs within the radius connect, in each group.
+
+    A pair is only left out if links that passed join its ends already. In a group of two tiles (own) only pairs across them count.
+    Rows are sorted by group, then Gray rank.
+    """
+    n = np.array([len(x) for x in sets])
+    sizes = np.bincount(group)
+    starts = np.cumsum(sizes) - sizes
+    mixed = (np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts))[group]
+    parent = list(range(len(codes)))
+    label = np.arange(len(codes))
+    left, right = [], []
+    for i, j, d in close_pairs(codes, sizes, radius):
+        keep = (~mixed[i] | (own[i] != own[j])) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
+        order = np.argsort(d[keep], kind="stable")
+        i, j = i[keep][order], j[keep][order]
+        while len(i):
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            for a, b in zip(i[:PORTION].tolist(), j[:PORTION].tolist()):
+                x, y = a, b
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                while parent[y] != y:
+                    parent[y] = y = parent[parent[y]]
+                if x != y:
+                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if both >= least * (n[a] + n[b] - both):
+                        parent[max(x, y)] = min(x, y)
+                        left.append(a), right.append(b)
+            i, j = i[PORTION:], j[PORTION:]
+            if len(left):
+                label = np.array(parent)
+                while not np.array_equal(label, label[label]):
+                    label = label[label]
+                parent = label.tolist()
+    return left, right
+
+
+def verified(prints: DataFrame, stars: DataFrame, docs: DataFrame, k: int, radius: int, least: float) -> DataFrame:
+    """a, b: links between classes of prints (class, fingerprint, n, doc_id, text_hash) that connect all that pairs within radius
+    bits and of a Jaccard similarity of ``least`` or more on their distinct k-word shingles connect.
+
+    Such pairs lie within a component of candidates (stars), so each component's classes meet in one task, or, of more than TILE
+    classes or TILE_SHINGLES shingles, in one task for each pair of tiles. The first document of a class stands for it.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [np.unique(np.array(shingle_hashes(words_of(t), k), dtype=np.uint64)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["fingerprint", "shingles"])
+            values = [np.unique(np.array(shingle_hashes(words_of(t), k), dtype=np.uint64)).tobytes() for t in batch.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(values, pa.binary())], names=["class", "fingerprint", "root", "tiles", "own", "shingles"])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: np.ndarray, values: list[bytes]) -> pa.RecordBatch:
+            codes = rows[:, 3].copy().view(np.uint64)
+            group = np.concatenate(([0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
+            order = np.lexsort((gray_rank(codes), group))
+            left, right = similar_links(codes[order], group, rows[order, 2], [np.frombuffer(values[x], np.uint64) for x in order.tolist()], radius, least)
+            ends = rows[order, 4]
+            return pa.RecordBatch.from_arrays([pa.array(ends[left]), pa.array(ends[right])], names=["a", "b"])
+
+        rest, held = np.empty((0, 5), np.int64), []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    ends = edges.select(F.explode(F.array("a", "b")).alias("fingerprint")).distinct()
-    first = prints.join(ends, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("fingerprint", F.col("x.doc_id").alias("_d"), F.col("x.text_hash").alias("_t"))
+            rest = np.concatenate((rest, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5)], axis=1)))
+            held += batch.column(5).to_pylist()
+            change = np.flatnonzero((rest[1:, :2] != rest[:-1, :2]).any(axis=1))
+            if len(change):
+                upto = int(change[-1]) + 1
+                yield found(rest[:upto], held[:upto])
+                rest, held = rest[upto:], held[upto:]
+        if held:
+            yield found(rest, held)
+
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    classes = prints.groupBy("class").agg(F.min("fingerprint").alias("fingerprint"), F.max("n").alias("n"), first)
+    rooted = written(classes.join(stars, F.col("fingerprint") == F.col("node"), "left").select("class", "fingerprint", "n", F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_t"), F.coalesce("root", "fingerprint").alias("root")), shared_dir(docs.sparkSession))
+    counted = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
+    tiles = F.least("m", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("s") / TILE_SHINGLES))).cast("long")
+    dealt = rooted.join(counted.select("root", tiles.alias("tiles")), "root").withColumn("own", F.pmod(F.xxhash64("class"), F.col("tiles")))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shingles = text.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))).select("fingerprint", "text").dropDuplicates(["fingerprint"]).mapInArrow(sets, "fingerprint long, shingles binary")
-    a = shingles.select(F.col("fingerprint").alias("a"), F.col("shingles").alias("x"))
-    b = shingles.select(F.col("fingerprint").alias("b"), F.col("shingles").alias("y"))
-    return edges.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(close, "a long, b long")
+    whole = text.join(dealt, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))).dropDuplicates(["class"])
+    shingles = whole.select("class", "fingerprint", "root", "tiles", "own", "text").mapInArrow(sets, "class long, fingerprint long, root long, tiles long, own long, shingles binary")
+    paired = shingles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("tile", F.least("own", "other") * F.col("tiles") + F.greatest("own", "other"))
+    placed = paired.select("root", "tile", "own", "fingerprint", "class", "shingles").repartition("root", "tile").sortWithinPartitions("root", "tile")
+    return placed.mapInArrow(close, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, radius: int = 10, least: float = 0.8) -> DataFrame:
@@ -261,9 +328,9 @@ def near_dedup(docs: DataFrame, k: int = 5, radius: int = 10, least: float = 0.8
     Candidates are fingerprints within radius bits; each link counts if the documents' k-word shingles have a similarity of
     ``least`` or more. Texts of one fingerprint count as copies, texts without words among them. A null id comes first.
     """
-    prints = written(with_fingerprint(docs, k), shared_dir(docs.sparkSession))
-    edges = written(links(prints.select("fingerprint").distinct(), radius), shared_dir(docs.sparkSession))
-    found = with_component_rows(prints, verified(edges, prints, docs, k, least))
+    prints = written(with_fingerprint(docs, k), shared_dir(docs.sparkSession)).withColumn("class", F.col("fingerprint"))
+    stars = components(links(prints.select("fingerprint").distinct(), radius).select("a", "b"))
+    found = with_component_rows(prints, verified(prints, stars, docs, k, radius, least))
     id_, hash_ = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
     kept = docs.join(found, id_.eqNullSafe(F.col("_d")) & (hash_ == F.col("_t")), "left_semi")
     if found.join(prints, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))).groupBy("_d", "_t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
@@ -272,10 +339,10 @@ def near_dedup(docs: DataFrame, k: int = 5, radius: int = 10, least: float = 0.8
 
 
 def with_component_rows(prints: DataFrame, edges: DataFrame) -> DataFrame:
-    """_d, _t: doc_id and text hash of each component's first row."""
+    """_d, _t: doc_id and text hash of each component's first row; edges link classes."""
     stars = components(edges)
-    distinct = prints.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    rooted = distinct.join(stars, F.col("fingerprint") == F.col("node"), "left").groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("first").alias("first"))
+    distinct = prints.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    rooted = distinct.join(stars, F.col("class") == F.col("node"), "left").groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("first").alias("first"))
     return written(rooted.select(F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_t")), shared_dir(prints.sparkSession))
 
 

@@ -82,6 +82,29 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs, corpus):
     assert sorted(r.doc_id for r in simhash.near_dedup(again).collect()) == ids
 
 
+def test_copies_that_only_resemble_their_base(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    texts = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(9000)}" for _ in range(400)]
+        for _ in range(40):
+            words = list(base)
+            for at in rng.sample(range(6, 394, 9), rng.choice([6, 7, 8])):
+                words[at] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(words))
+        texts.append(" ".join(base))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t), 5)) for t in texts]
+    prints = [slow_print(t, 5) for t in texts]
+    want = sorted(set(slow_components(prints, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 10 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (1000, 9):
+        monkeypatch.setattr(simhash, "TILE", tile, raising=False)
+        assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == want
+
+
 def test_nothing_and_null_ids(spark, no_docs, docs):
     assert simhash.simhash_components(no_docs).collect() == []
     assert simhash.near_dedup(no_docs).collect() == []
