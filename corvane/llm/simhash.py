@@ -57,18 +57,21 @@ def fingerprint(hashes: list[int]) -> int:
 
 
 def with_fingerprint(docs: DataFrame, k: int = 4) -> DataFrame:
-    """doc_id, text_hash, fingerprint (a long of the 64 bits), n (its shingles) of each row; a null text is empty."""
+    """doc_id, text_hash, fingerprint (a long of the 64 bits), n (its shingles), class (a hash of its words) of each row; a null text
+    is empty."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes = [], []
+            prints, sizes, classes = [], [], []
             for t in batch.column(2).to_pylist():
-                hashes = shingle_hashes(words_of(t), k)
-                prints.append(fingerprint(hashes)), sizes.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, dtype=np.uint64).astype(np.int64)), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "fingerprint", "n"])
+                words = words_of(t)
+                hashes = shingle_hashes(words, k)
+                prints.append(fingerprint(hashes)), sizes.append(len(hashes)), classes.append(signed(xxhash.xxh3_64_intdigest(b" ".join(words))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, dtype=np.uint64).astype(np.int64)), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=["doc_id", "text_hash", "fingerprint", "n", "class"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fingerprint long, n long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fingerprint long, n long, class long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -326,9 +329,9 @@ def near_dedup(docs: DataFrame, k: int = 5, radius: int = 10, least: float = 0.8
     """One row of docs for each group of near-duplicates: the one of the least doc_id (then the least text hash). Columns stay.
 
     Candidates are fingerprints within radius bits; each link counts if the documents' k-word shingles have a similarity of
-    ``least`` or more. Texts of one fingerprint count as copies, texts without words among them. A null id comes first.
+    ``least`` or more. Only texts of the same words count as copies without it, texts without words among them. A null id comes first.
     """
-    prints = written(with_fingerprint(docs, k), shared_dir(docs.sparkSession)).withColumn("class", F.col("fingerprint"))
+    prints = written(with_fingerprint(docs, k), shared_dir(docs.sparkSession))
     stars = components(links(prints.select("fingerprint").distinct(), radius).select("a", "b"))
     found = with_component_rows(prints, verified(prints, stars, docs, k, radius, least))
     id_, hash_ = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))

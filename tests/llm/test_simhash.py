@@ -105,6 +105,15 @@ def test_copies_that_only_resemble_their_base(spark, monkeypatch):
         assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == want
 
 
+def test_texts_of_one_fingerprint_are_checked_too(spark):
+    phrase = "one phrase of seven words in all "
+    texts = [" ".join(phrase + " ".join(f"t{t}n{i}w{w}" for w in range(10)) for i in range(500)) for t in range(3)]
+    texts.append(texts[1].upper().replace(" ", "\n"))
+    assert len({slow_print(t, 5) for t in texts}) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == [0, 1, 2]
+
+
 def test_nothing_and_null_ids(spark, no_docs, docs):
     assert simhash.simhash_components(no_docs).collect() == []
     assert simhash.near_dedup(no_docs).collect() == []
