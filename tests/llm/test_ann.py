@@ -45,6 +45,14 @@ def test_bounds_hold_and_choose_few():
     assert np.mean((low <= true + 1e-9) & (true <= high + 1e-9)) > 0.99
 
 
+def test_default_bounds_hold_nearly_always():
+    rng = np.random.default_rng(3)
+    vectors, queries = rng.standard_normal((2000, 48)), rng.standard_normal((50, 48))
+    low, high = ann.OneBitCodes(vectors, ann.rotation(48)).bounds(queries, ann.DEVIATIONS)
+    true = ((queries[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2)
+    assert np.mean((low <= true + 1e-9) & (true <= high + 1e-9)) > 0.999
+
+
 def test_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(empty, F.col("vec_id") % 10 == 0).collect() == []
