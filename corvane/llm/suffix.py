@@ -3,6 +3,9 @@
 Every string of LENGTH bytes has an anchor: of the GRAM-byte strings inside it, the one of the least hash (the leftmost, if equal).
 Equal strings have equal anchors at equal places, so only strings of one anchor can be equal, and anchors that occur once need no
 look. The stretch of text that the strings of one anchor cover goes, with the stretches of the same anchor elsewhere, to one block.
+The strings of an anchor with too many unlike stretches are parted by more of their own bytes: each of them holds either so many
+bytes right of its anchor or so many left of it, and these join the anchor in the key. Equal strings still have equal keys, and a
+key that can't be parted further is a whole string, so every string meets all its like in one block, whatever their number.
 A block's stretches are suffix-sorted and transformed; its intervals are extended backward, breadth first, which yields the common
 prefixes of neighbouring suffixes by increasing value. The extension stops at LENGTH: what has no value then is a repeat.
 """
@@ -22,9 +25,9 @@ from .common import shared_dir, table, written
 
 LENGTH, GRAM = 200, 48
 #: Bytes of text that anchors are looked for in at once, of a block, and of stretches gathered before they are handed on.
-PORTION, BLOCK, GATHERED = 1 << 20, 1 << 20, 1 << 23
-#: Stretches of one anchor in a block; those of a more frequent anchor are dealt to several blocks.
-SPLIT = 3000
+PORTION, BLOCK, GATHERED = 1 << 20, 1 << 19, 1 << 22
+#: Stretches of one key in a block; the strings of a more frequent key are parted by more of their bytes.
+SPLIT = 1500
 BASE, MASK24 = 0x9E3779B97F4A7C15, np.uint64(0xFFFFFF)
 
 
@@ -119,24 +122,24 @@ def transformed(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     packed = np.zeros(n, np.uint64)
     for k in range(7):
         packed <<= np.uint64(9)
-        packed[: max(n - k, 0)] |= text[k:].astype(np.uint64)
-    order = np.argsort(packed, kind="stable")
+        packed[: max(n - k, 0)] |= text[k:]
+    order = np.argsort(packed).astype(np.int32)
     ordered = packed[order]
     fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    group = np.empty(n, np.int64)
-    group[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    group = np.empty(n, np.int32)
+    group[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), 0))
     done = 7
-    slots = np.flatnonzero(~(fresh & np.concatenate((fresh[1:], [True]))))
+    slots = np.flatnonzero(~(fresh & np.concatenate((fresh[1:], [True])))).astype(np.int32)
     while done < depth and len(slots):
         at = order[slots]
         follow = at + done
         second = np.where(follow < n, group[np.minimum(follow, n - 1)] + 1, 0)
-        key = group[at] * (n + 2) + second
-        by = np.argsort(key, kind="stable")
+        key = group[at].astype(np.int64) * (n + 2) + second
+        by = np.argsort(key)
         at, key = at[by], key[by]
         order[slots] = at
         fresh = np.concatenate(([True], key[1:] != key[:-1]))
-        head = np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))
+        head = np.maximum.accumulate(np.where(fresh, np.arange(len(slots), dtype=np.int32), 0))
         group[at] = slots[head]
         slots = slots[~(fresh & np.concatenate((fresh[1:], [True])))]
         done *= 2
@@ -148,36 +151,35 @@ def long_prefixes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
     far as neither reaches the end of its stretch before that."""
     n = len(text)
     order, group = transformed(text, least)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     symbol = text[order - 1]  # the transform; what stands before the first is a parting 0
     back = place[order - 1]
     head = group[order]
-    tail = np.empty(n, np.int64)  # behind the last of each group
-    last = np.flatnonzero(np.concatenate((head[1:] != head[:-1], [True])))
-    tail[:] = np.repeat(last + 1, np.diff(np.concatenate(([-1], last))))
-    by = np.argsort(symbol, kind="stable")
+    last = np.flatnonzero(np.concatenate((head[1:] != head[:-1], [True]))).astype(np.int32)
+    tail = np.repeat(last + 1, np.diff(np.concatenate(([-1], last))))  # behind the last of each group
+    by = np.argsort(symbol, kind="stable").astype(np.int32)
     same = symbol[by[1:]] == symbol[by[:-1]]
-    before, after = np.full(n, -1), np.full(n, n)
+    before, after = np.full(n, -1, np.int32), np.full(n, n, np.int32)
     before[by[1:][same]] = by[:-1][same]
     after[by[:-1][same]] = by[1:][same]
     open_ = np.ones(n + 1, bool)
     open_[0] = open_[n] = False
     open_[: int((text == 0).sum()) + 1] = False
-    lb, rb = np.zeros(1, np.int64), np.full(1, n)
+    lb, rb = np.zeros(1, np.int32), np.full(1, n, np.int32)
     for _ in range(least):
         if not len(lb):
             break
         sizes = rb - lb
-        of = np.repeat(np.arange(len(lb)), sizes)
-        flat = np.arange(len(of)) + np.repeat(lb - (np.cumsum(sizes) - sizes), sizes)
+        of = np.repeat(np.arange(len(lb), dtype=np.int32), sizes)
+        flat = np.arange(len(of), dtype=np.int32) + np.repeat(lb - (np.cumsum(sizes, dtype=np.int32) - sizes), sizes)
         real = symbol[flat] != 0
         first = real & (before[flat] < lb[of])
         final = real & (after[flat] >= rb[of])
         a, b = flat[first], flat[final]
         # One child for each symbol in an interval: its first and its last place there, brought together by interval and symbol.
-        a = a[np.argsort(of[first] * 257 + symbol[a], kind="stable")]
-        b = b[np.argsort(of[final] * 257 + symbol[b], kind="stable")]
+        a = a[np.argsort(of[first] * np.int64(257) + symbol[a])]
+        b = b[np.argsort(of[final] * np.int64(257) + symbol[b])]
         lb, rb = head[back[a]], tail[back[b]]
         unset = open_[rb]
         lb, rb = lb[unset], rb[unset]
@@ -213,56 +215,39 @@ def runs(places: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def repeated_places(stretches: DataFrame, length: int) -> DataFrame:
-    """From rows (anchor, part, split, name, bytes, n): name with starts, ends (runs of places whose strings are repeats) and, for
-    anchors that are dealt to several blocks, rest, rest_hash (places not found to repeat in this block, and their strings' hashes).
-    A null name brings hashes of strings that repeat in a block, for the others' sake."""
-    kinds = [pa.binary(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.binary())]
-    names = ["name", "starts", "ends", "rest", "rest_hash"]
+    """From rows (anchor, name, bytes, n): name with starts, ends (runs of places whose strings are repeats)."""
 
     def solved(rows: dict) -> pa.RecordBatch:
-        import xxhash
-
         keys, texts = list(rows), [r[0] for r in rows.values()]
-        owner, place, class_, members = block_repeats(texts, length)
+        owner, place, _, members = block_repeats(texts, length)
         out: list[tuple] = []
         bounds = np.searchsorted(owner, np.arange(len(keys) + 1))
-        shared: dict[int, bytes] = {}
-        for i, (name, (text, n, split)) in enumerate(zip(keys, rows.values())):
-            a, b = bounds[i], bounds[i + 1]
-            twice = members[a:b] > 1 if n == 1 else np.ones(b - a, bool)
-            found = place[a:b][twice]
-            starts, ends = runs(found) if len(found) else ([], [])
-            rest = place[a:b][~twice].tolist() if split else []
-            if split:
-                for p, c in zip(found.tolist(), class_[a:b][twice].tolist()):
-                    if c not in shared:
-                        shared[c] = xxhash.xxh3_128_digest(text[p : p + length])
-            if starts or rest:
-                out.append((name, starts, ends, rest, [xxhash.xxh3_128_digest(text[p : p + length]) for p in rest]))
-        if shared:
-            out.append((None, [], [], [-1] * len(shared), list(shared.values())))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=names)
+        for name, (_, n), a, b in zip(keys, rows.values(), bounds, bounds[1:]):
+            found = place[a:b] if n > 1 else place[a:b][members[a:b] > 1]
+            if len(found):
+                out.append((name, *runs(found)))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.binary(), *[pa.list_(pa.int32())] * 2))], names=["name", "starts", "ends"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[bytes, list] = {}
         size, group = 0, None
         for batch in batches:
-            for anchor, part, split, name, text, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if (anchor, part) != group:
+            for anchor, name, text, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if anchor != group:
                     if size > BLOCK:
                         yield solved(rows)
                         rows, size = {}, 0
-                    group = (anchor, part)
+                    group = anchor
                 if name in rows:
                     rows[name][1] += n
                 else:
-                    rows[name] = [text, n, split]
+                    rows[name] = [text, n]
                     size += len(text)
         if rows:
             yield solved(rows)
 
-    dealt = stretches.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "name")
-    return dealt.select("anchor", "part", "split", "name", "bytes", "n").mapInArrow(run, "name binary, starts array<int>, ends array<int>, rest array<int>, rest_hash array<binary>")
+    dealt = stretches.select("anchor", "name", "bytes", "n").repartition("anchor").sortWithinPartitions("anchor", "name")
+    return dealt.mapInArrow(run, "name binary, starts array<int>, ends array<int>")
 
 
 def stretch_name(text: bytes, anchor_at: int) -> bytes:
@@ -272,8 +257,70 @@ def stretch_name(text: bytes, anchor_at: int) -> bytes:
     return xxhash.xxh3_128_digest(text + struct.pack("<I", anchor_at))
 
 
+def parted(text: bytes, hit: dict, length: int) -> Iterator[dict]:
+    """The strings of a hit in two parts. All share the bytes from ``left`` before the anchor's place to ``right`` behind it. Of the
+    others, a string has one half (rounded up) right of these bytes, or else over one half left of them: those bytes join the key."""
+    import xxhash
+
+    place, left, right = hit["place"], hit["left"], hit["right"]
+    free = length - left - right
+    bound = place - left - free // 2  # strings from here on have half of the free bytes on the right
+    more = free - free // 2
+    for lo, hi, at, side, grown in ((max(hit["lo"], bound), hit["hi"], (place + right, place + right + more), 0, (left, right + more)), (hit["lo"], min(hit["hi"], bound - 1), (place - left - free // 2 - 1, place - left), 1, (left + free // 2 + 1, right))):
+        if lo <= hi:
+            key = xxhash.xxh3_64_intdigest(struct.pack("<qB", hit["anchor"], side) + text[at[0] : at[1]])
+            yield {"anchor": key - (1 << 64) if key >> 63 else key, "place": place, "lo": lo, "hi": hi, "left": grown[0], "right": grown[1]}
+
+
+HIT = "struct<anchor: long, place: long, lo: long, hi: long, left: int, right: int>"
+
+
+def finer_hits(texts: DataFrame, length: int) -> DataFrame:
+    """text_hash, packed, hits, names from texts whose hits all have frequent keys: their parts, and the names of their stretches."""
+    kind = pa.struct([*((f, pa.int64()) for f in ("anchor", "place", "lo", "hi")), ("left", pa.int32()), ("right", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            parts, names = [], []
+            for packed, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                text = unpack(packed)
+                parts.append([part for h in hits for part in parted(text, h, length)])
+                names.append([int.from_bytes(stretch_name(text[h["lo"] : h["hi"] + length], h["place"] - h["lo"])[:8], "little", signed=True) for h in parts[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(kind)), pa.array(names, pa.list_(pa.int64()))], names=["text_hash", "packed", "hits", "names"])
+
+    return texts.select("text_hash", "packed", "hits").mapInArrow(run, f"text_hash binary, packed binary, hits array<{HIT}>, names array<long>")
+
+
+def with_rare_keys(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """text_hash, packed, hits: those of texts (text_hash, packed, hits, hot), hits of frequent keys in parts of rarer ones; a text
+    may have several rows.
+
+    Every round halves the free bytes of what is still frequent, so there are eight at most. A key counts by its unlike stretches;
+    the count, an estimate of a few percent, only tells whether to go on.
+    """
+    spark = texts.sparkSession
+    done = texts.where(F.size("hits") > 0).select("text_hash", "packed", "hits")
+    now = texts.where(F.size("hot") > 0).select("text_hash", "packed", F.col("hot").alias("hits"))
+    for _ in range(max(length - gram, 0).bit_length()):
+        if now.isEmpty():
+            break
+        finer = written(finer_hits(now, length), shared_dir(spark))
+        pairs = finer.select("text_hash", F.explode(F.arrays_zip("hits", "names")).alias("x")).select("text_hash", "x.hits", "x.names")
+        frequent = pairs.groupBy("hits.anchor").agg(F.approx_count_distinct("names").alias("n")).where(F.col("n") > SPLIT).select(F.col("anchor").alias("key"))
+        hot = pairs.select("text_hash", "hits").join(frequent, F.col("hits.anchor") == F.col("key"), "left_semi").where(F.col("hits.left") + F.col("hits.right") < length)
+        hot = hot.groupBy("text_hash").agg(F.collect_list("hits").alias("hot"))
+        judged = written(finer.select("text_hash", "packed", "hits").join(hot, "text_hash", "left"), shared_dir(spark))
+        rest = judged.select("text_hash", "packed", F.when(F.col("hot").isNull(), F.col("hits")).otherwise(F.array_except("hits", "hot")).alias("hits"))
+        done = done.unionByName(rest.where(F.size("hits") > 0))
+        now = judged.where(F.col("hot").isNotNull()).select("text_hash", "packed", F.col("hot").alias("hits"))
+    return done
+
+
 def stretches_of(texts: DataFrame, length: int) -> DataFrame:
-    """anchor, part, split, name, bytes, n from texts with hits; equal stretches of a task are counted before they travel."""
+    """anchor, name, bytes, n from texts with hits; equal stretches of a task are counted before they travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -283,9 +330,8 @@ def stretches_of(texts: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def handed() -> pa.RecordBatch:
-            columns = list(zip(*((a, p, s, name, t, n) for name, (a, p, s, t, n) in held.items())))
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "part", "split", "name", "bytes", "n"])
+            columns = list(zip(*((a, name, t, n) for name, (a, t, n) in held.items())))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))], names=["anchor", "name", "bytes", "n"])
 
         for batch in batches:
             for packed, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -294,10 +340,9 @@ def stretches_of(texts: DataFrame, length: int) -> DataFrame:
                     stretch = text[h["lo"] : h["hi"] + length]
                     name = stretch_name(stretch, h["place"] - h["lo"])
                     if name in held:
-                        held[name][4] += 1
+                        held[name][2] += 1
                     else:
-                        part = int.from_bytes(name[:4], "little") % h["parts"]
-                        held[name] = [h["anchor"], part, h["parts"] > 1, stretch, 1]
+                        held[name] = [h["anchor"], stretch, 1]
                         size += len(stretch)
                 if size > GATHERED:
                     yield handed()
@@ -306,7 +351,7 @@ def stretches_of(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield handed()
 
-    return texts.select("packed", "hits").mapInArrow(run, "anchor long, part int, split boolean, name binary, bytes binary, n long")
+    return texts.select("packed", "hits").mapInArrow(run, "anchor long, name binary, bytes binary, n long")
 
 
 def named_hits(texts: DataFrame, length: int) -> DataFrame:
@@ -357,8 +402,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     places = found.select("text_hash", F.explode(F.arrays_zip("anchors", "place", "lo", "hi")).alias("x")).select("text_hash", F.col("x.anchors").alias("anchor"), "x.place", "x.lo", "x.hi")
     where = F.xxhash64("text_hash", "place")
     often = places.withColumn("where", where).groupBy("anchor").agg(F.min("where").alias("least"), F.max("where").alias("most"), F.count(F.lit(1)).alias("n"))
-    often = written(often.where("least <> most").select("anchor", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), shared_dir(spark))
-    hits = places.join(often, "anchor").groupBy("text_hash").agg(F.collect_set(F.struct("anchor", "place", "lo", "hi", "parts")).alias("hits"))
+    often = written(often.where("least <> most").select("anchor", (F.col("n") > SPLIT).alias("frequent")), shared_dir(spark))
+    hit = F.struct("anchor", "place", "lo", "hi", F.lit(0).alias("left"), F.lit(min(gram, length)).alias("right"))
+    hits = places.join(often, "anchor").groupBy("text_hash").agg(F.collect_set(F.when(~F.col("frequent"), hit)).alias("hits"), F.collect_set(F.when(F.col("frequent"), hit)).alias("hot"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -370,13 +416,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
 
     short = long.select("text_hash", "text").mapInArrow(packed, "text_hash binary, packed binary")
     texts = written(short.join(hits, "text_hash").dropDuplicates(["text_hash"]), shared_dir(spark))
-    solved = written(repeated_places(stretches_of(texts, length), length), shared_dir(spark))
-    near = solved.where(F.col("name").isNotNull() & (F.size("starts") > 0)).select("name", "starts", "ends")
-    # Strings of anchors that were dealt to several blocks: those without a like in their block meet by their hashes.
-    rest = solved.where(F.size("rest") > 0).select("name", F.explode(F.arrays_zip("rest", "rest_hash")).alias("x")).select("name", F.col("x.rest").alias("p"), F.col("x.rest_hash").alias("h"))
-    twice = rest.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    far = rest.where("name is not null").join(twice, "h", "left_semi").select("name", F.array("p").alias("starts"), F.array(F.col("p") + 1).alias("ends"))
-    spans = named_hits(texts, length).join(near.unionByName(far), "name").select("text_hash", F.transform("starts", lambda x: x + F.col("lo")).alias("starts"), F.transform("ends", lambda x: x + F.col("lo")).alias("ends"))
+    rare = with_rare_keys(texts, length, min(gram, length))
+    solved = written(repeated_places(stretches_of(rare, length), length), shared_dir(spark))
+    spans = named_hits(rare, length).join(solved, "name").select("text_hash", F.transform("starts", lambda x: x + F.col("lo")).alias("starts"), F.transform("ends", lambda x: x + F.col("lo")).alias("ends"))
     spans = spans.groupBy("text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     return texts.select("text_hash", "packed").join(spans, "text_hash"), copies
 

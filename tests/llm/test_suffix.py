@@ -100,3 +100,33 @@ def test_nothing(spark, no_docs):
     assert suffix.without_repeats(no_docs).collect() == []
     same = spark.createDataFrame([(None, "é" * 150), (None, "é" * 150), (3, None)], "doc_id long, text string")
     assert sorted((r.n_removed, r.n_spans) for r in suffix.removal(same).collect()) == [(0, 0), (300, 1), (300, 1)]
+
+
+@pytest.mark.parametrize("unlike", [True, False])
+def test_many_stretches_around_one_gram(spark, unlike, monkeypatch):
+    monkeypatch.setattr(suffix, "SPLIT", 100)
+    rng = random.Random(8)
+    gram, letters = "the one line that all of these texts have in common", "abcdefghijklmnopqrstuvwxyz"
+    prose = lambda n: "".join(rng.choices(letters, k=n))
+    ends = [prose(300) for _ in range(1500 if unlike else 3)]
+    texts = [prose(rng.randrange(200)) + gram + end for end in ends] if unlike else [prose(rng.randrange(80, 200)) + gram + rng.choice(ends) for _ in range(1500)]
+    texts += [prose(50) + t[30:-20] for t in texts[:40]]  # repeats that begin and end at odd places
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, suffix.removal(docs).collect()))
+    assert got == [(i, *w) for i, w in enumerate(brute_force(texts, 200))]
+
+
+def test_parts_of_a_key_hold_each_string_once():
+    rng = random.Random(3)
+    text = bytes(rng.randrange(256) for _ in range(500))
+    hits = [{"anchor": 5, "place": 240, "lo": 240 - 152, "hi": 240, "left": 0, "right": 48}]
+    whole = []
+    for _ in range(8):
+        finer = [part for h in hits for part in suffix.parted(text, h, 200)]
+        assert sorted(p for h in whole + finer for p in range(h["lo"], h["hi"] + 1)) == list(range(240 - 152, 241))
+        for h in finer:
+            assert h["hi"] <= h["place"] - h["left"] and h["lo"] + 200 >= h["place"] + h["right"]
+        assert len({h["anchor"] for h in finer}) == len(finer)
+        hits = [h for h in finer if h["left"] + h["right"] < 200]
+        whole += [h for h in finer if h not in hits]
+    assert not hits
