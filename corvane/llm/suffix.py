@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -215,17 +216,23 @@ def runs(places: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def repeated_places(stretches: DataFrame, length: int) -> DataFrame:
-    """From rows (anchor, name, bytes, n): name with starts, ends (runs of places whose strings are repeats)."""
+    """From rows (anchor, name, bytes, n): name with starts, ends (runs of places whose strings are repeats).
+
+    A stretch that is there n times is transformed once. A key of one stretch has nothing to compare: no two strings of a stretch
+    are equal, as their anchor lies elsewhere in each.
+    """
 
     def solved(rows: dict) -> pa.RecordBatch:
-        keys, texts = list(rows), [r[0] for r in rows.values()]
-        owner, place, _, members = block_repeats(texts, length)
-        out: list[tuple] = []
-        bounds = np.searchsorted(owner, np.arange(len(keys) + 1))
-        for name, (_, n), a, b in zip(keys, rows.values(), bounds, bounds[1:]):
-            found = place[a:b] if n > 1 else place[a:b][members[a:b] > 1]
-            if len(found):
-                out.append((name, *runs(found)))
+        of_key = Counter(r[2] for r in rows.values())
+        out: list[tuple] = [(name, [0], [len(text) - length + 1]) for name, (text, n, key) in rows.items() if of_key[key] == 1 and n > 1]
+        several = {name: r for name, r in rows.items() if of_key[r[2]] > 1}
+        if several:
+            owner, place, _, members = block_repeats([r[0] for r in several.values()], length)
+            bounds = np.searchsorted(owner, np.arange(len(several) + 1))
+            for (name, (_, n, _)), a, b in zip(several.items(), bounds, bounds[1:]):
+                found = place[a:b] if n > 1 else place[a:b][members[a:b] > 1]
+                if len(found):
+                    out.append((name, *runs(found)))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.binary(), *[pa.list_(pa.int32())] * 2))], names=["name", "starts", "ends"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +248,7 @@ def repeated_places(stretches: DataFrame, length: int) -> DataFrame:
                 if name in rows:
                     rows[name][1] += n
                 else:
-                    rows[name] = [text, n]
+                    rows[name] = [text, n, anchor]
                     size += len(text)
         if rows:
             yield solved(rows)
@@ -257,6 +264,12 @@ def stretch_name(text: bytes, anchor_at: int) -> bytes:
     return xxhash.xxh3_128_digest(text + struct.pack("<I", anchor_at))
 
 
+def flat_hits(column: pa.ListArray) -> tuple[list[int], dict[str, list]]:
+    """Where each row's hits begin and end, and the hits' fields one after the other."""
+    flat = column.flatten()
+    return np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).tolist(), {f.name: flat.field(f.name).to_pylist() for f in flat.type}
+
+
 def parted(text: bytes, hit: dict, length: int) -> Iterator[dict]:
     """The strings of a hit in two parts. All share the bytes from ``left`` before the anchor's place to ``right`` behind it. Of the
     others, a string has one half (rounded up) right of these bytes, or else over one half left of them: those bytes join the key."""
@@ -276,7 +289,8 @@ HIT = "struct<anchor: long, place: long, lo: long, hi: long, left: int, right: i
 
 
 def finer_hits(texts: DataFrame, length: int) -> DataFrame:
-    """text_hash, packed, hits, names from texts whose hits all have frequent keys: their parts, and the names of their stretches."""
+    """text_hash, packed, hits, keys, names from texts whose hits all have frequent keys: their parts, and the distinct pairs of a key
+    and the name of a stretch."""
     kind = pa.struct([*((f, pa.int64()) for f in ("anchor", "place", "lo", "hi")), ("left", pa.int32()), ("right", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,14 +298,15 @@ def finer_hits(texts: DataFrame, length: int) -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            parts, names = [], []
+            parts, keys, names = [], [], []
             for packed, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 text = unpack(packed)
                 parts.append([part for h in hits for part in parted(text, h, length)])
-                names.append([int.from_bytes(stretch_name(text[h["lo"] : h["hi"] + length], h["place"] - h["lo"])[:8], "little", signed=True) for h in parts[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(kind)), pa.array(names, pa.list_(pa.int64()))], names=["text_hash", "packed", "hits", "names"])
+                pairs = {(h["anchor"], int.from_bytes(stretch_name(text[h["lo"] : h["hi"] + length], h["place"] - h["lo"])[:8], "little", signed=True)) for h in parts[-1]}
+                keys.append([k for k, _ in pairs]), names.append([n for _, n in pairs])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(kind)), pa.array(keys, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.int64()))], names=["text_hash", "packed", "hits", "keys", "names"])
 
-    return texts.select("text_hash", "packed", "hits").mapInArrow(run, f"text_hash binary, packed binary, hits array<{HIT}>, names array<long>")
+    return texts.select("text_hash", "packed", "hits").mapInArrow(run, f"text_hash binary, packed binary, hits array<{HIT}>, keys array<long>, names array<long>")
 
 
 def with_rare_keys(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -308,14 +323,16 @@ def with_rare_keys(texts: DataFrame, length: int, gram: int) -> DataFrame:
         if now.isEmpty():
             break
         finer = written(finer_hits(now, length), shared_dir(spark))
-        pairs = finer.select("text_hash", F.explode(F.arrays_zip("hits", "names")).alias("x")).select("text_hash", "x.hits", "x.names")
-        frequent = pairs.groupBy("hits.anchor").agg(F.approx_count_distinct("names").alias("n")).where(F.col("n") > SPLIT).select(F.col("anchor").alias("key"))
-        hot = pairs.select("text_hash", "hits").join(frequent, F.col("hits.anchor") == F.col("key"), "left_semi").where(F.col("hits.left") + F.col("hits.right") < length)
-        hot = hot.groupBy("text_hash").agg(F.collect_list("hits").alias("hot"))
-        judged = written(finer.select("text_hash", "packed", "hits").join(hot, "text_hash", "left"), shared_dir(spark))
-        rest = judged.select("text_hash", "packed", F.when(F.col("hot").isNull(), F.col("hits")).otherwise(F.array_except("hits", "hot")).alias("hits"))
-        done = done.unionByName(rest.where(F.size("hits") > 0))
-        now = judged.where(F.col("hot").isNotNull()).select("text_hash", "packed", F.col("hot").alias("hits"))
+        pairs = finer.select(F.explode(F.arrays_zip("keys", "names")).alias("x")).select("x.keys", "x.names")
+        frequent = pairs.groupBy("keys").agg(F.approx_count_distinct("names").alias("n")).where(F.col("n") > SPLIT).select("keys")
+        of_text = finer.select("text_hash", F.explode(F.array_distinct("keys")).alias("keys")).join(frequent, "keys", "left_semi").groupBy("text_hash").agg(F.collect_list("keys").alias("frequent"))
+        hot = F.filter("hits", lambda h: F.array_contains("frequent", h["anchor"]) & (h["left"] + h["right"] < length))
+        rest = F.filter("hits", lambda h: ~F.array_contains("frequent", h["anchor"]) | (h["left"] + h["right"] >= length))
+        split = F.col("frequent").isNotNull()
+        marked = finer.select("text_hash", "packed", "hits").join(of_text, "text_hash", "left").select("text_hash", "packed", F.when(split, rest).otherwise(F.col("hits")).alias("hits"), F.when(split, hot).alias("hot"))
+        judged = written(marked, shared_dir(spark))
+        done = done.unionByName(judged.where(F.size("hits") > 0).select("text_hash", "packed", "hits"))
+        now = judged.where(F.size("hot") > 0).select("text_hash", "packed", F.col("hot").alias("hits"))
     return done
 
 
@@ -334,15 +351,16 @@ def stretches_of(texts: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))], names=["anchor", "name", "bytes", "n"])
 
         for batch in batches:
-            for packed, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            bounds, h = flat_hits(batch.column(1))
+            for packed, a, b in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
                 text = unpack(packed)
-                for h in hits:
-                    stretch = text[h["lo"] : h["hi"] + length]
-                    name = stretch_name(stretch, h["place"] - h["lo"])
+                for anchor, place, lo, hi in zip(h["anchor"][a:b], h["place"][a:b], h["lo"][a:b], h["hi"][a:b]):
+                    stretch = text[lo : hi + length]
+                    name = stretch_name(stretch, place - lo)
                     if name in held:
                         held[name][2] += 1
                     else:
-                        held[name] = [h["anchor"], stretch, 1]
+                        held[name] = [anchor, stretch, 1]
                         size += len(stretch)
                 if size > GATHERED:
                     yield handed()
@@ -362,14 +380,13 @@ def named_hits(texts: DataFrame, length: int) -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            names, of, los = [], [], []
-            for text_hash, packed, hits in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            names = []
+            bounds, h = flat_hits(batch.column(2))
+            for packed, a, b in zip(batch.column(1).to_pylist(), bounds, bounds[1:]):
                 text = unpack(packed)
-                for h in hits:
-                    names.append(stretch_name(text[h["lo"] : h["hi"] + length], h["place"] - h["lo"]))
-                    of.append(text_hash)
-                    los.append(h["lo"])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(of, pa.binary()), pa.array(los, pa.int64())], names=["name", "text_hash", "lo"])
+                names += [stretch_name(text[lo : hi + length], place - lo) for place, lo, hi in zip(h["place"][a:b], h["lo"][a:b], h["hi"][a:b])]
+            of = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch.column(0))), np.diff(bounds))))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), of, pa.array(h["lo"], pa.int64())], names=["name", "text_hash", "lo"])
 
     return texts.select("text_hash", "packed", "hits").mapInArrow(run, "name binary, text_hash binary, lo long")
 
