@@ -129,27 +129,19 @@ class ForcedBoundaryBpe:
     def _portion(self, texts: list[str | None]) -> Iterator[bytes]:
         if len(self.known) > self.limit:
             self.older, self.known = self.known, {}
+        known = self.known
         found = [self.fragments(t or "") for t in texts]
-        flat = list(chain.from_iterable(found))
-        parts = list(map(self.known.get, flat))
-        if None in parts:
-            missing = [i for i, p in enumerate(parts) if p is None]
-            new: dict[str, bytes] = dict.fromkeys(flat[i] for i in missing)
-            unknown = []
-            for f in new:
-                if (ids := self.older.get(f)) is None:
-                    unknown.append(f)
-                else:
-                    new[f] = ids
+        new = set(chain.from_iterable(found)).difference(known)
+        if new:
+            unknown = new.difference(self.older)
+            known.update((f, self.older[f]) for f in new - unknown)
             if unknown:
-                new.update(self.learn(unknown))
-            for i in missing:
-                parts[i] = new[flat[i]]
-            self.known.update(new if max(map(len, new)) <= self.key_chars else {f: i for f, i in new.items() if len(f) <= self.key_chars})
-        at = 0
+                known.update(self.learn(unknown))
         for f in found:
-            yield b"".join(parts[at : at + len(f)])
-            at += len(f)
+            yield b"".join(map(known.__getitem__, f))
+        for f in new:
+            if len(f) > self.key_chars:
+                del known[f]
 
     def encode_bytes(self, text: str | None) -> bytes:
         return next(self.encode_many([text]))
