@@ -8,10 +8,10 @@ size, this takes words close to the target. The prefix sums come from small orde
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, shared_dir, table, written
+from .common import SPACE, boxed, shared_dir, table, unboxed, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = "mix-1"
@@ -19,8 +19,7 @@ SEED = "mix-1"
 
 def word_count(text) -> F.Column:
     """Words of a text; null has none."""
-    spaced = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", "")
-    return F.when(spaced == "", F.lit(0)).otherwise(F.size(F.split(spaced, f"[{SPACE}]+", -1))).cast("long")
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(f"[^{SPACE}]++")), F.lit(0)).cast("long")
 
 
 def uniform(*parts) -> F.Column:
@@ -31,7 +30,7 @@ def uniform(*parts) -> F.Column:
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
     """source, source_size, n_docs, target of each source of sizes (source, size); a null source is one of its own, in last place.
 
-    Weights repeat over the sources in code point order. The table of sources is one aggregated row each.
+    Weights repeat over the sources in code point order. The windows over all sources see one aggregated row of each.
     """
     w = Window.orderBy(F.col("source").isNull(), "source")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -46,42 +45,46 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return sources.withColumn("level", level).select("source", "source_size", "n_docs", F.coalesce(F.least("limit", F.col("weight") * F.col("level")), F.col("limit")).alias("target"))
 
 
-def systematic_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: str = SEED) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies.
+def systematic_copies(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: str = SEED) -> DataFrame:
+    """row (a struct of the columns of docs), size, source_size, target and copies; size is the number of words unless given.
 
     Order within a source: by size in classes of a quarter of an octave, within these by 256 hashed buckets, then size and hash of
     doc_id. The buckets' totals are prefix-summed per source (at most some 40,000 of them whatever the input), and rows are
     counted within a bucket, so one source may hold any part of the rows. Equal rows are sampled one by one, null ids as well, and
-    an empty document counts as one of size 0. A source of no words has the target 0 and yields nothing. Reruns agree.
+    an empty document counts as one of size 0. A source of no words has the target 0 and yields nothing. Reruns agree. Columns of
+    docs may have any names, and only doc_id, source and text (without a given size) have a say.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    digest = F.md5(key)
-    sized = (docs if "_size" in docs.columns else docs.withColumn("_size", word_count(F.col("text")))).withColumn("_hash", digest)
-    octave = F.floor(4 * F.log2(F.col("_size") + F.lit(1.0))).cast("int")
-    sized = sized.withColumn("_bucket", octave * 256 + F.conv(F.substring("_hash", 1, 2), 16, 10).cast("int"))
-    buckets = sized.groupBy("source", "_bucket").agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.withColumn("_before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    targets = source_targets(buckets.select("source", "size"), weights, most)
-    known = starts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(F.col("b.source").alias("_s"), F.col("b._bucket").alias("_b"), "_before", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    place = Window.partitionBy("source", "_bucket").orderBy("_size", "_hash", "doc_id")
-    ranked = sized.withColumn("_rank", F.row_number().over(place))
-    ranked = ranked.join(known, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
-    rate = F.when(F.col("_source_size") > 0, F.least(F.col("_target") / F.col("_source_size"), F.lit(most))).otherwise(0.0)
-    end, offset = F.col("_before") + F.col("_rank"), uniform(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull().cast("string"))
-    return ranked.withColumn("_copies", F.floor(end * rate + offset) - F.floor((end - 1) * rate + offset)).drop("_s", "_b", "_before", "_rank", "_bucket", "_hash")
+    source = F.col("source").cast("string")
+    sized = boxed(docs, doc_id=F.col("doc_id"), source=F.coalesce(source, F.lit("")), none=source.isNull(), size=word_count(F.col("text")) if size is None else size.cast("long"), hash=F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    octave = F.floor(4 * F.log2(F.col("size") + F.lit(1.0))).cast("int")
+    sized = sized.withColumn("bucket", octave * 256 + F.conv(F.substring("hash", 1, 2), 16, 10).cast("int"))
+    buckets = sized.groupBy("source", "none", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("source", "none").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = buckets.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    targets = source_targets(buckets.select(F.when(~F.col("none"), F.col("source")).alias("source"), F.col("words").alias("size")), weights, most)
+    targets = targets.select(F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("none"), "source_size", "target")
+    known = starts.join(targets, ["source", "none"]).select("source", "none", "bucket", "before", "source_size", "target")
+    # Ranks and their join have the same keys, so rows travel once.
+    place = Window.partitionBy("source", "none", "bucket").orderBy("size", "hash", "doc_id")
+    ranked = sized.withColumn("rank", F.row_number().over(place)).join(known, ["source", "none", "bucket"])
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
+    end, offset = F.col("before") + F.col("rank"), uniform(F.lit(seed), F.col("source"), F.col("none").cast("string"))
+    return ranked.select("row", "size", "source_size", "target", (F.floor(end * rate + offset) - F.floor((end - 1) * rate + offset)).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: str = SEED) -> DataFrame:
     """docs, each row as often as it was drawn; columns as they were."""
-    return systematic_copies(docs, weights, most, seed).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    drawn = systematic_copies(docs, None, weights, most, seed).where("copies > 0")
+    return unboxed(drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents: a null text has size 0, a null source is one of its own, rows of one id and repeated rows are drawn one by
+    one, a long text counts whole, other columns are left out, and no rows give no rows."""
     # Words are counted once; only sizes travel.
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("_size"))
-    sized = systematic_copies(written(docs, shared_dir(spark)))
-    return sized.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    docs = written(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), shared_dir(spark))
+    drawn = systematic_copies(docs, F.col("size"))
+    return drawn.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP7_SQL = r"""

@@ -1,7 +1,8 @@
 """Quality rules on DataFrame functions only: cross-document line frequency, and the counts that go with it.
 
-Lines are normalised and hashed. For every host (the documents' source), the distinct texts that hold a line are counted, exact
-copies once. Lines above the limits are taken out, and documents of which too little is left are rejected.
+Lines are normalised and hashed. For every host (the documents' source), the distinct documents that hold a line are counted: those
+of different ids, or, where ``copies`` is false, of different texts, so that a document does not turn common by its own copies. Lines
+above the limits are taken out, and documents of which too little is left are rejected.
 """
 
 from __future__ import annotations
@@ -9,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, shared_dir, table, written
+from .common import SPACE, boxed, shared_dir, table, text_hash, unboxed, written
 
-#: A line is common on a host if more texts than MIN_DOCS and than this share of the host's texts hold it.
+#: A line is common on a host if more documents than MIN_DOCS and than this share of the host's documents hold it.
 MIN_DOCS, MIN_SHARE = 20, 0.02
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.3
@@ -46,7 +47,7 @@ def measured(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate("starts", start, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     return rows.select(
-        "doc_id", "source", F.xxhash64("text").alias("text_hash"), F.size("words").cast("long").alias("n_words"),
+        "doc_id", "source", text_hash(F.col("text")).alias("text_hash"), F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -56,15 +57,18 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def common_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """source, line_hash of the lines that too many distinct texts of a source hold; a null source is one of its own.
+def common_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, copies: bool = True) -> DataFrame:
+    """source, line_hash of the lines that too many distinct documents of a source hold; a null source is one of its own.
 
-    A line or source of any size is pre-aggregated before each shuffle.
+    Rows of one id are one document, and a row without an id is known by its text; with ``copies`` false, all rows are. A line or
+    source of any size is pre-aggregated before each shuffle.
     """
-    lines = rows.select("source", "text_hash", F.explode(F.array_distinct("line_hashes")).alias("line_hash"))
-    counts = lines.groupBy("source", "line_hash").agg(F.countDistinct("text_hash").alias("n")).where(F.col("n") > min_docs)
-    hosts = rows.groupBy("source").agg(F.countDistinct("text_hash").alias("of")).withColumnRenamed("source", "_s")
-    return counts.join(hosts, F.col("source").eqNullSafe(F.col("_s"))).where(F.col("n") > F.col("of") * min_share).select("source", "line_hash")
+    document = F.coalesce("doc_id", F.xxhash64("text_hash")) if copies else F.col("text_hash")
+    rows = rows.select("source", document.alias("document"), "line_hashes")
+    lines = rows.select("source", "document", F.explode(F.array_distinct("line_hashes")).alias("line_hash"))
+    counts = lines.groupBy("source", "line_hash").agg(F.countDistinct("document").alias("n")).where(F.col("n") > min_docs)
+    hosts = rows.groupBy("source").agg(F.countDistinct("document").alias("of")).withColumnRenamed("source", "host")
+    return counts.join(hosts, F.col("source").eqNullSafe(F.col("host"))).where(F.col("n") > F.col("of") * min_share).select("source", "line_hash")
 
 
 def common_in_texts(rows: DataFrame, common: DataFrame) -> DataFrame:
@@ -86,28 +90,37 @@ def judged(rows: DataFrame, common: DataFrame, left_share: float = LEFT_SHARE) -
 
 
 def line_frequency_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, words_left of each row of docs."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, words_left of each row of docs.
+
+    Null and empty texts have no words and fail; repeated rows are judged alike, long texts whole; other columns have no say.
+    """
     rows = written(measured(docs), shared_dir(docs.sparkSession))
     out = judged(rows, common_lines(rows))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("words_left").cast("long"))
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, common lines taken out of their texts and n_chars set anew; columns as they were.
+def clean(docs: DataFrame, copies: bool = False) -> DataFrame:
+    """The rows of docs that the rules keep, common lines taken out of their texts and n_chars set anew; columns as they were,
+    whatever their names.
 
-    Repeated rows stay repeated. A text from which nothing is taken stays byte by byte; a null text is always rejected.
+    Repeated rows stay repeated. A text from which nothing is taken stays byte by byte; a null text is always rejected. Copies of a
+    text don't make its lines common unless ``copies`` says so: removing them is left to a later stage, which keeps one.
     """
     rows = written(measured(docs), shared_dir(docs.sparkSession))
-    verdicts = judged(rows, common_lines(rows)).where("kept").select(F.col("source").alias("_s"), F.col("text_hash").alias("_t"), "common").dropDuplicates(["_s", "_t"]).withColumnRenamed("common", "_common")
-    kept = docs.join(verdicts, (F.xxhash64(F.col("text").cast("string")) == F.col("_t")) & F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    lines = F.filter(F.split(F.col("text").cast("string"), "\n", -1), lambda x: ~(x.rlike(f"[^{SPACE}]") & F.array_contains("_common", line_hash(x))))
-    kept = kept.withColumn("text", F.when(F.col("_common").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    verdicts = judged(rows, common_lines(rows, copies=copies)).where("kept").select(F.col("source").alias("host"), F.col("text_hash").alias("hash"), "common").dropDuplicates(["host", "hash"])
+    text = F.col("text").cast("string")
+    boxes = boxed(docs, text=text, source=F.col("source").cast("string"), text_hash=text_hash(text))
+    kept = boxes.join(verdicts, (F.col("text_hash") == F.col("hash")) & F.col("source").eqNullSafe(F.col("host")))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: ~(x.rlike(f"[^{SPACE}]") & F.array_contains("common", line_hash(x))))
+    kept = kept.withColumn("left", F.when(F.col("common").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    changed = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    return unboxed(kept, docs.columns, **changed)
 
 
 def op3_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents, one row each; see line_frequency_rules for nulls, empty and long texts, repeats and other columns."""
     return line_frequency_rules(table(spark, sf_dir, "documents"))
 
 
@@ -122,13 +135,13 @@ starts AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n
 repeated AS (
   SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM starts) GROUP BY r),
 lines AS (
-  SELECT r, source, text, line,
+  SELECT r, source, document, line,
          trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
-  FROM (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM d)
+  FROM (SELECT r, source, coalesce(doc_id::VARCHAR, md5(text)) AS document, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
-hosts AS (SELECT source, count(DISTINCT text) AS of FROM d GROUP BY source),
-counts AS (SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY source, norm),
+hosts AS (SELECT source, count(DISTINCT coalesce(doc_id::VARCHAR, md5(text))) AS of FROM d GROUP BY source),
+counts AS (SELECT source, norm, count(DISTINCT document) AS n FROM lines GROUP BY source, norm),
 common AS (SELECT c.source, norm FROM counts c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE n > 20 AND n > of * 0.02::DOUBLE),
 taken AS (
   SELECT r, sum(len(string_split(l.norm, ' '))) AS n FROM lines l JOIN common c ON l.norm = c.norm AND l.source IS NOT DISTINCT FROM c.source GROUP BY r),

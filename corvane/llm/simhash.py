@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import boxed, shared_dir, table, text_hash, unboxed, written
 from .graph import components
 
 #: Children of an index node, and pairs of nodes looked at together.
@@ -45,33 +45,53 @@ def shingle_hashes(words: list[bytes], k: int) -> list[int]:
     return [digest(text[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), (starts[k:] - 1).tolist())]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """A bit is one if it is set in over half the hashes; no hashes give zero."""
-    if not hashes:
-        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
+        part = np.asarray(hashes[at : at + (1 << 16)], dtype="<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def other_bits(hashes: np.ndarray) -> np.ndarray:
+    """64 bits more of each hash, for a second half of the fingerprint."""
+    x = hashes ^ hashes >> np.uint64(32)
+    for _ in range(2):
+        x = x * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
+
+
 def with_fingerprint(docs: DataFrame, k: int = 4) -> DataFrame:
-    """doc_id, text_hash, fingerprint (a long of the 64 bits), n (its shingles), class (a hash of its words) of each row; a null text
-    is empty."""
+    """doc_id, fingerprint (a long of the 64 bits) of each row; a null text is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(shingle_hashes(words_of(t), k)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).astype(np.int64))], names=["doc_id", "fingerprint"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint long")
+
+
+def text_classes(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, text_hash, class (128 bits of its words), first, second (both halves of a fingerprint of 128 bits), n (shingles)."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, classes = [], [], []
+            classes, prints, sizes = [], [], []
             for t in batch.column(2).to_pylist():
                 words = words_of(t)
-                hashes = shingle_hashes(words, k)
-                prints.append(fingerprint(hashes)), sizes.append(len(hashes)), classes.append(signed(xxhash.xxh3_64_intdigest(b" ".join(words))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, dtype=np.uint64).astype(np.int64)), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=["doc_id", "text_hash", "fingerprint", "n", "class"])
+                hashes = np.array(shingle_hashes(words, k), dtype=np.uint64)
+                classes.append(xxhash.xxh3_128_digest(b" ".join(words))), sizes.append(len(hashes))
+                prints.append((fingerprint(hashes), fingerprint(other_bits(hashes))))
+            halves = np.array(prints, dtype=np.uint64).reshape(-1, 2).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(classes, pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "class", "first", "second", "n"])
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fingerprint long, n long, class long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash binary, class binary, first long, second long, n long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -231,55 +251,69 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFram
     Texts without a word have the fingerprint zero and are linked like others. Null ids are left out of a component's least id; a
     component without any id has none. Equal rows are linked at distance zero.
     """
-    prints = written(with_fingerprint(docs, k).select("doc_id", "fingerprint"), shared_dir(docs.sparkSession))
+    prints = written(with_fingerprint(docs, k), shared_dir(docs.sparkSession))
     edges = links(prints.select("fingerprint").distinct(), radius)
     found = with_component(prints, edges)
     return prints.join(found, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_links(codes: np.ndarray, group: np.ndarray, own: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> tuple[list[int], list[int]]:
-    """Links of ``least`` similarity that connect whatever all such pairs within the radius connect, in each group.
+def similar_links(prints: np.ndarray, group: np.ndarray, own: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> tuple[list[int], list[int]]:
+    """Links of ``least`` similarity that connect whatever all such pairs within the radius, by any column of prints, connect in
+    each group.
 
     A pair is only left out if links that passed join its ends already. In a group of two tiles (own) only pairs across them count.
-    Rows are sorted by group, then Gray rank.
+    Rows are sorted by group.
     """
     n = np.array([len(x) for x in sets])
     sizes = np.bincount(group)
     starts = np.cumsum(sizes) - sizes
     mixed = (np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts))[group]
-    parent = list(range(len(codes)))
-    label = np.arange(len(codes))
+    parent = list(range(len(prints)))
+    label = np.arange(len(prints))
     left, right = [], []
-    for i, j, d in close_pairs(codes, sizes, radius):
-        keep = (~mixed[i] | (own[i] != own[j])) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
-        order = np.argsort(d[keep], kind="stable")
-        i, j = i[keep][order], j[keep][order]
-        while len(i):
-            apart = label[i] != label[j]
-            i, j = i[apart], j[apart]
-            for a, b in zip(i[:PORTION].tolist(), j[:PORTION].tolist()):
-                x, y = a, b
-                while parent[x] != x:
-                    parent[x] = x = parent[parent[x]]
-                while parent[y] != y:
-                    parent[y] = y = parent[parent[y]]
-                if x != y:
-                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if both >= least * (n[a] + n[b] - both):
-                        parent[max(x, y)] = min(x, y)
-                        left.append(a), right.append(b)
-            i, j = i[PORTION:], j[PORTION:]
-            if len(left):
-                label = np.array(parent)
-                while not np.array_equal(label, label[label]):
-                    label = label[label]
-                parent = label.tolist()
+    for codes in prints.T:
+        sorted_ = np.lexsort((gray_rank(codes), group))
+        for i, j, d in close_pairs(codes[sorted_], sizes, radius):
+            i, j = sorted_[i], sorted_[j]
+            keep = (~mixed[i] | (own[i] != own[j])) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
+            order = np.argsort(d[keep], kind="stable")
+            i, j = i[keep][order], j[keep][order]
+            while len(i):
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                for a, b in zip(i[:PORTION].tolist(), j[:PORTION].tolist()):
+                    x, y = a, b
+                    while parent[x] != x:
+                        parent[x] = x = parent[parent[x]]
+                    while parent[y] != y:
+                        parent[y] = y = parent[parent[y]]
+                    if x != y:
+                        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                        if both >= least * (n[a] + n[b] - both):
+                            parent[max(x, y)] = min(x, y)
+                            left.append(a), right.append(b)
+                i, j = i[PORTION:], j[PORTION:]
+                if len(left):
+                    label = np.array(parent)
+                    while not np.array_equal(label, label[label]):
+                        label = label[label]
+                    parent = label.tolist()
     return left, right
 
 
-def verified(prints: DataFrame, stars: DataFrame, docs: DataFrame, k: int, radius: int, least: float) -> DataFrame:
-    """a, b: links between classes of prints (class, fingerprint, n, doc_id, text_hash) that connect all that pairs within radius
-    bits and of a Jaccard similarity of ``least`` or more on their distinct k-word shingles connect.
+def candidate_links(classes: DataFrame, half: str, radius: int) -> DataFrame:
+    """a, b: links between classes that connect all whose prints of this half are within radius bits. A print's least class stands
+    for the others of it."""
+    named = written(classes.groupBy(half).agg(F.min("class").alias("least")), shared_dir(classes.sparkSession))
+    edges = links(named.select(F.col(half).alias("fingerprint")), radius)
+    ends = edges.join(named.select(F.col(half).alias("a"), F.col("least").alias("x")), "a").join(named.select(F.col(half).alias("b"), F.col("least").alias("y")), "b")
+    same = classes.select("class", half).join(named, half).where("class <> least")
+    return ends.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same.select(F.col("class").alias("a"), F.col("least").alias("b")))
+
+
+def verified(classes: DataFrame, stars: DataFrame, docs: DataFrame, k: int, radius: int, least: float) -> DataFrame:
+    """a, b: links between classes (class, first, second, n, doc_id, text_hash) that connect all that pairs within radius bits, in
+    either half, and of a Jaccard similarity of ``least`` or more on their distinct k-word shingles connect.
 
     Such pairs lie within a component of candidates (stars), so each component's classes meet in one task, or, of more than TILE
     classes or TILE_SHINGLES shingles, in one task for each pair of tiles. The first document of a class stands for it.
@@ -287,67 +321,66 @@ def verified(prints: DataFrame, stars: DataFrame, docs: DataFrame, k: int, radiu
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [np.unique(np.array(shingle_hashes(words_of(t), k), dtype=np.uint64)).tobytes() for t in batch.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(values, pa.binary())], names=["class", "fingerprint", "root", "tiles", "own", "shingles"])
+            values = [np.unique(np.array(shingle_hashes(words_of(t), k), dtype=np.uint64)).tobytes() for t in batch.column(6).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(values, pa.binary())], names=["class", "first", "second", "root", "tiles", "own", "shingles"])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: np.ndarray, values: list[bytes]) -> pa.RecordBatch:
-            codes = rows[:, 3].copy().view(np.uint64)
-            group = np.concatenate(([0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
-            order = np.lexsort((gray_rank(codes), group))
-            left, right = similar_links(codes[order], group, rows[order, 2], [np.frombuffer(values[x], np.uint64) for x in order.tolist()], radius, least)
-            ends = rows[order, 4]
-            return pa.RecordBatch.from_arrays([pa.array(ends[left]), pa.array(ends[right])], names=["a", "b"])
-
-        rest, held = np.empty((0, 5), np.int64), []
+        def found(rows: np.ndarray, names: list[bytes], fresh: np.ndarray, values: list[bytes]) -> pa.RecordBatch:
+            group = np.concatenate(([0], np.cumsum(fresh)))
+            left, right = similar_links(rows[:, 2:].copy().view(np.uint64), group, rows[:, 1], [np.frombuffer(x, np.uint64) for x in values], radius, least)
+            return pa.RecordBatch.from_arrays([pa.array([names[x] for x in ends], pa.binary()) for ends in (left, right)], names=["a", "b"])
+
+        rest, names, roots, held = np.empty((0, 4), np.int64), [], [], []
         for batch in batches:
-            rest = np.concatenate((rest, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5)], axis=1)))
-            held += batch.column(5).to_pylist()
-            change = np.flatnonzero((rest[1:, :2] != rest[:-1, :2]).any(axis=1))
-            if len(change):
-                upto = int(change[-1]) + 1
-                yield found(rest[:upto], held[:upto])
-                rest, held = rest[upto:], held[upto:]
+            rest = np.concatenate((rest, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], axis=1)))
+            for kept, c in ((names, 4), (roots, 5), (held, 6)):
+                kept += batch.column(c).to_pylist()
+            fresh = (rest[1:, 0] != rest[:-1, 0]) | np.array([x != y for x, y in zip(roots, roots[1:])], bool)
+            if fresh.any():
+                upto = int(np.flatnonzero(fresh)[-1]) + 1
+                yield found(rest[:upto], names[:upto], fresh[: upto - 1], held[:upto])
+                rest, names, roots, held = rest[upto:], names[upto:], roots[upto:], held[upto:]
         if held:
-            yield found(rest, held)
+            yield found(rest, names, np.zeros(len(held) - 1, bool), held)
 
-    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    classes = prints.groupBy("class").agg(F.min("fingerprint").alias("fingerprint"), F.max("n").alias("n"), first)
-    rooted = written(classes.join(stars, F.col("fingerprint") == F.col("node"), "left").select("class", "fingerprint", "n", F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_t"), F.coalesce("root", "fingerprint").alias("root")), shared_dir(docs.sparkSession))
+    rooted = written(classes.join(stars, F.col("class") == F.col("node"), "left").select("class", "first", "second", "n", "doc_id", "text_hash", F.coalesce("root", "class").alias("root")), shared_dir(docs.sparkSession))
     counted = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
     tiles = F.least("m", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("s") / TILE_SHINGLES))).cast("long")
     dealt = rooted.join(counted.select("root", tiles.alias("tiles")), "root").withColumn("own", F.pmod(F.xxhash64("class"), F.col("tiles")))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    whole = text.join(dealt, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))).dropDuplicates(["class"])
-    shingles = whole.select("class", "fingerprint", "root", "tiles", "own", "text").mapInArrow(sets, "class long, fingerprint long, root long, tiles long, own long, shingles binary")
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), text_hash(whole).alias("t"), whole.alias("text"))
+    texts = texts.join(dealt, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).dropDuplicates(["class"])
+    shingles = texts.select("class", "first", "second", "root", "tiles", "own", "text").mapInArrow(sets, "class binary, first long, second long, root binary, tiles long, own long, shingles binary")
     paired = shingles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("tile", F.least("own", "other") * F.col("tiles") + F.greatest("own", "other"))
-    placed = paired.select("root", "tile", "own", "fingerprint", "class", "shingles").repartition("root", "tile").sortWithinPartitions("root", "tile")
-    return placed.mapInArrow(close, "a long, b long")
+    placed = paired.select("tile", "own", "first", "second", "class", "root", "shingles").repartition("root", "tile").sortWithinPartitions("root", "tile")
+    return placed.mapInArrow(close, "a binary, b binary")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, radius: int = 10, least: float = 0.8) -> DataFrame:
     """One row of docs for each group of near-duplicates: the one of the least doc_id (then the least text hash). Columns stay.
 
-    Candidates are fingerprints within radius bits; each link counts if the documents' k-word shingles have a similarity of
-    ``least`` or more. Only texts of the same words count as copies without it, texts without words among them. A null id comes first.
+    Candidates are texts whose fingerprints of 128 bits are within radius bits in either half; each link counts if the texts' k-word
+    shingles have a similarity of ``least`` or more. Only texts of the same words count as copies without it, texts without words,
+    null ones among them. A null id comes first. Of equal rows one stays. Columns of docs may have any names.
     """
-    prints = written(with_fingerprint(docs, k), shared_dir(docs.sparkSession))
-    stars = components(links(prints.select("fingerprint").distinct(), radius).select("a", "b"))
-    found = with_component_rows(prints, verified(prints, stars, docs, k, radius, least))
-    id_, hash_ = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
-    kept = docs.join(found, id_.eqNullSafe(F.col("_d")) & (hash_ == F.col("_t")), "left_semi")
-    if found.join(prints, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))).groupBy("_d", "_t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return kept
-    return kept.withColumn("_h", hash_).dropDuplicates(["doc_id", "_h"]).drop("_h")
-
-
-def with_component_rows(prints: DataFrame, edges: DataFrame) -> DataFrame:
-    """_d, _t: doc_id and text hash of each component's first row; edges link classes."""
-    stars = components(edges)
-    distinct = prints.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    rooted = distinct.join(stars, F.col("class") == F.col("node"), "left").groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("first").alias("first"))
-    return written(rooted.select(F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_t")), shared_dir(prints.sparkSession))
+    spark = docs.sparkSession
+    rows = written(text_classes(docs, k), shared_dir(spark))
+    least_row = F.min(F.struct("doc_id", "text_hash")).alias("least")
+    classes = rows.groupBy("class").agg(F.min("first").alias("first"), F.min("second").alias("second"), F.max("n").alias("n"), least_row)
+    classes = written(classes.select("class", "first", "second", "n", "least.doc_id", "least.text_hash"), shared_dir(spark))
+    stars = components(candidate_links(classes, "first", radius).unionByName(candidate_links(classes, "second", radius)))
+    groups = components(verified(classes, stars, docs, k, radius, least))
+    rooted = classes.join(groups, F.col("class") == F.col("node"), "left").groupBy(F.coalesce("root", "class").alias("root")).agg(least_row)
+    found = written(rooted.select(F.col("least.doc_id").alias("d"), F.col("least.text_hash").alias("t")), shared_dir(spark))
+    boxes = boxed(docs, id=F.col("doc_id").cast("long"), text_hash=text_hash(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = boxes.join(found, F.col("id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi")
+    repeated = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(["id", "text_hash"])
+    return unboxed(kept, docs.columns)
 
 
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents: null, empty and wordless texts share the fingerprint zero and are linked like any other, repeated rows are
+    in one component, a text of any length counts whole, other columns are left out, and no rows give no rows."""
     return simhash_components(table(spark, sf_dir, "documents"))

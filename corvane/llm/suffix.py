@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import boxed, shared_dir, table, text_hash, unboxed, written
 
 LENGTH, GRAM = 200, 48
 #: Bytes of text that anchors are looked for in at once, of a block, and of stretches gathered before they are handed on.
@@ -403,10 +403,6 @@ def cut(text: bytes, starts: list[int], ends: list[int], length: int) -> tuple[b
     return b"".join(kept) + text[at:], removed
 
 
-def text_hash(text) -> F.Column:
-    return F.unhex(F.md5(text))
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(texts, copies). texts: text_hash, packed (the text, compressed), starts, ends (runs of places at which a string of ``length``
     bytes starts that also starts elsewhere) of every distinct text with any; copies: text_hash of the texts of several rows, whose
@@ -473,7 +469,7 @@ def removal(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with repeated strings taken out of their texts, and n_chars set anew; columns as they were.
+    """docs with repeated strings taken out of their texts, and n_chars set anew; columns as they were, whatever their names.
 
     Bytes of a character of which others went are dropped too. Texts that lose nothing, null among them, stay as they are; rows
     whose text goes as a whole stay with an empty text.
@@ -486,16 +482,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             kept = [cut(unpack(p), s, e, length)[0].decode("utf-8", "ignore") for p, s, e in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["_hash", "_left"])
-
-    parts = spans.select("text_hash", "packed", "starts", "ends").mapInArrow(run, "_hash binary, _left string")
-    rows = docs.withColumn("_key", text_hash(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    rows = rows.join(parts, F.col("_key") == F.col("_hash"), "left").join(copies.select(F.col("text_hash").alias("_copy")), F.col("_key") == F.col("_copy"), "left")
-    rows = rows.withColumn("text", F.when(F.col("_copy").isNotNull() & (F.octet_length("text") >= length), F.lit("")).otherwise(F.coalesce("_left", "text")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["hash", "left"])
+
+    parts = spans.select("text_hash", "packed", "starts", "ends").mapInArrow(run, "hash binary, left string")
+    text = F.col("text").cast("string")
+    boxes = boxed(docs, text=text, key=text_hash(F.coalesce(text, F.lit(""))))
+    rows = boxes.join(parts, F.col("key") == F.col("hash"), "left").join(copies.select(F.col("text_hash").alias("copy")), F.col("key") == F.col("copy"), "left")
+    rows = rows.withColumn("left", F.when(F.col("copy").isNotNull() & (F.octet_length("text") >= length), F.lit("")).otherwise(F.coalesce("left", "text")))
+    changed = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.coalesce(F.length("left"), F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return unboxed(rows, docs.columns, **changed)
 
 
 def op8_suffix_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents, one row each; see removal for nulls, empty and long texts, repeats and ids."""
     return removal(table(spark, sf_dir, "documents"))

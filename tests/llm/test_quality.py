@@ -15,12 +15,12 @@ def normal(line):
     return re.sub(SPACE + "+", " ", re.sub("[1-9]", "0", line)).strip(" ")
 
 
-def slow(rows, min_docs, min_share, left_share):
+def slow(rows, min_docs, min_share, left_share, copies=True):
     lines = {i: [x for x in (t or "").split("\n") if words(x)] for i, t, *_ in rows}
     texts = {}
-    for _, t, _, source, *_ in rows:
-        texts.setdefault(source, set()).add(t or "")
-    counts = Counter((source, n) for source, of in texts.items() for t in of for n in {normal(x) for x in t.split("\n") if words(x)})
+    for i, t, _, source, *_ in rows:
+        texts.setdefault(source, {})[i if copies else t or ""] = t or ""
+    counts = Counter((source, n) for source, of in texts.items() for t in of.values() for n in {normal(x) for x in t.split("\n") if words(x)})
     out = {}
     for i, t, _, source, *_ in rows:
         w = words(t)
@@ -63,7 +63,7 @@ def test_clean_documents_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra string")
     kept = quality.clean(docs)
     assert kept.columns == docs.columns
-    want = {i: r for i, r in slow(rows, quality.MIN_DOCS, quality.MIN_SHARE, quality.LEFT_SHARE).items() if r[7]}
+    want = {i: r for i, r in slow(rows, quality.MIN_DOCS, quality.MIN_SHARE, quality.LEFT_SHARE, copies=False).items() if r[7]}
     got = {r.doc_id: r for r in kept.collect()}
     assert sorted(got) == sorted(want)
     for i, r in got.items():
@@ -80,6 +80,24 @@ def test_nothing_and_repeated_rows(spark, no_docs):
     assert quality.clean(twice).count() == 2
 
 
+def test_copies_of_one_text(spark):
+    text = "\n".join(" ".join(f"w{i}x{k}" for i in range(9)) for k in range(4))
+    rows = [(i, text, "h") for i in range(40)] + [(100 + i, text.replace("w", "v" + chr(97 + i % 26) + chr(97 + i // 26)), "h") for i in range(60)] + [(0, text, "h")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id: r.kept for r in quality.line_frequency_rules(docs).collect()}
+    assert all(kept[i] == (i >= 100) for i in kept)
+    assert quality.clean(docs).count() == len(rows) and quality.clean(docs, copies=True).count() == 60
+    repeated = docs.where("doc_id in (0) or doc_id >= 100")  # one document, many rows
+    assert all(r.kept for r in quality.line_frequency_rules(repeated).collect())
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["doc_id", "text", "source", "host", "hash", "common", "_s", "_t", "_common", "row", "left", "text_hash", "a.b"]
+    rows = [(i, " ".join(f"w{i}n{k}" for k in range(30)), "h", *range(10)) for i in range(4)]
+    kept = quality.clean(spark.createDataFrame(rows, names))
+    assert kept.columns == names and sorted(map(tuple, kept.collect())) == rows
+
+
 def test_no_python_on_the_main_path(spark, docs):
     rows = quality.measured(docs)
     plan = quality.judged(rows, quality.common_lines(rows))._jdf.queryExecution().toString()

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import xxhash
 
 from corvane.llm import simhash
@@ -15,6 +16,17 @@ def slow_print(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def slow_near(text, k=5):
+    """Both halves of a text's fingerprint."""
+    hashes = np.array(simhash.shingle_hashes(simhash.words_of(text), k), dtype=np.uint64)
+    other = [int(h) for h in simhash.other_bits(hashes)]
+    return slow_print(text, k), sum(1 << b for b in range(64) if other and 2 * sum(h >> b & 1 for h in other) > len(other))
+
+
+def near(x, y, radius=10):
+    return any((a ^ b).bit_count() <= radius for a, b in zip(x, y))
+
+
 def slow_components(prints, linked):
     parent = list(range(len(prints)))
 
@@ -75,8 +87,8 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs, corpus):
     assert kept.columns == docs.columns
     ids = sorted(r.doc_id for r in kept.collect())
     sets = [set(simhash.shingle_hashes(simhash.words_of(r[1]), 5)) for r in corpus]
-    prints = [slow_print(r[1], 5) for r in corpus]
-    close = lambda i, j: prints[i] == prints[j] or (prints[i] ^ prints[j]).bit_count() <= 10 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    prints = [slow_near(r[1]) for r in corpus]
+    close = lambda i, j: not sets[i] | sets[j] or near(prints[i], prints[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     assert ids == sorted(set(slow_components(prints, close)))
     again = docs.unionByName(docs.where("doc_id < 9"))
     assert sorted(r.doc_id for r in simhash.near_dedup(again).collect()) == ids
@@ -97,8 +109,8 @@ def test_copies_that_only_resemble_their_base(spark, monkeypatch):
         texts.append(" ".join(base))
     rows = [(i, t) for i, t in enumerate(texts)]
     sets = [set(simhash.shingle_hashes(simhash.words_of(t), 5)) for t in texts]
-    prints = [slow_print(t, 5) for t in texts]
-    want = sorted(set(slow_components(prints, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 10 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))))
+    prints = [slow_near(t) for t in texts]
+    want = sorted(set(slow_components(prints, lambda i, j: near(prints[i], prints[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for tile in (1000, 9):
         monkeypatch.setattr(simhash, "TILE", tile, raising=False)
@@ -119,3 +131,29 @@ def test_nothing_and_null_ids(spark, no_docs, docs):
     assert simhash.near_dedup(no_docs).collect() == []
     odd = spark.createDataFrame([(None, "one two"), (None, "one two"), (7, "one two"), (None, "three")], "doc_id long, text string")
     assert sorted(map(str, (r.component_id for r in simhash.simhash_components(odd).collect()))) == ["7", "7", "7", "None"]
+
+
+def test_a_true_pair_is_not_lost_between_two_that_fail(spark):
+    """A and B are 0.8 similar; C is nearer to both in bits, and similar to neither."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(30):
+        base = [f"w{n}" for n in rng.integers(0, 10**6, 300)]
+        near_one = list(base)
+        for at in rng.choice(np.arange(10, 290, 12), 6, replace=False):
+            near_one[at] = f"x{rng.integers(10**9)}"
+        between = base * 2 + [f"y{n}" for n in rng.integers(0, 10**6, 160)]
+        texts += [" ".join(w) for w in (base, near_one, between)]
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t), 5)) for t in texts]
+    true = [(i, i + 1) for i in range(0, len(texts), 3) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) and near(slow_near(texts[i]), slow_near(texts[i + 1]))]
+    prints = [slow_print(t, 5) for t in texts]
+    assert len(true) > 20 and any(max((prints[i] ^ prints[i + 2]).bit_count(), (prints[j] ^ prints[i + 2]).bit_count()) <= (prints[i] ^ prints[j]).bit_count() for i, j in true)
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(i in kept and j not in kept and i + 2 in kept for i, j in true)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["doc_id", "text", "class", "first", "second", "root", "row", "id", "_d", "_t", "text_hash", "a.b"]
+    rows = [(1, "one two three four five six", *range(10)), (2, "one two three four five six", *range(10)), (3, "seven", *range(10))]
+    docs = spark.createDataFrame(rows, names)
+    assert sorted(map(tuple, simhash.near_dedup(docs).collect())) == [rows[0], rows[2]] and simhash.near_dedup(docs).columns == names

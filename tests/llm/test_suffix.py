@@ -130,3 +130,10 @@ def test_parts_of_a_key_hold_each_string_once():
         hits = [h for h in finer if h["left"] + h["right"] < 200]
         whole += [h for h in finer if h not in hits]
     assert not hits
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["doc_id", "text", "key", "hash", "copy", "left", "_key", "_hash", "_left", "_copy", "row", "a.b"]
+    rows = [(i, f"{i} " * 40 + "the same words at the end of each " * 8, *range(10)) for i in range(3)] + [(7, "alone", *range(10))]
+    got = sorted(map(tuple, suffix.without_repeats(spark.createDataFrame(rows, names), 60, 20).collect()))
+    assert [r[2:] for r in got] == [tuple(range(10))] * 4 and got[3] == rows[3] and all(len(r[1]) < 100 for r in got[:3])
