@@ -2,7 +2,8 @@
 
 A store holds signed deltas of additive totals by source, language and tokenizer version. A batch of changes (inserts, deletes,
 revised counts) is aggregated and committed under its id; committing an id again replaces the same folder by the same content, so
-retries and replays change nothing. Totals are the sum of a compacted base and the deltas that came after it.
+retries and replays change nothing. Totals are the sum of a compacted base and the deltas that it does not hold; the base names the
+batches folded into it, so one that arrives late, below the newest, still counts, and once.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import loaded
-from .common import shared_dir, table
+from .common import shared_dir, table, written
 from .mixing import word_count
 
 KEYS = ("source", "lang", "tokenizer")
+#: Documents of fewer words are deleted in the query's last batch.
+SHORT = 20
 CHANGE = "source string, lang string, tokenizer string, op string, old_tokens long, new_tokens long"
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long, changes long"
 
@@ -54,22 +57,31 @@ class RollupStore:
         names = [s.getPath().getName() for s in files.listStatus(top)]
         return sorted(int(n) for n in names if n.isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{n}/_SUCCESS")))
 
+    def _base(self) -> tuple[int, set[int]]:
+        """Number of the newest base that is whole, and the batches in it. It is whole once its list of batches is written; the list
+        holds runs of ids, so batches without gaps are one row."""
+        bases = self._ids("folded")
+        if not bases:
+            return 0, set()
+        runs = self.spark.read.schema("first long, last long").parquet(f"{self.path}/folded/{bases[-1]:012d}").collect()
+        return bases[-1], {i for r in runs for i in range(r["first"], r["last"] + 1)}
+
     def committed(self) -> list[int]:
-        """Batches that count, those of the newest base included as its last id."""
-        return sorted({*self._ids("deltas"), *self._ids("base")[-1:]})
+        """Batches that count."""
+        return sorted({*self._ids("deltas"), *self._base()[1]})
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
-        """Adds a batch; False if it was already there, or was compacted, and is left as it is."""
-        base = self._ids("base")
-        if batch < 0 or base and batch <= base[-1] or batch in self._ids("deltas"):
+        """Adds a batch, in any order of ids; False if it counts already, and is left as it is."""
+        if batch < 0:
+            raise ValueError("ids of batches are not negative")
+        if batch in self._base()[1] or batch in self._ids("deltas"):
             return False
         deltas(changes).write.mode("overwrite").parquet(f"{self.path}/deltas/{batch:012d}")
         return True
 
     def _rows(self) -> DataFrame:
-        base = self._ids("base")[-1:]
-        later = [i for i in self._ids("deltas") if not base or i > base[0]]
-        paths = [f"{self.path}/base/{i:012d}" for i in base] + [f"{self.path}/deltas/{i:012d}" for i in later]
+        base, folded = self._base()
+        paths = [f"{self.path}/base/{base:012d}"] * bool(base) + [f"{self.path}/deltas/{i:012d}" for i in self._ids("deltas") if i not in folded]
         return self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
 
     def totals(self) -> DataFrame:
@@ -77,10 +89,12 @@ class RollupStore:
         return self._rows().groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "changes")])
 
     def compact(self) -> None:
-        """Folds all committed batches into a new base. Batches must come in ascending ids: older ones are refused afterwards."""
-        ids = self.committed()
+        """Folds all committed batches into a new base. A run that breaks off leaves the old base in force."""
+        base, ids = self._base()[0] + 1, self.committed()
         if ids:
-            self.totals().write.mode("overwrite").parquet(f"{self.path}/base/{ids[-1]:012d}")
+            self.totals().write.mode("overwrite").parquet(f"{self.path}/base/{base:012d}")
+            firsts, lasts = [i for i in ids if i - 1 not in ids], [i for i in ids if i + 1 not in ids]
+            self.spark.createDataFrame(list(zip(firsts, lasts)), "first long, last long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/folded/{base:012d}")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
@@ -98,24 +112,27 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", out: str =
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches over all documents: inserts under two tokenizer versions; revised word counts of texts that hold a repeated
-    line, counted anew without it; deletes of texts without a word. The last is committed twice, then all are compacted."""
+    """Three batches over all documents, each under two tokenizer versions: inserts; revised counts of texts that hold a repeated
+    line, which they lose; deletes of documents of fewer than SHORT words by then. The first arrives late, after a compaction, and
+    the last is committed twice. Null texts have no words and are deleted; null sources and languages are keys of their own."""
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
-    store = RollupStore(spark, shared_dir(spark))
-    words = word_count(F.col("text"))
-    key = [F.col("source"), F.col("lang")]
-    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
-    by_word = [*key, F.lit("words-1").alias("tokenizer")]
-    counted = token_counts(docs.select("source", "lang", words.alias("words"), "text"), public_tokenizers.path("byte_bpe_50k.json"))
-    both = counted.select(*key, F.explode(F.array(F.struct(F.lit("words-1").alias("tokenizer"), F.col("words").alias("n")), F.struct(F.lit("byte_bpe_50k").alias("tokenizer"), F.col("n_tokens").alias("n")))).alias("x"))
-    store.commit(1, both.select(*key, "x.tokenizer", F.lit("insert").alias("op"), none.alias("old_tokens"), F.col("x.n").alias("new_tokens")))
     lines = F.split("text", "\n", -1)
-    repeated = docs.where(F.size(F.array_distinct(lines)) < F.size(lines))
-    store.commit(2, repeated.select(*by_word, F.lit("revise").alias("op"), words.alias("old_tokens"), word_count(F.array_join(F.array_distinct(lines), "\n")).alias("new_tokens")))
-    empty = docs.where(words == 0).select(*by_word, F.lit("delete").alias("op"), zero.alias("old_tokens"), none.alias("new_tokens"))
-    store.commit(3, empty)
-    store.commit(3, empty)
+    now = F.when(F.size(F.array_distinct(lines)) < F.size(lines), F.array_join(F.array_distinct(lines), "\n"))
+    docs = table(spark, sf_dir, "documents").select("source", "lang", word_count(F.col("text")).alias("words"), F.col("text"), now.alias("now"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = docs.select("source", "lang", "words", "text", "now", word_count(F.col("now")).alias("words_now"), F.col("now").isNotNull().alias("revised"))
+    counted = written(token_counts(token_counts(docs, path, out="tokens"), path, text="now", out="tokens_now"), shared_dir(spark))
+    sides = F.array(*[F.struct(F.lit(name).alias("tokenizer"), F.col(n).alias("old"), F.when(F.col("revised"), F.col(f"{n}_now")).otherwise(F.col(n)).alias("new")) for name, n in (("words-1", "words"), ("byte_bpe_50k", "tokens"))])
+    short = F.when(F.col("revised"), F.col("words_now")).otherwise(F.col("words")) < SHORT
+    both = counted.select("source", "lang", "revised", short.alias("short"), F.explode(sides).alias("x")).select("source", "lang", "revised", "short", "x.tokenizer", "x.old", "x.new")
+    changes = lambda op, old, new: (F.lit(op).alias("op"), old.cast("long").alias("old_tokens"), new.cast("long").alias("new_tokens"))
+    store, none = RollupStore(spark, shared_dir(spark)), F.lit(None)
+    deleted = both.where("short").select(*KEYS, *changes("delete", F.col("new"), none))
+    store.commit(2, both.where("revised").select(*KEYS, *changes("revise", F.col("old"), F.col("new"))))
+    store.commit(3, deleted)
+    store.compact()
+    store.commit(1, both.select(*KEYS, *changes("insert", none, F.col("old"))))
+    store.commit(3, deleted)
     store.compact()
     return store.totals()

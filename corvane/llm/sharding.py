@@ -7,10 +7,12 @@ aggregated tables; the documents only look their shard up.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import boxed, quoted, table
 
 #: Bits that one round looks ahead; a round's directory has at most 2 ** STEP entries for each bucket that is still too large.
 STEP = 12
@@ -22,14 +24,14 @@ def hash_bits(key) -> F.Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
-def directory(sizes: DataFrame, max_bytes: int) -> DataFrame:
-    """depth, prefix, shard_bytes, shard_docs of every shard, from sizes (h, bytes): h is a hash of HASH_BITS bits.
+def rounds(sizes: DataFrame, max_bytes: int) -> list[tuple[int, DataFrame]]:
+    """(bits, shards) of each round; shards: depth, prefix, shard_bytes, shard_docs, depth over those of the round before and up to
+    bits. sizes: h (a hash of HASH_BITS bits), bytes.
 
     Every round sums bytes by the next STEP bits of the buckets that are still over the limit, and takes, for each fine prefix, the
     shallowest bucket that fits. What no split can part (rows of one hash) stays one shard, whatever its size.
     """
-    spark = sizes.sparkSession
-    found, left, depth = None, sizes.groupBy("h").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs")), 0
+    found, left, depth = [], sizes.groupBy("h").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs")), 0
     while depth < HASH_BITS:
         step = min(STEP, HASH_BITS - depth)
         fine = left.groupBy(F.shiftrightunsigned("h", HASH_BITS - depth - step).alias("fine")).agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("keys"))
@@ -39,31 +41,44 @@ def directory(sizes: DataFrame, max_bytes: int) -> DataFrame:
         if depth:
             fits = fits.where(F.col("depth") > depth)
         parents = levels.where((F.col("shard_bytes") > max_bytes) & (F.col("keys") > 1)).select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
-        shards = fits.where("depth = 0").unionByName(fits.join(parents, ["depth", "prefix"], "left_semi")).drop("keys")
-        found = shards if found is None else found.unionByName(shards)
-        over = levels.where((F.col("depth") == depth + step) & (F.col("shard_bytes") > max_bytes) & (F.col("keys") > 1)).select(F.col("prefix").alias("_p"))
         depth += step
+        found.append((depth, fits.where("depth = 0").unionByName(fits.join(parents, ["depth", "prefix"], "left_semi")).drop("keys")))
+        over = levels.where((F.col("depth") == depth) & (F.col("shard_bytes") > max_bytes) & (F.col("keys") > 1)).select(F.col("prefix").alias("over"))
         if depth >= HASH_BITS or over.isEmpty():
             break
-        left = left.join(over, F.shiftrightunsigned("h", HASH_BITS - depth) == F.col("_p"), "left_semi")
-    return found if found is not None else spark.createDataFrame([], "depth int, prefix long, shard_bytes long, shard_docs long")
+        left = left.join(over, F.shiftrightunsigned("h", HASH_BITS - depth) == F.col("over"), "left_semi")
+    return found
+
+
+def directory(sizes: DataFrame, max_bytes: int) -> DataFrame:
+    """depth, prefix, shard_bytes, shard_docs of every shard, from sizes (h, bytes)."""
+    return functools.reduce(DataFrame.unionByName, [shards for _, shards in rounds(sizes, max_bytes)])
+
+
+def leaves(shards: DataFrame, bits: int) -> DataFrame:
+    """slot, leaf (shard, shard_bytes, shard_docs): what the shards of a round are for hashes that begin with these bits. A shard
+    covers at most 2 ** STEP slots, and a slot is covered once."""
+    wide = F.lit(bits) - F.col("depth")
+    leaf = F.struct(F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')")).alias("shard"), "shard_bytes", "shard_docs")
+    first = shards.select(leaf.alias("leaf"), F.call_function("shiftleft", "prefix", wide).alias("first"), F.call_function("shiftleft", F.lit(1).cast("long"), wide).alias("n"))
+    return first.select(F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"), "leaf")
 
 
 def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_bytes (UTF-8 bytes of the text, 0 for null), shard (its bits; empty: the only shard), shard_bytes, shard_docs.
 
     Rows of one key, null included, share a shard. A shard is over max_bytes only if all its rows have one key. Columns of docs with
-    these names are replaced.
+    these names are replaced; others may have any name. No rows give no rows. A row looks its shard up once for each round of the
+    directory, by equal bits, and meets one slot in one of them: no row is ever more than one.
     """
-    kept = [c for c in docs.columns if c not in ("n_bytes", "shard", "shard_bytes", "shard_docs")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))).alias("_h"))
-    shards = directory(rows.select(F.col("_h").alias("h"), F.col("n_bytes").alias("bytes")), max_bytes).withColumn("_first", F.expr(f"shiftleft(prefix, {HASH_BITS} - depth)"))
-    # A leaf covers a range of hashes; its parts of STEP bits make the join one of equal keys.
-    leaf = shards.withColumn("_wide", F.greatest(F.lit(0), F.lit(STEP) - F.col("depth"))).withColumn("_slot", F.explode(F.expr(f"sequence(shiftrightunsigned(_first, {HASH_BITS - STEP}), shiftrightunsigned(_first, {HASH_BITS - STEP}) + shiftleft(1L, _wide) - 1)")))
-    leaf = leaf.withColumn("_last", F.col("_first") + F.expr(f"shiftleft(1L, {HASH_BITS} - depth)") - 1)
-    leaf = leaf.select("_slot", "_first", "_last", "shard_bytes", "shard_docs", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')")).alias("shard"))
-    joined = rows.withColumn("_slot", F.shiftrightunsigned("_h", HASH_BITS - STEP)).join(leaf, "_slot").where("_h between _first and _last")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], "n_bytes", "shard", "shard_bytes", "shard_docs")
+    kept = [c for c in docs.columns if c.lower() not in ("n_bytes", "shard", "shard_bytes", "shard_docs")]
+    size = F.coalesce(F.octet_length(F.col(quoted(text))), F.lit(0)).cast("long")
+    rows = boxed(docs, n_bytes=size, h=hash_bits(F.coalesce(F.col(quoted(key)).cast("string"), F.lit(""))))
+    found = rounds(rows.select("h", F.col("n_bytes").alias("bytes")), max_bytes)
+    for k, (bits, shards) in enumerate(found):
+        rows = rows.join(leaves(shards, bits).toDF(f"slot{k}", f"leaf{k}"), F.shiftrightunsigned("h", HASH_BITS - bits) == F.col(f"slot{k}"), "left")
+    rows = rows.withColumn("leaf", F.coalesce(*[f"leaf{k}" for k in range(len(found))]))
+    return rows.select(*[F.col(f"row.{quoted(c)}") for c in kept], "n_bytes", "leaf.shard", "leaf.shard_bytes", "leaf.shard_docs")
 
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int) -> None:
@@ -76,6 +91,7 @@ SHARD_BYTES = 1 << 20
 
 
 def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents, one row each; see assign_shards for nulls, empty and long texts, repeats and ties."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return assign_shards(docs, SHARD_BYTES).select("doc_id", "n_bytes", "shard", "shard_bytes", "shard_docs")
 

@@ -34,6 +34,20 @@ def test_batches_add_up_and_replays_change_nothing(spark):
     assert totals(again) == totals(store)
 
 
+def test_late_batches_count_once(spark):
+    store = rollup.RollupStore(spark, shared_dir(spark))
+    one = lambda n: changes(spark, [("a", "en", "t", "insert", None, n)])
+    assert store.commit(2, one(10)) and store.commit(7, one(20))
+    store.compact()
+    assert store.commit(1, one(3)) and not store.commit(7, one(99)) and store.committed() == [1, 2, 7]
+    assert totals(store) == {("a", "en", "t"): (3, 33, 3)}
+    store.compact()
+    assert not store.commit(1, one(99)) and store.commit(5, one(4)) and store.committed() == [1, 2, 5, 7]
+    assert totals(store) == {("a", "en", "t"): (4, 37, 4)}
+    with pytest.raises(ValueError):
+        store.commit(-1, one(1))
+
+
 def test_a_batch_that_broke_off_is_not_counted(spark):
     store = rollup.RollupStore(spark, shared_dir(spark))
     with pytest.raises(Exception, match="unknown op"):
@@ -62,7 +76,9 @@ def test_query_counts_each_document_once(spark):
     for r in rows:
         text = r.text or ""
         kept = "\n".join(dict.fromkeys(text.split("\n")))
-        for name, docs, n in (("byte_bpe_50k", 1, len(theirs.encode(text, add_special_tokens=False).ids)), ("words-1", int(bool(text.split())), len(kept.split()))):
+        short = len(kept.split()) < rollup.SHORT
+        for name, n in (("byte_bpe_50k", len(theirs.encode(kept, add_special_tokens=False).ids)), ("words-1", len(kept.split()))):
             d, t = want.get((r.source, r.lang, name), (0, 0))
-            want[r.source, r.lang, name] = (d + docs, t + n)
+            want[r.source, r.lang, name] = (d + (not short), t + (0 if short else n))
+    assert any(len((r.text or "").split()) in range(1, rollup.SHORT) for r in rows)
     assert got == want

@@ -42,3 +42,16 @@ def test_written_shards(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), 20000)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == docs.count() and back.select("shard").distinct().count() > 1
+
+
+def test_rows_of_deep_directories_stay_single(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STEP", 3)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', cast(id % 40 AS int)) AS text", "1 AS h", "2 AS row", "3 AS slot0", "4 AS `a.b`")
+    found = sharding.assign_shards(docs, 300)
+    rows = found.collect()
+    assert len(rows) == 3000 and found.columns == [*docs.columns, "n_bytes", "shard", "shard_bytes", "shard_docs"]
+    sums = {}
+    for r in rows:
+        n, size = sums.get(r.shard, (0, 0))
+        sums[r.shard] = (n + 1, size + r.n_bytes)
+    assert len(sums) > 200 and all(sums[r.shard] == (r.shard_docs, r.shard_bytes) and r.shard_bytes <= 300 for r in rows)
