@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -48,21 +48,57 @@ def _text(value) -> str:
     return str(float(value)) if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 
 
+def settings(spec: Mapping, priors: Mapping[str, Mapping] = {}, within: tuple[str, ...] = ()) -> list[tuple[float, dict[str, Mapping]]]:
+    """Weighted settings of a distribution, each one scalar distribution for every parameter, drawn apart from each other; a scalar's
+    parameter is the empty name.
+
+    References (sample) are followed, one that leads to itself is an error. The parameters of parameters have dotted names.
+    """
+    if "sample" in spec:
+        if spec["sample"] in within:
+            raise ValueError(f"{spec['sample']} refers to itself")
+        return settings(priors[spec["sample"]], priors, (*within, spec["sample"]))
+    if spec["type"] == "parameters":
+        found = [(1.0, {})]
+        for name, child in spec["parameters"].items():
+            inner = settings(child, priors, within)
+            found = [(w * v, s | {f"{name}.{p}" if p else name: leaf for p, leaf in t.items()}) for w, s in found for v, t in inner]
+        return found
+    if spec["type"] in ("mixture", "joint"):
+        total = sum(float(c.get("weight", 1.0)) for c in spec["components"])
+        part = lambda c: c.get("distribution") or c.get("model") or {"type": "parameters", "parameters": c["parameters"]}
+        return [(float(c.get("weight", 1.0)) / total * w, s) for c in spec["components"] for w, s in settings(part(c), priors, within)]
+    return [(1.0, {"": spec})]
+
+
+def distribution_tree(tree: Mapping, path: str = "") -> dict[str, Mapping]:
+    """Dotted path: distribution, of a tree whose leaves are distributions."""
+    if "type" in tree or "values" in tree or "sample" in tree:
+        return {path: tree}
+    return {p: leaf for name, child in tree.items() for p, leaf in distribution_tree(child, f"{path}.{name}" if path else name).items()}
+
+
 def component_table(spark: SparkSession, priors: Mapping[str, Mapping]) -> DataFrame:
-    """The leaves of all priors. Equal categories of a prior are merged. The table only grows with the configuration."""
+    """The leaves of all priors; several parameters of one are marginals of their own, called prior.parameter. Equal categories of a
+    prior are merged. The table only grows with the configuration."""
     rows = []
     for name, spec in priors.items():
-        merged: dict = {}
-        for k, leaf in enumerate(leaves(spec)):
-            key = leaf.get("value", k)
-            merged[key] = leaf if key not in merged else merged[key] | {"weight": merged[key]["weight"] + leaf["weight"]}
-        rows += [tuple({"prior": name, "component": k, **leaf}.get(f) for f in FIELDS) for k, leaf in enumerate(merged.values())]
+        marginals: dict[str, list[dict]] = {}
+        for weight, setting in settings(spec, priors):
+            for parameter, leaf in setting.items():
+                marginals.setdefault(f"{name}.{parameter}" if parameter else name, []).extend(leaves(leaf, weight))
+        for full, parts in marginals.items():
+            merged: dict = {}
+            for k, leaf in enumerate(parts):
+                key = leaf.get("value", k)
+                merged[key] = leaf if key not in merged else merged[key] | {"weight": merged[key]["weight"] + leaf["weight"]}
+            rows += [tuple({"prior": full, "component": k, **leaf}.get(f) for f in FIELDS) for k, leaf in enumerate(merged.values())]
     rows = [tuple(float(x) if isinstance(x, int) and not isinstance(x, bool) and f not in ("component",) else x for f, x in zip(FIELDS, r)) for r in rows]
     return spark.createDataFrame(rows, SCHEMA)
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
-    return np.fromiter((math.erf(v) for v in x), float, len(x))
+    return np.frompyfunc(math.erf, 1, 1)(x).astype(float)
 
 
 def _beta_fraction(x: float, a: float, b: float) -> float:
@@ -86,12 +122,21 @@ def _beta_fraction(x: float, a: float, b: float) -> float:
     return front * out
 
 
+def _truncated(x: np.ndarray, low: np.ndarray, high: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    """Distribution function of truncated normals."""
+    phi = lambda v: _erf((v - mean) / std / math.sqrt(2))
+    below = phi(low)
+    return (phi(x) - below) / (phi(high) - below)
+
+
 @F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series, low: pd.Series, high: pd.Series, mean: pd.Series, std: pd.Series) -> pd.Series:
     """Truncated normal."""
-    phi = lambda v: _erf(((v - mean) / std / math.sqrt(2)).to_numpy(float))
-    below = phi(low)
-    return pd.Series((phi(x) - below) / (phi(high) - below))
+    return pd.Series(_truncated(*(c.to_numpy(float) for c in (x, low, high, mean, std))))
+
+
+def _beta_fractions(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.frompyfunc(_beta_fraction, 3, 1)(x, a, b).astype(float)
 
 
 @F.pandas_udf(DoubleType())
@@ -103,26 +148,18 @@ def beta_cdf(x: pd.Series, low: pd.Series, high: pd.Series, alpha: pd.Series, be
 @F.pandas_udf(DoubleType())
 def kernel_quantile(family: pd.Series, p: pd.Series, low: pd.Series, high: pd.Series, first: pd.Series, second: pd.Series) -> pd.Series:
     """Quantiles of truncated normal (mean, std) and beta (alpha, beta) in their own space, by bisection of the distribution."""
-    def cdf(kind, x, a, b, u, v):
-        if kind == "beta":
-            return _beta_fraction((x - a) / (b - a), u, v)
-        phi = lambda t: math.erf((t - u) / v / math.sqrt(2))
-        return (phi(x) - phi(a)) / (phi(b) - phi(a))
-
-    out = []
-    for kind, q, a, b, u, v in zip(family, p, low, high, first, second):
-        if kind not in ("normal", "beta") or q != q:
-            out.append(None)
-            continue
-        left, right = a, b
-        for _ in range(80):
+    out = np.full(len(p), np.nan)
+    for kind in ("normal", "beta"):  # all rows of a family are halved together
+        rows = np.flatnonzero((family == kind) & p.notna())
+        q, a, b, u, v = (c.to_numpy(float)[rows] for c in (p, low, high, first, second))
+        left, right = a.copy(), b.copy()
+        for _ in range(80 if len(rows) else 0):
             middle = (left + right) / 2
-            if cdf(kind, middle, a, b, u, v) < q:
-                left = middle
-            else:
-                right = middle
-        out.append((left + right) / 2)
-    return pd.Series(out, dtype=float)
+            cdf = _truncated(middle, a, b, u, v) if kind == "normal" else _beta_fractions((middle - a) / (b - a), u, v)
+            below = cdf < q
+            left, right = np.where(below, middle, left), np.where(below, right, middle)
+        out[rows] = (left + right) / 2
+    return pd.Series(out).where(~np.isnan(out), None).astype("Float64")
 
 
 def _space(c, x: Column) -> tuple[Column, Column, Column]:
@@ -207,14 +244,38 @@ def band_of(value: Column, uppers: Sequence[float], direction: str = "ascending"
     return F.struct(band.alias("band"), (measured >= uppers[-1]).alias("overflow"), (1.0 - centre if direction == "descending" else centre).alias("intensity"))
 
 
+def labelled_band(value: Column, label: Column, uppers: Sequence[float], direction: str = "ascending", of_labels: Mapping[str, tuple[Sequence[float], str]] = {}) -> Column:
+    """band_of, with edges and a direction of their own for some labels."""
+    found = band_of(value, uppers, direction)
+    for name, (own, own_direction) in of_labels.items():
+        found = F.when(label == name, band_of(value, own, own_direction)).otherwise(found)
+    return found
+
+
+def mixture_quantiles(components: DataFrame, probabilities: Sequence[float], grid: int = 1024) -> DataFrame:
+    """prior, p, value: quantiles of continuous mixtures. Every component gives ``grid`` equally likely points; the first of all
+    points at which their mass, summed by value, reaches p is the quantile. Grows with the configuration only."""
+    points = components.where(F.col("family") != DISCRETE).select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k")).withColumn("p", (F.col("k") + 0.5) / grid)
+    pooled = points.select("prior", _quantile(F.col("p")).alias("value"), (F.col("weight") / grid).alias("w"))
+    w = Window.partitionBy("prior")
+    pooled = pooled.withColumn("upto", F.sum("w").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(w))
+    asked = pooled.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p"))
+    return asked.groupBy("prior", "p").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("p"), F.col("value"))), F.max("value")).alias("value"))
+
+
+def _quantile(p: Column) -> Column:
+    """The quantile of any continuous family of a component row."""
+    _, a, b = _space(F.col, F.col("low"))
+    kernel = kernel_quantile("family", p, a, b, F.coalesce("mean", "alpha"), F.coalesce("std", "beta"))
+    return F.when(F.col("family").isin("normal", "beta"), F.when(F.col("scale") == "log", F.exp(kernel)).otherwise(kernel)).otherwise(closed_quantile(p))
+
+
 def enumerate_support(components: DataFrame, count: int = 3) -> DataFrame:
     """prior, component, value_text, value of every declared or typical value: categories, even steps of uniform leaves on their
     scale, the 10th, 50th and 90th percentile of others."""
     steps = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: k.cast("double") / F.lit(float(max(count - 1, 1))))
     points = F.when(F.col("family") == "uniform", steps).when(F.col("family") != DISCRETE, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     continuous = components.where(F.col("family") != DISCRETE).select("*", F.explode(points).alias("p"))
-    _, a, b = _space(F.col, F.col("low"))
-    kernel = kernel_quantile("family", "p", a, b, F.coalesce("mean", "alpha"), F.coalesce("std", "beta"))
-    x = F.when(F.col("family").isin("normal", "beta"), F.when(F.col("scale") == "log", F.exp(kernel)).otherwise(kernel)).otherwise(closed_quantile(F.col("p")))
+    x = _quantile(F.col("p"))
     discrete = components.where(F.col("family") == DISCRETE).select("prior", "component", F.col("value").alias("value_text"), F.col("value").try_cast("double").alias("value"))
     return discrete.unionByName(continuous.select("prior", "component", x.cast("string").alias("value_text"), x.alias("value")))

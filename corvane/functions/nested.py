@@ -71,6 +71,13 @@ def has_path(columns: DataFrame, path: str) -> bool:
     return True
 
 
+def variant_fields(record: Column, paths: Sequence[str]) -> dict[str, tuple[Column, Column]]:
+    """path: (value as text, is it there?) of dotted paths of a variant. A field that is null in the record is there; one that the
+    record lacks isn't, nor is one below a field that is no object."""
+    found = {p: F.try_variant_get(record, "$." + p, "variant") for p in paths}
+    return {p: (F.try_variant_get(record, "$." + p, "string"), v.isNotNull()) for p, v in found.items()}
+
+
 def convert_control(parameters: Column, paths: Sequence[str], transform: str = "identity", factor: float = 1.0, low: float | None = None, high: float | None = None, above: float | None = None) -> Column:
     """struct(value, issue) of a control read from a map under any of its paths.
 

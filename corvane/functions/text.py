@@ -169,6 +169,11 @@ def to_number(text: Column) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 
+def duration(start: Column, end: Column) -> Column:
+    """Seconds between two texts of seconds, to the millisecond; null if either is none."""
+    return F.round(to_number(end) - to_number(start), 3)
+
+
 def parse_bool(text: Column) -> Column:
     """true, 1, yes (any case): true; empty and null: null; else false."""
     return F.when(F.coalesce(text, F.lit("")) != "", F.lower(F.trim(text)).isin("true", "1", "yes"))

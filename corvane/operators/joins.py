@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -118,10 +118,18 @@ def band_coverage(values: DataFrame, keys: Sequence[str], value: str, uppers: Se
     return counts.unionByName(missing)
 
 
+def common_grid(spark: SparkSession, low: float, high: float, n: int, scale: str = "linear") -> DataFrame:
+    """bin, b_lo, b_hi: n bins of equal width, or of equal ratio on a log scale."""
+    edge = lambda k: F.lit(low) * F.pow(F.lit(high / low), k / n) if scale == "log" else F.lit(low) + k * ((high - low) / n)
+    return spark.range(n).select(F.col("id").alias("bin"), edge(F.col("id")).alias("b_lo"), edge(F.col("id") + 1).alias("b_hi"))
+
+
 def redistribute(intervals: DataFrame, bins: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, bin, mass: the mass of intervals (keys, lo, hi, mass) by their overlap with bins (bin, b_lo, b_hi), a fixed grid."""
-    joined = intervals.join(F.broadcast(bins), (F.col("lo") < F.col("b_hi")) & (F.col("b_lo") < F.col("hi")))
-    share = (F.least("hi", "b_hi") - F.greatest("lo", "b_lo")) / (F.col("hi") - F.col("lo"))
+    """keys, bin, mass: the mass of intervals (keys, lo, hi, mass) by their overlap with bins (bin, b_lo, b_hi), a fixed grid. An
+    interval without width gives all to the bin that holds it."""
+    point = F.col("lo") == F.col("hi")
+    joined = intervals.join(F.broadcast(bins), (F.col("lo") < F.col("b_hi")) & (F.col("b_lo") < F.col("hi")) | point & (F.col("b_lo") <= F.col("lo")) & (F.col("lo") < F.col("b_hi")))
+    share = F.when(point, F.lit(1.0)).otherwise((F.least("hi", "b_hi") - F.greatest("lo", "b_lo")) / (F.col("hi") - F.col("lo")))
     return joined.groupBy(*keys, "bin").agg(F.sum(F.col("mass") * share).alias("mass"))
 
 
@@ -202,6 +210,16 @@ def missing_artifacts(manifest: DataFrame, listing: DataFrame, path: str = "outp
     return joined.withColumn("reason", F.when(F.col(path).isNull(), "no_path").when(F.col("_p").isNull(), "missing_file").when(F.col("_l") == 0, "empty_file")).drop("_p", "_l")
 
 
+def cache_status(requests: DataFrame, cache: DataFrame, key: str, version: str) -> DataFrame:
+    """status, n: requests that the cache answers (hit), has under another version (stale), or lacks (miss). Of several entries of a
+    key one of the right version counts."""
+    known = cache.groupBy(F.col(key).alias("_key"), F.col(version).alias("_version")).agg(F.lit(1).alias("_has"))
+    keys = known.groupBy(F.col("_key").alias("_any")).agg(F.lit(1).alias("_old"))
+    joined = requests.join(known, (F.col(key) == F.col("_key")) & (F.col(version) == F.col("_version")), "left").join(keys, F.col(key) == F.col("_any"), "left")
+    status = F.when(F.col("_has").isNotNull(), "hit").when(F.col("_old").isNotNull(), "stale").otherwise("miss")
+    return joined.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def overlay(rows: DataFrame, over: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """rows whose columns are replaced by those of ``over`` where these aren't null."""
     top = over.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in columns])

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,10 @@ def _is_list(frame: DataFrame, path: str) -> bool:
     return isinstance(frame.select(F.col(path)).schema[0].dataType, T.ArrayType)
 
 
+def _same(wanted, x: Column) -> Column:
+    return x.eqNullSafe(F.lit(wanted))
+
+
 def paths(condition: Mapping | None) -> list[str]:
     """All paths that a condition reads."""
     found: list[str] = []
@@ -30,11 +34,12 @@ def paths(condition: Mapping | None) -> list[str]:
     return found
 
 
-def condition_column(frame: DataFrame, condition: Mapping | None, strict: bool = True) -> Column:
+def condition_column(frame: DataFrame, condition: Mapping | None, strict: bool = True, fields: Mapping[str, tuple[Column, Column]] = {}) -> Column:
     """A two-valued column for a nested condition: eq neq gt gte lt lte, all any not, exists in contains_any contains_all.
 
-    No condition is true. A null leaf is absent, and what is absent is false, before any not. With strict a path that the frame
-    lacks stops, as a rule on it could never fire; else it counts as absent.
+    No condition is true. What is absent is false, before any not. With strict a path that the frame lacks stops, as a rule on it
+    could never fire; else it counts as absent. A null leaf is absent, except for the paths of ``fields``, which give their values
+    and whether they are there: one that is there may be null, equals null, differs from all else and exists.
     """
     if not condition:
         return F.lit(True)
@@ -42,28 +47,31 @@ def condition_column(frame: DataFrame, condition: Mapping | None, strict: bool =
     if more:
         raise ValueError("a condition has one key")
     if key in ("all", "any"):
-        parts = [condition_column(frame, c, strict) for c in spec]
+        parts = [condition_column(frame, c, strict, fields) for c in spec]
         return reduce((lambda a, b: a & b) if key == "all" else (lambda a, b: a | b), parts, F.lit(key == "all"))
     if key == "not":
-        return ~condition_column(frame, spec, strict)
+        return ~condition_column(frame, spec, strict, fields)
     path = spec["path"]
-    if not has_path(frame, path):
-        if strict:
-            raise ValueError(f"no such path: {path}")
+    if path in fields:
+        value, there = fields[path]
+    elif has_path(frame, path):
+        value, there = F.col(path), F.col(path).isNotNull()
+    elif strict:
+        raise ValueError(f"no such path: {path}")
+    else:
         return F.lit(False)
-    value = F.col(path)
     if key == "exists":
-        return value.isNotNull()
+        return there
     if key in ("contains_any", "contains_all"):
-        held = value if _is_list(frame, path) else F.array(value)
-        wanted = [F.coalesce(F.array_contains(held, v), F.lit(False)) for v in spec["values"]]
-        return reduce((lambda a, b: a | b) if key == "contains_any" else (lambda a, b: a & b), wanted, F.lit(key == "contains_all")) & value.isNotNull()
+        held = value if path not in fields and _is_list(frame, path) else F.array(value)
+        wanted = [F.exists(held, partial(_same, v)) for v in spec["values"]]
+        return F.coalesce(reduce((lambda a, b: a | b) if key == "contains_any" else (lambda a, b: a & b), wanted, F.lit(key == "contains_all")), F.lit(False)) & there
     if key == "in":
-        return F.coalesce(value.isin(*spec["values"]), F.lit(False)) if spec["values"] else F.lit(False)
+        return reduce(lambda a, b: a | b, [value.eqNullSafe(F.lit(v)) for v in spec["values"]], F.lit(False)) & there
     if key == "eq":
-        return F.coalesce(value == F.lit(spec["value"]), F.lit(False))
+        return value.eqNullSafe(F.lit(spec["value"])) & there
     if key == "neq":
-        return F.coalesce(value != F.lit(spec["value"]), F.lit(False))
+        return ~value.eqNullSafe(F.lit(spec["value"])) & there
     if key in ORDERINGS:
         return F.coalesce(ORDERINGS[key](value, F.lit(spec["value"])), F.lit(False))
     raise ValueError(f"unknown condition: {key}")
@@ -119,15 +127,34 @@ def reject_whole(rows: DataFrame, bad: DataFrame, keys: Sequence[str]) -> DataFr
     return rows.join(bad.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def chain_violations(steps: DataFrame, registry: DataFrame, order: Sequence[str], keys: Sequence[str] = ("plan_id",)) -> DataFrame:
-    """keys, step, problem of steps (keys, step, operator): operators that the registry (operator, tags) lacks, and steps whose least
-    tag rank in ``order`` is under that of an earlier step; steps without a ranked tag are passed over."""
+def operator_registry(spark: SparkSession, specs: Mapping[str, Mapping]) -> DataFrame:
+    """operator (a name or alias), name, tags, params of operators {name: {aliases, tags, params}}, one row for each way to call
+    one. A name or alias that two have is an error, and so is a registry without any. Only as large as the configuration."""
+    rows, seen = [], {}
+    for name, spec in specs.items():
+        for alias in dict.fromkeys((name, *spec.get("aliases", ()))):
+            if seen.setdefault(alias, name) != name:
+                raise ValueError(f"{seen[alias]} and {name} are both called {alias}")
+            rows.append((alias, name, list(spec.get("tags", ())), list(spec.get("params", ()))))
+    if not rows:
+        raise ValueError("the registry has no operator")
+    return spark.createDataFrame(rows, "operator string, name string, tags array<string>, params array<string>")
+
+
+def chain_violations(steps: DataFrame, registry: DataFrame, order: Sequence[str], keys: Sequence[str] = ("plan_id",), parameters: str | None = None) -> DataFrame:
+    """keys, step, problem of steps (keys, step, operator): operators that the registry (operator, tags, params) lacks, parameters (an
+    array column, if named) that the operator doesn't have, and steps whose least tag rank in ``order`` is under that of an earlier
+    step. Steps without a ranked tag are passed over; step is a number, and steps of one number are not earlier than each other."""
     ranks = F.array(*map(F.lit, order))
-    known = steps.join(registry.select("operator", "tags"), "operator", "left")
+    known = steps.join(registry, "operator", "left")
     rank = F.array_min(F.filter(F.transform("tags", lambda t: F.array_position(ranks, t)), lambda r: r > 0))
     known = known.withColumn("rank", rank)
-    before = F.max("rank").over(Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
-    problem = F.when(F.col("tags").isNull(), "unknown operator").when(F.col("rank") < before, "out of order")
+    before = F.max("rank").over(Window.partitionBy(*keys).orderBy("step").rangeBetween(Window.unboundedPreceding, -1))
+    problem = F.when(F.col("tags").isNull(), "unknown operator")
+    if parameters:
+        unknown = F.array_except(F.coalesce(parameters, F.array().cast("array<string>")), "params")
+        problem = problem.when(F.size(unknown) > 0, F.concat(F.lit("unknown parameter: "), F.array_join(F.sort_array(unknown), ", ")))
+    problem = problem.when(F.col("rank") < before, "out of order")
     return known.withColumn("problem", problem).where("problem is not null").select(*keys, "step", "problem")
 
 

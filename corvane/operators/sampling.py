@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist as D
 from ..functions.text import stable_noise
+from .rank import counts_below
 
 
 def weighted_choice(u: Column, weights: Mapping[str, float]) -> Column:
@@ -44,6 +45,52 @@ def drawn(rows: DataFrame, components: DataFrame, keys: Sequence[str], seed: str
     return joined.select(*[F.col(n) for n in rows.columns], c("component").alias("component"), text.alias("value_text"), value.alias("value"))
 
 
+def setting_table(spark: SparkSession, priors: Mapping[str, Mapping]) -> tuple[DataFrame, DataFrame]:
+    """(options, components): options (prior, option, from, to, parameters: array of parameter and leaf) of all priors, whose leaves,
+    called prior#option.parameter, are the priors of components. As large as the configuration."""
+    options, leaves = [], {}
+    for prior, spec in priors.items():
+        done = 0.0
+        for k, (weight, setting) in enumerate(D.settings(spec, priors)):
+            names = {p: f"{prior}#{k}.{p}" for p in setting}
+            leaves |= {names[p]: leaf for p, leaf in setting.items()}
+            options.append((prior, k, done, done + weight, list(names.items())))
+            done += weight
+        options[-1] = (*options[-1][:3], 1.0, options[-1][4])
+    schema = "prior string, option int, from double, to double, parameters array<struct<parameter: string, leaf: string>>"
+    return spark.createDataFrame(options, schema), D.component_table(spark, leaves)
+
+
+def drawn_settings(rows: DataFrame, options: DataFrame, components: DataFrame, keys: Sequence[str], seed: str, prior: str = "prior") -> DataFrame:
+    """keys, prior, option, parameter, value_text, value: one option of each row's prior by weight, then each of its parameters. All
+    parameters of a row come from one option; within it they are drawn apart. rows are unique in keys and prior."""
+    named = options.select(F.col("prior").alias("_prior"), "option", "from", "to", "parameters")
+    u = stable_noise(F.lit(seed), F.lit("option"), *map(F.col, keys), F.col(prior))
+    chosen = rows.select(*keys, F.col(prior).alias("prior"), u.alias("_u")).join(F.broadcast(named), (F.col("prior") == F.col("_prior")) & (F.col("_u") >= F.col("from")) & (F.col("_u") < F.col("to")))
+    spread = chosen.select(*keys, "prior", "option", F.inline("parameters"))
+    return drawn(spread, components, [*keys, "parameter"], seed, "leaf").select(*keys, "prior", "option", "parameter", "value_text", "value")
+
+
+def sampler_check(draws: DataFrame, components: DataFrame, limit: float = 0.025) -> DataFrame:
+    """prior, n, outside, distance, fits of draws (prior, value_text, value): the Kolmogorov-Smirnov distance of a continuous prior,
+    the total variation of a discrete one, and whether that is under the limit with nothing outside the support.
+
+    Distances come from counts by distinct value, ranked in ordered ranges, never in one task.
+    """
+    families = components.groupBy("prior").agg(F.max(F.col("family") == D.DISCRETE).alias("discrete"))
+    total = draws.groupBy("prior").agg(F.count(F.lit(1)).alias("n"))
+    texts = draws.join(families.where("discrete"), "prior").groupBy("prior", F.col("value_text").alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    both = texts.join(components.where(F.col("family") == D.DISCRETE).select("prior", "value", "weight"), ["prior", "value"], "full_outer").join(total, "prior")
+    discrete = both.groupBy("prior").agg(F.first("n").alias("n"), F.coalesce(F.sum(F.when(F.col("weight").isNull(), F.col("c"))), F.lit(0)).alias("outside"), (F.sum(F.abs(F.coalesce("c", F.lit(0)) / F.col("n") - F.coalesce("weight", F.lit(0.0)))) / 2).alias("distance"))
+    values = draws.join(families.where("not discrete"), "prior").select("prior", "value")
+    below = counts_below(values, "value", ["prior"]).select("prior", F.col("value").alias("at"), "below", F.col("n").alias("same"), F.col("total").alias("n"))
+    inside = D.mixture_cdf(below, components, ["at", "below", "same", "n"], value="at")
+    ranged = components.where(F.col("family") != D.DISCRETE).groupBy("prior").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    gap = F.greatest(F.abs(F.col("below") / F.col("n") - F.col("cdf")), F.abs((F.col("below") + F.col("same")) / F.col("n") - F.col("cdf")))
+    continuous = inside.join(ranged, "prior").groupBy("prior").agg(F.first("n").alias("n"), F.coalesce(F.sum(F.when(~F.col("value").between(F.col("low"), F.col("high")), F.col("same"))), F.lit(0)).alias("outside"), F.max(gap).alias("distance"))
+    return discrete.unionByName(continuous).withColumn("fits", (F.col("outside") == 0) & (F.col("distance") < limit))
+
+
 def first_valid(rows: DataFrame, keys: Sequence[str], n: int, valid, attempts: int = 20) -> DataFrame:
     """The first n of attempts * n numbered attempts of each row for which ``valid`` (a function of the frame with attempt, giving
     the frame with a column ok) holds."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUANTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
@@ -36,13 +36,13 @@ def parameter_summary(rows: DataFrame, keys: Sequence[str], value: str, distinct
 def summary_by_condition(rows: DataFrame, source: str, conditions: Sequence[str], value: str) -> DataFrame:
     """source, condition, condition_value, n, mean under all rows and by each condition, each with its own denominator; rows whose
     condition is null only count under all."""
-    grouping = ", ".join(["(" + source + ")", *[f"({source}, {c})" for c in conditions]])
-    name = rows.sparkSession.sql
-    rows.createOrReplaceTempView("_conditioned")
-    which = " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in conditions)
-    of = "coalesce(" + ", ".join(f"CASE WHEN grouping({c}) = 0 THEN cast({c} AS string) END" for c in conditions) + ")"
-    found = name(f"SELECT {source}, CASE {which} ELSE 'all' END AS condition, CASE WHEN {' AND '.join(f'grouping({c}) = 1' for c in conditions)} THEN 'all' ELSE {of} END AS condition_value, count(*) AS n, avg({value}) AS mean FROM _conditioned GROUP BY GROUPING SETS ({grouping})")
-    return found.where("condition_value is not null")
+    sets = [[F.col(source)], *[[F.col(source), F.col(c)] for c in conditions]]
+    by = lambda c: F.grouping(c) == 0
+    which, of = F.lit("all"), F.lit("all")
+    for c in reversed(conditions):
+        which, of = F.when(by(c), c).otherwise(which), F.when(by(c), F.col(c).cast("string")).otherwise(of)
+    found = rows.groupingSets(sets, source, *conditions).agg(which.alias("condition"), of.alias("condition_value"), F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    return found.where("condition_value is not null").select(source, "condition", "condition_value", "n", "mean")
 
 
 def presence(records: DataFrame, items: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -173,6 +173,36 @@ def complete_settings(rows: DataFrame, keys: Sequence[str], parameter: str, valu
     return wide.na.drop(subset=list(names))
 
 
+def sign_partition(rows: DataFrame, control: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, side, n, mean: settings that cut (below zero), boost (above it) or leave a control as it is. A null is on no side."""
+    side = F.when(F.col(control) < 0, "cut").when(F.col(control) > 0, "boost").when(F.col(control) == 0, "flat")
+    return rows.where(side.isNotNull()).groupBy(*keys, side.alias("side")).agg(F.count(F.lit(1)).alias("n"), F.avg(control).alias("mean"))
+
+
+def parameter_histogram(rows: DataFrame) -> DataFrame:
+    """operator, parameter, value, n of rows of parameters; values that are no numbers count under null."""
+    return rows.groupBy("operator", "parameter", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def weighted_ecdf(rows: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
+    """keys, value, ecdf: the share of the weight at or below each distinct value. Weights are summed by value first."""
+    masses = rows.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return masses.select(*keys, value, (upto / F.sum("_w").over(w)).alias("ecdf"))
+
+
+def bin_of(value: Column, low: float, high: float, n: int, scale: str = "linear") -> Column:
+    """The bin of n equal ones on a linear or logarithmic scale; the upper edge is in the last, what is outside in none."""
+    at = (F.ln(value) - F.ln(F.lit(low))) / (F.ln(F.lit(high)) - F.ln(F.lit(low))) if scale == "log" else (value - low) / (high - low)
+    return F.when(value.between(low, high), F.least(F.floor(at * n), F.lit(n - 1)).cast("int"))
+
+
+def weighted_histogram(rows: DataFrame, keys: Sequence[str], value: str, weight: str, low: float, high: float, n: int, scale: str = "linear") -> DataFrame:
+    """keys, bin, mass: weights by bin_of their value."""
+    return rows.withColumn("bin", bin_of(F.col(value), low, high, n, scale)).where("bin is not null").groupBy(*keys, "bin").agg(F.sum(weight).alias("mass"))
+
+
 def weighted_moments(rows: DataFrame, keys: Sequence[str], x: str, y: str, weight: str) -> DataFrame:
     """keys, mean_x, mean_y, covariance, pearson under weights."""
     w = F.col(weight)
@@ -202,13 +232,14 @@ def row_provenance(rows: DataFrame, asset: str, index: str) -> DataFrame:
 
 
 def translation_report(rows: DataFrame, chain: str, required: Mapping[str, Sequence[str]], operator: str, present: str) -> DataFrame:
-    """chain, mapped, unmapped, missing, projectable: a chain can be projected if every instance (operator null: unmapped) has the
-    controls that its operator requires (present: an array)."""
+    """chain, mapped, unmapped, missing, omitted, projectable: a chain can be projected if every instance (operator null: unmapped)
+    has the controls that its operator requires (present: an array); those that it has beyond them are omitted."""
     needs = F.create_map(*[x for o, r in required.items() for x in (F.lit(o), F.array(*map(F.lit, r)).cast("array<string>"))])
-    lack = F.when(F.col(operator).isNotNull(), F.array_except(F.coalesce(needs[F.col(operator)], F.array().cast("array<string>")), F.col(present)))
-    marked = rows.withColumn("_lack", lack)
+    of, mapped = F.coalesce(needs[F.col(operator)], F.array().cast("array<string>")), F.col(operator).isNotNull()
+    marked = rows.withColumn("_lack", F.when(mapped, F.array_except(of, F.col(present)))).withColumn("_more", F.when(mapped, F.array_except(F.col(present), of)))
     return marked.groupBy(chain).agg(
-        F.count(operator).alias("mapped"), F.count_if(F.col(operator).isNull()).alias("unmapped"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("_lack")))).alias("missing"),
+        F.count(operator).alias("mapped"), F.count_if(F.col(operator).isNull()).alias("unmapped"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("_lack")))).alias("missing"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("_more")))).alias("omitted"),
         F.bool_and(F.coalesce(F.size("_lack") == 0, F.lit(False))).alias("projectable"),
     )
 
@@ -259,6 +290,11 @@ def independent_joint(rates: DataFrame, n_names: int) -> DataFrame:
     return rows.groupBy("mask").agg(F.product(part).alias("p"))
 
 
+def uniform_joint(spark: SparkSession, n_names: int) -> DataFrame:
+    """mask, p: all sets of names alike."""
+    return spark.range(1 << n_names).select(F.col("id").cast("int").alias("mask"), F.lit(1.0 / (1 << n_names)).alias("p"))
+
+
 def smoothed_joint(counts: DataFrame, n_names: int, add: float = 1.0) -> DataFrame:
     """mask, p of observed counts (mask, n) with ``add`` on every set."""
     masks = counts.sparkSession.range(1 << n_names).select(F.col("id").cast("int").alias("mask"))

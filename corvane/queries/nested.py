@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nested as N
 from ..operators import rules as R
+from ..operators import stats as S
 from ..registry import register
 
 
@@ -205,7 +206,7 @@ def whole_order_rejection(spark, sf_dir):
 
 @register("chain_order", """
 WITH r AS (SELECT l_orderkey AS plan_id, l_linenumber * 1000000 + l_partkey AS step, l_returnflag AS operator, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 END AS rank FROM lineitem),
-w AS (SELECT *, max(rank) OVER (PARTITION BY plan_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT * FROM r))
+w AS (SELECT *, max(rank) OVER (PARTITION BY plan_id ORDER BY step RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT * FROM r))
 SELECT problem, count(*) AS n FROM (SELECT CASE WHEN operator = 'N' THEN 'unknown operator' WHEN rank < before THEN 'out of order' END AS problem FROM w) WHERE problem IS NOT NULL GROUP BY 1
 """)
 def chain_order(spark, sf_dir):
@@ -215,6 +216,64 @@ def chain_order(spark, sf_dir):
     return R.chain_violations(steps, registry, ["eq", "dynamics"]).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("operator_registry", """
+WITH s AS (
+  SELECT l_orderkey AS plan_id, l_linenumber AS step, CASE l_returnflag WHEN 'A' THEN 'trim' WHEN 'R' THEN 'press' END AS name, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 END AS rank,
+    CASE WHEN l_tax > 0.06 THEN 'speed' END AS extra FROM lineitem),
+w AS (SELECT *, max(rank) OVER (PARTITION BY plan_id ORDER BY step RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+SELECT plan_id, step, CASE WHEN name IS NULL THEN 'unknown operator' WHEN name = 'press' AND extra = 'speed' THEN 'unknown parameter: speed' WHEN rank < before THEN 'out of order' END AS problem
+FROM w WHERE name IS NULL OR (name = 'press' AND extra = 'speed') OR rank < before
+""")
+def operator_registry(spark, sf_dir):
+    """Steps under aliases, with parameters that not every operator has."""
+    registry = R.operator_registry(spark, {"trim": {"aliases": ["A"], "tags": ["eq", "odd"], "params": ["amount", "speed"]}, "press": {"aliases": ["R"], "tags": ["level", "dynamics"], "params": ["amount"]}})
+    given = F.array_compact(F.array(F.lit("amount"), F.when(F.col("l_tax") > 0.06, "speed")))
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("step"), F.col("l_returnflag").alias("operator"), given.alias("given"))
+    return R.chain_violations(steps, registry, ["eq", "dynamics"], parameters="given")
+
+
+@register("null_conditions", """
+WITH o AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN o_orderpriority END AS b, o_orderkey % 3 <> 1 AS there FROM orders)
+SELECT o_orderkey, list_filter([CASE WHEN there THEN 'exists' END, CASE WHEN there AND b IS NULL THEN 'is null' END, CASE WHEN there AND b IS DISTINCT FROM '1-URGENT' THEN 'not urgent' END,
+  CASE WHEN there AND (b IS NULL OR b = '2-HIGH') THEN 'null or high' END, CASE WHEN NOT (there AND b IS NULL) THEN 'anything else' END, CASE WHEN there AND b IS NULL THEN 'holds null' END,
+  CASE WHEN there AND b > '3' THEN 'late' END], lambda x: x IS NOT NULL) AS fired FROM o
+""")
+def null_conditions(spark, sf_dir):
+    """A field that is null, and one that isn't there."""
+    kind = F.col("o_orderkey") % 3
+    text = F.when(kind == 0, F.lit('{"a": {"b": null}}')).when(kind == 1, F.lit('{"a": {}}')).otherwise(F.concat(F.lit('{"a": {"b": "'), "o_orderpriority", F.lit('"}}')))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(text).alias("record"))
+    b, fields = "a.b", N.variant_fields(F.col("record"), ["a.b"])
+    null = {"eq": {"path": b, "value": None}}
+    rules = {
+        "exists": {"exists": {"path": b}}, "is null": null, "not urgent": {"neq": {"path": b, "value": "1-URGENT"}}, "null or high": {"in": {"path": b, "values": [None, "2-HIGH"]}},
+        "anything else": {"not": null}, "holds null": {"contains_any": {"path": b, "values": [None]}}, "late": {"gt": {"path": b, "value": "3"}},
+    }
+    fired = F.array_compact(F.array(*[F.when(R.condition_column(rows, c, fields=fields), F.lit(n)) for n, c in rules.items()]))
+    return rows.select("o_orderkey", fired.alias("fired"))
+
+
+@register("trigger_gates", """
+SELECT c_custkey, fired, CASE WHEN len(fired) = 0 THEN 'plausible' WHEN c_custkey % 3 = 0 THEN 'unclear' END AS verdict FROM (
+  SELECT c_custkey, list_filter([CASE WHEN c_acctbal > 5000 THEN 'rich' END, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'machines' END], lambda x: x IS NOT NULL) AS fired FROM customer)
+""")
+def trigger_gates(spark, sf_dir):
+    """What fires, and the verdict where no judge is needed."""
+    rows = table(spark, sf_dir, "customer").withColumn("caption", F.when(F.col("c_custkey") % 3 > 0, F.col("c_name")))
+    gate = R.trigger_gate(rows, {"rich": {"gt": {"path": "c_acctbal", "value": 5000}}, "machines": {"eq": {"path": "c_mktsegment", "value": "MACHINERY"}}}, "caption")
+    return rows.select("c_custkey", gate["fired"].alias("fired"), gate["verdict"].alias("verdict"))
+
+
+@register("parameter_histogram", f"""
+WITH {PARAMETERS}
+SELECT operator, parameter, value, count(*) AS n FROM parameters WHERE parameter = 'quantity' OR parameter = 'discount' GROUP BY 1, 2, 3
+""")
+def parameter_histogram(spark, sf_dir):
+    """How often each value of a parameter is set."""
+    rows = N.flatten_graph(plans(spark, sf_dir)).where(F.col("parameter").isin("quantity", "discount"))
+    return S.parameter_histogram(rows)
+
+
 @register("chain_budget", """
 WITH t AS (
   SELECT l_orderkey AS plan_id, count(DISTINCT l_linenumber) AS n, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity - 25 ELSE 0 END) AS gain, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS r,

@@ -303,10 +303,10 @@ FROM (SELECT *, least(floor((l_quantity - 1) / 49.0 * 8), 7)::INT AS b FROM line
 """)
 def weighted_ecdf(spark, sf_dir):
     """Weighted distribution on distinct values, and bins."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_quantity").agg(F.sum(F.col("l_tax") * 100).alias("w"))
-    part = Window.partitionBy("l_returnflag")
-    upper = F.sum("w").over(part.orderBy("l_quantity")) / F.sum("w").over(part) > 0.5
-    return rows.select("l_returnflag", "l_quantity", upper.alias("upper"), F.least(F.floor((F.col("l_quantity") - 1) / 49.0 * 8), F.lit(7)).cast("int").alias("bin"))
+    from ..operators import stats as S
+
+    found = S.weighted_ecdf(table(spark, sf_dir, "lineitem").withColumn("w", F.col("l_tax") * 100), ["l_returnflag"], "l_quantity", "w")
+    return found.select("l_returnflag", "l_quantity", (F.col("ecdf") > 0.5).alias("upper"), S.bin_of(F.col("l_quantity"), 1.0, 50.0, 8).alias("bin"))
 
 
 @register("weighted_choices", f"""

@@ -262,8 +262,9 @@ def row_provenance(spark, sf_dir):
 
 
 @register("translation_report", """
-WITH i AS (SELECT l_orderkey, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS op, CASE WHEN l_returnflag = 'A' AND l_discount < 0.05 THEN 'discount' END AS lack FROM lineitem)
-SELECT l_orderkey, count(op) AS mapped, count(*) FILTER (WHERE op IS NULL) AS unmapped, CASE WHEN count(lack) > 0 THEN ['discount'] ELSE [] END AS missing, bool_and(op IS NOT NULL AND lack IS NULL) AS projectable FROM i GROUP BY 1
+WITH i AS (SELECT l_orderkey, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS op, CASE WHEN l_returnflag = 'A' AND l_discount < 0.05 THEN 'discount' END AS lack, l_discount FROM lineitem)
+SELECT l_orderkey, count(op) AS mapped, count(*) FILTER (WHERE op IS NULL) AS unmapped, CASE WHEN count(lack) > 0 THEN ['discount'] ELSE [] END AS missing,
+  list_filter([CASE WHEN bool_or(op = 'R' AND l_discount >= 0.05) THEN 'discount' END, CASE WHEN bool_or(op = 'R') THEN 'quantity' END], lambda x: x IS NOT NULL) AS omitted, bool_and(op IS NOT NULL AND lack IS NULL) AS projectable FROM i GROUP BY 1
 """)
 def translation_report(spark, sf_dir):
     """Which chains can be carried over whole."""

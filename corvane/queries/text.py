@@ -15,12 +15,12 @@ def docs(spark, sf_dir, *columns):
 @register("token_counts", r"""
 SELECT lang, token, count(*) AS n FROM (
   SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)
-GROUP BY lang, token HAVING count(*) >= 20
+GROUP BY lang, token
 """)
 def token_counts(spark, sf_dir):
     """Counts of tokens by language."""
     tokens = docs(spark, sf_dir, "lang", "text").select("lang", F.explode(T.tokenize(F.col("text"))).alias("token"))
-    return tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    return tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("prefixed_tags", """
