@@ -8,14 +8,15 @@ batches folded into it, so one that arrives late, below the newest, still counts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .bpe import loaded
-from .common import shared_dir, table, written
+from .common import quoted, shared_dir, table, written
 from .mixing import word_count
 
 KEYS = ("source", "lang", "tokenizer")
@@ -97,18 +98,20 @@ class RollupStore:
             self.spark.createDataFrame(list(zip(firsts, lasts)), "first long, last long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/folded/{base:012d}")
 
 
-def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """docs with the number of tokens of the whole text in the place of the text; a null text has none."""
-    kept = [c for c in docs.columns if c not in (text, out)]
+def token_counts(docs: DataFrame, tokenizer: str, counts: Mapping[str, str] = {"text": "n_tokens"}) -> DataFrame:
+    """docs with the number of tokens of each of some whole texts (counts: text column to the name of its number) in the place of
+    these texts; a null text has none. One encoder in a task serves them all."""
+    kept = [c for c in docs.columns if c not in {*counts, *counts.values()}]
+    rows = docs.select(*[F.col(quoted(c)) for c in kept], *[F.col(quoted(t)).cast("string") for t in counts])
+    schema = StructType([*rows.schema.fields[: len(kept)], *[StructField(n, LongType()) for n in counts.values()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
         for batch in batches:
-            counts = [len(x) // bpe.dtype.itemsize for x in bpe.encode_many(batch.column(len(kept)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*kept, out])
+            found = [[len(x) // bpe.dtype.itemsize for x in bpe.encode_many(c.to_pylist())] for c in batch.columns[len(kept) :]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *[pa.array(n, pa.int64()) for n in found]], names=schema.names)
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text"))
-    return rows.mapInArrow(run, rows.drop("_text").withColumn(out, F.lit(0).cast("long")).schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +125,7 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", "lang", word_count(F.col("text")).alias("words"), F.col("text"), now.alias("now"))
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = docs.select("source", "lang", "words", "text", "now", word_count(F.col("now")).alias("words_now"), F.col("now").isNotNull().alias("revised"))
-    counted = written(token_counts(token_counts(docs, path, out="tokens"), path, text="now", out="tokens_now"), shared_dir(spark))
+    counted = written(token_counts(docs, path, {"text": "tokens", "now": "tokens_now"}), shared_dir(spark))
     sides = F.array(*[F.struct(F.lit(name).alias("tokenizer"), F.col(n).alias("old"), F.when(F.col("revised"), F.col(f"{n}_now")).otherwise(F.col(n)).alias("new")) for name, n in (("words-1", "words"), ("byte_bpe_50k", "tokens"))])
     short = F.when(F.col("revised"), F.col("words_now")).otherwise(F.col("words")) < SHORT
     both = counted.select("source", "lang", "revised", short.alias("short"), F.explode(sides).alias("x")).select("source", "lang", "revised", "short", "x.tokenizer", "x.old", "x.new")
