@@ -2,23 +2,26 @@
 
 Vectors are centred, normalised and rotated at random; the signs of the rotated components, packed into bits, are the code. With two
 scalars for each vector the bits give an unbiased estimate of an inner product and a bound of its error. A query only computes exact
-distances to vectors whose lower bound is not above the k-th smallest upper bound. Every vector is coded and looked at; blocks of
-queries meet blocks of vectors, and the best of each block are merged.
+distances to vectors whose lower bound is not above a limit: the k-th smallest distance measured so far. Every vector is coded and
+looked at; chunks of queries meet chunks of vectors, block by block, and the best of each chunk are merged. A chunk is as large as a
+task can hold, since the bytes shuffled are queries times vectors, divided by the size of a chunk. Originals travel with their chunk:
+in few dimensions one-bit bounds leave most vectors to be measured, and a later join would carry a row for each of these pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import table
 
-#: Vectors and queries in a block, the seed of the rotation, and the error bound in standard deviations of the estimate.
-BLOCK, QUERY_BLOCK, SEED, DEVIATIONS = 4096, 1024, 7, 4.0
+#: Vectors that are coded together, the seed of the rotation, and the error bound in standard deviations of the estimate.
+BLOCK, SEED, DEVIATIONS = 4096, 7, 4.0
+#: Bytes of the vectors, as doubles, in a chunk of vectors and in a chunk of queries.
+CHUNK = 1 << 24
 #: Pairs of vectors that are gathered at once for exact distances.
 PAIRS = 1 << 13
 
@@ -70,11 +73,11 @@ def exact_distances(a: np.ndarray, of: np.ndarray, b: np.ndarray, at: np.ndarray
     return out
 
 
-def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, deviations: float) -> pd.DataFrame:
-    """The k nearest vectors of one block to each query, its own id left out.
+def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, deviations: float, limits: np.ndarray) -> pd.DataFrame:
+    """Those of one block's vectors that may be among the k nearest to each query, its own id left out; at most k for a query.
 
     The k vectors of the least upper bounds are measured first; the largest of their distances is the limit that lower bounds of
-    others are held against.
+    others are held against. ``limits`` has each query's squared limit from blocks before; smaller ones are written into it.
     """
     out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
     codes = OneBitCodes(vectors, rotation(vectors.shape[1]))
@@ -86,22 +89,40 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
         first = np.argpartition(high, near - 1, axis=1)[:, :near]
         q = np.repeat(np.arange(len(part)), near)
         score = np.where(own[q, first.reshape(-1)], np.inf, exact_distances(part, q, vectors, first.reshape(-1)))
-        limit = score.reshape(len(part), near).max(axis=1) ** 2 * (1 + 1e-9)
+        limit = limits[at : at + 64]
+        if near == k:
+            np.minimum(limit, score.reshape(len(part), near).max(axis=1) ** 2 * (1 + 1e-9), out=limit)
         q, v = np.nonzero((low <= limit[:, None]) & ~own)
         score = exact_distances(part, q, vectors, v)
         order = np.lexsort((ids[v], score, q))
         q, v, score = q[order], v[order], score[order]
-        best = np.arange(len(q)) - np.searchsorted(q, q) < k
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kth = rank == k - 1
+        limit[q[kth]] = np.minimum(limit[q[kth]], score[kth] ** 2 * (1 + 1e-9))
+        best = (rank < k) & (score**2 <= limit[q])
         out["query_id"].append(query_ids[at + q[best]])
         out["vec_id"].append(ids[v[best]])
         out["score"].append(score[best])
     return pd.DataFrame({c: np.concatenate(x) if x else np.empty(0) for c, x in out.items()})
 
 
+def search_chunk(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, deviations: float) -> pd.DataFrame:
+    """The k nearest of a chunk's vectors to each query, block by block; what earlier blocks measured limits later ones."""
+    limits = np.full(len(queries), np.inf)
+    found = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+    for at in range(0, len(ids), BLOCK):
+        new = search_block(vectors[at : at + BLOCK], ids[at : at + BLOCK], queries, query_ids, k, deviations, limits)
+        found = pd.concat([found, new], ignore_index=True).sort_values(["query_id", "score", "vec_id"], ignore_index=True)
+        found = found[found.groupby("query_id").cumcount() < k]
+    return found
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, vector of the rows that take part: one for each id (the least vector), none null, zero or with a component that is
     null or not finite."""
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
+    of = vectors.schema[vector_col].dataType
+    kept = isinstance(of, ArrayType) and isinstance(of.elementType, FloatType)  # exact as it is, and half as wide
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<float>" if kept else "array<double>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     return rows.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
@@ -110,28 +131,35 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     """query_id, rank (from 1), vec_id, score: the k nearest other vectors of each vector that is_query (a condition on vec_id) picks.
 
     Ties go to the smaller id. Vectors are compared with those of their own length. Fewer candidates give fewer rows. Queries are
-    copied to every block of vectors and vectors to every block of queries, so a task holds one block of each.
+    copied to every chunk of vectors and vectors to every chunk of queries, so a task holds one chunk of each. Chunks are smaller than
+    they may be where that gives every core one.
     """
     rows = usable(vectors, id_col, vector_col).withColumn("dim", F.size("vector"))
     counted = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"))
-    dims = counted.select("dim", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("q") / QUERY_BLOCK)).cast("int").alias("sets"))
+    per_chunk = F.greatest(F.lit(1), F.floor(F.lit(CHUNK) / (8 * F.col("dim"))))
+    spread = F.least(F.lit(vectors.sparkSession.sparkContext.defaultParallelism), F.ceil(F.col("n") / BLOCK))
+    chunks = F.greatest(F.ceil(F.col("n") / per_chunk), spread).cast("int").alias("chunks")
+    dims = counted.where("q > 0").select("dim", chunks, F.ceil(F.col("q") / per_chunk).cast("int").alias("sets"))
     rows = rows.join(dims, "dim").withColumn("h", F.xxhash64("vec_id"))
-    block, of = F.pmod("h", F.col("blocks")).cast("int"), F.pmod(F.xxhash64("h"), F.col("sets")).cast("int")
-    held = rows.withColumn("block", block).withColumn("of", F.explode(F.sequence(F.lit(0), F.col("sets") - 1))).select("dim", "block", "of", "vec_id", "vector").toDF("dim", "block", "of", "vec_id", "vector")
-    asked = rows.where(is_query).withColumn("of", of).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("dim", "block", "of", "vec_id", "vector").toDF("dim", "block", "of", "vec_id", "vector")
+    chunk, of = F.pmod("h", F.col("chunks")).cast("int"), F.pmod(F.xxhash64("h"), F.col("sets")).cast("int")
+    held = rows.withColumn("chunk", chunk).withColumn("of", F.explode(F.sequence(F.lit(0), F.col("sets") - 1))).select("dim", "chunk", "of", "vec_id", "vector").toDF("dim", "chunk", "of", "vec_id", "vector")
+    asked = rows.where(is_query).withColumn("of", of).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("dim", "chunk", "of", "vec_id", "vector").toDF("dim", "chunk", "of", "vec_id", "vector")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return search_block(np.stack(left["vector"].to_list()), left["vec_id"].to_numpy(), np.stack(right["vector"].to_list()), right["vec_id"].to_numpy(), k, deviations)
+        values = [np.stack(side["vector"].to_list()).astype(np.float64) for side in (left, right)]
+        return search_chunk(values[0], left["vec_id"].to_numpy(), values[1], right["vec_id"].to_numpy(), k, deviations)
 
-    keys = ["dim", "block", "of"]
+    keys = ["dim", "chunk", "of"]
     found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest others of each vector whose id is divisible by 100, as ``nearest`` gives them: unusable vectors take no part,
+    repeated ids count once, ties go to the smaller id, and an empty table gives no rows."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 

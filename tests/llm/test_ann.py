@@ -26,8 +26,9 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     rows = [(i, [float(np.float32(x)) for x in centres[i % 9] + 0.3 * rng.standard_normal(24)]) for i in range(600)]
     rows += [(600, None), (601, [0.0] * 24), (602, [None, 1.0]), (603, [float("nan")] * 24), (604, []), (605, [1.0, 2.0]), (700, [1.0, 2.0]), (610, rows[3][1]), (620, rows[3][1]), (20, rows[20][1]), (None, [1.0] * 24), (710, [math.inf] * 24)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("extra", F.lit(1))
-    for block in (64, 4096):
+    for block, chunk in ((64, 1 << 24), (64, 64 * 24 * 8), (4096, 1 << 24)):
         monkeypatch.setattr(ann, "BLOCK", block)
+        monkeypatch.setattr(ann, "CHUNK", chunk)
         found = [tuple(r) for r in ann.nearest(frame, F.col("vec_id") % 10 == 0).collect()]
         want = slow(rows, lambda i: i % 10 == 0, 10)
         assert len(found) == len(want)
