@@ -236,6 +236,47 @@ def path_parts(path: Column) -> Column:
     return F.struct(F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("folder"), stem.alias("stem"), F.regexp_extract(name, r"\.([^.]*)$", 1).alias("suffix"), F.nullif(F.regexp_extract(stem, r"(\d+)\D*$", 1), F.lit("")).alias("shard"))
 
 
+def clip_of_path(path: Column, roots: Sequence[str] = ("renders", "counterfactual"), audio: str = "audio") -> Column:
+    """The clip that a relative path belongs to: the folder below one of roots, or the stem of the file or folder below ``audio``;
+    else null."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    found = F.when(first.isin(*roots), second).when(first == audio, F.regexp_replace(second, r"(?<=.)\.[^.]*$", ""))
+    return F.when(~F.startswith(path, F.lit("/")), found)
+
+
+def split_of_path(path: Column) -> Column:
+    """The split that a numbered file of a data set names: its stem before -000."""
+    return F.split_part(path_parts(path)["stem"], F.lit("-000"), F.lit(1))
+
+
+def shard_of_path(path: Column, prefix: str, suffix: str = ".tar") -> Column:
+    """The archive that holds a relative path, named by its first folder."""
+    return F.concat(F.lit(prefix), F.split_part(path, F.lit("/"), F.lit(1)), F.lit(suffix))
+
+
+def baseline_name(poisoned: Column, plan: Column, description: Column) -> Column:
+    """File name of what an edit starts from: the poisoned input of a plan, the remix that a description names, or the original."""
+    made = F.concat(F.lit("initial__"), slugify(F.coalesce(plan, F.lit("poisoned_initial"))), F.lit(".wav"))
+    return F.when(F.coalesce(poisoned, F.lit(False)), made).when(description.isNull(), "original.wav").otherwise(F.concat(F.lit("original__"), slugify(description), F.lit(".wav")))
+
+
+def derive_identifiers(registry: DataFrame, rows: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """keys, identifiers: names that only a machine writes, as they have an underscore: those of a registry (operator, params) and of
+    the fields of a key's rows; sorted. The registry is configuration."""
+    names = registry.select(F.explode(F.concat(F.array("operator"), F.coalesce("params", F.array().cast("array<string>")))).alias("_x")).where(F.contains("_x", F.lit("_")))
+    fixed = names.agg(F.collect_set("_x").alias("_fixed"))
+    own = rows.select(*keys, F.explode(F.array(*fields)).alias("_x")).groupBy(*keys).agg(F.collect_set(F.when(F.contains("_x", F.lit("_")), F.col("_x"))).alias("_own"))
+    return own.crossJoin(F.broadcast(fixed)).select(*keys, F.array_sort(F.array_union("_fixed", "_own")).alias("identifiers"))
+
+
+def role_mentions(rows: DataFrame, keep: Sequence[str], roles: Mapping[str, str], lexicon: Mapping[str, Sequence[str]]) -> DataFrame:
+    """keep, role, family, term, start, end: spans of the terms in each role's text; roles: role -> column."""
+    spoken = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(c).cast("string").alias("text")) for r, c in roles.items()])).alias("_t")
+    spans = rows.select(*keep, spoken).select(*keep, F.col("_t.role").alias("role"), F.explode(term_spans(F.col("_t.text"), lexicon)).alias("_s"))
+    return spans.select(*keep, "role", "_s.family", "_s.term", "_s.start", "_s.end")
+
+
 def extract_verdict(text: Column, values: Sequence[str], failures: Sequence[str] = JSON_FAILURES) -> Column:
     """struct(verdict, failures, problems) of the first to the last brace of a text.
 

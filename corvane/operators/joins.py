@@ -27,6 +27,25 @@ def join_accepted(texts: DataFrame, report: DataFrame, keys: Sequence[str], keep
     return joined
 
 
+#: Columns of a pair in each mode. Fixed values.
+PAIR_MODES = ("default", "poisoning", "training")
+
+
+def agent_pairs(texts: DataFrame, manifest: DataFrame | None, keys: Sequence[str], order: Sequence[str], mode: str = "default") -> DataFrame:
+    """texts with input_audio and ground_truth_edit_audio. default: the last render of each key that didn't fail is the truth;
+    poisoning: its baseline is the input as well, and the text's own input goes to original_clean_audio; training: no render at all."""
+    if mode not in PAIR_MODES or (manifest is None) != (mode == "training"):
+        raise ValueError("the mode is unknown, or training comes with a manifest, or another mode without")
+    if mode == "training":
+        return texts.withColumn("ground_truth_edit_audio", F.lit(""))
+    done = manifest.where(~F.col("status").eqNullSafe("error"))
+    found = texts.join(last_per_key(done.select(*keys, *order, F.struct("output_path", "baseline_path").alias("_r")), keys, order).select(*keys, "_r"), list(keys))
+    out = found.withColumn("ground_truth_edit_audio", F.col("_r.output_path"))
+    if mode == "poisoning":
+        out = out.withColumn("original_clean_audio", F.col("input_audio")).withColumn("input_audio", F.col("_r.baseline_path"))
+    return out.drop("_r")
+
+
 def last_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key in the order given."""
     rest = [c for c in rows.columns if c not in keys]
@@ -88,6 +107,12 @@ def next_after(events: DataFrame, targets: DataFrame, keys: Sequence[str], at: s
     return out.withColumn("next_at", F.when(hit, F.col("_n.at"))).withColumn("next_target", F.when(hit, F.col("_n.value"))).drop("_until", "_kind", "_t", "_n")
 
 
+def with_only_target(found: DataFrame, targets: DataFrame, keys: Sequence[str], target: str, out: str = "next_target") -> DataFrame:
+    """found with ``out`` filled, where it is null, by the target of its group if all targets of the group are the same one."""
+    only = targets.groupBy(*keys).agg(F.min(target).alias("_only"), F.max(target).alias("_other")).where("_only = _other").drop("_other")
+    return found.join(only, list(keys), "left").withColumn(out, F.coalesce(out, "_only")).drop("_only")
+
+
 def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
     """Pairs of intervals (keys, lo, hi) that share more than a point, right's columns with the prefix r_. Intervals are cut into
     slots of ``width``, equal slots meet, and a pair is kept in the slot of the later start only, so it comes once."""
@@ -106,6 +131,28 @@ def region_status(regions: DataFrame, supports: DataFrame, keys: Sequence[str])
     return joined.withColumn("status", status).drop("s_lo", "s_hi")
 
 
+#: What keeps a rule from firing, the first of them that any of its leaves shows. Fixed values.
+BLOCKING = ("unreachable_operator", "dormant_no_param", "dormant_distribution")
+
+
+def rule_status(leaves: DataFrame, supports: DataFrame, placeable: DataFrame) -> DataFrame:
+    """rule, status of rules by their leaves (rule, operator, parameter, lo, hi), supports (operator, parameter, s_lo, s_hi) and the
+    operators that can be placed.
+
+    A leaf without an operator reads something else than parameters; one with an operator alone asks only whether it is there. A rule
+    is unreachable_operator, dormant_no_param (no support) or dormant_distribution (the support lies outside) if any leaf is, in this
+    order; vacuous if every parameter's support lies wholly inside; data_dependent if no leaf reads a parameter; else live.
+    """
+    known = placeable.select("operator").distinct().withColumn("_placed", F.lit(True))
+    joined = leaves.join(known, "operator", "left").join(supports.select("operator", "parameter", "s_lo", "s_hi"), ["operator", "parameter"], "left")
+    status = F.when(F.col("operator").isNotNull() & F.col("_placed").isNull(), "unreachable_operator").when(F.col("operator").isNull() | F.col("parameter").isNull(), "data_dependent")
+    status = status.when(F.col("s_lo").isNull(), "dormant_no_param").when((F.col("lo") > F.col("s_hi")) | (F.col("s_lo") > F.col("hi")), "dormant_distribution")
+    status = status.when((F.col("lo") <= F.col("s_lo")) & (F.col("s_hi") <= F.col("hi")), "vacuous").otherwise("live")
+    seen = joined.select("rule", status.alias("_s")).groupBy("rule").agg(*[F.bool_or(F.col("_s") == s).alias(s) for s in (*BLOCKING, "vacuous", "live")])
+    out = F.when(F.col(BLOCKING[0]), BLOCKING[0]).when(F.col(BLOCKING[1]), BLOCKING[1]).when(F.col(BLOCKING[2]), BLOCKING[2])
+    return seen.select("rule", out.when(F.col("live"), "live").when(F.col("vacuous"), "vacuous").otherwise("data_dependent").alias("status"))
+
+
 def band_coverage(values: DataFrame, keys: Sequence[str], value: str, uppers: Sequence[float]) -> DataFrame:
     """keys, band, n: observed values by band, zero for bands that nothing reaches, -1 for values above the top."""
     band = F.lit(-1)
@@ -235,3 +282,32 @@ def parameter_provenance(occurrences: DataFrame, definitions: DataFrame, row_lev
     d = F.coalesce("_r", "_d")
     status = F.when(F.col("_r").isNull() & (F.col("_n") > 1), "ambiguous").when(d.isNull(), "authored").when(d["factor"] == 0, "fixed").otherwise("prior")
     return joined.select(*occurrences.columns, status.alias("status"), F.when(status == "prior", d["prior"]).alias("prior"), F.when(status == "prior", F.try_divide(F.col("value") - d["offset"], d["factor"])).alias("resolved_value"))
+
+
+def resolved_parameters(occurrences: DataFrame, definitions: DataFrame, row_keys: Sequence[str], location: Sequence[str], context: str) -> DataFrame:
+    """occurrences with status, reference and resolved_value, by definitions (location, kind, reference, factor, offset); context is a
+    map column of numbers that the row knows (its tempo, say) by name.
+
+    kind: sample (of the prior ``reference``), values, literal, ref (a context name), tempo (beats of a prior, at the tempo that
+    ``context`` has under ``bpm``), anything else has no scalar prior. A value is led back through ``factor`` and ``offset`` (1 and 0
+    if null); a factor of zero is fixed. status is prior, fixed, authored, context or the reason why nothing is known.
+    """
+    known = definitions.select(*location, F.struct("kind", "reference", F.coalesce("factor", F.lit(1.0)).alias("factor"), F.coalesce("offset", F.lit(0.0)).alias("offset")).alias("_d"))
+    times = occurrences.groupBy(*row_keys, *location).agg(F.count(F.lit(1)).alias("_n"))
+    joined = occurrences.join(times, [*row_keys, *location]).join(known, list(location), "left")
+    d = F.col("_d")
+    read, bpm = F.try_element_at(context, d["reference"]), F.try_element_at(context, F.lit("bpm"))
+    status = F.when(F.col("_n") > 1, "ambiguous location").when(d.isNull(), "no definition").when((d["kind"] == "literal") | (d["factor"] == 0), "fixed")
+    status = status.when(d["kind"] == "sample", "prior").when(d["kind"] == "values", "authored")
+    status = status.when(d["kind"] == "ref", F.when(read.isNotNull(), F.lit("context")).otherwise(F.concat(F.lit("missing context: "), d["reference"])))
+    status = status.when(d["kind"] == "tempo", F.when(bpm.isNotNull(), "prior").otherwise("missing tempo")).otherwise("no scalar prior")
+    back = (F.col("value") - d["offset"]) / F.when(d["factor"] != 0, d["factor"])
+    led = F.col("status").isin("prior", "authored", "context")
+    found = joined.withColumn("status", status)
+    return found.select(*occurrences.columns, "status", F.when(F.col("status") == "prior", d["reference"]).alias("reference"), F.when(led & (d["kind"] == "tempo"), back * bpm / 60.0).when(led, back).otherwise(F.col("value")).alias("resolved_value"))
+
+
+def missing_parameters(definitions: DataFrame, occurrences: DataFrame, row_keys: Sequence[str], scope: Sequence[str], location: Sequence[str]) -> DataFrame:
+    """row_keys, location: configured locations of a row's scope (its recipe, say) that the row lacks."""
+    due = occurrences.select(*row_keys, *scope).distinct().join(definitions.select(*scope, *location).distinct(), list(scope))
+    return due.join(occurrences.select(*row_keys, *location).distinct(), [*row_keys, *location], "left_anti").select(*row_keys, *location)

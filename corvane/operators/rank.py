@@ -20,10 +20,14 @@ def counts_below(rows: DataFrame, value: str, groups: Sequence[str] = (), bucket
     values are left out.
     """
     distinct = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    shares, step = F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), max(int(buckets**0.5), 1)
     cuts = distinct.groupBy(*groups).agg(F.percentile_approx(value, shares, F.lit(10 * buckets)).alias("_cuts"))
+    # Cuts are sorted: every step-th tells the run of cuts in which a value lies, and only that run is looked through.
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda _, i: i % step == step - 1))
     distinct = distinct.join(cuts, list(groups)) if groups else distinct.crossJoin(F.broadcast(cuts))
-    placed = distinct.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    distinct = distinct.withColumn("_run", F.size(F.filter("_coarse", lambda c: c < F.col(value))) * step)
+    within = F.size(F.filter(F.slice("_cuts", F.col("_run") + 1, F.lit(step)), lambda c: c < F.col(value)))
+    placed = distinct.withColumn("_b", F.col("_run") + within).drop("_cuts", "_coarse", "_run")
     sums = placed.groupBy(*groups, "_b").agg(F.sum("n").alias("_s"))
     w = Window.partitionBy(*groups)
     sums = sums.select(*groups, "_b", F.coalesce(F.sum("_s").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("_s").over(w).alias("total"))

@@ -53,6 +53,12 @@ def presence(records: DataFrame, items: str, keys: Sequence[str] = ()) -> DataFr
     return joined.withColumn("share", F.col("n") / F.col("_of")).drop("_of")
 
 
+def send_presence(records: DataFrame, items: str, keys: Sequence[str] = (), route: str = "send") -> DataFrame:
+    """presence of what an array of struct(effect, routing) has on a route; records without any still count in the share."""
+    routed = F.transform(F.filter(items, lambda x: x["routing"] == route), lambda x: x["effect"])
+    return presence(records.select(*keys, routed.alias("_items")), "_items", keys)
+
+
 def pairs(records: DataFrame, items: str, keys: Sequence[str] = ()) -> DataFrame:
     """keys, a, b, n: records that hold both of two different items, a before b. Pairs are made within a record's distinct items."""
     d = F.array_sort(F.array_distinct(items))
@@ -129,12 +135,15 @@ def disposition(flags: DataFrame, policy: DataFrame, keys: Sequence[str], on_err
     return out.withColumn("disposition", F.when(F.size("reject_reasons") > 0, "reject").when(F.size("review_reasons") > 0, "review").otherwise("accept"))
 
 
-def flat_report(flags: DataFrame, keys: Sequence[str], names: Sequence[str], rejecting: Sequence[str]) -> DataFrame:
-    """keys, a verdict column for each flag, <flag>_why where the verdict rejects, <flag>_reason where there is none."""
+def flat_report(flags: DataFrame, keys: Sequence[str], names: Sequence[str], rejecting: Sequence[str], tokens: str | None = None) -> DataFrame:
+    """keys, a verdict column for each flag, <flag>_why where the verdict rejects, <flag>_reason where there is none; tokens: an array
+    column whose distinct entries become leaks, sorted."""
     columns = []
     for n in names:
         mine = F.col("flag") == n
         columns += [F.max(F.when(mine, F.col("verdict"))).alias(n), F.max(F.when(mine & F.col("verdict").isin(*rejecting), F.col("rationale"))).alias(f"{n}_why"), F.max(F.when(mine & F.col("verdict").isNull(), F.col("rationale"))).alias(f"{n}_reason")]
+    if tokens:
+        columns.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(tokens)))).alias("leaks"))
     return flags.groupBy(*keys).agg(*columns)
 
 
