@@ -150,7 +150,12 @@ def parse_names(value: Column) -> Column:
 
 def parse_key_mode(value: Column) -> Column:
     """struct(key, mode) of the first item of a list literal such as ``['A minor']``."""
-    raw = F.nullif(F.trim(F.get(parse_list(value), F.lit(0))), F.lit(""))
+    return key_mode(parse_list(value))
+
+
+def key_mode(items: Column) -> Column:
+    """struct(key, mode) of the first of the items of a list; for lists that are parsed already."""
+    raw = F.nullif(F.trim(F.get(items, F.lit(0))), F.lit(""))
     parts = F.split(raw, r"\s+")
     return F.struct(F.when(F.size(parts) >= 2, F.get(parts, F.lit(0))).otherwise(raw).alias("key"), F.when(F.size(parts) >= 2, F.lower(F.get(parts, F.lit(1)))).alias("mode"))
 
@@ -302,7 +307,10 @@ def leak_tokens(text: Column, identifiers: Sequence[str], patterns: Sequence[str
     """Distinct identifiers with an underscore that stand as whole words in the text, then what the syntax patterns match, sorted."""
     names = sorted((i for i in set(identifiers) if "_" in i), key=lambda i: (-len(i), i))
     forms = ([r"(?<!\w)(?:" + "|".join(names) + r")(?!\w)"] if names else []) + list(patterns)
-    found = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({p})"), 1) for p in forms]
+    none = F.array().cast("array<string>")
+    extracted = lambda p: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({p})"), 1)
+    # A form that asks for a bracket is only looked for in texts that have one.
+    found = [F.when(F.contains(text, F.lit("(")), extracted(p)).otherwise(none) if p == LEAK_PATTERNS[1] else extracted(p) for p in forms]
     return F.sort_array(F.array_distinct(F.concat(*found))) if found else F.array().cast("array<string>")
 
 

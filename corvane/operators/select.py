@@ -11,13 +11,13 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_noise
+from ..sources.writers import scratch
 
 
 def added(values: Iterable[float]) -> float:
@@ -189,34 +189,55 @@ def stratified_cover(rows: DataFrame, key: str, weights: Mapping[str, float], li
 
 def diverse_variants(plans: DataFrame, keys: Sequence[str], limit: int, seed: str = "diverse") -> DataFrame:
     """keys, plan_id, rank of up to limit plans (keys, plan_id, weight, params: map of numbers) of each group: the most extreme
-    first, then the farthest from those chosen, then the heaviest, then by seeded noise. A group is what one clip and recipe expand
-    to, which the expansion bounds."""
-    kind = plans.schema["plan_id"].dataType.simpleString()
-    schema = ", ".join(f"{k} {plans.schema[k].dataType.simpleString()}" for k in keys) + f", plan_id {kind}, rank int"
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("plan_id").reset_index(drop=True)
-        params = [dict(p) for p in frame["params"]]
-        names = sorted({n for p in params for n in p})
-        values = np.array([[p.get(n, np.nan) for n in names] for p in params], float).reshape(len(frame), len(names))
-        low = np.nanmin(values, axis=0) if names else np.empty(0)
-        high = np.nanmax(values, axis=0) if names else np.empty(0)
-        spread = (high > low) & ((~np.isnan(values)).sum(axis=0) > 1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            extreme = np.minimum(np.abs(values - (low + high) / 2) / ((high - low) / 2), 1.0)[:, spread]
-        extreme = np.where(np.isnan(extreme).all(axis=1), 0.0, np.nanmean(np.where(np.isnan(extreme).all(axis=1)[:, None], 0.0, extreme), axis=1)) if spread.any() else np.zeros(len(frame))
-        filled = np.where(np.isnan(values), low, values)
-        scale = np.maximum(high - low, 1e-9)
-        known = ~np.isnan(values)
-        distance, left, ranks = np.ones(len(frame)), set(range(len(frame))), {}
-        while left and len(ranks) < limit:
-            best = max(left, key=lambda i: (extreme[i], distance[i], frame["weight"][i], frame["_noise"][i]))
-            ranks[best] = len(ranks) + 1
-            left.remove(best)
-            both = known | known[best]
-            gaps = np.where(both, np.abs(filled - filled[best]) / scale, 0.0).sum(axis=1) / np.maximum(both.sum(axis=1), 1)
-            distance = np.minimum(distance, gaps) if len(ranks) > 1 else gaps
-        order = list(ranks)
-        return frame.iloc[order][[*keys, "plan_id"]].assign(rank=list(ranks.values()))
-
-    return plans.withColumn("_noise", stable_noise(F.lit(seed), F.col("plan_id"))).groupBy(*keys).applyInPandas(choose, schema)
+    first, then the farthest from those chosen, then the heaviest, then by seeded noise. plan_id is unique within a group.
+
+    Extreme is the mean distance of a plan's parameters from the middle of their range in the group, as a part of half the range; far
+    is the mean gap over parameters that either plan has, as a part of the range, a missing one at its low end. One round of an
+    aggregate and a join for each rank, so a group may have any size; only what is chosen, one row a group, is written between them.
+    """
+    if limit < 1:
+        return plans.select(*keys, "plan_id", F.lit(0).alias("rank")).where(F.lit(False))
+    spark = plans.sparkSession
+    stored = lambda d: _stored(spark, d)
+    params = F.coalesce(F.col("params").cast("map<string,double>"), F.create_map().cast("map<string,double>"))
+    rows = plans.select(*keys, "plan_id", "weight", F.map_filter(params, lambda _, v: v.isNotNull() & ~F.isnan(v)).alias("_p"), stable_noise(F.lit(seed), F.col("plan_id")).alias("_noise"))
+    seen = rows.select(*keys, F.explode("_p").alias("_name", "_v")).groupBy(*keys, "_name").agg(F.min("_v").alias("low"), F.max("_v").alias("high"), F.count("_v").alias("n"))
+    spans = seen.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_name", F.struct("low", "high", "n")))).alias("_spans"))
+    span = lambda name: F.try_element_at("_spans", name)
+    mean = lambda parts: F.coalesce(F.try_divide(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.size(parts)), F.lit(0.0))
+    wide = F.filter(F.map_entries("_p"), lambda e: (span(e["key"])["high"] > span(e["key"])["low"]) & (span(e["key"])["n"] > 1))
+    off = lambda e: F.abs(e["value"] - (span(e["key"])["low"] + span(e["key"])["high"]) / 2) / ((span(e["key"])["high"] - span(e["key"])["low"]) / 2)
+    rows = stored(_beside(rows, spans, keys).withColumn("_extreme", mean(F.transform(wide, lambda e: F.least(off(e), F.lit(1.0))))))
+
+    def gap(other: Column) -> Column:
+        at = lambda values, n: F.coalesce(F.try_element_at(values, n), span(n)["low"])
+        names = F.array_union(F.map_keys("_p"), F.map_keys(other))
+        return mean(F.transform(names, lambda n: F.abs(at(F.col("_p"), n) - at(other, n)) / F.greatest(span(n)["high"] - span(n)["low"], F.lit(1e-9))))
+
+    chosen = None
+    for _ in range(limit):
+        left = rows.withColumn("_distance", F.lit(1.0))
+        if chosen is not None:
+            left = _beside(rows, chosen, keys).where(~F.exists("_picked", lambda x: x["plan_id"].eqNullSafe(F.col("plan_id"))))
+            left = left.withColumn("_distance", F.array_min(F.transform("_picked", lambda x: gap(x["_p"]))))
+        best = left.groupBy(*keys).agg(F.max_by(F.struct("plan_id", "_p"), F.struct("_extreme", "_distance", "weight", "_noise")).alias("_best"))
+        if chosen is None:
+            chosen = stored(best.select(*keys, F.array("_best").alias("_picked")))
+        else:
+            more = F.when(F.col("_best").isNull(), F.col("_picked")).otherwise(F.concat("_picked", F.array("_best")))
+            chosen = stored(_beside(chosen, best, keys).select(*keys, more.alias("_picked")))
+    return chosen.select(*keys, F.posexplode("_picked").alias("_at", "_x")).select(*keys, F.col("_x.plan_id").alias("plan_id"), (F.col("_at") + 1).alias("rank"))
+
+
+def _beside(rows: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with the columns of the one row that side has for their keys, null without one; null keys are equal."""
+    named = side.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in side.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return rows.join(named, same, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def _stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path = scratch(spark)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,12 +26,16 @@ def value_counts(rows: DataFrame, column: str, top: int | None = None, many: boo
 def parameter_summary(rows: DataFrame, keys: Sequence[str], value: str, distinct: Mapping[str, str], support: bool = True) -> DataFrame:
     """keys, n, one distinct count per entry, numeric_n, quantiles (exact, interpolated), and support: the distinct values with their
     counts, sorted. Values are counted before they are gathered, so the list only grows with distinct values."""
-    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.countDistinct(c).alias(n) for n, c in distinct.items()], F.count(value).alias("numeric_n"), F.percentile(value, F.array(*map(F.lit, QUANTILES))).alias("quantiles"))
-    if not support:
-        return out
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("count"))
-    lists = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("value"), "count"))).alias("support"))
-    return out.join(lists, list(keys), "left")
+    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("count"))
+    known = F.col(value).isNotNull()
+    item = F.when(known, F.struct(F.col(value).alias("value"), "count"))
+    lists = [F.sort_array(F.collect_list(item)).alias("support")] if support else []
+    out = counted.groupBy(*keys).agg(F.sum("count").alias("n"), F.coalesce(F.sum(F.when(known, F.col("count"))), F.lit(0)).alias("numeric_n"), F.percentile(value, F.array(*map(F.lit, QUANTILES)), F.col("count")).alias("quantiles"), *lists)
+    for i, (name, c) in enumerate(distinct.items()):
+        each = rows.select(*keys, F.col(c).alias("_c")).distinct().groupBy(*[F.col(k).alias(f"_{i}_{k}") for k in keys]).agg(F.count("_c").alias(name))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{i}_{k}")) for k in keys])
+        out = out.join(each, same).drop(*[f"_{i}_{k}" for k in keys])
+    return out.select(*keys, "n", *distinct, "numeric_n", "quantiles", *(["support"] if support else []))
 
 
 def summary_by_condition(rows: DataFrame, source: str, conditions: Sequence[str], value: str) -> DataFrame:

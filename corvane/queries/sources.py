@@ -92,31 +92,36 @@ def ordered_pipelines(spark, sf_dir):
     return steps.select(F.col("plugin").alias("what")).unionByName(issues.select(F.col("issue").alias("what"))).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rows that an archive holds at most on average.
+ARCHIVE_ROWS = 20_000
+
+
 @register("zip_members", "SELECT source, count(*) AS n, sum(len(lang))::BIGINT AS chars FROM documents GROUP BY 1")
 def zip_members(spark, sf_dir):
-    """Tables inside archives."""
+    """Tables inside archives. Each source has as many archives as its rows ask for, and tasks write them into the shared folder."""
     import pyarrow as pa
 
     path = W.scratch(spark)
 
     def packed(batches):
+        from pyarrow import fs
+
+        files, folder = fs.FileSystem.from_uri(path)
+        files.create_dir(folder)
         for batch in batches:
-            out = []
-            for source, langs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for source, bucket, langs in zip(*(c.to_pylist() for c in batch.columns)):
                 held = io.BytesIO()
                 with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
                     z.writestr(f"{source}.csv", "\n".join(langs))
                     z.writestr("readme.txt", "x")
-                out.append(held.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["source", "content"])
-
-    archives = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_list("lang").alias("langs")).mapInArrow(packed, "source string, content binary")
-    jvm = spark.sparkContext._jvm
-    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for r in archives.toLocalIterator():  # one archive per source
-        stream = files.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{r.source}.zip"))
-        stream.write(bytearray(r.content))
-        stream.close()
+                with files.open_output_stream(f"{folder}/{source}-{bucket}.zip") as out:  # a task that runs again writes the same file
+                    out.write(held.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / ARCHIVE_ROWS).alias("archives"))
+    parts = docs.select("doc_id", "source", "lang").join(sizes, "source").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("archives")))
+    parts.groupBy("source", "bucket").agg(F.collect_list("lang").alias("langs")).mapInArrow(packed, "n long").agg(F.sum("n")).first()
     lines = R.scan_zip_members(spark, path, ".csv").select(F.regexp_extract("member", r"(\w+)\.csv", 1).alias("source"), F.explode(F.split("text", "\n")).alias("lang"))
     return lines.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("lang")).alias("chars"))
 

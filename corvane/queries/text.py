@@ -130,9 +130,10 @@ def parsed_cells(spark, sf_dir):
         F.when(kind == 0, F.concat(n, F.lit(" : 1"))).when(kind == 1, F.concat(n, F.lit("e-1"))).otherwise("n/a").alias("cell"),
         F.when(kind == 0, "Yes").otherwise("no").alias("bool"),
     )
-    key = T.parse_key_mode(F.col("list"))
+    rows = rows.withColumn("items", T.parse_list(F.col("list")))
+    key = T.key_mode(F.col("items"))
     return rows.select(
-        "l_orderkey", "l_linenumber", T.parse_list(F.col("list")).alias("items"), key["key"].alias("key"), key["mode"].alias("mode"), T.parse_tempo(F.col("text")).alias("tempo"),
+        "l_orderkey", "l_linenumber", "items", key["key"].alias("key"), key["mode"].alias("mode"), T.parse_tempo(F.col("text")).alias("tempo"),
         T.to_number(F.col("cell")).alias("number"), T.parse_bool(F.col("bool")).alias("flag"), T.clean_int(F.col("text")).alias("digits"),
     )
 

@@ -97,3 +97,41 @@ def test_diverse_variants_start_at_the_extremes(spark):
     data = spark.createDataFrame(rows, "g string, plan_id long, weight double, params map<string,double>")
     got = [r.plan_id for r in G.diverse_variants(data, ["g"], 3).orderBy("rank").collect()]
     assert set(got[:2]) == {0, 8} and math.prod(got) == 0
+
+
+def slow_variants(rows, limit, noise):
+    """rows: (plan_id, weight, params) of one group."""
+    clean = {i: {n: v for n, v in (p or {}).items() if v is not None and v == v} for i, _, p in rows}
+    spans = {n: (min(vs), max(vs), len(vs)) for n in {n for p in clean.values() for n in p} for vs in [[p[n] for p in clean.values() if n in p]]}
+    weight = {i: w for i, w, _ in rows}
+
+    def extreme(p):
+        parts = [min(abs(v - (spans[n][0] + spans[n][1]) / 2) / ((spans[n][1] - spans[n][0]) / 2), 1.0) for n, v in p.items() if spans[n][1] > spans[n][0] and spans[n][2] > 1]
+        return sum(parts) / len(parts) if parts else 0.0
+
+    def gap(p, q):
+        names = set(p) | set(q)
+        return sum(abs(p.get(n, spans[n][0]) - q.get(n, spans[n][0])) / max(spans[n][1] - spans[n][0], 1e-9) for n in names) / len(names) if names else 0.0
+
+    out = []
+    while len(out) < min(limit, len(rows)):
+        left = [i for i in clean if i not in out]
+        out.append(max(left, key=lambda i: (round(extreme(clean[i]), 9), round(min((gap(clean[i], clean[j]) for j in out), default=1.0), 9), weight[i], noise[i])))
+    return out
+
+
+def test_diverse_variants_against_a_slow_version(spark):
+    rng = random.Random(5)
+    rows = []
+    for g, size in (("a", 40), ("b", 3), (None, 12), ("d", 1)):
+        for i in range(size):
+            params = {n: float(rng.randrange(64)) for n in "xyz" if rng.random() < 0.7}
+            rows.append((g, i, float(rng.randrange(3)), params))
+    rows += [("e", 0, 1.0, None), ("e", 1, 2.0, {}), ("e", 2, 1.0, {"x": None}), ("e", 3, 1.0, {"x": float("nan")})]
+    data = spark.createDataFrame(rows, "g string, plan_id long, weight double, params map<string,double>")
+    noise = {r.plan_id: r.n for r in data.select("plan_id", stable_noise(F.lit("diverse"), F.col("plan_id")).alias("n")).distinct().collect()}
+    got = {}
+    for r in G.diverse_variants(data, ["g"], 5).orderBy("rank").collect():
+        got.setdefault(r.g, []).append(r.plan_id)
+    assert got == {g: slow_variants([(i, w, p) for h, i, w, p in rows if h == g], 5, noise) for g in ("a", "b", None, "d", "e")}
+    assert G.diverse_variants(data.limit(0), ["g"], 2).collect() == [] and G.diverse_variants(data, ["g"], 0).collect() == []
