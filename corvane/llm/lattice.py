@@ -1,8 +1,9 @@
 """Language model scores from a subword lattice.
 
 The pieces of an existing vocabulary get log probabilities from the training documents: every distinct word is divided by the
-tokenizer, and its pieces count as often as the word. A word's probability is the sum over all ways to divide it into pieces, by a
-forward recursion in log space. No piece crosses the space before a word, so a text's probability is the product over its words and
+tokenizer, and its pieces count as often as the word; then a few rounds of expectation maximisation replace these counts by those
+expected over all divisions. (The scores that the vocabulary's file holds are ranks of merges, no log probabilities, so they can't
+weigh anything.) A word's probability is the sum over all ways to divide it into pieces, by a forward recursion in log space. No piece crosses the space before a word, so a text's probability is the product over its words and
 its end. Words are scored once each; a bounded number of the most frequent ones is held by every task, the others are joined.
 """
 
@@ -24,6 +25,8 @@ from .common import shared_dir, table, written
 FREQUENT, FREQUENT_BYTES = 1 << 20, 48
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
+#: Rounds of expectation maximisation.
+ROUNDS = 2
 #: Cells of a table of word and place that the recursion handles at once.
 CELLS = 1 << 17
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -113,7 +116,8 @@ def piece_counts(words: DataFrame, model: str) -> np.ndarray:
 
 
 class Lattice:
-    """Sums over all divisions of words into pieces with the given natural log probabilities; pieces of equal bytes add up."""
+    """Sums over all divisions of words into pieces with the given natural log probabilities; pieces of equal bytes add up, and the
+    first of them gives their place."""
 
     def __init__(self, pieces: list[bytes | None], log_probs: np.ndarray):
         scores: dict[bytes, float] = {}
@@ -121,13 +125,16 @@ class Lattice:
             if p:
                 scores[p] = float(np.logaddexp(scores[p], s)) if p in scores else s
         self.longest = max(map(len, scores), default=1)
+        place = {p: i for i, p in enumerate(scores)}
+        self.size = len(place)
         self.tables = {}
         for n in range(1, self.longest + 1):
             of_n = [p for p in scores if len(p) == n]
             if of_n:
                 keys = self.hashes(np.frombuffer(b"".join(of_n), np.uint8).reshape(-1, n))
                 order = np.argsort(keys)
-                self.tables[n] = keys[order], np.array([scores[p] for p in of_n])[order], np.frombuffer(b"".join(of_n), np.uint8).reshape(-1, n)[order]
+                places = np.array([place[p] for p in of_n], np.int64)[order]
+                self.tables[n] = keys[order], np.array([scores[p] for p in of_n])[order], np.frombuffer(b"".join(of_n), np.uint8).reshape(-1, n)[order], places
 
     @staticmethod
     def hashes(rows: np.ndarray) -> np.ndarray:
@@ -136,32 +143,54 @@ class Lattice:
             out = out * HASH_BASE + (rows[:, k].astype(np.uint64) + np.uint64(1))
         return out
 
-    def word_log_probs(self, words: list[bytes]) -> np.ndarray:
-        """Natural log probability of each word with the space before it."""
-        out = np.empty(len(words))
+    def _parts(self, words: list[bytes]) -> Iterator[np.ndarray]:
+        """Places of words of about equal length, as many as the recursion handles at once."""
         order = np.argsort([len(w) for w in words], kind="stable")
         at = 0
         while at < len(words):
             end = at + 1
             while end < len(words) and (end + 1 - at) * (len(words[order[end]]) + 2) <= CELLS:
                 end += 1
-            part = order[at:end]
-            out[part] = self._forward([b" " + words[i] for i in part])
+            yield order[at:end]
             at = end
+
+    def word_log_probs(self, words: list[bytes]) -> np.ndarray:
+        """Natural log probability of each word with the space before it."""
+        out = np.empty(len(words))
+        for part in self._parts(words):
+            lengths, hits = self._hits([b" " + words[i] for i in part])
+            out[part] = self._forward(lengths, self._steps(lengths, hits))[lengths, np.arange(len(part))]
         return out
 
-    def _forward(self, words: list[bytes]) -> np.ndarray:
+    def expected_counts(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
+        """How often each piece occurs in the words, each so many times, as the mean over all their divisions by probability."""
+        out = np.zeros(self.size)
+        for part in self._parts(words):
+            lengths, hits = self._hits([b" " + words[i] for i in part])
+            steps = self._steps(lengths, hits)
+            forward, backward = self._forward(lengths, steps), self._backward(lengths, steps)
+            whole, weight = forward[lengths, np.arange(len(part))], times[part].astype(float)
+            for k, (row, col, slot) in hits.items():
+                inside = (col + k <= lengths[row]) & ~np.isneginf(whole[row])
+                row, col, slot = row[inside], col[inside], slot[inside]
+                _, values, _, places = self.tables[k]
+                share = np.exp(forward[col, row] + values[slot] + backward[col + k, row] - whole[row])
+                out += np.bincount(places[slot], weights=share * weight[row], minlength=self.size)
+        return out
+
+    def _hits(self, words: list[bytes]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Lengths of the words, and for each length of a piece: word, place and piece of every occurrence."""
         n, lengths = len(words), np.array([len(w) for w in words])
         width = int(lengths.max())
         text = np.zeros((n, width), np.uint8)
         text[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join(words), np.uint8)
         codes = text.astype(np.uint64) + np.uint64(1)
         hashes = np.zeros((n, width), np.uint64)
-        scores = {}
+        hits = {}
         for k in range(1, min(self.longest, width) + 1):
             hashes = hashes[:, : width - k + 1] * HASH_BASE + codes[:, k - 1 :]
             if k in self.tables:
-                keys, values, rows = self.tables[k]
+                keys, _, rows, _ = self.tables[k]
                 flat = hashes.reshape(-1)
                 slot = np.searchsorted(keys, flat)
                 slot[slot == len(keys)] = 0
@@ -170,29 +199,72 @@ class Lattice:
                 same = np.ones(len(hit), bool)
                 for j in range(k):  # equal hashes, equal bytes
                     same &= text[row, col + j] == rows[slot[hit], j]
-                found = np.full((n, width - k + 1), -np.inf)
-                found[row[same], col[same]] = values[slot[hit[same]]]
                 if same.any():
-                    scores[k] = np.ascontiguousarray(found.T)
-        forward = np.full((width + 1, n), -np.inf)
+                    hits[k] = row[same], col[same], slot[hit[same]]
+        return lengths, hits
+
+    def _steps(self, lengths: np.ndarray, hits: dict) -> dict[int, np.ndarray]:
+        """For each length of a piece: the log probability of the piece at a place (row) of a word (column)."""
+        width, steps = int(lengths.max()), {}
+        for k, (row, col, slot) in hits.items():
+            steps[k] = np.full((width - k + 1, len(lengths)), -np.inf)
+            steps[k][col, row] = self.tables[k][1][slot]
+        return steps
+
+    @staticmethod
+    def _summed(ways: list[np.ndarray]) -> np.ndarray:
+        if len(ways) == 1:
+            return ways[0]
+        ways = np.stack(ways)
+        top = ways.max(axis=0)
+        top[np.isneginf(top)] = 0.0
+        with np.errstate(divide="ignore"):
+            return top + np.log(np.exp(ways - top).sum(axis=0))
+
+    def _forward(self, lengths: np.ndarray, steps: dict[int, np.ndarray]) -> np.ndarray:
+        """Log sums over the divisions of what lies before each place (row) of each word (column)."""
+        forward = np.full((int(lengths.max()) + 1, len(lengths)), -np.inf)
         forward[0] = 0.0
-        for end in range(1, width + 1):
-            ways = [forward[end - k] + scores[k][end - k] for k in scores if k <= end]
-            if len(ways) == 1:
-                forward[end] = ways[0]
-            elif ways:
-                ways = np.stack(ways)
-                top = ways.max(axis=0)
-                top[np.isneginf(top)] = 0.0
-                with np.errstate(divide="ignore"):
-                    forward[end] = top + np.log(np.exp(ways - top).sum(axis=0))
-        return forward[lengths, np.arange(n)]
-
-
-def lattice_scores(docs: DataFrame, model: str) -> DataFrame:
+        for end in range(1, len(forward)):
+            ways = [forward[end - k] + steps[k][end - k] for k in steps if k <= end]
+            if ways:
+                forward[end] = self._summed(ways)
+        return forward
+
+    def _backward(self, lengths: np.ndarray, steps: dict[int, np.ndarray]) -> np.ndarray:
+        """Log sums over the divisions of what lies from each place to the end of its word."""
+        width = int(lengths.max())
+        backward = np.full((width + 1, len(lengths)), -np.inf)
+        for at in range(width, -1, -1):
+            ways = [steps[k][at] + backward[at + k] for k in steps if at + k <= width]
+            if ways:
+                backward[at] = self._summed(ways)
+            backward[at, lengths == at] = 0.0
+        return backward
+
+
+def expected_counts(words: DataFrame, names: list[bytes], log_probs: np.ndarray) -> np.ndarray:
+    """How often each piece occurs in the training words, over all their divisions. The driver gets one number for each piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, counts = Lattice(names, log_probs), np.zeros(len(names))
+        for batch in batches:
+            counts += lattice.expected_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy())
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["piece", "n"])
+
+    found = words.where("trained > 0").select("word", "trained").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(len(names))
+    for r in found:
+        counts[r["piece"]] = r["n"]
+    return counts
+
+
+def lattice_scores(docs: DataFrame, model: str, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs; score is a log10 probability.
 
-    ``model`` is the path of a sentencepiece model on every machine. Pieces are smoothed by adding one to each count, so every text
+    ``model`` is the path of a sentencepiece model on every machine; rounds: of expectation maximisation over the training words, none
+    leaves the counts of one division of each word. Pieces are smoothed by adding one to each count, so every text
     has a probability; the end of a text is one more piece. A null text is empty and has its end only; repeated rows count each.
     Without training documents all counts are zero. Words of any length are scored whole.
     """
@@ -205,9 +277,15 @@ def lattice_scores(docs: DataFrame, model: str) -> DataFrame:
     unit = np.log10(train_tokens + distinct + 1)
     pieces = piece_bytes(model)
     counts = piece_counts(words, model)
-    real = np.array([p is not None for p in pieces])
-    log_total = np.log(float(counts[real].sum() + n_docs + real.sum() + 1))
-    log_probs = np.log(counts + 1.0) - log_total
+    names: dict[bytes, int] = {}
+    place = np.array([-1 if not p else names.setdefault(p, len(names)) for p in pieces])
+    shared = np.bincount(place[place >= 0], minlength=len(names))  # pieces of equal bytes are one, smoothed once each
+    used = np.bincount(place[place >= 0], weights=counts[place >= 0], minlength=len(names))
+    log_total = lambda n: np.log(float(n.sum() + n_docs + shared.sum() + 1))
+    for _ in range(rounds if row[0] else 0):
+        used = expected_counts(words, list(names), np.log(used + shared) - log_total(used))
+    log_total = log_total(used)
+    log_probs, pieces = np.log(used + shared) - log_total, list(names)
     end_score = float((np.log(n_docs + 1.0) - log_total) / np.log(10))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +335,7 @@ def lattice_scores(docs: DataFrame, model: str) -> DataFrame:
 
 
 def op6_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every row of documents, as ``lattice_scores`` gives them; an empty table gives no rows."""
     import public_tokenizers
 
     return lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

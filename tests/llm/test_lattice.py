@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from corvane.llm import lattice
 
@@ -40,18 +41,43 @@ def test_forward_recursion_sums_all_divisions():
             assert abs(g - math.log(want)) < 1e-9
 
 
-def brute_force(corpus):
+def mean_counts(count, scores):
+    """How often each piece occurs in the words, over all divisions, by plain sums on prefixes and suffixes."""
+    out = Counter()
+    for w, times in count.items():
+        word = b" " + w.encode()
+        before = [all_divisions(word[:k], scores) for k in range(len(word) + 1)]
+        after = [all_divisions(word[k:], scores) for k in range(len(word) + 1)]
+        for a in range(len(word)):
+            for b in range(a + 1, len(word) + 1):
+                if word[a:b] in scores:
+                    out[word[a:b]] += times * before[a] * scores[word[a:b]] * after[b] / before[-1]
+    return out
+
+
+def test_expected_counts_are_means_over_divisions():
+    pieces = [b" a", b" ", b"a", b"b", b"ab", b"ba", b" ab", b"bab", b"\xc3", b"\xa9", b"\xc3\xa9"]
+    probs = np.linspace(0.01, 0.1, len(pieces))
+    words = {"a": 3, "abab": 1, "babab": 7, "é": 2, "": 5}
+    got = lattice.Lattice(pieces, np.log(probs)).expected_counts([w.encode() for w in [*words, "x"]], np.array([*words.values(), 9]))
+    want = mean_counts(words, dict(zip(pieces, probs)))
+    assert np.allclose(got, [want[p] for p in pieces])
+    assert abs(sum(g * len(p) for g, p in zip(got, pieces)) - sum(n * (1 + len(w.encode())) for w, n in words.items())) < 1e-9
+
+
+def brute_force(corpus, rounds):
     train = [r for r in corpus if zlib.crc32(str(r[0]).encode()) % 7 != 2]
     count = Counter(t for r in train for t in [*tokens(r[1]), None])
     n, v = sum(count.values()), len(count)
     sp = lattice.processor(MODEL)
     pieces = lattice.piece_bytes(MODEL)
-    used = Counter(i for w, c in count.items() if w is not None for i in sp.encode(w) for _ in range(c))
-    real = [i for i, p in enumerate(pieces) if p is not None]
-    total = sum(used[i] for i in real) + len(train) + len(real) + 1
-    scores = Counter()
-    for i in real:
-        scores[pieces[i]] += (used[i] + 1) / total
+    used = Counter(pieces[i] for w, c in count.items() if w is not None for i in sp.encode(w) for _ in range(c))
+    real = Counter(p for p in pieces if p is not None)
+    for step in range(rounds + 1):
+        total = sum(used[p] for p in real) + len(train) + sum(real.values()) + 1
+        scores = {p: (used[p] + n) / total for p, n in real.items()}
+        if step < rounds:
+            used = mean_counts({w: c for w, c in count.items() if w is not None}, scores)
     out = []
     for doc_id, text, *_ in corpus:
         ts = [*tokens(text), None]
@@ -62,14 +88,16 @@ def brute_force(corpus):
 
 
 def test_scores_of_documents(spark, docs, corpus):
-    want = {r[0]: r for r in brute_force(corpus)}
-    for frequent in (lattice.FREQUENT, 10):
+    short = [r for r in corpus if all(len(t) < 60 for t in tokens(r[1]))]  # plain sums over a long word's prefixes take too long
+    for frequent, rounds in ((lattice.FREQUENT, 0), (10, 0), (lattice.FREQUENT, lattice.ROUNDS)):
+        rows, frame = (short, docs.where(F.col("doc_id").isin([r[0] for r in short]))) if rounds else (corpus, docs)
+        want = {r[0]: r for r in brute_force(rows, rounds)}
         before, lattice.FREQUENT = lattice.FREQUENT, frequent
         try:
-            got = lattice.lattice_scores(docs, MODEL).collect()
+            got = lattice.lattice_scores(frame, MODEL, rounds).collect()
         finally:
             lattice.FREQUENT = before
-        assert len(got) == len(corpus)
+        assert len(got) == len(rows)
         for r in got:
             w = want[r.doc_id]
             assert tuple(r)[:5] == w[:5]
@@ -77,6 +105,11 @@ def test_scores_of_documents(spark, docs, corpus):
             assert w[6] is None or abs(r.score - w[6]) < 1e-6, r
 
 
+def test_rounds_raise_the_likelihood_of_training_text(spark, docs):
+    sums = [sum(r.score for r in lattice.lattice_scores(docs, MODEL, rounds).collect() if not r.held_out) for rounds in (0, 2)]
+    assert sums[1] > sums[0]
+
+
 def test_longer_training_text_scores_better(spark, docs, corpus):
     held = [r for r in lattice.lattice_scores(docs, MODEL).collect() if r.held_out and r.n_tokens > 30]
     assert held and all(r.score > -20 * r.n_tokens for r in held)
