@@ -160,6 +160,18 @@ def unwrap(rows: DataFrame, fields: Sequence[str], inner: str = "metadata") -> D
     return rows.select(*picked, (F.col(inner).isNotNull() if has else F.lit(False)).alias("wrapped"))
 
 
+def row_audio(wrapped: Column, edited: Column, given: Column, poisoned: Column, *clean: Column) -> Column:
+    """struct(reference_path, edited_path, reference, poison_repair) of a wrapped row: its given input, or, where that was poisoned,
+    the first clean original; a poisoned row without one is marked poisoned_input. Null for bare rows, and where a path is missing or
+    empty."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    repair, original = F.coalesce(poisoned, F.lit(False)), F.coalesce(*map(filled, clean)) if clean else F.lit(None).cast("string")
+    path = F.when(repair & original.isNotNull(), original).otherwise(filled(given))
+    kind = F.when(repair & original.isNull(), "poisoned_input").otherwise("source")
+    found = F.struct(path.alias("reference_path"), filled(edited).alias("edited_path"), kind.alias("reference"), repair.alias("poison_repair"))
+    return F.when(F.coalesce(wrapped, F.lit(False)) & path.isNotNull() & filled(edited).isNotNull(), found)
+
+
 def resolve_reference(baseline: Column, source: Column, poisoned: Column) -> Column:
     """struct(path, reason): the baseline where there is one, else the source; poisoned rows only take the source."""
     plain = F.coalesce(poisoned, F.lit(False))

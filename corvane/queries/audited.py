@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dist as D
+from ..functions import nested as N
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import audit as A
@@ -190,3 +191,17 @@ def poisoned_pairs(spark, sf_dir):
     texts = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("in/"), "o_orderkey").alias("input_audio"))
     found = J.agent_pairs(texts, lines, ["o_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"], "poisoning")
     return found.select("o_orderkey", "ground_truth_edit_audio", "original_clean_audio", "input_audio")
+
+
+@register("row_references", """
+WITH x AS (SELECT o_orderkey, o_custkey % 5 > 0 AS wrapped, CASE WHEN o_orderkey % 7 > 0 THEN 'e' || o_orderkey END AS edited, CASE WHEN o_orderkey % 11 > 0 THEN 'i' || o_orderkey ELSE '' END AS given, o_orderstatus = 'F' AS poisoned, CASE WHEN o_custkey % 3 = 0 THEN 'c' || o_orderkey END AS clean FROM orders),
+y AS (SELECT *, CASE WHEN poisoned AND clean IS NOT NULL THEN clean ELSE nullif(given, '') END AS path FROM x)
+SELECT o_orderkey, CASE WHEN wrapped AND edited IS NOT NULL THEN path END AS reference_path, CASE WHEN wrapped AND edited IS NOT NULL AND path IS NOT NULL THEN CASE WHEN poisoned AND clean IS NULL THEN 'poisoned_input' ELSE 'source' END END AS reference FROM y
+""")
+def row_references(spark, sf_dir):
+    """What an edit is compared with, and of which kind that is."""
+    key = F.col("o_orderkey")
+    edited, given = F.when(key % 7 > 0, F.concat(F.lit("e"), key)), F.when(key % 11 > 0, F.concat(F.lit("i"), key)).otherwise("")
+    clean = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("c"), key))
+    audio = N.row_audio(F.col("o_custkey") % 5 > 0, edited, given, F.col("o_orderstatus") == "F", F.lit(""), clean)
+    return table(spark, sf_dir, "orders").select("o_orderkey", audio["reference_path"].alias("reference_path"), audio["reference"].alias("reference"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import dist as D
+from corvane.functions import nested as N
 from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import audit as A
@@ -115,3 +116,10 @@ def test_identifiers_and_mentions(spark):
     said = spark.createDataFrame([(1, "The warm, warm pad", None), (2, "", "warmer Bright")], "id long, user string, assistant string")
     got = rows_of(T.role_mentions(said, ["id"], {"user": "user", "assistant": "assistant"}, {"tone": ["warm", "bright"]}))
     assert got == [(1, "user", "tone", "warm", 10, 14), (1, "user", "tone", "warm", 4, 8), (2, "assistant", "tone", "bright", 7, 13)]
+
+
+def test_row_audio(spark):
+    cases = [(True, "e", "i", False, "c", ("i", "source")), (True, "e", "i", True, "c", ("c", "source")), (True, "e", "i", True, None, ("i", "poisoned_input")), (True, "e", "", None, "c", None), (True, "", "i", False, None, None), (None, "e", "i", False, None, None), (True, "e", "", True, "c", ("c", "source"))]
+    rows = spark.createDataFrame([(k, *c[:5]) for k, c in enumerate(cases)], "k long, wrapped boolean, edited string, given string, poisoned boolean, clean string")
+    got = rows.select("k", N.row_audio(*[F.col(c) for c in ("wrapped", "edited", "given", "poisoned", "clean")]).alias("a")).orderBy("k").collect()
+    assert [r.a and (r.a.reference_path, r.a.reference) for r in got] == [c[5] for c in cases]
