@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import to_number
+from .text import strings, to_number
 
 GRAPH = """array<struct<kind:string,name:string,operator:string,source:string,output:string,dry_level:double,send_level:double,return_level:double,
 params:map<string,string>,steps:array<struct<name:string,operator:string,params:map<string,string>>>>>"""
@@ -187,6 +187,30 @@ def observations(records: DataFrame, keep: Sequence[str] = ("id", "source", "spl
     return rows.withColumn("value", to_number(F.col("value_text")))
 
 
+def band_terms(parameters: DataFrame, bands: DataFrame, keep: Sequence[str] = ("clip_id", "plan_id")) -> DataFrame:
+    """keep, terms: a map from label.parameter to the first term of the band that the value lies in.
+
+    bands: operator, parameter, label (null: any), uppers, direction, terms (one a band). A row of the label itself wins over one for
+    any label; the last band takes what lies above; of parameters with one name the last in the graph counts. What has no bands or
+    isn't a number is left out.
+    """
+    spec = F.struct("uppers", "direction", "terms")
+    any_ = bands.where("label is null").select("operator", "parameter", spec.alias("_any"))
+    own = bands.where("label is not null").select("operator", "parameter", "label", spec.alias("_own"))
+    joined = parameters.where("value is not null and not isnan(value)").join(any_, ["operator", "parameter"], "left").join(own, ["operator", "parameter", "label"], "left")
+    joined = joined.withColumn("_spec", F.coalesce("_own", "_any")).where("_spec is not null")
+    measured = F.when(F.col("_spec.direction") == "absolute", F.abs("value")).otherwise(F.col("value"))
+    band = F.least(F.size(F.filter("_spec.uppers", lambda u: u <= measured)), F.size("_spec.uppers") - 1)
+    named = joined.groupBy(*keep, F.concat_ws(".", "label", "parameter").alias("_name")).agg(F.max_by(F.get(F.col("_spec.terms"), band), F.struct("node", "step")).alias("_term"))
+    return named.groupBy(*keep).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_name", "_term")))).alias("terms"))
+
+
+def overlay_terms(tags: Column, always: Sequence[str], overlays: Sequence[tuple[Sequence[str], Sequence[str]]]) -> Column:
+    """Distinct terms in order: those of every chain, then those of each overlay (tags, terms) of which the chain has a tag."""
+    added = [F.when(F.arrays_overlap(tags, strings(wanted)), strings(terms)).otherwise(strings([])) for wanted, terms in overlays]
+    return F.array_distinct(F.concat(strings(always), *added))
+
+
 def profile(parameters: DataFrame, registry: DataFrame, keep: Sequence[str] = ("clip_id", "plan_id"), structural: Sequence[str] = ()) -> DataFrame:
     """keep, operators, tags: distinct operators in order and the sorted tags that a registry (operator, tags) gives them."""
     used = parameters.where(~F.col("operator").isin(*structural) if structural else F.lit(True)).groupBy(*keep, "operator").agg(F.min(F.struct("node", "step")).alias("at"))

@@ -81,6 +81,11 @@ def mine_phrases(phrases: Column, words: Sequence[str]) -> Column:
     return F.sort_array(F.array_distinct(F.flatten(F.transform(phrases, lambda p: mine_vocabulary(p, words)))))
 
 
+def unclaimed(phrases: Column, claimed: Sequence[str], stop: Sequence[str] = ()) -> Column:
+    """The phrases of an array that resolve to no entry of ``claimed`` and hold no stop word."""
+    return F.filter(phrases, lambda p: resolve_tag(p, claimed).isNull() & (F.size(mine_vocabulary(p, stop)) == 0))
+
+
 def normalize_label(query: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
     """struct(canonical, confidence, source): the name whose alias is the query, else the first whose alias tokens it all holds.
 

@@ -151,6 +151,30 @@ def thinned(joint: DataFrame, keys: Sequence[str], sensitivity: Sequence[float])
     return rows.groupBy(*keys, F.col("seen").alias("mask")).agg(F.sum(part).alias("p"))
 
 
+def cardinality_residuals(counts: DataFrame, predicted: DataFrame, keys: Sequence[str], names: int) -> DataFrame:
+    """keys, residuals (array of size, observed, predicted, residual), worst_size, worst_residual, worst_relative, direction,
+    overstated: how the sizes of the sets seen (keys, mask, n) differ from those of what a thinned joint (keys, mask, p) predicts.
+
+    The worst is the largest residual on either side, at ties the smaller size. More large or small sets than predicted means that
+    independence understates them, and the joint overstates dense or sparse combinations; else nothing is overstated.
+    """
+    size = F.bit_count("mask").alias("size")
+    seen = counts.groupBy(*keys, size).agg(F.sum("n").cast("double").alias("_n"))
+    total = counts.groupBy(*keys).agg(F.sum("n").cast("double").alias("_all"))
+    expected = predicted.groupBy(*keys, size).agg(F.sum("p").alias("predicted"))
+    every = total.withColumn("size", F.explode(F.sequence(F.lit(0), F.lit(names))))
+    joined = every.join(seen, [*keys, "size"], "left").join(expected, [*keys, "size"], "left")
+    observed = F.coalesce(F.try_divide("_n", "_all"), F.lit(0.0))
+    rows = joined.select(*keys, "size", observed.alias("observed"), F.coalesce("predicted", F.lit(0.0)).alias("predicted")).withColumn("residual", F.col("observed") - F.col("predicted"))
+    found = rows.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("size", "observed", "predicted", "residual"))).alias("residuals"), F.max_by(F.struct("size", "predicted", "residual"), F.struct(F.abs("residual"), -F.col("size"))).alias("_w")
+    )
+    at, off = F.col("_w.size"), F.col("_w.residual")
+    overstated = F.when((off > 0) & (at >= names - 1), "dense").when((off > 0) & (at <= 1), "sparse")
+    relative = F.coalesce(F.when(F.col("_w.predicted") > 0, F.abs(off) / F.col("_w.predicted")), F.lit(0.0))
+    return found.select(*keys, "residuals", at.alias("worst_size"), off.alias("worst_residual"), relative.alias("worst_relative"), F.when(overstated.isNotNull(), "understates").otherwise("overstates").alias("direction"), overstated.alias("overstated"))
+
+
 def raked(joint: DataFrame, keys: Sequence[str], targets: Mapping[int, float], rounds: int = 500) -> DataFrame:
     """keys, mask, p: a joint moved to the target rates of its bits by proportional fitting; rates of 0 or 1 stay."""
 

@@ -188,24 +188,30 @@ def expansion_size(rows: DataFrame, factors: Sequence[int]) -> int:
     return size
 
 
-def expand(rows: DataFrame, recipes: DataFrame, grids: Mapping[str, Sequence], when: Column | None = None, targets: str | None = None, cap: int | None = 32, keys: Sequence[str] = (), seed: str = "expand", most: int | None = None) -> DataFrame:
+def expand(rows: DataFrame, recipes: DataFrame, grids: Mapping[str, Sequence], when: Column | None = None, targets: str | None = None, cap: int | None = 32, keys: Sequence[str] = (), seed: str = "expand", most: int | None = None, poisons: DataFrame | None = None, poison_when: Column | None = None, recipe: str = "recipe") -> DataFrame:
     """rows x recipes (a small table) x targets (an array column) x grids of parameter values, filtered by ``when``.
 
     The condition on rows and recipes is applied before targets and grids are spread. cap: variants kept for each of keys, by seeded
-    order; most: an error before anything runs if the product could be larger.
+    order; most: an error before anything runs if the product could be larger. poisons: a small table (recipe and what a poison
+    brings): each plan comes once with every poison of its recipe for which ``poison_when`` holds, with nulls if its recipe has none,
+    and not at all if it has some and none holds.
     """
     from ..functions.text import stable_noise
 
-    if most is not None and (n := expansion_size(rows, [recipes.count(), *map(len, grids.values())])) > most:
+    if most is not None and (n := expansion_size(rows, [recipes.count(), *map(len, grids.values()), *([] if poisons is None else [poisons.count()])])) > most:
         raise ValueError(f"the expansion could make {n} rows")
     wide = rows.crossJoin(F.broadcast(recipes))
     wide = wide if when is None else wide.where(when)
     if targets:
         wide = wide.withColumn("target", F.explode(targets))
+    if poisons is not None:
+        wide = wide.join(F.broadcast(poisons.withColumn("_poison", F.lit(True))), recipe, "left")
+        holds = F.lit(True) if poison_when is None else F.coalesce(poison_when, F.lit(False))
+        wide = wide.where(F.col("_poison").isNull() | holds).drop("_poison")
     for name, values in grids.items():
         wide = wide.withColumn(name, F.explode(F.array(*map(F.lit, values))))
     if cap and keys:
-        identity = [*keys, *(["target"] if targets else []), *grids]
+        identity = [*keys, *(["target"] if targets else []), *([c for c in poisons.columns if c != recipe] if poisons is not None else []), *grids]
         noise = stable_noise(F.lit(seed), *[F.col(c) for c in identity])
         w = Window.partitionBy(*keys).orderBy("_noise", *identity)
         wide = wide.withColumn("_noise", noise).withColumn("variant", F.row_number().over(w)).where(F.col("variant") <= cap).drop("_noise")
@@ -257,6 +263,12 @@ def missing_artifacts(manifest: DataFrame, listing: DataFrame, path: str = "outp
     return joined.withColumn("reason", F.when(F.col(path).isNull(), "no_path").when(F.col("_p").isNull(), "missing_file").when(F.col("_l") == 0, "empty_file")).drop("_p", "_l")
 
 
+def present_only(rows: DataFrame, listing: DataFrame, path: str) -> DataFrame:
+    """rows whose file is listed; those without a path stay."""
+    known = listing.select(F.col("path").alias("_p")).distinct()
+    return rows.join(known, F.col(path) == F.col("_p"), "left").where(F.col(path).isNull() | F.col("_p").isNotNull()).drop("_p")
+
+
 def cache_status(requests: DataFrame, cache: DataFrame, key: str, version: str) -> DataFrame:
     """status, n: requests that the cache answers (hit), has under another version (stale), or lacks (miss). Of several entries of a
     key one of the right version counts."""

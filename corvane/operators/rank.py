@@ -145,6 +145,19 @@ def ordered_targets(targets: Column) -> Column:
     return F.transform(F.sort_array(F.transform(targets, lambda t: F.struct((-t["priority"]).alias("p"), t["stem"].alias("s"), t["tag"].alias("t")))), lambda x: F.struct((-x["p"]).alias("priority"), x["s"].alias("stem"), x["t"].alias("tag")))
 
 
+def ranked_targets(rows: DataFrame, keys: Sequence[str], classes: Sequence[str], value: str, order: Sequence[Column]) -> DataFrame:
+    """rows with rank, from 1, within keys: by ``order`` over columns of few values (classes), then by a number. Rows of one number
+    share the first of their ranks; rows without one have none. Classes are summed up and ranks inside a class counted by buckets, so a
+    key may have any number of rows."""
+    by = [*keys, *classes]
+    inside = counts_below(rows, value, by)
+    before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = inside.select(*by, F.col("total").alias("_rows")).distinct()
+    offsets = sizes.select(*by, F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = inside.join(offsets, by).select(*by, value, (F.col("_before") + F.col("below") + 1).alias("rank"))
+    return rows.join(placed, [*by, value], "left")
+
+
 def first_rows(rows: DataFrame, n: int, *order) -> DataFrame:
     """The first n rows of an explicit order."""
     return rows.orderBy(*order).limit(n)

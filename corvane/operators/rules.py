@@ -202,9 +202,12 @@ def guard(frame: DataFrame, required: Sequence[str] = (), version: str | None =
     return frame
 
 
-def intent_filter(rows: DataFrame, policy: DataFrame, signs: Mapping[str, int] = {}) -> DataFrame:
+def intent_filter(rows: DataFrame, policy: DataFrame, signs: Mapping[str, int] = {}, context: str | None = None, families: Mapping[str, str] = {}, family: str | None = None) -> DataFrame:
     """Observations (source, record, instance, parameter, value, routing) that a policy (parameter, low, high, blocked) lets through:
-    not on a send, not blocked for their source, inside the domain, of the sign asked for; one that fails drops its instance."""
+    not on a send, not blocked for their source, inside the domain, of the sign asked for; one that fails drops its instance.
+    family: only what comes from a context (a column) that ``families``, by lower-cased name, puts into it; other rows are no failures."""
+    if family is not None:
+        rows = rows.where(F.lower(context).isin(*[c for c, f in families.items() if f == family]))
     known = rows.join(policy, "parameter")
     sign = reduce(lambda a, b: a | b, [(F.col("parameter") == p) & (F.signum("value") != s) for p, s in signs.items()], F.lit(False))
     bad = (F.col("routing") == "send") | F.array_contains("blocked", F.col("source")) | ~F.col("value").between(F.col("low"), F.col("high")) | sign

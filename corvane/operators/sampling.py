@@ -45,6 +45,15 @@ def drawn(rows: DataFrame, components: DataFrame, keys: Sequence[str], seed: str
     return joined.select(*[F.col(n) for n in rows.columns], c("component").alias("component"), text.alias("value_text"), value.alias("value"))
 
 
+def sampled_plans(rows: DataFrame, recipes: DataFrame, parameters: DataFrame, components: DataFrame, keys: Sequence[str], count: int, seed: str, when: Column | None = None) -> DataFrame:
+    """keys, recipe, sample, parameter, prior, component, value_text, value: count plans of each row and recipe (a small table) that
+    ``when`` allows, each with one draw for every parameter (recipe, parameter, prior) of its recipe."""
+    wide = rows.crossJoin(F.broadcast(recipes))
+    wide = (wide if when is None else wide.where(when)).select(*keys, "recipe", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("sample"))
+    due = wide.join(F.broadcast(parameters.select("recipe", "parameter", "prior")), "recipe").select(*keys, "recipe", "sample", "parameter", "prior")
+    return drawn(due, components, [*keys, "recipe", "sample", "parameter"], seed)
+
+
 def setting_table(spark: SparkSession, priors: Mapping[str, Mapping]) -> tuple[DataFrame, DataFrame]:
     """(options, components): options (prior, option, from, to, parameters: array of parameter and leaf) of all priors, whose leaves,
     called prior#option.parameter, are the priors of components. As large as the configuration."""

@@ -1,7 +1,7 @@
 """Greedy selections in rounds, and diverse variants.
 
 A gain only falls while rows are chosen, so one that was computed earlier is an upper bound. Rows of equal features have equal gains; a
-round computes them on Spark and brings the first row of each of the best sets of features to the driver, with the next set's gain
+round computes them on Spark and brings the first rows of each of the best sets of features to the driver, with the next set's gain
 as a bound. The driver chooses among them as long as no set that it has used up, and none beyond the bound, could come first. The
 result is that of choosing one row at a time.
 """
@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_noise
@@ -28,43 +28,65 @@ def added(values: Iterable[float]) -> float:
     return total
 
 
-def lazy_greedy(rows: DataFrame, key: str, alike: Sequence[str], score: Callable[[], Column], rescore: Callable[[Row], float], allowed: Callable[[Row], bool], open_: Callable[[DataFrame], DataFrame], take: Callable[[Row, float], None], limit: int, batch: int = 1000) -> list[Row]:
+#: Rows of a set of equal features that a round brings to the driver.
+DEEP = 16
+
+
+def lazy_greedy(rows: DataFrame, key: str, alike: Sequence[str], score: Callable[[], Column], rescore: Callable[[Mapping], float], allowed: Callable[[Mapping], bool], open_: Callable[[DataFrame], DataFrame], take: Callable[[Mapping, float], None], limit: int, batch: int = 1000) -> list[Mapping]:
     """Chosen rows in order. score gives a column under the present state and open_ the rows that it allows, rescore and allowed the
-    same for one row, take changes the state. Rows that are alike in these columns have one score. Ties go to the smaller _tie, then
-    key. The driver holds batch rows and the chosen ones (at most limit)."""
-    chosen: list[Row] = []
+    same for one row, take changes the state; a row that isn't allowed never is again. Rows that are alike in these columns have one
+    score, and callers leave few of them. Ties go to the smaller _tie, then key. The driver holds DEEP rows of each of batch sets, and
+    the chosen ones (at most limit)."""
+    chosen: list[Mapping] = []
     done: set = set()
+    rest = ["_tie", key, *[c for c in rows.columns if c not in (*alike, "_tie", key)]]
     while len(chosen) < limit:
         left = open_(rows)
         if done:
             taken = rows.sparkSession.createDataFrame([(k,) for k in done], rows.select(key).schema)
             left = left.join(F.broadcast(taken), key, "left_anti")
-        rest = [c for c in rows.columns if c not in alike]
-        first = left.groupBy(*alike).agg(F.min_by(F.struct(*rest), F.struct("_tie", key)).alias("_r")).select(*alike, "_r.*")
-        top = first.withColumn("_score", score()).orderBy(F.desc("_score"), "_tie", key).limit(batch + 1).collect()
-        bound = (-top[batch]["_score"], top[batch]["_tie"]) if len(top) > batch else None
-        heap = [(-r["_score"], r["_tie"], n, False) for n, r in enumerate(top[:batch])]
+        first = left.groupBy(*alike).agg(F.slice(F.sort_array(F.collect_list(F.struct(*rest))), 1, DEEP).alias("_rows"))
+        top = first.withColumn("_score", score()).orderBy(F.desc("_score"), F.col("_rows")[0]["_tie"], F.col("_rows")[0][key]).limit(batch + 1).collect()
+        bound = (-top[batch]["_score"], top[batch]["_rows"][0]["_tie"]) if len(top) > batch else None
+        sets = [[{**{c: r[c] for c in alike}, **{c: x[c] for c in rest}} for x in r["_rows"]] for r in top[:batch]]
+        at = [0] * len(sets)
+        heap = [(-r["_score"], s[0]["_tie"], n) for n, (r, s) in enumerate(zip(top, sets))]
         heapq.heapify(heap)
         before = len(chosen)
         while heap and len(chosen) < limit:
-            _, tie, n, spent = heapq.heappop(heap)
-            row = top[n]
-            fresh = (-rescore(row), tie, n, spent or not allowed(row))
+            n = heapq.heappop(heap)[2]
+            mine = sets[n]
+            while at[n] < len(mine) and (mine[at[n]][key] in done or not allowed(mine[at[n]])):
+                at[n] += 1
+            spent = at[n] == len(mine)
+            if spent and len(mine) < DEEP:
+                continue  # the set has no other rows
+            row = mine[-1 if spent else at[n]]
+            fresh = (-rescore(row), row["_tie"], n)
             if heap and fresh > heap[0]:
                 heapq.heappush(heap, fresh)
                 continue
-            if fresh[3] or bound is not None and fresh[:2] > bound:
+            if spent or bound is not None and fresh[:2] > bound:
                 break
             chosen.append(row)
             done.add(row[key])
             take(row, -fresh[0])
-            heapq.heappush(heap, (-rescore(row), tie, n, True))  # others like it may come next
+            heapq.heappush(heap, (-rescore(row), row["_tie"], n))
         if len(chosen) == before:
             break
     return chosen
 
 
-def coverage_selection(plans: DataFrame, limit: int, cap: int = 3, random_fraction: float = 0.15, poison_fraction: float = 0.0, seed: str = "select", seed_dims: Sequence[str] = ("recipe", "target_family"), batch: int = 1000) -> DataFrame:
+def first_of_class(rows: DataFrame, classes: Sequence[str], n: int, order: Sequence[str], buckets: int = 64) -> DataFrame:
+    """The first n rows of each class, first within hashed parts of a class, so that no task holds a large one whole."""
+    part = F.pmod(F.xxhash64(*order), F.lit(buckets))
+    for by in ([*classes, "_part"], list(classes)):
+        ranked = rows.withColumn("_part", part).withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        rows = ranked.where(F.col("_n") <= n).drop("_part", "_n")
+    return rows
+
+
+def coverage_selection(plans: DataFrame, limit: int, cap: int = 3, random_fraction: float = 0.15, poison_fraction: float = 0.0, seed: str = "select", seed_dims: Sequence[str] = ("recipe", "target_family"), batch: int = 4000) -> DataFrame:
     """plan_id, rank, score of plans (plan_id, clip_id, recipe_id, random, poisoned, features: array of struct(dim, bin)) that cover
     features best: each adds weight / (1 + times covered) of its features, a dimension weighing one over its bins.
 
@@ -77,6 +99,12 @@ def coverage_selection(plans: DataFrame, limit: int, cap: int = 3, random_fracti
     groups = rows.groupBy("clip_id", "recipe_id", "random").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.least("n", F.lit(cap)) if cap else F.col("n"))
     have = {r["random"]: r["n"] for r in groups.groupBy("random").agg(F.sum("n").alias("n")).collect()}
     target = min(limit, sum(have.values()))
+    # Of equal plans of one clip and recipe only the first cap can be chosen; of equal plans at most limit are chosen and as many more
+    # closed by their cap. All others could never come first, so the rounds don't see them.
+    rows = rows.drop("features")
+    if cap:
+        rows = first_of_class(rows, ["clip_id", "recipe_id", "random", "poisoned", "_f"], cap, ["_tie", "plan_id"])
+    rows = _stored(spark, first_of_class(rows, ["random", "poisoned", "_f"], 2 * max(limit, 1), ["_tie", "plan_id"]))
     if random_fraction < 1:
         target = min(target, int(have.get(False, 0) / (1 - random_fraction) + 1e-9))
     sizes = rows.select(F.explode("_f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -97,7 +125,7 @@ def coverage_selection(plans: DataFrame, limit: int, cap: int = 3, random_fracti
             worth = F.map_from_arrays(F.array(*[F.lit(f) for f in weights]), F.array(*[F.lit(w / (1 + counts[f])) for f, w in weights.items()])) if weights else None
             return F.aggregate("_f", F.lit(0.0), lambda s, f: s + worth[f]) if weights else F.lit(0.0)
 
-        def allowed(r: Row) -> bool:
+        def allowed(r: Mapping) -> bool:
             return (not cap or used[r["clip_id"], r["recipe_id"]] < cap) and (not r["random"] or state["random"] < most_random) and (not r["poisoned"] or state["poisoned"] < most_poison)
 
         def open_(frame: DataFrame) -> DataFrame:
@@ -110,7 +138,7 @@ def coverage_selection(plans: DataFrame, limit: int, cap: int = 3, random_fracti
                 frame = frame.join(F.broadcast(spark.createDataFrame(full, rows.select("clip_id", "recipe_id").schema)), ["clip_id", "recipe_id"], "left_anti")
             return frame
 
-        def take(r: Row, worth: float) -> None:
+        def take(r: Mapping, worth: float) -> None:
             picked.append((r["plan_id"], len(picked) + 1, worth))
             counts.update(r["_f"])
             used[r["clip_id"], r["recipe_id"]] += 1
@@ -141,11 +169,14 @@ def coverage_table(plans: DataFrame, chosen: DataFrame) -> DataFrame:
     return marked.groupBy("dim", "bin").agg(F.count(F.lit(1)).alias("available"), F.count("_s").alias("selected"))
 
 
-def stratified_cover(rows: DataFrame, key: str, weights: Mapping[str, float], limit: int, caps: Mapping[str, int], base: str | None = None, seed: str = "cover", batch: int = 500) -> DataFrame:
+def stratified_cover(rows: DataFrame, key: str, weights: Mapping[str, float], limit: int, caps: Mapping[str, int], base: str | None = None, seed: str = "cover", batch: int = 2000) -> DataFrame:
     """key, rank, score: rows with the most new values in their array columns, weighted by column, plus a base score; ties by seeded
     noise. caps limit the rows of a column's value; they are lifted once nothing else is left."""
     spark = rows.sparkSession
     rows = rows.withColumn("_tie", -stable_noise(F.lit(seed), F.col(key)))
+    # Rows alike in all that decides are closed together, and at most limit of them are chosen.
+    alike = [*weights, *([base] if base else [])]
+    rows = _stored(spark, first_of_class(rows, [*alike, *[c for c in caps if c not in alike]], max(limit, 1), ["_tie", key]))
     covered: dict[str, set] = {c: set() for c in weights}
     used: dict[str, Counter] = {c: Counter() for c in caps}
     picked: list[tuple] = []
@@ -158,10 +189,10 @@ def stratified_cover(rows: DataFrame, key: str, weights: Mapping[str, float], li
             new = new + F.size(fresh) * w
         return new + (F.col(base) if base else F.lit(0.0))
 
-    def rescore(r: Row) -> float:
+    def rescore(r: Mapping) -> float:
         return added(len(set(r[c]) - covered[c]) * w for c, w in weights.items()) + (r[base] if base else 0.0)
 
-    def allowed(r: Row) -> bool:
+    def allowed(r: Mapping) -> bool:
         return relaxed or all(used[c][r[c]] < n for c, n in caps.items())
 
     def open_(frame: DataFrame) -> DataFrame:
@@ -171,7 +202,7 @@ def stratified_cover(rows: DataFrame, key: str, weights: Mapping[str, float], li
                 frame = frame.join(F.broadcast(spark.createDataFrame(full, rows.select(c).schema)), c, "left_anti")
         return frame
 
-    def take(r: Row, worth: float) -> None:
+    def take(r: Mapping, worth: float) -> None:
         picked.append((r[key], len(picked) + 1, float(worth)))
         for c in weights:
             covered[c].update(r[c])
@@ -183,7 +214,7 @@ def stratified_cover(rows: DataFrame, key: str, weights: Mapping[str, float], li
             left = rows
             if picked:
                 left = rows.join(F.broadcast(spark.createDataFrame([(p[0],) for p in picked], rows.select(key).schema)), key, "left_anti")
-            lazy_greedy(left, key, [*weights, *([base] if base else [])], score, rescore, allowed, open_, take, limit - len(picked), batch)
+            lazy_greedy(left, key, alike, score, rescore, allowed, open_, take, limit - len(picked), batch)
     return spark.createDataFrame(picked, f"{key} {rows.schema[key].dataType.simpleString()}, rank int, score double")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,17 +12,19 @@ from ..operators.rank import weighted_sample
 from ..operators.sampling import drawn, weighted_choice
 
 
-def random_chains(rows: DataFrame, key: str, families: Mapping[str, float], pool: DataFrame, lengths: tuple[int, int], order: Mapping[str, int], most: Mapping[str, int], components: DataFrame, seed: str, attempts: int = 20) -> DataFrame:
+def random_chains(rows: DataFrame, key: str, families: Mapping[str, float] | str, pool: DataFrame, lengths: tuple[int, int], order: Mapping[str, int], most: Mapping[str, int], components: DataFrame, seed: str, attempts: int = 20) -> DataFrame:
     """key, family, position, operator, prior, value_text, value: one chain for each row.
 
-    An attempt draws a family by weight, a length, and so many operators of the family's pool (family, operator, weight, tag, prior)
+    An attempt draws a family by weight (or takes it from a column of rows), a length, and so many operators of the family's pool (family, operator, weight, tag, prior)
     without replacement; the first attempt that is long enough and holds no tag more often than ``most`` is kept. Operators are put in
     the order of their tags and each draws its parameter from its prior. Rows of which no attempt is valid have no chain.
     """
     u = lambda *parts: stable_noise(F.lit(seed), *map(F.lit, parts), F.col(key), F.col("attempt"))
-    tried = rows.select(key, F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
+    given = isinstance(families, str)
+    tried = rows.select(key, *([F.col(families).alias("family")] if given else []), F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
     span = lengths[1] - lengths[0] + 1
-    tried = tried.withColumns({"family": weighted_choice(u("family"), families), "length": (lengths[0] + F.floor(u("length") * span)).cast("int")})
+    tried = tried if given else tried.withColumn("family", weighted_choice(u("family"), families))
+    tried = tried.withColumns({"length": (lengths[0] + F.floor(u("length") * span)).cast("int")})
     spread = tried.join(F.broadcast(pool), "family")
     steps = weighted_sample(spread, [key, "attempt"], "weight", lengths[1], seed, key, "attempt", "operator").where(F.col("draw") <= F.col("length"))
     bad = F.lit(False)
@@ -33,3 +35,32 @@ def random_chains(rows: DataFrame, key: str, families: Mapping[str, float], pool
     rank = F.coalesce(F.create_map(*[x for t, r in order.items() for x in (F.lit(t), F.lit(r))])[F.col("tag")], F.lit(1 << 30))
     kept = kept.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(rank, "draw")))
     return drawn(kept.select(key, "family", "position", "operator", "prior"), components, [key, "operator"], seed)
+
+
+#: Blocks of a graph in each topology.
+BLOCKS = {"serial": ("serial",), "send_return": ("send",), "serial_plus_send": ("serial", "send")}
+
+
+def random_graphs(rows: DataFrame, key: str, families: Mapping[str, float], topologies: Mapping[str, float], serial: Mapping, send: Mapping, levels: DataFrame, components: DataFrame, seed: str, forbidden: Sequence[str] = ()) -> DataFrame:
+    """key, topology, family, block, position, operator, parameter, prior, value_text, value: a graph of one or two blocks for each row.
+
+    A row draws a topology of BLOCKS and a family. serial and send hold pool, lengths, order and most of random_chains; in front of a
+    send the serial block takes no operator of the forbidden tags. levels (topology, parameter, prior) are drawn for the bus, at
+    position 0 of its block. Each value tells its prior. Rows of which a block finds no valid chain have no graph.
+    """
+    u = lambda part: stable_noise(F.lit(seed), F.lit(part), F.col(key))
+    drawn_rows = rows.select(key, weighted_choice(u("topology"), topologies).alias("topology"), weighted_choice(u("family"), families).alias("family"))
+
+    def chains(wanted: Sequence[str], block: str, spec: Mapping, without: Sequence[str] = ()) -> DataFrame:
+        pool = spec["pool"].where(~F.col("tag").isin(*without)) if without else spec["pool"]
+        mine = drawn_rows.where(F.col("topology").isin(*wanted))
+        made = random_chains(mine, key, "family", pool, spec["lengths"], spec["order"], spec["most"], components, f"{seed}|{block}")
+        return made.select(key, F.lit(block).alias("block"), "position", "operator", F.col("prior").alias("parameter"), "prior", "value_text", "value")
+
+    both = chains(["serial"], "serial", serial).unionByName(chains(["serial_plus_send"], "serial", serial, forbidden)).unionByName(chains(["send_return", "serial_plus_send"], "send", send))
+    bus = drawn(drawn_rows.join(F.broadcast(levels), "topology").select(key, "parameter", "prior"), components, [key, "parameter"], f"{seed}|bus")
+    bus = bus.select(key, F.lit("send").alias("block"), F.lit(0).alias("position"), F.lit("send_bus").alias("operator"), "parameter", "prior", "value_text", "value")
+    found = both.groupBy(key).agg(F.countDistinct("block").alias("_n")).join(drawn_rows, key)
+    needed = F.create_map(*[x for t, b in BLOCKS.items() for x in (F.lit(t), F.lit(len(b)))])[F.col("topology")]
+    whole = found.where(F.col("_n") == needed).select(key, "topology", "family")
+    return whole.join(both.unionByName(bus), key)

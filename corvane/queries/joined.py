@@ -147,6 +147,19 @@ def expanded_plans(spark, sf_dir):
     return wide.groupBy("c_custkey", "recipe").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("gain") * 10 + F.col("mix")).alias("total"))
 
 
+@register("poisoned_plans", """
+WITH r AS (SELECT c_custkey, recipe, c_acctbal FROM customer, (VALUES ('a', 0), ('b', 5000), ('c', 0)) r(recipe, least) WHERE c_acctbal >= least),
+p AS (SELECT * FROM (VALUES ('a', 'hum', -10000), ('a', 'clip', 3000), ('b', 'hiss', 7000)) p(recipe, poison, floor))
+SELECT c_custkey, r.recipe, poison, gain FROM r LEFT JOIN p ON p.recipe = r.recipe, (SELECT unnest([1, 2]) AS gain) WHERE poison IS NULL OR c_acctbal >= floor
+""")
+def poisoned_plans(spark, sf_dir):
+    """Plans with each poison that a row allows; a recipe whose poisons all fail has no plan."""
+    recipes = spark.createDataFrame([("a", 0), ("b", 5000), ("c", 0)], "recipe string, least int")
+    poisons = spark.createDataFrame([("a", "hum", -10000), ("a", "clip", 3000), ("b", "hiss", 7000)], "recipe string, poison string, floor int")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return J.expand(rows, recipes, {"gain": [1, 2]}, F.col("c_acctbal") >= F.col("least"), cap=None, poisons=poisons, poison_when=F.col("c_acctbal") >= F.col("floor")).select("c_custkey", "recipe", "poison", "gain")
+
+
 @register("matched_rules", """
 SELECT p_partkey, CASE WHEN p_type = 'SMALL' AND p_size = 7 THEN 'seven' WHEN p_type = 'LARGE' THEN 'large' END AS rule FROM part
 """)

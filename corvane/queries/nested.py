@@ -131,6 +131,30 @@ def operator_profiles(spark, sf_dir):
     return found.select("plan_id", F.sort_array("operators").alias("operators"), "tags")
 
 
+@register("profile_terms", """
+WITH l AS (SELECT o_orderkey AS plan_id, l_linenumber::VARCHAR AS label, l_returnflag AS op, l_quantity::INT AS q, l_discount AS d, l_extendedprice AS e FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+t AS (
+  SELECT plan_id, label || '.quantity' AS name, e, op, CASE WHEN label = '1' THEN CASE WHEN q < 25 THEN 'few' ELSE 'many' END WHEN q < 10 THEN 'low' WHEN q < 30 THEN 'mid' ELSE 'high' END AS term FROM l WHERE op = 'A'
+  UNION ALL SELECT plan_id, label || '.discount', e, op, 'some' FROM l WHERE op = 'R'),
+n AS (SELECT plan_id, name, arg_max(term, (e, op)) AS term FROM t GROUP BY 1, 2)
+SELECT plan_id, coalesce(any_value(named), '') AS terms, CASE WHEN bool_or(op = 'A') THEN 'chain,bright' ELSE 'chain' END || CASE WHEN bool_or(op = 'R') THEN ',tight' ELSE '' END AS overlay
+FROM l LEFT JOIN (SELECT plan_id, string_agg(name || '=' || term, ' ' ORDER BY name) AS named FROM n GROUP BY 1) USING (plan_id) GROUP BY 1
+""")
+def profile_terms(spark, sf_dir):
+    """The first term of each parameter's band, labels with bands of their own, and terms by tags."""
+    rows = N.flatten_graph(plans(spark, sf_dir))
+    registry = spark.createDataFrame([("A", ["eq", "pass"]), ("R", ["dynamics", "eq"])], "operator string, tags array<string>")
+    bands = spark.createDataFrame(
+        [("A", "quantity", None, [10.0, 30.0, 51.0], "ascending", ["low", "mid", "high"]), ("A", "quantity", "1", [25.0, 51.0], "ascending", ["few", "many"]), ("R", "discount", None, [0.05], "absolute", ["some"])],
+        "operator string, parameter string, label string, uppers array<double>, direction string, terms array<string>",
+    )
+    used = N.profile(rows, registry, ["plan_id"], ["send_bus", "apply_gain"])
+    shown = F.array_join(F.transform(F.map_entries("terms"), lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
+    overlay = N.overlay_terms(F.col("tags"), ["chain"], [(["pass"], ["bright", "chain"]), (["dynamics"], ["tight"])])
+    joined = used.join(N.band_terms(rows, bands, ["plan_id"]), "plan_id", "left")
+    return joined.select("plan_id", F.coalesce(shown, F.lit("")).alias("terms"), F.array_join(overlay, ",").alias("overlay"))
+
+
 @register("unwrapped_texts", """
 SELECT doc_id, lang, doc_id % 2 = 0 AS wrapped FROM documents
 """)
@@ -326,6 +350,18 @@ def intent_filter(spark, sf_dir):
     return R.intent_filter(rows, policy).groupBy("source", "parameter").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("family_intents", """
+WITH x AS (SELECT l_returnflag AS source, l_returnflag || '/' || l_orderkey || '/' || l_linenumber || '-' || l_partkey AS instance, l_quantity AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
+SELECT source, count(*) AS n FROM x WHERE instance NOT IN (SELECT instance FROM x WHERE NOT value BETWEEN 10 AND 30) GROUP BY 1
+""")
+def family_intents(spark, sf_dir):
+    """Observations of one family, which a context tells."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.select(F.col("l_returnflag").alias("source"), F.col("l_orderkey").alias("record"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("instance"), F.lit("insert").alias("routing"), F.lit("quantity").alias("parameter"), F.col("l_quantity").alias("value"), "o_orderpriority")
+    policy = spark.createDataFrame([("quantity", 10.0, 30.0, [])], "parameter string, low double, high double, blocked array<string>")
+    return R.intent_filter(rows, policy, context="o_orderpriority", families={"1-urgent": "first", "2-high": "first", "5-low": "last"}, family="first").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("observed_controls", """
 SELECT l_returnflag AS effect, 'quantity' AS parameter, count(*) AS n, sum(l_quantity) AS total FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1
 """)

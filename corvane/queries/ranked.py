@@ -233,13 +233,23 @@ def repaired_chains(spark, sf_dir):
 
 
 @register("ordered_targets", """
-SELECT p_brand, list(p_type || '/' || p_partkey ORDER BY -p_size, p_type, p_partkey::VARCHAR) AS targets FROM part GROUP BY 1
+SELECT p_brand, p_type || '/' || p_partkey AS target, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_type, p_partkey) AS rank FROM part
 """)
 def ordered_targets(spark, sf_dir):
     """G1: candidates by priority."""
-    item = F.struct(F.col("p_size").alias("priority"), F.col("p_type").alias("stem"), F.col("p_partkey").cast("string").alias("tag"))
-    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list(item).alias("t"))
-    return rows.select("p_brand", F.transform(K.ordered_targets(F.col("t")), lambda x: F.concat_ws("/", x["stem"], x["tag"])).alias("targets"))
+    found = K.ranked_targets(table(spark, sf_dir, "part"), ["p_brand"], ["p_size", "p_type"], "p_partkey", [F.desc("p_size"), F.col("p_type")])
+    return found.select("p_brand", F.concat_ws("/", "p_type", "p_partkey").alias("target"), "rank")
+
+
+@register("listed_targets", """
+SELECT o_orderkey, list(l_returnflag || '/' || l_linenumber || '/' || l_partkey ORDER BY -l_quantity, l_returnflag, l_linenumber || '/' || l_partkey) AS targets FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1
+""")
+def listed_targets(spark, sf_dir):
+    """G1: the candidates of each order as an array, by priority; an order has few lines."""
+    item = F.struct(F.col("l_quantity").alias("priority"), F.col("l_returnflag").alias("stem"), F.concat_ws("/", "l_linenumber", "l_partkey").alias("tag"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(item).alias("t"))
+    rows = rows.join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return rows.select("o_orderkey", F.transform(K.ordered_targets(F.col("t")), lambda x: F.concat_ws("/", x["stem"], x["tag"])).alias("targets"))
 
 
 @register("largest_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")

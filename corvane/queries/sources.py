@@ -134,18 +134,25 @@ def lookup_table(spark, sf_dir):
     return R.scan_lookup(spark, path, "key", "value")
 
 
-@register("inventory_status", "SELECT 'ok' AS status, 20::BIGINT AS n UNION ALL SELECT 'missing', 1 UNION ALL SELECT 'differs', 1")
+@register("inventory_status", f"""
+WITH f AS (SELECT source, ceil(count(*) / {ARCHIVE_ROWS}.0)::BIGINT AS files FROM documents GROUP BY 1), b AS (SELECT DISTINCT source, doc_id % files AS part FROM documents JOIN f USING (source))
+SELECT source, count(*) FILTER (WHERE part > 0) AS ok, count(*) FILTER (WHERE part = 0) AS differs, 1::BIGINT AS missing FROM b GROUP BY 1
+""")
 def inventory_status(spark, sf_dir):
-    """Files listed, and held against their hashes."""
+    """Files listed and held against their hashes; of each source, part 0 has another hash and one more file is expected.
+    Files hold about ARCHIVE_ROWS rows, so what a hash is taken of is bounded."""
     path = W.scratch(spark)
-    by = table(spark, sf_dir, "documents").select("source", F.concat_ws(",", "doc_id", "lang").alias("value"))
-    by.repartition(8, "source").sortWithinPartitions("source", "value").write.partitionBy("source").text(path)
-    content = by.groupBy("source").agg(F.concat(F.array_join(F.sort_array(F.collect_list("value")), "\n"), F.lit("\n")).alias("c"))
-    listed = R.list_files(spark, path, "*.txt").select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("name"), F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"))
-    inventory = listed.join(content, "source").select("name", F.sha2("c", 256).alias("sha256"))
-    bad = spark.createDataFrame([("none.txt", "x")], "name string, sha256 string").unionByName(inventory.orderBy("name").limit(1).select("name", F.lit("y").alias("sha256")))
-    found = R.verify_inventory(spark, path, inventory.unionByName(bad), 2)
-    return found.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    sizes = docs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / ARCHIVE_ROWS).alias("files"))
+    by = docs.join(sizes, "source").select("source", F.pmod("doc_id", "files").alias("part"), F.concat_ws(",", "doc_id", "lang").alias("value"))
+    by.repartition("source", "part").sortWithinPartitions("source", "part", "value").write.option("maxRecordsPerFile", 0).partitionBy("source", "part").text(path)
+    content = by.groupBy("source", "part").agg(F.concat(F.array_join(F.sort_array(F.collect_list("value")), "\n"), F.lit("\n")).alias("c"))
+    place = F.split("path", "/")
+    listed = R.list_files(spark, path, "*.txt").select(F.array_join(F.slice(place, -3, 3), "/").alias("name"), F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.regexp_extract("path", "part=([^/]+)/", 1).cast("long").alias("part"))
+    known = listed.join(content, ["source", "part"]).select("name", F.when(F.col("part") > 0, F.sha2("c", 256)).otherwise("y").alias("sha256"))
+    lost = sizes.select(F.concat(F.lit("source="), "source", F.lit("/part=none/none.txt")).alias("name"), F.lit("x").alias("sha256"))
+    found = R.verify_inventory(spark, path, known.unionByName(lost), 3).withColumn("source", F.regexp_extract("name", "source=([^/]+)/", 1))
+    return found.groupBy("source").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "differs", "missing")])
 
 
 @register("many_files", "SELECT lang || '.json' AS kind, count(*) AS n FROM documents GROUP BY 1")

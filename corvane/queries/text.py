@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import joins as J
 from ..registry import register
 
 
@@ -52,6 +53,16 @@ def resolved_tags(spark, sf_dir):
 MINED = ("the of", "und der", "la", "de los", "que", "and", "nicht")
 
 
+@register("unclaimed_tags", """
+SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda w: w NOT IN ('ring', 'rings', 'small')) AS left_over FROM part WHERE p_size % 3 > 0 OR p_brand IN (SELECT p_brand FROM part WHERE p_type = 'SMALL' GROUP BY 1)
+""")
+def unclaimed_tags(spark, sf_dir):
+    """Phrases that name no target and hold no stop word, of rows whose file is there or isn't asked for."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("file", F.when(F.col("p_size") % 3 == 0, F.col("p_brand")))
+    listing = part.where("p_type = 'SMALL'").select(F.col("p_brand").alias("path"))
+    return J.present_only(part, listing, "file").select("p_partkey", T.unclaimed(F.split("p_name", " "), ["ring"], ["small"]).alias("left_over"))
+
+
 @register("mined_vocabulary", r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)
 SELECT doc_id, list_filter(['the of', 'und der', 'la', 'de los', 'que', 'and', 'nicht'], lambda v: list_has_all(w, string_split(v, ' '))) AS found FROM t
