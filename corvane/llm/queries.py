@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import OP2_SQL, op2_one_bit_neighbours
 from .bpe import op4_bpe_round_trip
+from .centroids import OP12_SQL, op12_ptolemaic_clusters
 from .simhash import op5_simhash_components
 from .lattice import op6_lattice_scores
 from .mixing import OP7_SQL, op7_mix_sources
@@ -12,6 +13,7 @@ from .rollup import op9_token_rollup
 from .sharding import OP10_SQL, op10_extendible_shards
 from .suffix import op8_suffix_removal
 from .token_store import op1_token_id_output
+from .whitening import op13_whitened_embeddings
 
 QUERIES = {
     "op1_token_id_output": op1_token_id_output,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_suffix_removal": op8_suffix_removal,
     "op9_token_rollup": op9_token_rollup,
     "op10_extendible_shards": op10_extendible_shards,
+    "op12_ptolemaic_clusters": op12_ptolemaic_clusters,
+    "op13_whitened_embeddings": op13_whitened_embeddings,
 }
 
 ORACLE_SQL = {
@@ -31,4 +35,5 @@ ORACLE_SQL = {
     "op3_line_frequency_rules": OP3_SQL,
     "op7_mix_sources": OP7_SQL,
     "op10_extendible_shards": OP10_SQL,
+    "op12_ptolemaic_clusters": OP12_SQL,
 }
