@@ -10,6 +10,7 @@ from .lattice import op6_lattice_scores
 from .mixing import OP7_SQL, op7_mix_sources
 from .quality import OP3_SQL, op3_line_frequency_rules
 from .rollup import op9_token_rollup
+from .secrets import op11_secret_spans
 from .sharding import OP10_SQL, op10_extendible_shards
 from .suffix import op8_suffix_removal
 from .token_store import op1_token_id_output
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_removal": op8_suffix_removal,
     "op9_token_rollup": op9_token_rollup,
     "op10_extendible_shards": op10_extendible_shards,
+    "op11_secret_spans": op11_secret_spans,
     "op12_ptolemaic_clusters": op12_ptolemaic_clusters,
     "op13_whitened_embeddings": op13_whitened_embeddings,
 }
