@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,35 @@ from pyspark.sql import types as T
 
 from ..functions.nested import has_path
 
-ORDERINGS: dict[str, Callable[[Column, Column], Column]] = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}
+
+@dataclass(frozen=True)
+class Read:
+    """What a condition reads: the value of its path, whether it is there, and the value as a list (a single one as a list of one)."""
+
+    value: Column
+    there: Column
+    listed: Callable[[], Column]
+
+
+#: Two-valued columns by the key of a condition on a path, and (allowed, weight) by the action of a rule that applies where hit holds.
+CONDITIONS: dict[str, Callable[[Mapping, Read], Column]] = {}
+ACTIONS: dict[str, Callable[[Mapping, Column, Column, Column], tuple[Column, Column]]] = {}
+#: Conditions made of others.
+NESTED = ("all", "any", "not")
+
+
+def register_condition(key: str, compiled: Callable[[Mapping, Read], Column]) -> None:
+    """Adds a condition: compiled(spec, read) gives its column, in which null counts as false. A key that there is is an error."""
+    if key in CONDITIONS or key in NESTED:
+        raise ValueError(f"two conditions are named {key}")
+    CONDITIONS[key] = compiled
+
+
+def register_action(name: str, compiled: Callable[[Mapping, Column, Column, Column], tuple[Column, Column]]) -> None:
+    """Adds a rule action: compiled(rule, hit, allowed, weight) gives allowed and weight after it. A name that there is is an error."""
+    if name in ACTIONS:
+        raise ValueError(f"two actions are named {name}")
+    ACTIONS[name] = compiled
 
 
 def _is_list(frame: DataFrame, path: str) -> bool:
@@ -26,7 +55,7 @@ def paths(condition: Mapping | None) -> list[str]:
     """All paths that a condition reads."""
     found: list[str] = []
     for key, inner in (condition or {}).items():
-        if key in ("all", "any", "not"):
+        if key in NESTED:
             for item in inner if isinstance(inner, list) else [inner]:
                 found += paths(item)
         else:
@@ -35,7 +64,8 @@ def paths(condition: Mapping | None) -> list[str]:
 
 
 def condition_column(frame: DataFrame, condition: Mapping | None, strict: bool = True, fields: Mapping[str, tuple[Column, Column]] = {}) -> Column:
-    """A two-valued column for a nested condition: eq neq gt gte lt lte, all any not, exists in contains_any contains_all.
+    """A two-valued column for a nested condition: eq neq gt gte lt lte, all any not, exists in contains_any contains_all, and what
+    register_condition has added.
 
     No condition is true. What is absent is false, before any not. With strict a path that the frame lacks stops, as a rule on it
     could never fire; else it counts as absent. A null leaf is absent, except for the paths of ``fields``, which give their values
@@ -60,21 +90,36 @@ def condition_column(frame: DataFrame, condition: Mapping | None, strict: bool =
         raise ValueError(f"no such path: {path}")
     else:
         return F.lit(False)
-    if key == "exists":
-        return there
-    if key in ("contains_any", "contains_all"):
-        held = value if path not in fields and _is_list(frame, path) else F.array(value)
-        wanted = [F.exists(held, partial(_same, v)) for v in spec["values"]]
-        return F.coalesce(reduce((lambda a, b: a | b) if key == "contains_any" else (lambda a, b: a & b), wanted, F.lit(key == "contains_all")), F.lit(False)) & there
-    if key == "in":
-        return reduce(lambda a, b: a | b, [value.eqNullSafe(F.lit(v)) for v in spec["values"]], F.lit(False)) & there
-    if key == "eq":
-        return value.eqNullSafe(F.lit(spec["value"])) & there
-    if key == "neq":
-        return ~value.eqNullSafe(F.lit(spec["value"])) & there
-    if key in ORDERINGS:
-        return F.coalesce(ORDERINGS[key](value, F.lit(spec["value"])), F.lit(False))
-    raise ValueError(f"unknown condition: {key}")
+    if key not in CONDITIONS:
+        raise ValueError(f"unknown condition: {key}")
+    listed = lambda: value if path not in fields and _is_list(frame, path) else F.array(value)
+    return F.coalesce(CONDITIONS[key](spec, Read(value, there, listed)), F.lit(False))
+
+
+def _contains(spec: Mapping, read: Read, every: bool) -> Column:
+    held = read.listed()
+    wanted = [F.exists(held, partial(_same, v)) for v in spec["values"]]
+    return F.coalesce(reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), wanted, F.lit(every)), F.lit(False)) & read.there
+
+
+def _ordering(compare: Callable[[Column, Column], Column]) -> Callable[[Mapping, Read], Column]:
+    return lambda spec, read: compare(read.value, F.lit(spec["value"]))
+
+
+CONDITIONS |= {
+    "exists": lambda spec, read: read.there,
+    "contains_any": lambda spec, read: _contains(spec, read, False),
+    "contains_all": lambda spec, read: _contains(spec, read, True),
+    "in": lambda spec, read: reduce(lambda a, b: a | b, [read.value.eqNullSafe(F.lit(v)) for v in spec["values"]], F.lit(False)) & read.there,
+    "eq": lambda spec, read: read.value.eqNullSafe(F.lit(spec["value"])) & read.there,
+    "neq": lambda spec, read: ~read.value.eqNullSafe(F.lit(spec["value"])) & read.there,
+    "gt": _ordering(lambda a, b: a > b), "gte": _ordering(lambda a, b: a >= b), "lt": _ordering(lambda a, b: a < b), "lte": _ordering(lambda a, b: a <= b),
+}
+ACTIONS |= {
+    "multiply": lambda rule, hit, allowed, weight: (allowed, F.when(hit, weight * float(rule.get("multiplier", 1.0))).otherwise(weight)),
+    "add": lambda rule, hit, allowed, weight: (allowed, F.when(hit, weight + float(rule.get("delta", 0.0))).otherwise(weight)),
+    "reject": lambda rule, hit, allowed, weight: (allowed & ~hit, weight),
+}
 
 
 def fired_rules(frame: DataFrame, rules: Mapping[str, Mapping]) -> Column:
@@ -83,20 +128,16 @@ def fired_rules(frame: DataFrame, rules: Mapping[str, Mapping]) -> Column:
 
 
 def resolve_weight(frame: DataFrame, base: Column, rules: Sequence[Mapping]) -> Column:
-    """struct(allowed, weight, applied): rules (name, when, action multiply/add/reject) in order; the first reject stops the rest."""
+    """struct(allowed, weight, applied): rules (name, when, action: multiply, add, reject or a registered one) in order; what the first
+    reject lets through stops the rest."""
     allowed, weight, applied = F.lit(True), base.cast("double"), []
     for rule in rules:
         hit = condition_column(frame, rule.get("when")) & allowed
         action = rule.get("action", "multiply")
         applied.append(F.when(hit, F.lit(rule.get("name", "rule"))))
-        if action == "multiply":
-            weight = F.when(hit, weight * float(rule.get("multiplier", 1.0))).otherwise(weight)
-        elif action == "add":
-            weight = F.when(hit, weight + float(rule.get("delta", 0.0))).otherwise(weight)
-        elif action == "reject":
-            allowed = allowed & ~hit
-        else:
+        if action not in ACTIONS:
             raise ValueError(f"unknown action: {action}")
+        allowed, weight = ACTIONS[action](rule, hit, allowed, weight)
     return F.struct(allowed.alias("allowed"), weight.alias("weight"), F.array_compact(F.array(*applied)).cast("array<string>").alias("applied"))
 
 

@@ -39,7 +39,7 @@ def drawn(rows: DataFrame, components: DataFrame, keys: Sequence[str], seed: str
     joined = keyed.join(F.broadcast(ranged), name == F.col("_prior")).where((F.col("_u") >= c("_from")) & ((F.col("_u") < c("_to")) | c("_last")))
     _, a, b = D._space(c, c("low"))
     kernel = D.kernel_quantile(c("family"), F.col("_p"), a, b, F.coalesce(c("mean"), c("alpha")), F.coalesce(c("std"), c("beta")))
-    x = F.when(c("family").isin("normal", "beta"), F.when(c("scale") == "log", F.exp(kernel)).otherwise(kernel)).otherwise(D.closed_quantile(F.col("_p"), c))
+    x = F.when(c("family").isin(*D.KERNELS), F.when(c("scale") == "log", F.exp(kernel)).otherwise(kernel)).otherwise(D.closed_quantile(F.col("_p"), c))
     text = F.when(c("family") == D.DISCRETE, c("value")).otherwise(x.cast("string"))
     value = F.when(c("family") == D.DISCRETE, c("value").try_cast("double")).otherwise(x)
     return joined.select(*[F.col(n) for n in rows.columns], c("component").alias("component"), text.alias("value_text"), value.alias("value"))

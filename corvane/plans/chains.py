@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,14 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.text import stable_noise
 from ..operators.rank import weighted_sample
 from ..operators.sampling import drawn, weighted_choice
+from .values import with_parameters
 
 
-def random_chains(rows: DataFrame, key: str, families: Mapping[str, float] | str, pool: DataFrame, lengths: tuple[int, int], order: Mapping[str, int], most: Mapping[str, int], components: DataFrame, seed: str, attempts: int = 20) -> DataFrame:
-    """key, family, position, operator, prior, value_text, value: one chain for each row.
+def chosen_chains(rows: DataFrame, key: str, families: Mapping[str, float] | str, pool: DataFrame, lengths: tuple[int, int], order: Mapping[str, int], most: Mapping[str, int], seed: str, attempts: int = 20) -> DataFrame:
+    """key, family, position, operator and the pool's further columns: the steps of one chain for each row.
 
-    An attempt draws a family by weight (or takes it from a column of rows), a length, and so many operators of the family's pool (family, operator, weight, tag, prior)
+    An attempt draws a family by weight (or takes it from a column of rows), a length, and so many operators of the family's pool (family, operator, weight, tag)
     without replacement; the first attempt that is long enough and holds no tag more often than ``most`` is kept. Operators are put in
-    the order of their tags and each draws its parameter from its prior. Rows of which no attempt is valid have no chain.
+    the order of their tags. Rows of which no attempt is valid have no chain.
     """
     u = lambda *parts: stable_noise(F.lit(seed), *map(F.lit, parts), F.col(key), F.col("attempt"))
     given = isinstance(families, str)
@@ -27,13 +29,21 @@ def random_chains(rows: DataFrame, key: str, families: Mapping[str, float] | str
     tried = tried.withColumns({"length": (lengths[0] + F.floor(u("length") * span)).cast("int")})
     spread = tried.join(F.broadcast(pool), "family")
     steps = weighted_sample(spread, [key, "attempt"], "weight", lengths[1], seed, key, "attempt", "operator").where(F.col("draw") <= F.col("length"))
-    bad = F.lit(False)
+    tried_once = Window.partitionBy(key, "attempt")
+    valid = F.count(F.lit(1)).over(tried_once) >= lengths[0]
     for tag, n in most.items():
-        bad = bad | (F.count_if(F.col("tag") == tag) > n)
-    good = steps.groupBy(key, "attempt").agg(F.count(F.lit(1)).alias("n"), bad.alias("bad")).where((F.col("n") >= lengths[0]) & ~F.col("bad")).groupBy(key).agg(F.min("attempt").alias("attempt"))
-    kept = steps.join(good, [key, "attempt"])
+        valid = valid & (F.count_if(F.col("tag") == tag).over(tried_once) <= n)
+    steps = steps.withColumn("_valid", valid).withColumn("_first", F.min(F.when(F.col("_valid"), F.col("attempt"))).over(Window.partitionBy(key)))  # a row's attempts are few
+    kept = steps.where("attempt = _first")
     rank = F.coalesce(F.create_map(*[x for t, r in order.items() for x in (F.lit(t), F.lit(r))])[F.col("tag")], F.lit(1 << 30))
     kept = kept.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(rank, "draw")))
+    return kept.select(key, "family", "position", "operator", *[c for c in pool.columns if c not in ("family", "operator", "weight", "tag")])
+
+
+def random_chains(rows: DataFrame, key: str, families: Mapping[str, float] | str, pool: DataFrame, lengths: tuple[int, int], order: Mapping[str, int], most: Mapping[str, int], components: DataFrame, seed: str, attempts: int = 20) -> DataFrame:
+    """key, family, position, operator, prior, component, value_text, value: chosen_chains of a pool that has a prior for each
+    operator, from which each draws its parameter."""
+    kept = chosen_chains(rows, key, families, pool, lengths, order, most, seed, attempts)
     return drawn(kept.select(key, "family", "position", "operator", "prior"), components, [key, "operator"], seed)
 
 
@@ -41,26 +51,40 @@ def random_chains(rows: DataFrame, key: str, families: Mapping[str, float] | str
 BLOCKS = {"serial": ("serial",), "send_return": ("send",), "serial_plus_send": ("serial", "send")}
 
 
-def random_graphs(rows: DataFrame, key: str, families: Mapping[str, float], topologies: Mapping[str, float], serial: Mapping, send: Mapping, levels: DataFrame, components: DataFrame, seed: str, forbidden: Sequence[str] = ()) -> DataFrame:
+def random_graphs(
+    rows: DataFrame, key: str, families: Mapping[str, float] | str, topologies: Mapping[str, float], serial: Mapping, send: Mapping, levels: DataFrame, components: DataFrame, seed: str, forbidden: Sequence[str] = (),
+    definitions: Mapping[str, Mapping[str, Any]] = {}, priors: Mapping[str, Mapping] = {}, context: Sequence[str] = (),
+) -> DataFrame:
     """key, topology, family, block, position, operator, parameter, prior, value_text, value: a graph of one or two blocks for each row.
 
-    A row draws a topology of BLOCKS and a family. serial and send hold pool, lengths, order and most of random_chains; in front of a
-    send the serial block takes no operator of the forbidden tags. levels (topology, parameter, prior) are drawn for the bus, at
-    position 0 of its block. Each value tells its prior. Rows of which a block finds no valid chain have no graph.
+    A row draws a topology of BLOCKS and a family (or takes it from a column). serial and send hold pool, lengths, order and most of
+    chosen_chains; in front of a send the serial block takes no operator of the forbidden tags. levels (topology, parameter, prior) are
+    drawn for the bus, at position 0 of its block. Each value tells its prior. Rows of which a block finds no valid chain have no graph.
+
+    Without definitions an operator has one parameter, named like the prior of its pool. With them (operator: parameter: spec) its
+    parameters are those, as ``values`` compiles them over ``priors`` and the context: columns of rows (tempo and the like), and family
+    if it is named. The result also has drawn and these columns.
     """
     u = lambda part: stable_noise(F.lit(seed), F.lit(part), F.col(key))
-    drawn_rows = rows.select(key, weighted_choice(u("topology"), topologies).alias("topology"), weighted_choice(u("family"), families).alias("family"))
+    family = F.col(families) if isinstance(families, str) else weighted_choice(u("family"), families)
+    clip = [c for c in context if c != "family"]
+    drawn_rows = rows.select(key, weighted_choice(u("topology"), topologies).alias("topology"), family.alias("family"), *clip)
+    columns = [key, "block", "position", "operator", "parameter", "prior", "value_text", "value", *(["drawn"] if definitions else [])]
 
     def chains(wanted: Sequence[str], block: str, spec: Mapping, without: Sequence[str] = ()) -> DataFrame:
         pool = spec["pool"].where(~F.col("tag").isin(*without)) if without else spec["pool"]
         mine = drawn_rows.where(F.col("topology").isin(*wanted))
-        made = random_chains(mine, key, "family", pool, spec["lengths"], spec["order"], spec["most"], components, f"{seed}|{block}")
-        return made.select(key, F.lit(block).alias("block"), "position", "operator", F.col("prior").alias("parameter"), "prior", "value_text", "value")
+        if not definitions:
+            made = random_chains(mine, key, "family", pool, spec["lengths"], spec["order"], spec["most"], components, f"{seed}|{block}").withColumn("parameter", F.col("prior"))
+            return made.withColumn("block", F.lit(block)).select(*columns)
+        steps = chosen_chains(mine, key, "family", pool, spec["lengths"], spec["order"], spec["most"], f"{seed}|{block}")
+        steps = steps.join(drawn_rows.select(key, *clip), key) if clip else steps
+        return with_parameters(steps, [key], definitions, priors, context, f"{seed}|{block}").withColumn("block", F.lit(block)).select(*columns)
 
     both = chains(["serial"], "serial", serial).unionByName(chains(["serial_plus_send"], "serial", serial, forbidden)).unionByName(chains(["send_return", "serial_plus_send"], "send", send))
     bus = drawn(drawn_rows.join(F.broadcast(levels), "topology").select(key, "parameter", "prior"), components, [key, "parameter"], f"{seed}|bus")
-    bus = bus.select(key, F.lit("send").alias("block"), F.lit(0).alias("position"), F.lit("send_bus").alias("operator"), "parameter", "prior", "value_text", "value")
-    found = both.groupBy(key).agg(F.countDistinct("block").alias("_n")).join(drawn_rows, key)
+    bus = bus.withColumns({"block": F.lit("send"), "position": F.lit(0), "operator": F.lit("send_bus"), "drawn": F.col("value_text")}).select(*columns)
     needed = F.create_map(*[x for t, b in BLOCKS.items() for x in (F.lit(t), F.lit(len(b)))])[F.col("topology")]
-    whole = found.where(F.col("_n") == needed).select(key, "topology", "family")
-    return whole.join(both.unionByName(bus), key)
+    chained = F.size(F.collect_set(F.when(F.col("operator") != "send_bus", F.col("block"))).over(Window.partitionBy(key)))  # a graph's rows are few
+    facts = drawn_rows.select(key, "topology", "family", *clip)
+    return facts.join(both.unionByName(bus), key).withColumn("_n", chained).where(F.col("_n") == needed).drop("_n")
