@@ -199,7 +199,46 @@ def streamed_checks(spark, sf_dir):
     return spark.read.parquet(out).groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("streamed_json_checks", r"""
+SELECT CASE WHEN len(regexp_extract_all(text, '->')) + len(regexp_extract_all(text, '\w+\([A-Za-z_]+\s*=')) > 0 THEN 'reject' WHEN len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) > 300 THEN 'review' ELSE 'accept' END AS disposition, source, count(*) AS n FROM documents GROUP BY 1, 2
+""")
+def streamed_json_checks(spark, sf_dir):
+    """2.10: lines of JSON as a stream, one source after the other; each call decides what came since the last."""
+    source, out, checkpoint = W.scratch(spark), W.scratch(spark), W.scratch(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    half = F.pmod(F.xxhash64("source"), F.lit(2)) == 0
+    for part in (docs.where(half), docs.where(~half | half.isNull())):
+        W.write_jsonl(part, source, mode="append")
+        S.resume(spark, source, docs.schema, out, checkpoint, kind="json", identifiers=["apply_gain"], forbidden=[], max_words=300)
+    return spark.read.parquet(out).groupBy("disposition", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("hourly_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def hourly_counts(spark, sf_dir):
-    """Windowed counts, alike for a table and a stream."""
+    """Windowed counts of a table."""
     return S.counts_by_window(table(spark, sf_dir, "events").select("ts", "event_type"), "ts", "event_type")
+
+
+#: Days of each wave of files, days that a late event comes after its own wave's, and the hours that a window waits for it.
+WAVE_DAYS, WAIT_HOURS = 8, 30
+WAVE = f"least(3, (day(ts) - 1) // {WAVE_DAYS})"
+
+
+@register("streamed_windows", f"""
+WITH e AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN least(3, {WAVE} + 1) ELSE {WAVE} END AS wave, time_bucket(INTERVAL 6 HOURS, ts) AS start FROM events),
+w AS (SELECT wave, max(max(ts)) OVER (ORDER BY wave) - INTERVAL {WAIT_HOURS} HOURS AS mark FROM e GROUP BY wave),
+kept AS (SELECT e.* FROM e LEFT JOIN w ON w.wave = e.wave - 1 WHERE w.mark IS NULL OR start + INTERVAL 6 HOURS > w.mark)
+SELECT start, event_type, count(*) AS n FROM kept WHERE start + INTERVAL 6 HOURS <= (SELECT max(mark) FROM w) GROUP BY 1, 2
+""")
+def streamed_windows(spark, sf_dir):
+    """2.10: windowed counts of a stream of JSON files in four waves, a tenth of the events a wave late. Each wave is a run of its own
+    that resumes from the checkpoint, and one more run finds nothing new."""
+    source, out, checkpoint = W.scratch(spark), W.scratch(spark), W.scratch(spark)
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    own = F.least(F.lit(3), F.floor((F.dayofmonth("ts") - 1) / WAVE_DAYS))
+    wave = F.when(F.col("event_id") % 10 == 0, F.least(F.lit(3), own + 1)).otherwise(own)
+    for k in (0, 1, 2, 3, None):
+        if k is not None:
+            W.write_jsonl(events.where(wave == k), source, mode="append")
+        S.resume_counts(spark, source, events.schema, out, checkpoint, "ts", "event_type", f"{WAIT_HOURS} hours", "6 hours", "json")
+    return S.seen_windows(spark, out, "event_type")
