@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranges import BEFORE, RANGE, across, carried, dealt, with_carried, within
+
 
 def duplicated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, n of keys that several rows have."""
@@ -90,21 +92,24 @@ def from_provenance(rows: DataFrame, used: DataFrame, keys: Sequence[str]) -> Da
     return rows.join(used.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def next_after(events: DataFrame, targets: DataFrame, keys: Sequence[str], at: str, target: str, until: Column | None = None) -> DataFrame:
+def next_after(events: DataFrame, targets: DataFrame, keys: Sequence[str], at: str, target: str, until: Column | None = None, ranges: int | None = None) -> DataFrame:
     """events with the first target after each of them in its group, up to ``until`` (a column of events) if given; null without one.
 
-    Both go into one table, sorted once by group and place; the next target is carried back over it, so no pairs are made. Targets
-    at the same place don't count as after.
+    Both go into one table, dealt to ranges of group and place. The next target is carried back over a range, and over the borders of
+    ranges by a table of each range's first target, so a group may have any size and no pairs are made. Targets at the same place
+    don't count as after.
     """
     limit = F.lit(None) if until is None else until
     e = events.select("*", limit.alias("_until"), F.lit(0).alias("_kind"), F.lit(None).alias("_t"))
     t = targets.select(*keys, F.col(at), F.struct(F.col(at).alias("at"), F.col(target).alias("value")).alias("_t"), F.lit(1).alias("_kind"))
-    both = e.withColumn("_t", F.lit(None).cast(t.schema["_t"].dataType)).unionByName(t, allowMissingColumns=True)
-    later = Window.partitionBy(*keys).orderBy(F.col(at).desc(), F.col("_kind").asc())
-    found = F.last("_t", ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("_n", found).where("_kind = 0")
+    both = dealt(e.withColumn("_t", F.lit(None).cast(t.schema["_t"].dataType)).unionByName(t, allowMissingColumns=True), keys, [at], ranges)
+    later = within(keys).orderBy(F.col(at).desc(), F.col("_kind").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    parts = both.groupBy(*keys, RANGE).agg(F.min_by("_t", F.when(F.col("_t").isNotNull(), F.col(at))).alias("_first"))
+    carry = carried(parts, keys, _after=F.last("_first", ignorenulls=True).over(across(keys, forward=False).rowsBetween(*BEFORE)))
+    found = both.withColumn("_own", F.last("_t", ignorenulls=True).over(later)).where("_kind = 0")
+    out = with_carried(found, carry, keys).withColumn("_n", F.coalesce("_own", "_after"))
     hit = F.col("_n").isNotNull() & (F.col("_until").isNull() | (F.col("_n.at") < F.col("_until")))
-    return out.withColumn("next_at", F.when(hit, F.col("_n.at"))).withColumn("next_target", F.when(hit, F.col("_n.value"))).drop("_until", "_kind", "_t", "_n")
+    return out.select(*events.columns, F.when(hit, F.col("_n.at")).alias("next_at"), F.when(hit, F.col("_n.value")).alias("next_target"))
 
 
 def with_only_target(found: DataFrame, targets: DataFrame, keys: Sequence[str], target: str, out: str = "next_target") -> DataFrame:
@@ -113,14 +118,42 @@ def with_only_target(found: DataFrame, targets: DataFrame, keys: Sequence[str],
     return found.join(only, list(keys), "left").withColumn(out, F.coalesce(out, "_only")).drop("_only")
 
 
+def _slots(lo: Column, hi: Column, width: float, levels: int) -> Column:
+    """The fewest slots of widths width * 2^level that together are the unit slots from lo to hi: at most two of each level."""
+    first, end = F.floor(lo / width).cast("long"), F.floor(hi / width).cast("long") + 1
+    parts = []
+    for k in range(levels + 1):
+        a, b = -F.shiftright(-first, k), F.shiftright(end, k)
+        node = lambda x, k=k: F.struct(F.lit(k).alias("level"), x.alias("slot"))
+        parts += [F.when((a < b) & (F.pmod(a, F.lit(2)) == 1), node(a)), F.when((a < b) & (F.pmod(b, F.lit(2)) == 1), node(b - 1))]
+        if k == levels:  # what is left in the widest level is all of it
+            parts = parts[:-2] + [F.when(a < b, F.transform(F.sequence(a, b - 1), lambda x: node(x)))]
+    return F.concat(F.array_compact(F.array(*parts[:-1])), F.coalesce(parts[-1], F.array())) if levels else F.coalesce(parts[-1], F.array())
+
+
+def _above(point: Column, width: float, levels: int) -> Column:
+    """The slots of all levels that a point lies in."""
+    unit = F.floor(point / width).cast("long")
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(unit, k).alias("slot")) for k in range(levels + 1)])
+
+
 def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
-    """Pairs of intervals (keys, lo, hi) that share more than a point, right's columns with the prefix r_. Intervals are cut into
-    slots of ``width``, equal slots meet, and a pair is kept in the slot of the later start only, so it comes once."""
-    slot = lambda d: d.withColumn("_s", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    """Pairs of intervals (keys, lo, hi) that share more than a point, right's columns with the prefix r_.
+
+    The later start of such a pair lies in the other interval. So starts meet intervals: an interval is cut into slots whose widths are
+    width times powers of two, at most two of each, a start goes into one slot of each width, and equal slots meet. A pair meets in one
+    slot only. An interval over the whole range makes a few dozen rows, whatever the width.
+    """
     r = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
-    r = r.withColumn("_s", F.explode(F.sequence(F.floor(F.col("r_lo") / width), F.floor(F.col("r_hi") / width))))
-    first = F.floor(F.greatest("lo", "r_lo") / width) == F.col("_s")
-    return slot(left).join(r, [*keys, "_s"]).where(first & (F.col("lo") < F.col("r_hi")) & (F.col("r_lo") < F.col("hi"))).drop("_s")
+    longest = [d.agg(F.max(F.floor(F.col(hi) / width) - F.floor(F.col(lo) / width) + 1).alias("n")).first()["n"] for d, lo, hi in ((left, "lo", "hi"), (r, "r_lo", "r_hi"))]
+    levels = [max(int(n or 1) - 1, 0).bit_length() for n in longest]
+    shared = (F.col("lo") < F.col("r_hi")) & (F.col("r_lo") < F.col("hi"))
+    slots = lambda d, lo, hi, k: d.withColumn("_s", F.explode(_slots(F.col(lo), F.col(hi), width, k)))
+    starts = lambda d, lo, k: d.withColumn("_s", F.explode(_above(F.col(lo), width, k)))
+    columns = [*left.columns, *[c for c in r.columns if c not in keys]]
+    one = slots(left, "lo", "hi", levels[0]).join(starts(r, "r_lo", levels[0]), [*keys, "_s"]).where(shared & (F.col("r_lo") >= F.col("lo")))
+    other = starts(left, "lo", levels[1]).join(slots(r, "r_lo", "r_hi", levels[1]), [*keys, "_s"]).where(shared & (F.col("lo") > F.col("r_lo")))
+    return one.select(*columns).unionByName(other.select(*columns))
 
 
 def region_status(regions: DataFrame, supports: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,31 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_noise
+from ..sources.writers import scratch
+from .ranges import BEFORE, RANGE, across, carried, dealt, first_in_order, first_smallest, prefix_sums, with_carried, within
 
 #: Name of the bucket below each percentile.
 BUCKETS = {25.0: "most_audible", 50.0: "audible", 75.0: "subtle", float("inf"): "least_audible"}
 
 
-def counts_below(rows: DataFrame, value: str, groups: Sequence[str] = (), buckets: int = 256) -> DataFrame:
-    """groups, value, n, below, total for each distinct value: its rows, the group's rows under it, all the group's rows.
-
-    Distinct values are dealt to buckets in their order, summed up within a bucket and by bucket, so no task sees a whole group. Null
-    values are left out.
-    """
-    distinct = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    shares, step = F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), max(int(buckets**0.5), 1)
-    cuts = distinct.groupBy(*groups).agg(F.percentile_approx(value, shares, F.lit(10 * buckets)).alias("_cuts"))
-    # Cuts are sorted: every step-th tells the run of cuts in which a value lies, and only that run is looked through.
-    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda _, i: i % step == step - 1))
-    distinct = distinct.join(cuts, list(groups)) if groups else distinct.crossJoin(F.broadcast(cuts))
-    distinct = distinct.withColumn("_run", F.size(F.filter("_coarse", lambda c: c < F.col(value))) * step)
-    within = F.size(F.filter(F.slice("_cuts", F.col("_run") + 1, F.lit(step)), lambda c: c < F.col(value)))
-    placed = distinct.withColumn("_b", F.col("_run") + within).drop("_cuts", "_coarse", "_run")
-    sums = placed.groupBy(*groups, "_b").agg(F.sum("n").alias("_s"))
-    w = Window.partitionBy(*groups)
-    sums = sums.select(*groups, "_b", F.coalesce(F.sum("_s").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("_s").over(w).alias("total"))
-    inner = F.coalesce(F.sum("n").over(Window.partitionBy(*groups, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("_i", inner).join(sums, [*groups, "_b"]).select(*groups, value, "n", (F.col("_i") + F.col("_o")).alias("below"), "total")
+def counts_below(rows: DataFrame, value: str, groups: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """groups, value, n, below, total for each distinct value: its rows, the group's rows under it, all the group's rows. Null values
+    are left out; prefix_sums does it range by range."""
+    found = prefix_sums(rows, groups, value, {"n": F.lit(1)}, ranges)
+    return found.select(*groups, value, "n", F.col("n_below").alias("below"), F.col("n_total").alias("total"))
 
 
 def mid_rank(rows: DataFrame, value: str, buckets: Mapping[float, str] = BUCKETS) -> DataFrame:
@@ -76,7 +63,7 @@ def sample_per_group(rows: DataFrame, keys: Sequence[str], n: int, seed: str, *i
 
 def sample_exact(rows: DataFrame, n: int, seed: str, *identity: str) -> DataFrame:
     """Exactly n rows (all, if fewer) by seeded noise."""
-    return rows.withColumn("_noise", stable_noise(F.lit(seed), *map(F.col, identity))).orderBy("_noise", *identity).limit(n).drop("_noise")
+    return first_smallest(rows.withColumn("_noise", stable_noise(F.lit(seed), *map(F.col, identity))), n, "_noise", *identity).drop("_noise")
 
 
 def hold_out(rows: DataFrame, n: int, seed: str, key: str, out: str = "held_out") -> DataFrame:
@@ -93,11 +80,14 @@ def weighted_sample(rows: DataFrame, keys: Sequence[str], weight: str, n: int, s
     return scored.withColumn("draw", F.row_number().over(Window.partitionBy(*keys).orderBy("_e", *identity))).where(F.col("draw") <= n).drop("_e")
 
 
-def islands(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, first, last, size of each run of consecutive whole numbers."""
-    distinct = rows.select(*keys, F.col(value).alias("_v")).distinct()
-    run = F.col("_v") - F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))
-    return distinct.withColumn("_g", run).groupBy(*keys, "_g").agg(F.min("_v").alias("first"), F.max("_v").alias("last"), F.count(F.lit(1)).alias("size")).drop("_g")
+def islands(rows: DataFrame, keys: Sequence[str], value: str, ranges: int | None = None) -> DataFrame:
+    """keys, first, last, size of each run of consecutive whole numbers. A key's numbers are counted range by range."""
+    placed = dealt(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).distinct(), keys, ["_v"], ranges)
+    parts = placed.groupBy(*keys, RANGE).agg(F.count(F.lit(1)).alias("_n"))
+    carry = carried(parts, keys, _before=F.sum("_n").over(across(keys).rowsBetween(*BEFORE)))
+    local = placed.withColumn("_k", F.row_number().over(within(keys).orderBy("_v")))
+    run = F.col("_v") - F.col("_k") - F.coalesce("_before", F.lit(0))
+    return with_carried(local, carry, keys).withColumn("_g", run).groupBy(*keys, "_g").agg(F.min("_v").alias("first"), F.max("_v").alias("last"), F.count(F.lit(1)).alias("size")).drop("_g")
 
 
 def ranges_text(found: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -106,11 +96,21 @@ def ranges_text(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("first", text.alias("t")))), lambda x: x["t"]).alias("ranges"))
 
 
-def runs_of_equal(rows: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """rows with run: the number, from 1, of the run of equal neighbouring values that a row is in; nulls are equal."""
-    w = Window.partitionBy(*keys).orderBy(order)
+def runs_of_equal(rows: DataFrame, keys: Sequence[str], order: str, value: str, ranges: int | None = None) -> DataFrame:
+    """rows with run: the number, from 1, of the run of equal neighbouring values that a row is in; nulls are equal.
+
+    Runs are numbered range by range; a range adds the runs of those before it, less one for each border that a run goes over.
+    """
+    placed = dealt(rows, keys, [order], ranges)
+    w = within(keys).orderBy(order)
     change = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    return rows.withColumn("_c", change).withColumn("run", F.sum("_c").over(w)).drop("_c")
+    local = placed.withColumn("_c", change).withColumn("_run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct("_run", order)
+    parts = local.groupBy(*keys, RANGE).agg(F.max("_run").alias("_runs"), F.min_by(F.struct(value), at)[value].alias("_first"), F.max_by(F.struct(value), at)[value].alias("_last"))
+    over = across(keys)
+    goes_on = ((F.row_number().over(over) > 1) & F.col("_first").eqNullSafe(F.lag("_last").over(over))).cast("int")
+    carry = carried(parts.withColumn("_joined", goes_on), keys, _offset=F.coalesce(F.sum("_runs").over(over.rowsBetween(*BEFORE)), F.lit(0)) - F.sum("_joined").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    return with_carried(local, carry, keys).select(*rows.columns, (F.col("_run") + F.coalesce("_offset", F.lit(0))).alias("run"))
 
 
 def capped(rows: DataFrame, keys: Sequence[str], cap: int, limit: int, random_flag: str, fraction: float, seed: str, *identity: str) -> DataFrame:
@@ -122,15 +122,17 @@ def capped(rows: DataFrame, keys: Sequence[str], cap: int, limit: int, random_fl
     kept = rows.withColumn("_noise", noise)
     if cap:
         kept = kept.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_noise", *identity))).where(F.col("_k") <= cap).drop("_k")
+    path = scratch(rows.sparkSession)
+    kept.write.parquet(path)
+    kept = rows.sparkSession.read.parquet(path)
     row = kept.agg(F.count_if(F.col(random_flag)), F.count_if(~F.col(random_flag))).first()
     random_n, authored_n = row[0], row[1]
     total = min(limit, random_n + authored_n)
     while total and (min(random_n, int(total * fraction)) + authored_n) < total:
         total = min(total - 1, min(random_n, int(total * fraction)) + authored_n)
     take_random = min(random_n, int(total * fraction))
-    ordered = [F.col("_noise"), *map(F.col, identity)]
-    random_part = kept.where(F.col(random_flag)).orderBy(*ordered).limit(take_random)
-    return kept.where(~F.col(random_flag)).orderBy(*ordered).limit(total - take_random).unionByName(random_part).drop("_noise")
+    part = lambda flag, n: first_smallest(kept.where(flag), n, "_noise", *identity)
+    return part(~F.col(random_flag), total - take_random).unionByName(part(F.col(random_flag), take_random)).drop("_noise")
 
 
 def repair_order(steps: Column, rank: Mapping[str, int]) -> Column:
@@ -159,8 +161,8 @@ def ranked_targets(rows: DataFrame, keys: Sequence[str], classes: Sequence[str],
 
 
 def first_rows(rows: DataFrame, n: int, *order) -> DataFrame:
-    """The first n rows of an explicit order."""
-    return rows.orderBy(*order).limit(n)
+    """The first n rows of an explicit order, without bringing them to one task if they are many."""
+    return first_in_order(rows, n, *order)
 
 
 def batches_by(rows: DataFrame, path: str, seed: str, partitions: int | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranges import prefix_sums, quantiles
+
 QUANTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
 
 
@@ -23,19 +25,24 @@ def value_counts(rows: DataFrame, column: str, top: int | None = None, many: boo
     return counts.orderBy(F.desc("n"), "value").limit(top) if top else counts
 
 
-def parameter_summary(rows: DataFrame, keys: Sequence[str], value: str, distinct: Mapping[str, str], support: bool = True) -> DataFrame:
-    """keys, n, one distinct count per entry, numeric_n, quantiles (exact, interpolated), and support: the distinct values with their
-    counts, sorted. Values are counted before they are gathered, so the list only grows with distinct values."""
-    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("count"))
-    known = F.col(value).isNotNull()
-    item = F.when(known, F.struct(F.col(value).alias("value"), "count"))
-    lists = [F.sort_array(F.collect_list(item)).alias("support")] if support else []
-    out = counted.groupBy(*keys).agg(F.sum("count").alias("n"), F.coalesce(F.sum(F.when(known, F.col("count"))), F.lit(0)).alias("numeric_n"), F.percentile(value, F.array(*map(F.lit, QUANTILES)), F.col("count")).alias("quantiles"), *lists)
-    for i, (name, c) in enumerate(distinct.items()):
-        each = rows.select(*keys, F.col(c).alias("_c")).distinct().groupBy(*[F.col(k).alias(f"_{i}_{k}") for k in keys]).agg(F.count("_c").alias(name))
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{i}_{k}")) for k in keys])
-        out = out.join(each, same).drop(*[f"_{i}_{k}" for k in keys])
-    return out.select(*keys, "n", *distinct, "numeric_n", "quantiles", *(["support"] if support else []))
+def parameter_summary(rows: DataFrame, keys: Sequence[str], value: str, distinct: Mapping[str, str]) -> DataFrame:
+    """keys, n, one distinct count per entry, numeric_n, quantiles (exact, interpolated), and support: how many distinct values there
+    are, which parameter_support lists. Quantiles come from counts below each distinct value, so no row or task holds a key's values."""
+    same = lambda t: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{t}_{k}")) for k in keys], F.lit(True))
+    renamed = lambda d, t: d.select(*[F.col(k).alias(f"_{t}_{k}") for k in keys], *[c for c in d.columns if c not in keys])
+    counted = prefix_sums(rows, keys, value, {"n": F.lit(1)})
+    found = [quantiles(counted, keys, value, QUANTILES), counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("support"))]
+    found += [rows.select(*keys, F.col(c).alias("_c")).distinct().groupBy(*keys).agg(F.count("_c").alias(name)) for name, c in distinct.items()]
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("numeric_n"))
+    for i, part in enumerate(found):
+        out = out.join(renamed(part, i), same(i), "left")
+    return out.select(*keys, "n", *distinct, "numeric_n", "quantiles", F.coalesce("support", F.lit(0)).cast("long").alias("support"))
+
+
+def parameter_support(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, value, count, share: a row for each distinct value, its rows, and their part of the key's rows with a value."""
+    counted = prefix_sums(rows, keys, value, {"n": F.lit(1)})
+    return counted.select(*keys, F.col(value).alias("value"), F.col("n").alias("count"), (F.col("n") / F.col("n_total")).alias("share"))
 
 
 def summary_by_condition(rows: DataFrame, source: str, conditions: Sequence[str], value: str) -> DataFrame:
@@ -72,9 +79,13 @@ def pairs(records: DataFrame, items: str, keys: Sequence[str] = ()) -> DataFrame
 
 
 def chains(records: DataFrame, items: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, chain, length, n, probability of whole ordered chains."""
+    """keys, chain, length, n, probability of whole ordered chains. A key's total is summed apart: a row without keys, and a join with
+    them."""
     counts = records.groupBy(*keys, F.col(items).alias("chain")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(*keys, "chain", F.size("chain").alias("length"), "n", (F.col("n") / F.sum("n").over(Window.partitionBy(*keys))).alias("probability"))
+    totals = records.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_of"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]) if keys else None
+    joined = counts.join(totals, same) if keys else counts.crossJoin(F.broadcast(totals))
+    return joined.select(*keys, "chain", F.size("chain").alias("length"), "n", (F.col("n") / F.col("_of")).alias("probability"))
 
 
 def transitions(records: DataFrame, items: str) -> DataFrame:
@@ -199,11 +210,9 @@ def parameter_histogram(rows: DataFrame) -> DataFrame:
 
 
 def weighted_ecdf(rows: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
-    """keys, value, ecdf: the share of the weight at or below each distinct value. Weights are summed by value first."""
-    masses = rows.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return masses.select(*keys, value, (upto / F.sum("_w").over(w)).alias("ecdf"))
+    """keys, value, ecdf: the share of the weight at or below each distinct value, summed range by range. Null values are left out."""
+    found = prefix_sums(rows, keys, value, {"w": F.col(weight)})
+    return found.select(*keys, value, ((F.col("w_below") + F.col("w")) / F.col("w_total")).alias("ecdf"))
 
 
 def bin_of(value: Column, low: float, high: float, n: int, scale: str = "linear") -> Column:
@@ -227,11 +236,11 @@ def weighted_moments(rows: DataFrame, keys: Sequence[str], x: str, y: str, weigh
 
 
 def weighted_mid_ranks(rows: DataFrame, keys: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
-    """rows with the mass below a value plus half its own, by key. Masses are summed by distinct value first."""
-    masses = rows.groupBy(*keys, value).agg(F.sum(weight).alias("_m"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = masses.select(*keys, F.col(value).alias("_v"), (F.sum("_m").over(w) - F.col("_m") / 2).alias(out))
-    return rows.join(ranks.withColumnRenamed("_v", value), [*keys, value])
+    """rows with the mass below a value plus half its own, by key, summed range by range. Rows without a value are left out."""
+    found = prefix_sums(rows, keys, value, {"_m": F.col(weight)})
+    ranks = found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value).alias("_v"), (F.col("_m_below") + F.col("_m") / 2).alias(out))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col(value) == F.col("_v"))
+    return rows.join(ranks, same).select(*rows.columns, out)
 
 
 def evidence(records: DataFrame, items: str, tests: Mapping[str, Column], keys: Sequence[str], least: int = 1) -> DataFrame:

@@ -43,8 +43,26 @@ FROM lineitem GROUP BY 1, 2
 """)
 def parameter_summary(spark, sf_dir):
     """Counts, quantiles and supports by group."""
-    found = S.parameter_summary(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag"], "l_quantity", {"orders": "l_orderkey", "parts": "l_partkey"})
-    return found.withColumn("support", F.size("support").cast("long"))
+    return S.parameter_summary(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag"], "l_quantity", {"orders": "l_orderkey", "parts": "l_partkey"})
+
+
+@register("parameter_support", """
+SELECT l_returnflag, l_quantity AS value, count(*) AS count, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag)::DOUBLE, 9) AS share FROM lineitem GROUP BY 1, 2
+""")
+def parameter_support(spark, sf_dir):
+    """The distinct values of each group, a row for each."""
+    return S.parameter_support(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity").withColumn("share", F.round("share", 9))
+
+
+@register("ordered_quantiles", """
+SELECT 'all' AS part, quantile_cont(o_totalprice::DOUBLE, [0.01, 0.5, 0.999]) AS quantiles FROM orders UNION ALL SELECT o_orderstatus, quantile_cont(o_totalprice::DOUBLE, [0.01, 0.5, 0.999]) FROM orders GROUP BY 1
+""")
+def ordered_quantiles(spark, sf_dir):
+    """Exact quantiles of one group with all rows, and of a few groups, over many distinct values."""
+    from ..operators.ranges import prefix_sums, quantiles
+
+    rows = table(spark, sf_dir, "orders").select(F.explode(F.array(F.lit("all"), "o_orderstatus")).alias("part"), "o_totalprice")
+    return quantiles(prefix_sums(rows, ["part"], "o_totalprice", {"n": F.lit(1)}), ["part"], "o_totalprice", [0.01, 0.5, 0.999])
 
 
 @register("conditioned_summary", """
