@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.writers import scratch
 from .text import strings, to_number
 
 GRAPH = """array<struct<kind:string,name:string,operator:string,source:string,output:string,dry_level:double,send_level:double,return_level:double,
@@ -32,23 +34,31 @@ def flatten_graph(plans: DataFrame, graph: str = "graph_spec", keep: Sequence[st
     return rows.where("value_text is not null").withColumn("value", to_number(F.col("value_text")))
 
 
-def flatten_json(rows: DataFrame, column: str, keep: Sequence[str], depth: int = 4) -> DataFrame:
-    """keep, path, value_text, value of every leaf of a JSON column, as a/b/0; levels below ``depth`` stay JSON text.
+def flatten_json(rows: DataFrame, column: str, keep: Sequence[str], depth: int | None = None) -> DataFrame:
+    """keep, path, value_text, value of every leaf of a JSON column, as a/b/0; with a depth, levels below it stay JSON text.
 
-    Objects and arrays are opened level by level; text that isn't JSON gives no rows, an empty container none either, a null leaf a
-    null value.
+    Text that isn't JSON gives no rows, an empty container none either, a null leaf a null value. The text is parsed once; each level
+    is written with what its containers hold, and the next one reads only those, until none is left.
     """
+    spark = rows.sparkSession
     keys = [F.col(k) for k in keep]
-    open_ = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v is not null")
-    done = None
-    for level in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY") if level < depth else F.lit(False)
-        leaf = open_.where(~inner).select(*keys, F.ltrim(F.col("path"), F.lit("/")).alias("path"), F.when(~F.is_variant_null("v"), F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))).alias("value_text"))
-        done = leaf if done is None else done.unionByName(leaf)
-        if level < depth:
-            open_ = _opened(open_.where(inner), keys)
-    return done.withColumn("value", to_number(F.col("value_text")))
+    kind = F.schema_of_variant("v")
+    container = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    level = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v is not null")
+    parts, at = [], 0
+    while True:
+        last = at == depth
+        path = scratch(spark)
+        level.withColumn("_open", F.lit(False) if last else container).write.partitionBy("_open").parquet(path)
+        held = spark.read.schema(level.withColumn("_open", F.lit(True)).schema).parquet(path)
+        parts.append(held.where("not _open").drop("_open"))
+        opened = held.where("_open").drop("_open")
+        if last or opened.isEmpty():
+            break
+        level, at = _opened(opened, keys), at + 1
+    text = F.when(~F.is_variant_null("v"), F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")))
+    leaves = reduce(DataFrame.unionByName, parts)
+    return leaves.select(*keys, F.ltrim(F.col("path"), F.lit("/")).alias("path"), text.alias("value_text")).withColumn("value", to_number(F.col("value_text")))
 
 
 def _opened(rows: DataFrame, keys: list[Column]) -> DataFrame:

@@ -343,9 +343,34 @@ def missing_mentions(text: Column, accepted: Mapping[str, Sequence[str]]) -> Col
     return F.array_compact(F.array(*[F.when(~mentions_any(text, spellings), F.lit(name)) for name, spellings in accepted.items() if spellings])) if accepted else F.array().cast("array<string>")
 
 
+def missing_operators(text: Column, used: Column, accepted: Mapping[str, Sequence[str]], exempt: Sequence[str] = ()) -> Column:
+    """The operators of an array, in its order, of which the text (a null one is empty) mentions no spelling: those of operator_tokens and of accepted
+    (operator: further names), which has every operator that may be asked for. Exempt ones are never missing."""
+    named = {o: [*operator_tokens(o), *names] for o, names in accepted.items() if o not in exempt}
+    text = F.coalesce(text, F.lit(""))
+    unheard = F.array_compact(F.array(*[F.when(~mentions_any(text, spellings), F.lit(o)) for o, spellings in named.items()])).cast("array<string>") if named else strings([])
+    return F.filter(used, lambda o: F.array_contains(unheard, o))
+
+
+def missing_stems(text: Column, stems: Column) -> Column:
+    """The names in a map name -> accepted words, sorted, of which the text mentions none; names without any words are exempt."""
+    words = tokenize(text)
+    kept = F.map_filter(stems, lambda _, accepted: (F.size(accepted) > 0) & ~F.exists(accepted, lambda w: mentions(words, squash(w))))
+    return F.sort_array(F.map_keys(kept))
+
+
+def omissions(text: Column, operators: Column | None = None, stems: Column | None = None, values: Column | None = None) -> Column:
+    """A sentence for each kind of thing that is missing in a text, from what the functions above have found."""
+    found = []
+    for missing, told in ((operators, "did not name operator(s) "), (stems, "did not name stem(s) "), (values, "omitted value(s) ")):
+        if missing is not None:
+            found.append(F.when(F.size(missing) > 0, F.concat(F.lit(told), F.array_join(missing, ", "))))
+    return F.array_compact(F.array(*found)).cast("array<string>") if found else strings([])
+
+
 def missing_values(text: Column, values: Column, precision: int) -> Column:
     """Entries of a map name -> number none of whose spellings is in the text, as name=value."""
-    flat = squash(text)
+    flat = squash(F.coalesce(text, F.lit("")))
     kept = F.map_filter(values, lambda _, v: ~F.exists(value_renderings(v, precision), lambda r: F.contains(flat, r)))
     return F.sort_array(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
 

@@ -30,6 +30,49 @@ def added(values: Iterable[float]) -> float:
 
 #: Rows of a set of equal features that a round brings to the driver.
 DEEP = 16
+#: Sets of equal features that are brought for each feature that is covered first.
+SEEDS = 50
+
+
+def heads(rows: DataFrame, key: str, alike: Sequence[str]) -> DataFrame:
+    """alike, _rows: the first DEEP rows of each set, by _tie and key. Rows are cut to DEEP of a set before they are gathered."""
+    rest = ["_tie", key, *[c for c in rows.columns if c not in (*alike, "_tie", key)]]
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*alike).orderBy("_tie", key))).where(F.col("_n") <= DEEP)
+    return first.groupBy(*alike).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("_rows"))
+
+
+def in_order(key: str) -> list[Column]:
+    return [F.desc("_score"), F.col("_rows")[0]["_tie"], F.col("_rows")[0][key]]
+
+
+def settle(top: Sequence, bound: tuple | None, key: str, alike: Sequence[str], done: set, limit: int, rescore: Callable[[Mapping], float], allowed: Callable[[Mapping], bool], take: Callable[[Mapping, float], None]) -> tuple[list[Mapping], bool]:
+    """Rows chosen among the heads in top (alike, _rows, _score: an upper bound of the score now) as long as nothing beyond ``bound``, the
+    first set left out, could come first; and whether all heads were looked through without that, so that no row is left."""
+    sets = [[{**{c: r[c] for c in alike}, **x.asDict()} for x in r["_rows"]] for r in top]
+    at = [0] * len(sets)
+    heap = [(-r["_score"], s[0]["_tie"], n) for n, (r, s) in enumerate(zip(top, sets))]
+    heapq.heapify(heap)
+    chosen: list[Mapping] = []
+    while heap and len(chosen) < limit:
+        n = heapq.heappop(heap)[2]
+        mine = sets[n]
+        while at[n] < len(mine) and (mine[at[n]][key] in done or not allowed(mine[at[n]])):
+            at[n] += 1
+        spent = at[n] == len(mine)
+        if spent and len(mine) < DEEP:
+            continue  # the set has no other rows
+        row = mine[-1 if spent else at[n]]
+        fresh = (-rescore(row), row["_tie"], n)
+        if heap and fresh > heap[0]:
+            heapq.heappush(heap, fresh)
+            continue
+        if spent or bound is not None and fresh[:2] > bound:
+            return chosen, False
+        chosen.append(row)
+        done.add(row[key])
+        take(row, -fresh[0])
+        heapq.heappush(heap, (-rescore(row), row["_tie"], n))
+    return chosen, not heap and bound is None
 
 
 def lazy_greedy(rows: DataFrame, key: str, alike: Sequence[str], score: Callable[[], Column], rescore: Callable[[Mapping], float], allowed: Callable[[Mapping], bool], open_: Callable[[DataFrame], DataFrame], take: Callable[[Mapping, float], None], limit: int, batch: int = 1000) -> list[Mapping]:
@@ -39,44 +82,30 @@ def lazy_greedy(rows: DataFrame, key: str, alike: Sequence[str], score: Callable
     the chosen ones (at most limit)."""
     chosen: list[Mapping] = []
     done: set = set()
-    rest = ["_tie", key, *[c for c in rows.columns if c not in (*alike, "_tie", key)]]
     while len(chosen) < limit:
         left = open_(rows)
         if done:
             taken = rows.sparkSession.createDataFrame([(k,) for k in done], rows.select(key).schema)
             left = left.join(F.broadcast(taken), key, "left_anti")
-        first = left.groupBy(*alike).agg(F.slice(F.sort_array(F.collect_list(F.struct(*rest))), 1, DEEP).alias("_rows"))
-        top = first.withColumn("_score", score()).orderBy(F.desc("_score"), F.col("_rows")[0]["_tie"], F.col("_rows")[0][key]).limit(batch + 1).collect()
+        top = heads(left, key, alike).withColumn("_score", score()).orderBy(*in_order(key)).limit(batch + 1).collect()
         bound = (-top[batch]["_score"], top[batch]["_rows"][0]["_tie"]) if len(top) > batch else None
-        sets = [[{**{c: r[c] for c in alike}, **{c: x[c] for c in rest}} for x in r["_rows"]] for r in top[:batch]]
-        at = [0] * len(sets)
-        heap = [(-r["_score"], s[0]["_tie"], n) for n, (r, s) in enumerate(zip(top, sets))]
-        heapq.heapify(heap)
-        before = len(chosen)
-        while heap and len(chosen) < limit:
-            n = heapq.heappop(heap)[2]
-            mine = sets[n]
-            while at[n] < len(mine) and (mine[at[n]][key] in done or not allowed(mine[at[n]])):
-                at[n] += 1
-            spent = at[n] == len(mine)
-            if spent and len(mine) < DEEP:
-                continue  # the set has no other rows
-            row = mine[-1 if spent else at[n]]
-            fresh = (-rescore(row), row["_tie"], n)
-            if heap and fresh > heap[0]:
-                heapq.heappush(heap, fresh)
-                continue
-            if spent or bound is not None and fresh[:2] > bound:
-                break
-            chosen.append(row)
-            done.add(row[key])
-            take(row, -fresh[0])
-            heapq.heappush(heap, (-rescore(row), row["_tie"], n))
-        if len(chosen) == before:
+        more, _ = settle(top[:batch], bound, key, alike, done, limit - len(chosen), rescore, allowed, take)
+        chosen += more
+        if not more:
             break
     return chosen
 
 
+def first_with(rows: DataFrame, key: str, features: str, wanted: Sequence[str], score: Column, batch: int) -> dict[str, list]:
+    """For each wanted feature the heads of the best batch + 1 sets that have it, of all features in one job."""
+    each = heads(rows, key, [features]).withColumn("_score", score).withColumn("_of", F.explode(F.array_intersect(features, F.array(*map(F.lit, wanted)))))
+    best = each.withColumn("_n", F.row_number().over(Window.partitionBy("_of").orderBy(*in_order(key)))).where(F.col("_n") <= batch + 1)
+    out: dict[str, list] = {w: [] for w in wanted}
+    for r in sorted(best.collect(), key=lambda r: r["_n"]):
+        out[r["_of"]].append(r)
+    return out
+
+
 def first_of_class(rows: DataFrame, classes: Sequence[str], n: int, order: Sequence[str], buckets: int = 64) -> DataFrame:
     """The first n rows of each class, first within hashed parts of a class, so that no task holds a large one whole."""
     part = F.pmod(F.xxhash64(*order), F.lit(buckets))
@@ -145,11 +174,18 @@ def coverage_selection(plans: DataFrame, limit: int, cap: int = 3, random_fracti
             state["random"] += bool(r["random"])
             state["poisoned"] += bool(r["poisoned"])
 
-        seeds = sorted((r["n"], r["f"]) for r in sizes if r["f"].split("\x1f")[0] in seed_dims)
-        for _, feature in seeds:
+        seeds = [f for _, f in sorted((r["n"], r["f"]) for r in sizes if r["f"].split("\x1f")[0] in seed_dims)]
+        known = first_with(open_(rows), "plan_id", "_f", seeds, score(), SEEDS) if seeds and target else {}
+        done: set = set()
+        for feature in seeds:
             if len(picked) < target and not counts[feature]:
-                mine = rows.where(F.array_contains("_f", feature))
-                lazy_greedy(mine, "plan_id", ["_f"], score, lambda r: gain(r["_f"]), lambda r: allowed(r) and all(r["plan_id"] != p[0] for p in picked), open_, take, 1, 50)
+                top = known[feature]
+                bound = (-top[SEEDS]["_score"], top[SEEDS]["_rows"][0]["_tie"]) if len(top) > SEEDS else None
+                found, none_left = settle(top[:SEEDS], bound, "plan_id", ["_f"], done, 1, lambda r: gain(r["_f"]), allowed, take)
+                if not found and not none_left:  # what came with the others doesn't tell: one more job
+                    mine = rows.where(F.array_contains("_f", feature))
+                    lazy_greedy(mine, "plan_id", ["_f"], score, lambda r: gain(r["_f"]), lambda r: allowed(r) and r["plan_id"] not in done, open_, take, 1, SEEDS)
+                done.update(p[0] for p in picked)
         left = rows
         if picked:
             left = rows.join(F.broadcast(spark.createDataFrame([(p[0],) for p in picked], rows.select("plan_id").schema)), "plan_id", "left_anti")

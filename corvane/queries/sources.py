@@ -8,6 +8,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from ..registry import register
+from ..sources import clips as C
 from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import resume as S
@@ -31,6 +32,17 @@ def document_files(spark, sf_dir):
     return R.scan_documents(spark, path, "lang string, source string, n bigint")
 
 
+@register("yaml_documents", "SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
+def yaml_documents(spark, sf_dir):
+    """A2: files that hold lists of objects, in YAML."""
+    path = W.scratch(spark)
+    counts = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    quoted = lambda c: F.coalesce(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'")), F.lit("null"))
+    item = F.format_string("- lang: %s\n  source: %s\n  n: %d", quoted(F.col("lang")), quoted(F.col("source")), "n")
+    counts.groupBy("lang").agg(F.array_join(F.collect_list(item), "\n").alias("value")).select("value").repartition(4, "value").write.option("maxRecordsPerFile", 1).text(path)
+    return R.scan_documents(spark, path, "lang string, source string, n bigint", "yaml")
+
+
 @register("tolerant_lines", """
 SELECT event_type, count(*) FILTER (WHERE event_id % 10 > 0) AS rows, count(*) FILTER (WHERE event_id % 10 = 0) AS quarantined FROM events GROUP BY 1
 """)
@@ -64,6 +76,62 @@ def csv_metadata(spark, sf_dir):
     return R.scan_csv_metadata(spark, path, "captions", ["aspects"])
 
 
+@register("ragged_clips", """
+SELECT p_partkey::VARCHAR AS clip_id, '/audio/' || p_brand || '/' || p_partkey || '.mp3' AS audio_path, list_sort(list_distinct(list_filter(string_split(p_name, ' '), lambda w: length(w) % 2 = 0))) AS genres,
+  list_sort(list_distinct(list_filter(string_split(p_name, ' '), lambda w: length(w) % 2 = 1))) AS mood_themes, [p_brand] AS instrument_tags, p_size::DOUBLE AS duration_s, p_brand AS artist FROM part
+""")
+def ragged_clips(spark, sf_dir):
+    """A5: clips of the ragged table of tracks with prefixed tags."""
+    path = W.scratch(spark)
+    word = lambda w: F.concat(F.when(F.length(w) % 2 == 0, "genre---").otherwise("mood/theme---"), w)
+    tags = F.concat(F.transform(F.split("p_name", " "), word), F.array(F.concat(F.lit("instrument---"), "p_brand"), F.lit("other---x")))
+    relative = F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".mp3"))
+    cells = F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_brand", F.lit("album"), relative, F.col("p_size").cast("string"), F.array_join(tags, "\t"))
+    table(spark, sf_dir, "part").select(cells.alias("value")).write.text(path)
+    clips = C.jamendo_clips(spark, path, "/audio/")
+    return clips.select("clip_id", "audio_path", "genres", "mood_themes", "instrument_tags", F.col("dataset")["duration_s"].cast("double").alias("duration_s"), F.col("dataset")["artist_name"].alias("artist"))
+
+
+@register("multitrack_clips", """
+SELECT CASE WHEN p_partkey % 4 = 0 THEN p_partkey::VARCHAR ELSE p_brand || '_' || p_partkey END AS clip_id, '/audio/mix/' || p_partkey || '.wav' AS audio_path, CASE WHEN p_partkey % 4 > 0 THEN p_brand END AS artist,
+  list_sort(list_distinct(string_split(p_name, ' '))) AS genres, list_sort(list_distinct([p_type, p_brand])) AS instrument_tags, CASE WHEN p_partkey % 3 > 0 THEN (p_size + 60)::DOUBLE END AS tempo_bpm, CASE p_partkey % 3 WHEN 0 THEN NULL ELSE 'A' END AS key,
+  CASE p_partkey % 3 WHEN 1 THEN 'minor' END AS mode FROM part WHERE p_partkey % 5 > 0
+""")
+def multitrack_clips(spark, sf_dir):
+    """A5: clips of the CSV of multitracks: list cells, keys, tempos, artists in ids, only some types."""
+    path = W.scratch(spark)
+    k, listed = F.col("p_partkey"), lambda c: F.concat(F.lit("['"), c, F.lit("']"))
+    rows = table(spark, sf_dir, "part").select(
+        k.alias("id"), F.when(k % 4 > 0, F.concat("p_brand", F.lit("_"), k.cast("string"))).alias("medleydb_id"), F.concat(k.cast("string"), F.lit(".wav")).alias("audio_path"), listed(F.replace("p_name", F.lit(" "), F.lit("', '"))).alias("genre"),
+        F.concat(F.lit("some '"), "p_type", F.lit("' and '"), "p_brand", F.lit("'")).alias("instrument"), F.when(k % 3 == 1, listed(F.lit("A Minor"))).when(k % 3 == 2, listed(F.lit("A"))).alias("key"),
+        F.when(k % 3 > 0, F.concat(F.lit("about "), (F.col("p_size") + 60).cast("string"), F.lit(" BPM, or 200 bpm"))).alias("tempo"), F.lit("cc").alias("license"), F.when(k % 5 > 0, "full").otherwise("stem").alias("type"),
+    )
+    W.write_report(rows, path)
+    clips = C.medleydb_clips(spark, path, "/audio", "mix", ["full"])
+    return clips.select("clip_id", "audio_path", F.col("dataset")["artist_name"].alias("artist"), "genres", "instrument_tags", "tempo_bpm", "key", "mode")
+
+
+@register("captioned_clips", """
+WITH t AS (SELECT p_partkey, p_name || chr(39) || 's' AS caption, string_split(p_name, ' ') AS w, p_size FROM part)
+SELECT p_partkey::VARCHAR AS clip_id, caption, list_sort(list_distinct(list_filter(w, lambda x: x IN ('steel', 'brass')))) AS instrument_tags, list_sort(list_distinct(list_filter(w, lambda x: x IN ('small', 'large')))) AS genres,
+  list_sort(list_distinct(list_filter(list_concat(w, CASE WHEN p_partkey % 2 = 0 THEN ['calm'] ELSE [] END), lambda x: x IN ('calm', 'red')))) AS mood_themes, CASE WHEN p_partkey % 2 = 0 THEN ['noise'] ELSE [] END AS issues, round(p_size / 8.0::DOUBLE, 3) AS duration_s,
+  p_partkey % 2 = 0 AS balanced FROM t
+""")
+def captioned_clips(spark, sf_dir):
+    """A5: clips of the CSV of captions: aspects as instruments, genres, moods and issues; durations and flags."""
+    path = W.scratch(spark)
+    k = F.col("p_partkey")
+    aspects = F.concat(F.lit('["'), F.replace("p_name", F.lit(" "), F.lit('", "')), F.lit('"'), F.when(k % 2 == 0, ', "large noisy room", "calm"').otherwise(""), F.lit("]"))
+    rows = table(spark, sf_dir, "part").select(
+        k.alias("ytid"), F.lit("10").alias("start_s"), (10 + F.col("p_size") / 8.0).cast("string").alias("end_s"), F.lit("/m/1,,/m/2").alias("audioset_positive_labels"), aspects.alias("aspect_list"), F.concat("p_name", F.lit("'s")).alias("caption"),
+        F.when(k % 2 == 0, "True").otherwise("False").alias("is_balanced_subset"), F.lit("").alias("is_audioset_eval"),
+    )
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    clips = C.musiccaps_clips(spark, path, ["steel", "brass"], ["small", "large"], ["calm", "red"], {"noise": ["noisy"], "clipped": ["distorted"]}, ["room"])
+    of = F.col("dataset")
+    return clips.select("clip_id", "caption", "instrument_tags", "genres", "mood_themes", "issues", of["duration_s"].cast("double").alias("duration_s"), (of["is_balanced_subset"] == "true").alias("balanced"))
+
+
 @register("parquet_columns", "SELECT vec_id, label FROM embeddings")
 def parquet_columns(spark, sf_dir):
     """Two columns of a wide table."""
@@ -177,13 +245,32 @@ def fanned_out(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@register("replaced_output", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+@register("published_versions", """
+SELECT 'current' AS which, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'begun before', NULL, count(*) FROM orders UNION ALL SELECT 'kept', 'versions', 2
+""")
+def published_versions(spark, sf_dir):
+    """Versions behind a pointer that changes in one step; a reader that began before keeps its version."""
+    path, orders = W.scratch(spark), table(spark, sf_dir, "orders")
+    W.publish(orders.where("o_orderkey < 0").select("o_orderkey"), path)
+    W.publish(orders.select("o_orderkey"), path)
+    begun = W.read_current(spark, path)
+    W.publish(orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), path)
+    now = W.read_current(spark, path).select(F.lit("current").alias("which"), F.col("o_orderstatus").alias("status"), "n")
+    before = begun.agg(F.count(F.lit(1)).alias("n")).select(F.lit("begun before").alias("which"), F.lit(None).cast("string").alias("status"), "n")
+    kept = spark.range(1).select(F.lit("kept").alias("which"), F.lit("versions").alias("status"), F.lit(len(W.versions(spark, path))).cast("long").alias("n"))
+    return now.unionByName(before).unionByName(kept)
+
+
+@register("replaced_output", """
+SELECT 'current' AS which, o_orderstatus, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'kept', NULL, count(*) FROM orders
+""")
 def replaced_output(spark, sf_dir):
     """An output replaced as a whole, its former content kept beside it."""
     path = W.scratch(spark)
     W.replace_atomically(table(spark, sf_dir, "orders").select("o_orderkey"), path)
-    W.replace_atomically(table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), path, backup=True)
-    return spark.read.parquet(path)
+    kept = W.replace_atomically(table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), path, backup=True)
+    now = spark.read.parquet(path).select(F.lit("current").alias("which"), "o_orderstatus", "n")
+    return now.unionByName(spark.read.parquet(kept).agg(F.count("o_orderkey").alias("n")).select(F.lit("kept").alias("which"), F.lit(None).cast("string").alias("o_orderstatus"), "n"))
 
 
 @register("streamed_checks", r"""

@@ -330,16 +330,17 @@ def blended_rates(spark, sf_dir):
 
 @register("set_joints", f"""
 WITH {MASKS}, r AS (SELECT k, avg((mask >> k) & 1) AS rate FROM m, range(4) t(k) GROUP BY 1), n AS (SELECT mask, count(*) AS n FROM m GROUP BY 1)
-SELECT x.mask::INT AS mask, round((SELECT product(CASE WHEN (x.mask >> k) & 1 = 1 THEN rate ELSE 1 - rate END) FROM r), 9) AS independent, round((coalesce(n.n, 0) + 1.0::DOUBLE) / ((SELECT count(*) FROM m) + 16), 9) AS smoothed FROM range(16) x(mask) LEFT JOIN n ON n.mask = x.mask
+SELECT x.mask::INT AS mask, round((SELECT product(CASE WHEN (x.mask >> k) & 1 = 1 THEN rate ELSE 1 - rate END) FROM r), 9) AS independent, round((coalesce(n.n, 0) + 1.0::DOUBLE) / ((SELECT count(*) FROM m) + 16), 9) AS smoothed, 0.0625::DOUBLE AS uniform FROM range(16) x(mask) LEFT JOIN n ON n.mask = x.mask
 """)
 def set_joints(spark, sf_dir):
-    """Independent and smoothed joints over sets."""
+    """Independent, smoothed and uniform joints over sets."""
     masks = day_masks(spark, sf_dir)
     bits = masks.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"shiftright(mask, {k}) & 1").alias("b")) for k in range(4)])).alias("x"))
     rates = bits.groupBy("x.k").agg(F.avg("x.b").alias("rate"))
     joint = S.independent_joint(rates, 4).withColumnRenamed("p", "independent")
     both = joint.join(S.smoothed_joint(S.mask_counts(masks), 4).withColumnRenamed("p", "smoothed"), "mask")
-    return both.select("mask", F.round("independent", 9).alias("independent"), F.round("smoothed", 9).alias("smoothed"))
+    both = both.join(S.uniform_joint(spark, 4).withColumnRenamed("p", "uniform"), "mask")
+    return both.select("mask", F.round("independent", 9).alias("independent"), F.round("smoothed", 9).alias("smoothed"), "uniform")
 
 
 @register("set_sensitivities", f"""

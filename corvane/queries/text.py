@@ -103,6 +103,44 @@ def operator_mentions(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.missing_mentions(text, {n: T.operator_tokens(n) for n in names}).alias("missing"))
 
 
+_SPELLED = lambda w: "[^a-z0-9]*".join(w)
+
+
+@register("omitted_facts", rf"""
+WITH t AS (
+  SELECT p_partkey, p_size, p_partkey / 4.0::DOUBLE AS depth, p_name || ' size ' || CASE WHEN p_partkey % 3 = 0 THEN p_size::VARCHAR ELSE '' END || ' depth ' || CASE WHEN p_partkey % 3 = 1 THEN (p_partkey / 4.0::DOUBLE)::VARCHAR WHEN p_partkey % 3 = 2 THEN printf('%.1f', p_partkey / 4.0::DOUBLE) ELSE '' END AS text FROM part),
+f AS (SELECT *, lower(text) AS low, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS flat FROM t),
+m AS (
+  SELECT p_partkey,
+    list_filter([CASE WHEN p_partkey % 2 = 0 THEN 'steel_bolt' END, 'large_widget', CASE WHEN p_partkey % 2 = 1 THEN 'apply_ring_filter' END], lambda o: CASE o
+      WHEN 'steel_bolt' THEN NOT regexp_matches(low, '(^|[^a-z0-9])({_SPELLED("steelbolt")}|{_SPELLED("bolt")}|{_SPELLED("screw")})') WHEN 'large_widget' THEN NOT regexp_matches(low, '(^|[^a-z0-9])({_SPELLED("largewidget")}|{_SPELLED("widget")})')
+      WHEN 'apply_ring_filter' THEN NOT regexp_matches(low, '(^|[^a-z0-9])({_SPELLED("ring")})') ELSE false END) AS operators,
+    list_filter(['red', 'round'], lambda s: CASE s WHEN 'red' THEN NOT regexp_matches(low, '(^|[^a-z0-9])({_SPELLED("red")}|{_SPELLED("scarlet")})') ELSE p_partkey % 5 > 0 AND NOT regexp_matches(low, '(^|[^a-z0-9]){_SPELLED("rod")}') END) AS stems,
+    list_filter([{{'n': 'depth', 'v': depth}}, {{'n': 'size', 'v': p_size::DOUBLE}}], lambda e: len(list_filter(list_concat(
+      [e.v::VARCHAR], list_transform([1, 2, 3, 4], lambda p: rtrim(rtrim(printf('%.' || p || 'f', e.v), '0'), '.')), CASE WHEN e.v >= 1000 THEN [rtrim(rtrim(printf('%.4f', e.v / 1000), '0'), '.') || 'k'] ELSE [] END,
+      CASE WHEN e.v = floor(e.v) THEN [e.v::BIGINT::VARCHAR] ELSE [] END), lambda r: contains(flat, regexp_replace(r, '[^a-z0-9]+', '', 'g')))) = 0) AS vals
+  FROM f)
+SELECT p_partkey, list_filter([
+  CASE WHEN len(operators) > 0 THEN 'did not name operator(s) ' || array_to_string(operators, ', ') END, CASE WHEN len(stems) > 0 THEN 'did not name stem(s) ' || array_to_string(stems, ', ') END,
+  CASE WHEN len(vals) > 0 THEN 'omitted value(s) ' || array_to_string(list_transform(vals, lambda e: e.n || '=' || e.v::VARCHAR), ', ') END], lambda x: x IS NOT NULL) AS omitted
+FROM m
+""")
+def omitted_facts(spark, sf_dir):
+    """Operators, stems and values of a row's own profile that its text leaves out."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key = F.col("p_partkey")
+    depth = key / 4.0
+    told = F.when(key % 3 == 1, depth.cast("string")).when(key % 3 == 2, F.format_string("%.1f", F.bround(depth, 1))).otherwise("")
+    text = F.concat("p_name", F.lit(" size "), F.when(key % 3 == 0, F.col("p_size").cast("string")).otherwise(""), F.lit(" depth "), told)
+    used = F.array_compact(F.array(F.when(key % 2 == 0, F.lit("steel_bolt")), F.lit("large_widget"), F.when(key % 2 == 1, F.lit("apply_ring_filter"))))
+    stems = F.create_map(F.lit("red"), T.strings(["red", "scarlet"]), F.lit("round"), F.when(key % 5 > 0, T.strings(["rod"])).otherwise(T.strings([])))
+    values = F.create_map(F.lit("depth"), depth, F.lit("size"), F.col("p_size").cast("double"))
+    rows = part.select("p_partkey", text.alias("text"), used.alias("used"), stems.alias("stems"), values.alias("values"))
+    accepted = {"steel_bolt": ["screw"], "large_widget": [], "apply_ring_filter": []}
+    found = T.omissions(F.col("text"), T.missing_operators(F.col("text"), F.col("used"), accepted), T.missing_stems(F.col("text"), F.col("stems")), T.missing_values(F.col("text"), F.col("values"), 1))
+    return rows.select("p_partkey", found.alias("omitted"))
+
+
 @register("leaks_and_checks", r"""
 SELECT doc_id,
   list_sort(list_distinct(list_concat(regexp_extract_all(text, '->'), regexp_extract_all(text, '\w+\([A-Za-z_]+\s*=')))) AS leaks,

@@ -28,12 +28,39 @@ def _struct_ddl(spark: SparkSession, schema: str | StructType) -> str:
     return kind.simpleString()
 
 
-def scan_documents(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
-    """Files that each hold one object or a list of them."""
+def scan_documents(spark: SparkSession, path: str, schema: str | StructType | None = None, kind: str = "json") -> DataFrame:
+    """Files that each hold one object or a list of them, in JSON or (kind yaml, with a schema) YAML; an empty YAML file holds none."""
+    if kind == "yaml":
+        return _scan_yaml(spark, path, schema)
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def _scan_yaml(spark: SparkSession, path: str, schema: str | StructType | None) -> DataFrame:
+    """Each file is read by one task, its objects become JSON, and Spark reads those by the schema."""
+    if schema is None:
+        raise ValueError("YAML needs a schema")
+    try:
+        import yaml  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("YAML documents need PyYAML") from e
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+
+        import yaml
+
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                loaded = yaml.safe_load(content)
+                items = [] if loaded is None else loaded if isinstance(loaded, list) else [loaded]
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(x, default=str) for x in items], pa.string())], names=["value"])
+
+    found = spark.read.text(path, wholetext=True).mapInArrow(run, "value string")
+    parsed = F.from_json("value", F.lit(_struct_ddl(spark, schema)), {"mode": "FAILFAST"})
+    return found.select(parsed.alias("v")).select("v.*")
+
+
 def scan_jsonl_tolerant(spark: SparkSession, path: str, schema: str | StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine): the object that a line begins with, text after it notwithstanding; broken lines with their text and file."""
     lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.input_file_name().alias("file"))
