@@ -68,7 +68,7 @@ def test_clips_of_three_sources_have_one_schema(spark, tmp_path):
     assert (rows["y2"].genres, rows["y2"].caption, rows["y2"].dataset["is_audioset_eval"]) == ([], None, "true") and "duration_s" not in rows["y2"].dataset
     there = spark.createDataFrame([("/yt/y2.wav",)], "path string")
     assert [r.clip_id for r in C.musiccaps_clips(spark, f"{tmp_path}/c.csv", present=there, **options).collect()] == ["y2"]
-    assert one.schema == two.schema == three.schema
+    assert one.dtypes == two.dtypes == three.dtypes
 
 
 def test_yaml_files(spark, tmp_path):
