@@ -289,19 +289,30 @@ def mixture_cdf(rows: DataFrame, components: DataFrame, keys: Sequence[str], pri
 
 def placed(rows: DataFrame, components: DataFrame, bins: int, keys: Sequence[str], prior: str = "prior", text: str = "value_text", value: str = "value") -> DataFrame:
     """keys, prior, in_support, bin, cdf of rows unique in keys: ``category:<value>`` for a discrete prior, ``quantile:<k>`` for a
-    continuous one, null outside the support or where the prior is unknown."""
-    joined = rows.select(*keys, F.col(prior).alias("prior"), F.col(text).alias("_t"), F.col(value).cast("double").alias("_x")).join(components.withColumnRenamed("value", "_v"), "prior", "left")
-    number = F.col("_v").try_cast("double")
-    same = F.when(number.isNotNull() & F.col("_x").isNotNull(), F.abs(number - F.col("_x")) <= 1e-8 * F.greatest(F.lit(1.0), F.abs(number))).otherwise(F.col("_v") == F.col("_t"))
-    hit = F.when(F.col("family") == DISCRETE, same & (F.col("weight") > 0)).otherwise(F.col("_x").between(F.col("low"), F.col("high")))
-    joined = with_cdf(joined, "_x").withColumn("_hit", F.coalesce(hit, F.lit(False)))
-    found = joined.groupBy(*keys, "prior").agg(
-        F.max("_hit").alias("in_support"), F.min_by("_v", F.when(F.col("_hit") & (F.col("family") == DISCRETE), F.col("component"))).alias("_c"),
-        F.max(F.when(F.col("family") == DISCRETE, 1)).alias("_d"), (F.sum(F.col("weight") * F.col("cdf")) / F.sum("weight")).alias("_f"), F.first("_x").alias("_x"), F.first("_t").alias("_t"), F.max("family").alias("_k"),
-    )
+    continuous one, null outside the support or where the prior is unknown.
+
+    A row meets its prior once, with all components in an array, and needs no shuffle of its own. Priors with a component whose
+    function isn't closed go through Arrow, a row for each component, and only if there are any.
+    """
+    by = components.groupBy("prior").agg(F.sort_array(F.collect_list(F.struct("component", *[f for f in FIELDS if f not in ("prior", "component")]))).alias("_k"))  # configuration
+    known = rows.select(*keys, F.col(prior).alias("prior"), F.col(text).alias("_t"), F.col(value).cast("double").alias("_x")).join(by, "prior", "left")
+    slow = F.coalesce(F.exists("_k", lambda k: k["family"].isin(*KERNELS)), F.lit(False))
+    number = lambda k: k["value"].try_cast("double")
+    same = lambda k: F.when(number(k).isNotNull() & F.col("_x").isNotNull(), F.abs(number(k) - F.col("_x")) <= 1e-8 * F.greatest(F.lit(1.0), F.abs(number(k)))).otherwise(k["value"] == F.col("_t"))
+    hit = lambda k: F.coalesce(F.when(k["family"] == DISCRETE, same(k) & (k["weight"] > 0)).otherwise(F.col("_x").between(k["low"], k["high"])), F.lit(False))
+    added = lambda parts: F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    weighed = added(F.transform("_k", lambda k: k["weight"] * closed_cdf(F.col("_x"), lambda f: k[f])))
+    discrete = F.coalesce(F.exists("_k", lambda k: k["family"] == DISCRETE), F.lit(False))
+    facts = [F.exists("_k", hit).alias("in_support"), F.get(F.filter("_k", lambda k: (k["family"] == DISCRETE) & hit(k)), F.lit(0))["value"].alias("_c"), discrete.alias("_d")]
+    share = weighed / added(F.transform("_k", lambda k: k["weight"]))
+    found = known.where(~slow).select(*keys, "prior", *facts, F.when(~discrete, share).alias("_f"))
+    if not components.where(F.col("family").isin(*KERNELS)).isEmpty():
+        wide = known.where(slow).select(*keys, "prior", "_x", *facts, F.explode("_k").alias("_one")).select(*keys, "prior", "_x", "in_support", "_c", "_d", "_one.*")
+        each = with_cdf(wide, "_x").groupBy(*keys, "prior", "in_support", "_c", "_d").agg((F.sum(F.col("weight") * F.col("cdf")) / F.sum("weight")).alias("_f"))
+        found = found.unionByName(each.withColumn("_f", F.when(~F.col("_d"), F.col("_f"))))
     quantile = F.concat(F.lit("quantile:"), F.least(F.floor(F.col("_f") * bins), F.lit(bins - 1)).cast("string"))
-    label = F.when(F.col("in_support"), F.when(F.col("_d") == 1, F.concat(F.lit("category:"), "_c")).otherwise(quantile))
-    return found.select(*keys, "prior", F.when(F.col("_k").isNotNull(), F.col("in_support")).alias("in_support"), label.alias("bin"), F.when(F.col("_d").isNull(), F.col("_f")).alias("cdf"))
+    label = F.when(F.col("in_support"), F.when(F.col("_d"), F.concat(F.lit("category:"), "_c")).otherwise(quantile))
+    return found.select(*keys, "prior", "in_support", label.alias("bin"), F.col("_f").alias("cdf"))
 
 
 def band_of(value: Column, uppers: Sequence[float], direction: str = "ascending") -> Column:

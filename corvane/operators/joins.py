@@ -145,8 +145,9 @@ def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], width: floa
     slot only. An interval over the whole range makes a few dozen rows, whatever the width.
     """
     r = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
-    longest = [d.agg(F.max(F.floor(F.col(hi) / width) - F.floor(F.col(lo) / width) + 1).alias("n")).first()["n"] for d, lo, hi in ((left, "lo", "hi"), (r, "r_lo", "r_hi"))]
-    levels = [max(int(n or 1) - 1, 0).bit_length() for n in longest]
+    sizes = [d.select(F.lit(side).alias("side"), (F.floor(F.col(hi) / width) - F.floor(F.col(lo) / width) + 1).alias("n")) for side, d, lo, hi in ((0, left, "lo", "hi"), (1, r, "r_lo", "r_hi"))]
+    longest = {x.side: x.n for x in sizes[0].unionByName(sizes[1]).groupBy("side").agg(F.max("n").alias("n")).collect()}
+    levels = [max(int(longest.get(side) or 1) - 1, 0).bit_length() for side in (0, 1)]
     shared = (F.col("lo") < F.col("r_hi")) & (F.col("r_lo") < F.col("hi"))
     slots = lambda d, lo, hi, k: d.withColumn("_s", F.explode(_slots(F.col(lo), F.col(hi), width, k)))
     starts = lambda d, lo, k: d.withColumn("_s", F.explode(_above(F.col(lo), width, k)))

@@ -77,8 +77,8 @@ def prefix_sums(rows: DataFrame, groups: Sequence[str], value: str, sums: Mappin
     return with_carried(local, carry, groups).select(*groups, value, *told)
 
 
-def quantiles(counted: DataFrame, groups: Sequence[str], value: str, probabilities: Sequence[float], n: str = "n", out: str = "quantiles") -> DataFrame:
-    """groups, out: exact quantiles, interpolated between neighbours, of prefix_sums with counts named n."""
+def quantiles(counted: DataFrame, groups: Sequence[str], value: str, probabilities: Sequence[float], n: str = "n", out: str = "quantiles", **further: Column) -> DataFrame:
+    """groups, out: exact quantiles, interpolated between neighbours, of prefix_sums with counts named n; and further aggregates."""
     below, total = F.col(f"{n}_below"), F.col(f"{n}_total")
     found = []
     for p in probabilities:
@@ -86,7 +86,7 @@ def quantiles(counted: DataFrame, groups: Sequence[str], value: str, probabiliti
         holds = lambda k: F.max(F.when((below <= k) & (k < below + F.col(n)), F.col(value).cast("double")))
         low, high = holds(F.floor(at)), holds(F.ceil(at))
         found.append(low + (high - low) * F.max(at - F.floor(at)))
-    return counted.groupBy(*groups).agg(F.array(*found).alias(out))
+    return counted.groupBy(*groups).agg(F.array(*found).alias(out), *[c.alias(name) for name, c in further.items()])
 
 
 def first_smallest(rows: DataFrame, n: int, noise: str, *identity: str, border: int = 10_000, digits: int = 12) -> DataFrame:

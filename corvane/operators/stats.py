@@ -31,12 +31,13 @@ def parameter_summary(rows: DataFrame, keys: Sequence[str], value: str, distinct
     same = lambda t: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{t}_{k}")) for k in keys], F.lit(True))
     renamed = lambda d, t: d.select(*[F.col(k).alias(f"_{t}_{k}") for k in keys], *[c for c in d.columns if c not in keys])
     counted = prefix_sums(rows, keys, value, {"n": F.lit(1)})
-    found = [quantiles(counted, keys, value, QUANTILES), counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("support"))]
+    found = [quantiles(counted, keys, value, QUANTILES, support=F.count(F.lit(1)), numeric_n=F.max("n_total"))]
     found += [rows.select(*keys, F.col(c).alias("_c")).distinct().groupBy(*keys).agg(F.count("_c").alias(name)) for name, c in distinct.items()]
-    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("numeric_n"))
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     for i, part in enumerate(found):
         out = out.join(renamed(part, i), same(i), "left")
-    return out.select(*keys, "n", *distinct, "numeric_n", "quantiles", F.coalesce("support", F.lit(0)).cast("long").alias("support"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select(*keys, "n", *distinct, none("numeric_n"), "quantiles", none("support"))
 
 
 def parameter_support(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
