@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import quoted, table
 
 #: White space as Unicode defines it (the tokenizer's own \s); Python's \s differs from it by \x1c-\x1f.
 ASCII_SPACE = "\t\n\x0b\x0c\r "
@@ -164,32 +164,32 @@ def loaded(path: str) -> ForcedBoundaryBpe:
 def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of ids (array of int) of the whole text. A null text gives no ids; other columns are kept as they are.
 
-    ``tokenizer`` is the path of the JSON file on every machine. An existing column named like ``ids`` is replaced.
+    ``tokenizer`` is the path of the JSON file on every machine. An existing column named like ``ids``, in any case of letters, is
+    replaced; other names may hold any characters. Only the text travels to Python.
     """
-    kept = [c for c in docs.columns if c != ids]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<int>")
+    def encoded(texts: pa.Array) -> pa.Array:
         bpe = loaded(tokenizer)
-        for batch in batches:
-            parts = [np.frombuffer(x, bpe.dtype) for x in bpe.encode_many(batch.column(batch.schema.get_field_index(text)).to_pylist())]
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-            values = np.concatenate([*parts, np.empty(0, bpe.dtype)]).astype(np.int32)
-            out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), out], names=[*kept, ids])
+        parts = [np.frombuffer(x, bpe.dtype) for x in bpe.encode_many(texts.to_pylist())]
+        offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+        values = np.concatenate([*parts, np.empty(0, bpe.dtype)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(ids, F.array(F.lit(0))).schema
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    kept = [F.col(quoted(c)) for c in docs.columns if c.lower() != ids.lower()]
+    return docs.select(*kept, encoded(F.col(quoted(text)).cast("string")).alias(ids))
 
 
 def decode_documents(docs: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """docs with the text of a column of ids; null ids give the empty text."""
+    """docs with the text of a column of ids; null ids give the empty text. A column named like ``text``, in any case, is replaced."""
 
     @F.pandas_udf("string")
     def texts(column):
         bpe = loaded(tokenizer)
         return column.map(lambda x: "" if x is None else bpe.decode(np.asarray(x)))
 
-    return docs.withColumn(text, texts(F.col(f"`{ids}`")))
+    kept = [F.col(quoted(c)) for c in docs.columns if c.lower() != text.lower()]
+    return docs.select(*kept, texts(F.col(quoted(ids))).alias(text))
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -213,6 +213,8 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents, one row each, as ``round_trip`` gives them: a null text counts as empty and has no ids, texts are encoded whole,
+    repeated rows and null ids stay rows of their own, other columns have no say, and an empty table gives no rows."""
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

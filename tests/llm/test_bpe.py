@@ -52,3 +52,12 @@ def test_columns_of_ids(spark, docs, corpus, no_docs):
     back = {r.doc_id: r for r in bpe.decode_documents(coded.drop("text"), PATH).collect()}
     assert all(back[r[0]].text == (r[1] or "") and back[r[0]].ids == library(r[1]) for r in corpus)
     assert bpe.encode_documents(no_docs, PATH).collect() == []
+
+
+def test_clashing_and_odd_names(spark):
+    frame = spark.createDataFrame([("a b", 1, 2, 3), (None, 4, 5, 6)], "text string, IDS int, `a``b` int, `x.y` int")
+    coded = bpe.encode_documents(frame, PATH)
+    assert coded.columns == ["text", "a`b", "x.y", "ids"]
+    assert sorted((r["a`b"], r["x.y"], r.ids) for r in coded.collect()) == [(2, 3, library("a b")), (5, 6, [])]
+    back = bpe.decode_documents(coded.withColumnRenamed("text", "TEXT"), PATH)
+    assert back.columns == ["a`b", "x.y", "ids", "text"] and sorted(r.text for r in back.collect()) == ["", "a b"]
