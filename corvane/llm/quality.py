@@ -72,23 +72,35 @@ def common_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = M
 
 
 def common_in_texts(rows: DataFrame, common: DataFrame) -> DataFrame:
-    """source, text_hash, common: the hashes of common lines in each text that has any."""
-    lines = rows.select("source", "text_hash", F.explode(F.array_distinct("line_hashes")).alias("line_hash"))
+    """source, text_hash, common of each text that has common lines: an array of their places among its lines with a word, in order,
+    each with its number of words. A text's lines meet the common ones in a join, so a text of any number of lines costs no more."""
+    lines = rows.select("source", "text_hash", F.posexplode(F.arrays_zip("line_hashes", "line_words")).alias("at", "line"))
+    lines = lines.select("source", "text_hash", F.struct("at", F.col("line.line_words").alias("words")).alias("place"), F.col("line.line_hashes").alias("line_hash"))
     known = common.select(F.col("source").alias("_s"), F.col("line_hash").alias("_h"))
-    return lines.join(known, (F.col("line_hash") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_s")), "left_semi").groupBy("source", "text_hash").agg(F.collect_set("line_hash").alias("common"))
+    return lines.join(known, (F.col("line_hash") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_s")), "left_semi").groupBy("source", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("common"))
 
 
 def judged(rows: DataFrame, common: DataFrame, left_share: float = LEFT_SHARE) -> DataFrame:
     """rows with common, words_left, base_failed, kept; repeated rows are judged alike."""
     found = common_in_texts(rows, common).withColumnsRenamed({"source": "_s", "text_hash": "_t"})
     rows = rows.join(found, (F.col("text_hash") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "_t")
-    removed = F.aggregate(F.zip_with("line_hashes", "line_words", lambda h, n: F.when(F.array_contains("common", h), n).otherwise(0)), F.lit(0), lambda a, n: a + n)
-    left = F.col("n_words") - F.when(F.col("common").isNull(), F.lit(0)).otherwise(removed)
+    removed = F.aggregate("common", F.lit(0), lambda a, x: a + x["words"])
+    left = F.col("n_words") - F.coalesce(removed, F.lit(0))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumns({"words_left": left, "base_failed": failed})
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= F.col("n_words") * left_share))
 
 
+def without_lines(text: Column, places: Column) -> Column:
+    """text without its lines at some places (an ordered array; 0 is the first line with a word): what lies between is joined again."""
+    lines = F.split(text, "\n", -1)
+    worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(f"[^{SPACE}]"), i)), lambda i: i.isNotNull())
+    cuts = F.transform(places, lambda p: F.get(worded, p))
+    edges = F.concat(F.array(F.lit(-1)), cuts, F.array(F.size(lines)))
+    runs = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.when(b - a > 1, F.array_join(F.slice(lines, a + 2, b - a - 1), "\n")))
+    return F.array_join(F.filter(runs, lambda r: r.isNotNull()), "\n")
+
+
 def line_frequency_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, words_left of each row of docs.
 
@@ -111,8 +123,7 @@ def clean(docs: DataFrame, copies: bool = False) -> DataFrame:
     text = F.col("text").cast("string")
     boxes = boxed(docs, text=text, source=F.col("source").cast("string"), text_hash=text_hash(text))
     kept = boxes.join(verdicts, (F.col("text_hash") == F.col("hash")) & F.col("source").eqNullSafe(F.col("host")))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: ~(x.rlike(f"[^{SPACE}]") & F.array_contains("common", line_hash(x))))
-    kept = kept.withColumn("left", F.when(F.col("common").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    kept = kept.withColumn("left", F.when(F.col("common").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.transform("common", lambda x: x["at"]))))
     changed = {"text": F.col("left")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from corvane.llm import quality
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -102,3 +104,33 @@ def test_no_python_on_the_main_path(spark, docs):
     rows = quality.measured(docs)
     plan = quality.judged(rows, quality.common_lines(rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_lines_are_cut_where_they_are(spark):
+    cases = [("a\n\nb\n \nc", [0], "\n\nb\n \nc"), ("a\n\nb\n \nc", [1], "a\n\n \nc"), ("a\nb\nc", [0, 1, 2], ""), ("a\nb\nc", [2], "a\nb"), ("\n\na\n", [0], "\n\n"), ("a\nb", [], "a\nb"), ("a", [0], "")]
+    frame = spark.createDataFrame([(t, p) for t, p, _ in cases], "t string, p array<int>")
+    got = [r.x for r in frame.select(quality.without_lines(F.col("t"), F.col("p")).alias("x")).collect()]
+
+    def slow(text, places):
+        worded = [i for i, x in enumerate(text.split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
+        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in {worded[p] for p in places})
+
+    assert got == [slow(t, p) for t, p, _ in cases] and got[1:4] == [c[2] for c in cases[1:4]]
+
+
+def test_texts_of_many_common_lines_take_linear_time(spark, tmp_path):
+    import time
+
+    def took(n):
+        lines = [f"line number {chr(97 + i % 26)} {'x' * (i // 26 % 40)} {'y' * (i // 1040)} is here" for i in range(n)]
+        rows = [(i, "\n".join([*lines, f"own words of document {'z' * i} and nothing else"]), "s") for i in range(24)]
+        path = f"{tmp_path}/{n}-{time.monotonic_ns()}"
+        spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).write.parquet(path)
+        docs = spark.read.parquet(path)
+        began = time.perf_counter()
+        found = quality.line_frequency_rules(docs).collect()
+        assert len(found) == 24 and all(r.words_left in (7, 8) and not r.kept for r in found)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(16_000) < 3 * took(8_000) + 2
