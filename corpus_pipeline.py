@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, mixing, quality, simhash, suffix
-from corvane.llm.common import shared_dir, table
+from corvane.llm.common import SPACE, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 200 bytes or more that also occur elsewhere."""
-    return suffix.without_repeats(docs)
+    """Documents without the passages of 200 bytes or more that also occur elsewhere; those of which no word is left go."""
+    return suffix.without_repeats(docs).where(F.col("text").rlike(f"[^{SPACE}]"))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
