@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Cells of the histogram that a mixture is fitted to, and bounds in units of the support.
 CELLS, LEAST_STD, MOST_STD, LEAST_SHARE = 256, 0.02, 3.0, 0.05
 
+#: Where the descent of two normals starts: weight, mean and spread of each; None is the sample's own mean or spread. Fixed values.
+STARTS = ((0.5, 0.25, 0.2, 0.75, 0.2), (0.3, None, None, 0.75, 0.1), (0.7, 0.25, 0.1, None, None))
+
 
 def descend(f: Callable[[np.ndarray], float], start: Sequence[float], bounds: Sequence[tuple[float, float]], rounds: int = 400) -> tuple[np.ndarray, float]:
     """A minimum within bounds by steps along each coordinate, which double on success and halve on failure."""
@@ -102,7 +105,8 @@ def fit_families(rows: DataFrame, keys: Sequence[str], value: str, weight: str,
                     found.append(("power_law", {"rate": t[0]}, nll))
                 x = np.array([(c["_c"] + 0.5) / CELLS for c in r["cells"]])
                 share = np.array([c["_m"] for c in r["cells"]]) / r["s0"]
-                t, nll = min((_mixture(x, share, s) for s in ((0.5, 0.25, 0.2, 0.75, 0.2), (0.3, m1, std, 0.75, 0.1), (0.7, 0.25, 0.1, m1, std))), key=lambda f: f[1])
+                starts = [tuple(own if v is None else v for v, own in zip(s, (None, m1, std, m1, std))) for s in STARTS]
+                t, nll = min((_mixture(x, share, s) for s in starts), key=lambda f: f[1])
                 found.append(("gaussian_mixture", dict(zip(("weight", "mean_a", "std_a", "mean_b", "std_b"), t)), nll))
                 n = r["effective"]
                 score, _, family, params = min(((2 * n * nll + len(p) * math.log(n), len(p), f, p) for f, p, nll in found), key=lambda c: c[:2])

@@ -11,7 +11,7 @@ from ..functions.text import stable_noise
 from ..sources.writers import scratch
 from .ranges import BEFORE, RANGE, across, carried, dealt, first_in_order, first_smallest, prefix_sums, with_carried, within
 
-#: Name of the bucket below each percentile.
+#: Name of the bucket below each percentile. Fixed values.
 BUCKETS = {25.0: "most_audible", 50.0: "audible", 75.0: "subtle", float("inf"): "least_audible"}
 
 
