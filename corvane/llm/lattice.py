@@ -10,7 +10,9 @@ its end. Words are scored once each; a bounded number of the most frequent ones
 from __future__ import annotations
 
 import functools
+import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +31,8 @@ COUNTED = 400_000
 ROUNDS = 2
 #: Cells of a table of word and place that the recursion handles at once.
 CELLS = 1 << 17
+#: Words of more bytes are gone through place by place, each alone, in space and time in proportion to their length.
+LONG = 1 << 12
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,6 +131,12 @@ class Lattice:
         self.longest = max(map(len, scores), default=1)
         place = {p: i for i, p in enumerate(scores)}
         self.size = len(place)
+        self.pieces = {p: (s, place[p]) for p, s in scores.items()}
+        # Lengths of the pieces by their last bytes, at most three: what may end at a place of a long word.
+        ends: dict[bytes, set[int]] = {}
+        for p in scores:
+            ends.setdefault(p[-3:], set()).add(len(p))
+        self.ends = {e: tuple(sorted(ks)) for e, ks in ends.items()}
         self.tables = {}
         for n in range(1, self.longest + 1):
             of_n = [p for p in scores if len(p) == n]
@@ -144,12 +154,12 @@ class Lattice:
         return out
 
     def _parts(self, words: list[bytes]) -> Iterator[np.ndarray]:
-        """Places of words of about equal length, as many as the recursion handles at once."""
-        order = np.argsort([len(w) for w in words], kind="stable")
+        """Places of the words that aren't long, those of about equal length together, as many as the recursion handles at once."""
+        order = np.array(sorted((i for i, w in enumerate(words) if len(w) < LONG), key=lambda i: len(words[i])), np.int64)
         at = 0
-        while at < len(words):
+        while at < len(order):
             end = at + 1
-            while end < len(words) and (end + 1 - at) * (len(words[order[end]]) + 2) <= CELLS:
+            while end < len(order) and (end + 1 - at) * (len(words[order[end]]) + 2) <= CELLS:
                 end += 1
             yield order[at:end]
             at = end
@@ -160,8 +170,45 @@ class Lattice:
         for part in self._parts(words):
             lengths, hits = self._hits([b" " + words[i] for i in part])
             out[part] = self._forward(lengths, self._steps(lengths, hits))[lengths, np.arange(len(part))]
+        for i, w in enumerate(words):
+            if len(w) >= LONG:
+                out[i] = self._along(b" " + w)[-1]
         return out
 
+    def _ending(self, word: bytes, end: int) -> Iterator[tuple[int, float, int]]:
+        """Length, log probability and place of every piece that ends here."""
+        for tail in (1, 2, 3):
+            for k in self.ends.get(word[end - tail : end], ()) if tail <= end else ():
+                if k <= end and (tail == 3 or k == tail) and (found := self.pieces.get(word[end - k : end])):
+                    yield k, *found
+
+    def _along(self, word: bytes) -> array:
+        """Log sums over the divisions of what lies before each place of one word."""
+        forward = array("d", [0.0])
+        for end in range(1, len(word) + 1):
+            ways = [forward[end - k] + s for k, s, _ in self._ending(word, end)]
+            top = max(ways, default=-math.inf)
+            forward.append(top if len(ways) < 2 or top == -math.inf else top + math.log(sum([math.exp(w - top) for w in ways])))
+        return forward
+
+    def _count_along(self, word: bytes, times: float, out: np.ndarray) -> None:
+        """Adds the expected counts of one word, from its last place back."""
+        forward = self._along(word)
+        whole = forward[-1]
+        if whole == -math.inf:
+            return
+        backward = array("d", [-math.inf]) * len(forward)
+        backward[-1] = 0.0
+        for end in range(len(word), 0, -1):
+            after = backward[end]
+            if after == -math.inf:
+                continue
+            for k, s, place in self._ending(word, end):
+                way, held = s + after, backward[end - k]
+                high, low = (way, held) if way > held else (held, way)
+                backward[end - k] = high + math.log1p(math.exp(low - high))
+                out[place] += times * math.exp(forward[end - k] + way - whole)
+
     def expected_counts(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
         """How often each piece occurs in the words, each so many times, as the mean over all their divisions by probability."""
         out = np.zeros(self.size)
@@ -176,6 +223,9 @@ class Lattice:
                 _, values, _, places = self.tables[k]
                 share = np.exp(forward[col, row] + values[slot] + backward[col + k, row] - whole[row])
                 out += np.bincount(places[slot], weights=share * weight[row], minlength=self.size)
+        for w, n in zip(words, times.tolist()):
+            if len(w) >= LONG:
+                self._count_along(b" " + w, float(n), out)
         return out
 
     def _hits(self, words: list[bytes]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:

@@ -121,3 +121,29 @@ def test_nothing_nulls_and_long_words(spark, no_docs):
     got = sorted(lattice.lattice_scores(odd, MODEL).collect(), key=lambda r: r.n_tokens)
     assert [r.n_tokens for r in got] == [1, 1, 2, 2]
     assert all(math.isfinite(r.score) for r in got) and got[2].score == got[3].score
+
+
+def test_long_words_are_gone_through_place_by_place(monkeypatch):
+    rng = np.random.default_rng(3)
+    pieces = [bytes([b]) for b in range(256)] + [b" a", b"ab", b"abc", b"bca", b"abcab", b" ", b"cc", b"abcabcabcabca"]
+    model = lattice.Lattice(pieces, np.log(rng.dirichlet(np.ones(len(pieces)))))
+    words = [bytes(rng.choice(list(b"abc"), n)) for n in (1, 2, 3, 30, 200)] + [b"", b"\xff\x00" * 20]
+    times = rng.integers(1, 9, len(words))
+    scores, counts = model.word_log_probs(words), model.expected_counts(words, times)
+    monkeypatch.setattr(lattice, "LONG", 0)
+    assert np.allclose(model.word_log_probs(words), scores, rtol=1e-12) and np.allclose(model.expected_counts(words, times), counts, rtol=1e-9, atol=1e-12)
+    few = lattice.Lattice([b" a", b"b"], np.log([0.5, 0.5]))
+    assert np.isneginf(few.word_log_probs([b"ax"])[0]) and not few.expected_counts([b"ax"], np.array([1])).any()
+
+
+def test_a_word_of_a_megabyte_takes_seconds():
+    import time
+
+    import public_tokenizers
+
+    names = [p for p in dict.fromkeys(lattice.piece_bytes(public_tokenizers.path("piece_bpe_32k.model"))) if p]
+    model = lattice.Lattice(names, np.full(len(names), -np.log(len(names))))
+    word = bytes(np.random.default_rng(4).choice(list(b"ABCDEFabcdef0123456789+/"), 1 << 20))
+    began = time.thread_time()
+    assert np.isfinite(model.word_log_probs([word])[0])
+    assert time.thread_time() - began < 30
