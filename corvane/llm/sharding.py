@@ -12,7 +12,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, quoted, table
+from .common import boxed, quoted, shared_dir, table, written
 
 #: Bits that one round looks ahead; a round's directory has at most 2 ** STEP entries for each bucket that is still too large.
 STEP = 12
@@ -24,25 +24,27 @@ def hash_bits(key) -> F.Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
-def rounds(sizes: DataFrame, max_bytes: int) -> list[tuple[int, DataFrame]]:
-    """(bits, shards) of each round; shards: depth, prefix, shard_bytes, shard_docs, depth over those of the round before and up to
-    bits. sizes: h (a hash of HASH_BITS bits), bytes.
+def rounds(sizes: DataFrame, max_bytes: int) -> list[tuple[int, DataFrame, DataFrame]]:
+    """(bits, shards, hashes) of each round; shards: depth, prefix, shard_bytes, shard_docs, depth over those of the round before and up
+    to bits; hashes: h of all that were still to be placed. sizes: h (a hash of HASH_BITS bits), bytes.
 
-    Every round sums bytes by the next STEP bits of the buckets that are still over the limit, and takes, for each fine prefix, the
+    The bytes of each hash are summed once and written, and so is what a round sums, so a round reads no document. Every round sums bytes by the next STEP bits of the buckets that are still over the limit, and takes, for each fine prefix, the
     shallowest bucket that fits. What no split can part (rows of one hash) stays one shard, whatever its size.
     """
-    found, left, depth = [], sizes.groupBy("h").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs")), 0
+    spark = sizes.sparkSession
+    found, depth = [], 0
+    left = written(sizes.groupBy("h").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs")), shared_dir(spark))
     while depth < HASH_BITS:
         step = min(STEP, HASH_BITS - depth)
         fine = left.groupBy(F.shiftrightunsigned("h", HASH_BITS - depth - step).alias("fine")).agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("keys"))
         levels = fine.withColumn("up", F.explode(F.sequence(F.lit(0), F.lit(step)))).groupBy((F.lit(depth + step) - F.col("up")).alias("depth"), F.expr("shiftright(fine, up)").alias("prefix"))
-        levels = levels.agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"), F.sum("keys").alias("keys"))
+        levels = written(levels.agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"), F.sum("keys").alias("keys")), shared_dir(spark))
         fits = levels.where((F.col("shard_bytes") <= max_bytes) | (F.col("keys") == 1))
         if depth:
             fits = fits.where(F.col("depth") > depth)
         parents = levels.where((F.col("shard_bytes") > max_bytes) & (F.col("keys") > 1)).select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
         depth += step
-        found.append((depth, fits.where("depth = 0").unionByName(fits.join(parents, ["depth", "prefix"], "left_semi")).drop("keys")))
+        found.append((depth, fits.where("depth = 0").unionByName(fits.join(parents, ["depth", "prefix"], "left_semi")).drop("keys"), left))
         over = levels.where((F.col("depth") == depth) & (F.col("shard_bytes") > max_bytes) & (F.col("keys") > 1)).select(F.col("prefix").alias("over"))
         if depth >= HASH_BITS or over.isEmpty():
             break
@@ -52,7 +54,7 @@ def rounds(sizes: DataFrame, max_bytes: int) -> list[tuple[int, DataFrame]]:
 
 def directory(sizes: DataFrame, max_bytes: int) -> DataFrame:
     """depth, prefix, shard_bytes, shard_docs of every shard, from sizes (h, bytes)."""
-    return functools.reduce(DataFrame.unionByName, [shards for _, shards in rounds(sizes, max_bytes)])
+    return functools.reduce(DataFrame.unionByName, [shards for _, shards, _ in rounds(sizes, max_bytes)])
 
 
 def leaves(shards: DataFrame, bits: int) -> DataFrame:
@@ -68,16 +70,15 @@ def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: st
     """docs with n_bytes (UTF-8 bytes of the text, 0 for null), shard (its bits; empty: the only shard), shard_bytes, shard_docs.
 
     Rows of one key, null included, share a shard. A shard is over max_bytes only if all its rows have one key. Columns of docs with
-    these names are replaced; others may have any name. No rows give no rows. A row looks its shard up once for each round of the
-    directory, by equal bits, and meets one slot in one of them: no row is ever more than one.
+    these names are replaced; others may have any name. No rows give no rows. Hashes look their shards up by equal bits, each in the
+    round that places it; rows meet their hash's shard in one join, which is all that moves them.
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_bytes", "shard", "shard_bytes", "shard_docs")]
     size = F.coalesce(F.octet_length(F.col(quoted(text))), F.lit(0)).cast("long")
     rows = boxed(docs, n_bytes=size, h=hash_bits(F.coalesce(F.col(quoted(key)).cast("string"), F.lit(""))))
     found = rounds(rows.select("h", F.col("n_bytes").alias("bytes")), max_bytes)
-    for k, (bits, shards) in enumerate(found):
-        rows = rows.join(leaves(shards, bits).toDF(f"slot{k}", f"leaf{k}"), F.shiftrightunsigned("h", HASH_BITS - bits) == F.col(f"slot{k}"), "left")
-    rows = rows.withColumn("leaf", F.coalesce(*[f"leaf{k}" for k in range(len(found))]))
+    placed = [hashes.join(leaves(shards, bits), F.shiftrightunsigned("h", HASH_BITS - bits) == F.col("slot")).select(F.col("h").alias("own"), "leaf") for bits, shards, hashes in found]
+    rows = rows.join(functools.reduce(DataFrame.unionByName, placed), F.col("h") == F.col("own"), "left")
     return rows.select(*[F.col(f"row.{quoted(c)}") for c in kept], "n_bytes", "leaf.shard", "leaf.shard_bytes", "leaf.shard_docs")
 
 
