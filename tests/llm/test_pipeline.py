@@ -37,3 +37,47 @@ def test_every_stage_takes_effect(spark, tmp_path):
     assert all(r.ids == theirs.encode(cleaned[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids) for r in seen["token_ids"])
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.select("doc_id", "n_tokens").collect())) == sorted((r.doc_id, r.n_tokens) for r in seen["token_ids"])
+
+
+def through(spark, rows, schema, path):
+    """Rows after each stage; every stage is written and read again."""
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{path}/documents.parquet")
+    docs, seen = spark.read.parquet(f"{path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, path).write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+        seen.append(docs)
+    return seen
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    seen = through(spark, [], "doc_id long, text string, lang string, source string, n_chars long", str(tmp_path))
+    assert [d.count() for d in seen] == [0] * 5
+
+
+def test_odd_rows_and_names_go_through(spark, tmp_path):
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghiklmnopr") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    long, copied, passage = prose(200_000), prose(60), prose(60)
+    texts = [(None, prose(50)), (1, long), (2, copied), (2, copied), (3, copied), (4, None), (5, ""), (6, prose(45)), (None, prose(55)), (7, f"{prose(40)} {passage} {prose(40)}"), (8, f"{passage} {prose(90)}")]
+    rows = [(i, t, "en", None if k % 3 == 0 else "s", None, "x", k) for k, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, IDS string, `a``b` int"
+    seen = through(spark, rows, schema, str(tmp_path))
+    assert all(d.columns == ["doc_id", "text", "lang", "source", "n_chars", "IDS", "a`b"] for d in seen[:-1])
+    kept = [r.doc_id for r in seen[1].collect()]
+    assert Counter(i if i not in (2, 3) else "copy" for i in kept) == Counter({None: 2, 1: 1, "copy": 1, 6: 1, 7: 1, 8: 1})
+    cut = {r.doc_id: r for r in seen[2].where("doc_id is not null").collect()}
+    assert cut[1].text == long and cut[1].n_chars in (None, len(long)) and passage[5:-5] not in cut[7].text + cut[8].text
+    last = seen[-1].collect()
+    assert {r.doc_id for r in last} <= {None, 1, 2, 3, 6, 7, 8} and all(r.n_tokens == len(r.ids) > 0 for r in last)
+
+
+def test_a_document_of_repeats_only_goes(spark, tmp_path):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghiklmnopr") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    one, other = prose(80), prose(80)
+    rows = [(1, f"{one} {other}", "en", "s", 1), (2, f"{prose(60)} {one}", "en", "s", 1), (3, f"{other} {prose(60)}", "en", "s", 1), (4, prose(80), "en", "s", 1)]
+    seen = through(spark, rows, "doc_id long, text string, lang string, source string, n_chars long", str(tmp_path))
+    assert sorted(r.doc_id for r in seen[1].collect()) == [1, 2, 3, 4]
+    left = {r.doc_id: r.text for r in seen[2].collect()}
+    assert set(left) >= {2, 3, 4} and all(t.strip() for t in left.values())
