@@ -132,11 +132,6 @@ class Lattice:
         place = {p: i for i, p in enumerate(scores)}
         self.size = len(place)
         self.pieces = {p: (s, place[p]) for p, s in scores.items()}
-        # Lengths of the pieces by their last bytes, at most three: what may end at a place of a long word.
-        ends: dict[bytes, set[int]] = {}
-        for p in scores:
-            ends.setdefault(p[-3:], set()).add(len(p))
-        self.ends = {e: tuple(sorted(ks)) for e, ks in ends.items()}
         self.tables = {}
         for n in range(1, self.longest + 1):
             of_n = [p for p in scores if len(p) == n]
@@ -172,42 +167,51 @@ class Lattice:
             out[part] = self._forward(lengths, self._steps(lengths, hits))[lengths, np.arange(len(part))]
         for i, w in enumerate(words):
             if len(w) >= LONG:
-                out[i] = self._along(b" " + w)[-1]
+                out[i] = self._along((b" " + w).decode("latin-1"), self.automata[0])[-1]
         return out
 
-    def _ending(self, word: bytes, end: int) -> Iterator[tuple[int, float, int]]:
-        """Length, log probability and place of every piece that ends here."""
-        for tail in (1, 2, 3):
-            for k in self.ends.get(word[end - tail : end], ()) if tail <= end else ():
-                if k <= end and (tail == 3 or k == tail) and (found := self.pieces.get(word[end - k : end])):
-                    yield k, *found
+    @functools.cached_property
+    def automata(self) -> tuple:
+        """What finds all pieces of a word, and of one read from its end, in one pass; a byte is the character of its number."""
+        import ahocorasick
 
-    def _along(self, word: bytes) -> array:
+        both = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for p, (score, place) in self.pieces.items():
+            text = p.decode("latin-1")
+            both[0].add_word(text, (len(p), score, place))
+            both[1].add_word(text[::-1], (len(p), score, place))
+        for one in both:
+            one.make_automaton()
+        return both
+
+    @staticmethod
+    def _along(text: str, automaton) -> array:
         """Log sums over the divisions of what lies before each place of one word."""
-        forward = array("d", [0.0])
-        for end in range(1, len(word) + 1):
-            ways = [forward[end - k] + s for k, s, _ in self._ending(word, end)]
-            top = max(ways, default=-math.inf)
-            forward.append(top if len(ways) < 2 or top == -math.inf else top + math.log(sum([math.exp(w - top) for w in ways])))
+        forward = array("d", [-math.inf]) * (len(text) + 1)
+        forward[0] = 0.0
+        here, ways = 0, [0.0]
+        exp, log = math.exp, math.log
+        for at, (k, s, _) in automaton.iter(text):
+            if at + 1 != here:
+                top = max(ways)
+                forward[here] = top if len(ways) == 1 or top == -math.inf else top + log(sum([exp(w - top) for w in ways]))
+                here, ways = at + 1, []
+            ways.append(forward[at + 1 - k] + s)
+        top = max(ways)
+        forward[here] = top if len(ways) == 1 or top == -math.inf else top + log(sum([exp(w - top) for w in ways]))
         return forward
 
     def _count_along(self, word: bytes, times: float, out: np.ndarray) -> None:
-        """Adds the expected counts of one word, from its last place back."""
-        forward = self._along(word)
-        whole = forward[-1]
+        """Adds the expected counts of one word: sums from both ends, then every piece at every place."""
+        text = word.decode("latin-1")
+        forward, backward = self._along(text, self.automata[0]), self._along(text[::-1], self.automata[1])
+        n, whole = len(text), forward[-1]
         if whole == -math.inf:
             return
-        backward = array("d", [-math.inf]) * len(forward)
-        backward[-1] = 0.0
-        for end in range(len(word), 0, -1):
-            after = backward[end]
-            if after == -math.inf:
-                continue
-            for k, s, place in self._ending(word, end):
-                way, held = s + after, backward[end - k]
-                high, low = (way, held) if way > held else (held, way)
-                backward[end - k] = high + math.log1p(math.exp(low - high))
-                out[place] += times * math.exp(forward[end - k] + way - whole)
+        counts = [0.0] * self.size
+        for at, (k, s, place) in self.automata[0].iter(text):
+            counts[place] += math.exp(forward[at + 1 - k] + s + backward[n - at - 1] - whole)
+        out += times * np.array(counts)
 
     def expected_counts(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
         """How often each piece occurs in the words, each so many times, as the mean over all their divisions by probability."""
