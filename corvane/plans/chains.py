@@ -73,15 +73,16 @@ def random_graphs(
 
     def chains(wanted: Sequence[str], block: str, spec: Mapping, without: Sequence[str] = ()) -> DataFrame:
         pool = spec["pool"].where(~F.col("tag").isin(*without)) if without else spec["pool"]
-        mine = drawn_rows.where(F.col("topology").isin(*wanted))
-        if not definitions:
-            made = random_chains(mine, key, "family", pool, spec["lengths"], spec["order"], spec["most"], components, f"{seed}|{block}").withColumn("parameter", F.col("prior"))
-            return made.withColumn("block", F.lit(block)).select(*columns)
-        steps = chosen_chains(mine, key, "family", pool, spec["lengths"], spec["order"], spec["most"], f"{seed}|{block}")
-        steps = steps.join(drawn_rows.select(key, *clip), key) if clip else steps
-        return with_parameters(steps, [key], definitions, priors, context, f"{seed}|{block}").withColumn("block", F.lit(block)).select(*columns)
+        mine, limits = drawn_rows.where(F.col("topology").isin(*wanted)), (spec["lengths"], spec["order"], spec["most"])
+        if definitions:
+            return chosen_chains(mine, key, "family", pool, *limits, f"{seed}|{block}").select(key, "family", "position", "operator").withColumn("block", F.lit(block))
+        made = random_chains(mine, key, "family", pool, *limits, components, f"{seed}|{block}")
+        return made.withColumns({"parameter": F.col("prior"), "block": F.lit(block)}).select(*columns)
 
     both = chains(["serial"], "serial", serial).unionByName(chains(["serial_plus_send"], "serial", serial, forbidden)).unionByName(chains(["send_return", "serial_plus_send"], "send", send))
+    if definitions:
+        steps = both.join(drawn_rows.select(key, *clip), key) if clip else both
+        both = with_parameters(steps, [key, "block"], definitions, priors, context, seed).select(*columns)
     bus = drawn(drawn_rows.join(F.broadcast(levels), "topology").select(key, "parameter", "prior"), components, [key, "parameter"], f"{seed}|bus")
     bus = bus.withColumns({"block": F.lit("send"), "position": F.lit(0), "operator": F.lit("send_bus"), "drawn": F.col("value_text")}).select(*columns)
     needed = F.create_map(*[x for t, b in BLOCKS.items() for x in (F.lit(t), F.lit(len(b)))])[F.col("topology")]
