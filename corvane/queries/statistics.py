@@ -55,14 +55,21 @@ def parameter_support(spark, sf_dir):
 
 
 @register("ordered_quantiles", """
-SELECT 'all' AS part, quantile_cont(o_totalprice::DOUBLE, [0.01, 0.5, 0.999]) AS quantiles FROM orders UNION ALL SELECT o_orderstatus, quantile_cont(o_totalprice::DOUBLE, [0.01, 0.5, 0.999]) FROM orders GROUP BY 1
+WITH v AS (SELECT 'all' AS part, o_totalprice::DOUBLE AS v FROM orders UNION ALL SELECT o_orderstatus, o_totalprice::DOUBLE FROM orders),
+r AS (SELECT part, v, row_number() OVER (PARTITION BY part ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY part) - 1 AS last FROM v WHERE v IS NOT NULL),
+a AS (SELECT part, v, k, p, p * last AS place FROM r, (SELECT unnest([0.01::DOUBLE, 0.5::DOUBLE, 0.999::DOUBLE]) AS p) WHERE k IN (floor(p * last), ceil(p * last))),
+n AS (SELECT part, p, max(place - floor(place)) AS share, max(v) FILTER (WHERE k = floor(place)) AS low, max(v) FILTER (WHERE k = ceil(place)) AS high FROM a GROUP BY 1, 2),
+q AS (SELECT part, list(low + (high - low) * share ORDER BY p) AS quantiles FROM n GROUP BY 1)
+SELECT g.part, quantiles FROM (SELECT DISTINCT part FROM v) g LEFT JOIN q ON g.part IS NOT DISTINCT FROM q.part
 """)
 def ordered_quantiles(spark, sf_dir):
-    """Exact quantiles of one group with all rows, and of a few groups, over many distinct values."""
+    """Exact quantiles of one group with all rows, and of a few groups, over many distinct values: low + (high - low) * share, as doubles."""
     from ..operators.ranges import prefix_sums, quantiles
 
     rows = table(spark, sf_dir, "orders").select(F.explode(F.array(F.lit("all"), "o_orderstatus")).alias("part"), "o_totalprice")
-    return quantiles(prefix_sums(rows, ["part"], "o_totalprice", {"n": F.lit(1)}), ["part"], "o_totalprice", [0.01, 0.5, 0.999])
+    found = quantiles(prefix_sums(rows, ["part"], "o_totalprice", {"n": F.lit(1)}), ["part"], "o_totalprice", [0.01, 0.5, 0.999])
+    parts = rows.select("part").distinct()  # one without a price has no quantiles
+    return parts.join(found.withColumnRenamed("part", "_part"), F.col("part").eqNullSafe(F.col("_part")), "left").select("part", "quantiles")
 
 
 @register("conditioned_summary", """

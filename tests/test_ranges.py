@@ -172,3 +172,21 @@ def test_a_long_interval_makes_few_slots(spark):
     covered = sorted((x.slot << x.level, (x.slot + 1) << x.level) for x in slots)
     assert covered[0][0] == -(10**9) and covered[-1][1] == 10**9 + 1 and all(a[1] == b[0] for a, b in zip(covered, covered[1:]))
     assert J.overlaps(*[spark.createDataFrame([], "k int, lo double, hi double")] * 2, ["k"], 1.0).collect() == []
+
+
+def test_quantiles_to_the_last_bit_of_their_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from corvane import registry
+
+    registry.load()
+    rng = random.Random(8)
+    rows = [(rng.choice("FOP"), round(rng.uniform(900, 500_000), 2)) for _ in range(4000)] + [("N", None), (None, 5.25), (None, 7.75)]
+    spark.createDataFrame(rows, "o_orderstatus string, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = {part: q for part, q in con.execute(registry.ORACLE_SQL["ordered_quantiles"]).fetchall()}
+    got = {r.part: r.quantiles for r in registry.QUERIES["ordered_quantiles"](spark, str(tmp_path)).collect()}
+    assert got == want and set(got) == {"all", "F", "O", "P", "N", None} and got["N"] is None
