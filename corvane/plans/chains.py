@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_noise
-from ..operators.rank import weighted_sample
 from ..operators.sampling import drawn, weighted_choice
 from .values import with_parameters
 
@@ -21,23 +20,39 @@ def chosen_chains(rows: DataFrame, key: str, families: Mapping[str, float] | str
     without replacement; the first attempt that is long enough and holds no tag more often than ``most`` is kept. Operators are put in
     the order of their tags. Rows of which no attempt is valid have no chain.
     """
-    u = lambda *parts: stable_noise(F.lit(seed), *map(F.lit, parts), F.col(key), F.col("attempt"))
-    given = isinstance(families, str)
-    tried = rows.select(key, *([F.col(families).alias("family")] if given else []), F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
-    span = lengths[1] - lengths[0] + 1
-    tried = tried if given else tried.withColumn("family", weighted_choice(u("family"), families))
-    tried = tried.withColumns({"length": (lengths[0] + F.floor(u("length") * span)).cast("int")})
-    spread = tried.join(F.broadcast(pool), "family")
-    steps = weighted_sample(spread, [key, "attempt"], "weight", lengths[1], seed, key, "attempt", "operator").where(F.col("draw") <= F.col("length"))
-    tried_once = Window.partitionBy(key, "attempt")
-    valid = F.count(F.lit(1)).over(tried_once) >= lengths[0]
-    for tag, n in most.items():
-        valid = valid & (F.count_if(F.col("tag") == tag).over(tried_once) <= n)
-    steps = steps.withColumn("_valid", valid).withColumn("_first", F.min(F.when(F.col("_valid"), F.col("attempt"))).over(Window.partitionBy(key)))  # a row's attempts are few
-    kept = steps.where("attempt = _first")
-    rank = F.coalesce(F.create_map(*[x for t, r in order.items() for x in (F.lit(t), F.lit(r))])[F.col("tag")], F.lit(1 << 30))
-    kept = kept.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(rank, "draw")))
-    return kept.select(key, "family", "position", "operator", *[c for c in pool.columns if c not in ("family", "operator", "weight", "tag")])
+    given, span = isinstance(families, str), lengths[1] - lengths[0] + 1
+    further = [c for c in pool.columns if c not in ("family", "operator", "weight", "tag")]
+    pools = pool.where(F.col("weight") > 0).groupBy("family").agg(F.collect_list(F.struct("operator", "weight", "tag", *further)).alias("ops"))
+    pools = pools.where("family is not null").agg(F.map_from_entries(F.collect_list(F.struct("family", "ops"))).alias("_pools"))
+    own = rows.select(key, *([F.col(families).alias("_given")] if given else [])).crossJoin(F.broadcast(pools))
+
+    def family(attempt: Column) -> Column:
+        return F.col("_given") if given else weighted_choice(stable_noise(F.lit(seed), F.lit("family"), F.col(key), attempt), families)
+
+    def steps(attempt: Column) -> Column:
+        """at (of the pool), tag and draw of an attempt's steps: those of the least -ln(u) / weight, as weighted_sample draws them."""
+        length = (lengths[0] + F.floor(stable_noise(F.lit(seed), F.lit("length"), F.col(key), attempt) * span)).cast("int")
+        e = lambda o: -F.ln(stable_noise(F.lit(seed), F.col(key), attempt, o["operator"]) + F.lit(2.0**-53)) / o["weight"]
+        scored = F.transform(F.try_element_at("_pools", family(attempt)), lambda o, i: F.struct(e(o).alias("e"), o["operator"].alias("operator"), i.alias("at"), o["tag"].alias("tag")))
+        return F.transform(F.slice(F.sort_array(scored), F.lit(1), length), lambda s, k: F.struct(s["at"].alias("at"), s["tag"].alias("tag"), k.alias("draw")))
+
+    def valid(found: Column) -> Column:
+        holds = F.size(found) >= max(1, lengths[0])
+        for tag, n in most.items():
+            holds = holds & (F.size(F.filter(F.transform(found, lambda s: s["tag"]), F.lit(tag).__eq__)) <= n)
+        return holds
+
+    def is_valid(attempt: Column) -> Column:  # the steps are bound once
+        return F.get(F.transform(F.array(steps(attempt)), valid), F.lit(0))
+
+    # An attempt is made only where all before it failed; a row is tried in its own task.
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(attempts)), F.lit(None).cast("int"), lambda done, a: F.coalesce(done, F.when(is_valid(a), a)))
+    kept = own.withColumn("_attempt", first).where("_attempt is not null").withColumn("_family", family(F.col("_attempt"))).withColumn("_ops", F.try_element_at("_pools", F.col("_family")))
+    ranks = F.create_map(*[x for t, r in order.items() for x in (F.lit(t), F.lit(r))])
+    ranked = F.sort_array(F.transform(steps(F.col("_attempt")), lambda s: F.struct(F.coalesce(ranks[s["tag"]], F.lit(1 << 30)).alias("rank"), s["draw"].alias("draw"), s["at"].alias("at"))))
+    placed = kept.select(key, F.col("_family").alias("family"), "_ops", F.posexplode(ranked).alias("_p", "_s"))
+    chosen = placed.select(key, "family", (F.col("_p") + 1).alias("position"), F.get("_ops", F.col("_s.at")).alias("_o"))
+    return chosen.select(key, "family", "position", "_o.operator", *[F.col("_o").getField(c).alias(c) for c in further])
 
 
 def random_chains(rows: DataFrame, key: str, families: Mapping[str, float] | str, pool: DataFrame, lengths: tuple[int, int], order: Mapping[str, int], most: Mapping[str, int], components: DataFrame, seed: str, attempts: int = 20) -> DataFrame:

@@ -14,6 +14,12 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows, key, most=10_000):
+    """rows dealt to as many tasks as hold about ``most`` of them, by a hash of key: for rows that are made into many or cost much each.
+    A file of few bytes is one task otherwise, however many rows it has. They are counted first, which reads the footers of a file."""
+    return rows.repartition(max(1, -(-rows.count() // most)), key)
+
+
 def plans(spark, sf_dir):
     """A plan for each order: its lines as steps of a chain, a send bus of the order's own levels, and a step block."""
     line = F.struct("l_linenumber", "l_extendedprice", "l_returnflag", F.col("l_quantity").cast("int").cast("string").alias("quantity"), F.col("l_discount").cast("string").alias("discount"))

@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -80,3 +81,30 @@ def test_ranks_of_a_large_key(spark):
     rows = spark.range(500).select(F.lit("k").alias("key"), (F.col("id") % 7).alias("c"), F.col("id").alias("v"))
     got = {r.v: r.rank for r in K.ranked_targets(rows, ["key"], ["c"], "v", [F.desc("c")]).collect()}
     assert got == {v: n + 1 for n, v in enumerate(sorted(range(500), key=lambda v: (-(v % 7), v)))}
+
+
+@pytest.mark.parametrize("name", ["random_chains", "random_graphs", "graph_parameters", "special_values", "expanded_plans", "first_valid_attempts", "omitted_facts", "captioned_clips"])
+def test_rows_of_a_small_file_are_dealt_to_tasks_before_work(spark, tmp_path, name):
+    from corvane import registry
+
+    registry.load()
+    n = 25_000
+    spark.range(n).selectExpr("id as c_custkey", "'BUILDING' as c_mktsegment", "id * 1.0D as c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(n).selectExpr("id as p_partkey", "'red ring' as p_name", "'SMALL' as p_type", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = registry.QUERIES[name](spark, str(tmp_path))
+    if name == "captioned_clips":
+        assert len(found.inputFiles()) == 3
+    else:
+        assert "3), REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+
+
+def test_attempts_make_no_rows(spark):
+    from corvane.plans.chains import chosen_chains
+
+    pool = spark.createDataFrame([("a", o, 1.0, o) for o in "xyz"], "family string, operator string, weight double, tag string")
+    found = chosen_chains(spark.range(50), "id", {"a": 1.0}, pool, (2, 3), {"z": 0}, {"x": 0}, "s")
+    assert "Window" not in found._jdf.queryExecution().toString()
+    chains = {}
+    for r in found.orderBy("id", "position").collect():
+        chains.setdefault(r.id, []).append(r.operator)
+    assert len(chains) == 50 and all(sorted(c) == ["y", "z"] and c[0] == "z" for c in chains.values())
