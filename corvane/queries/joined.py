@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import sets as S
 from ..registry import register
-from .nested import table
+from .nested import spread, table
 
 
 @register("accepted_documents", """
@@ -142,7 +142,7 @@ GROUP BY 1, 2
 def expanded_plans(spark, sf_dir):
     """Rows by recipes, targets and grids, filtered before they are spread."""
     recipes = spark.createDataFrame([("a", 0), ("b", 5000)], "recipe string, least int")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.array_distinct(F.array("c_mktsegment", F.lit("ALL"))).alias("targets"))
+    rows = spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_acctbal", F.array_distinct(F.array("c_mktsegment", F.lit("ALL"))).alias("targets"))
     wide = J.expand(rows, recipes, {"gain": [1, 2, 3], "mix": [0.5, 1.0]}, F.col("c_acctbal") >= F.col("least"), "targets", 32, ["c_custkey", "recipe"], most=10**9)
     return wide.groupBy("c_custkey", "recipe").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("gain") * 10 + F.col("mix")).alias("total"))
 
