@@ -10,7 +10,7 @@ from ..operators import rules as R
 from ..plans import values as V
 from ..plans.chains import random_graphs
 from ..registry import register
-from .nested import table
+from .nested import spread, table
 from .ranked import NOISE
 
 PRIORS = {
@@ -41,7 +41,7 @@ SPECS = {
 def clips(spark, sf_dir):
     """Customers as clips, a third of them without a tempo."""
     tempo = F.when(F.col("c_custkey") % 3 > 0, (60 + F.col("c_custkey") % 120).cast("double"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), tempo.alias("tempo_bpm"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), tempo.alias("tempo_bpm")), "c_custkey")
 
 
 def _noise(part: str, parameter: str, last: str) -> str:
