@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import joins as J
 from ..registry import register
+from .nested import spread
 
 
 def docs(spark, sf_dir, *columns):
@@ -135,7 +136,7 @@ def omitted_facts(spark, sf_dir):
     used = F.array_compact(F.array(F.when(key % 2 == 0, F.lit("steel_bolt")), F.lit("large_widget"), F.when(key % 2 == 1, F.lit("apply_ring_filter"))))
     stems = F.create_map(F.lit("red"), T.strings(["red", "scarlet"]), F.lit("round"), F.when(key % 5 > 0, T.strings(["rod"])).otherwise(T.strings([])))
     values = F.create_map(F.lit("depth"), depth, F.lit("size"), F.col("p_size").cast("double"))
-    rows = part.select("p_partkey", text.alias("text"), used.alias("used"), stems.alias("stems"), values.alias("values"))
+    rows = spread(part, "p_partkey").select("p_partkey", text.alias("text"), used.alias("used"), stems.alias("stems"), values.alias("values"))
     accepted = {"steel_bolt": ["screw"], "large_widget": [], "apply_ring_filter": []}
     found = T.omissions(F.col("text"), T.missing_operators(F.col("text"), F.col("used"), accepted), T.missing_stems(F.col("text"), F.col("stems")), T.missing_values(F.col("text"), F.col("values"), 1))
     return rows.select("p_partkey", found.alias("omitted"))
