@@ -12,7 +12,7 @@ from ..sources import clips as C
 from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import resume as S
-from .nested import table
+from .nested import spread, table
 
 
 @register("jsonl_round_trip", "SELECT doc_id, text, lang FROM documents")
@@ -122,7 +122,7 @@ def captioned_clips(spark, sf_dir):
     path = W.scratch(spark)
     k = F.col("p_partkey")
     aspects = F.concat(F.lit('["'), F.replace("p_name", F.lit(" "), F.lit('", "')), F.lit('"'), F.when(k % 2 == 0, ', "large noisy room", "calm"').otherwise(""), F.lit("]"))
-    rows = table(spark, sf_dir, "part").select(
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select(
         k.alias("ytid"), F.lit("10").alias("start_s"), (10 + F.col("p_size") / 8.0).cast("string").alias("end_s"), F.lit("/m/1,,/m/2").alias("audioset_positive_labels"), aspects.alias("aspect_list"), F.concat("p_name", F.lit("'s")).alias("caption"),
         F.when(k % 2 == 0, "True").otherwise("False").alias("is_balanced_subset"), F.lit("").alias("is_audioset_eval"),
     )
