@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -57,20 +58,99 @@ VALUE = re.compile(
 )
 #: A whole string that only names another value.
 WRAPPED = re.compile(r"\$\{?(\w+)\}?|\{\{\s*([\w.]+)\s*\}\}|%\((\w+)\)s")
-#: Characters and parts that a literal has at most: what is longer is text or data that is put together, no secret.
-LONGEST, PARTS = 4096, 32
+#: A literal of more than WHOLE characters is told by its first and last EDGE ones and those that a score reads wherever they stand:
+#: twelve different ones, the first of each class, an opening bracket and a line's end. Its score is the same.
+WHOLE, EDGE, DIFFERENT = 256, 64, 12
+CLASSES = [re.compile(p) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[ \t\n\x0b\f\r]", r"[^A-Za-z0-9 \t\n\x0b\f\r]", r"\(", r"[\n\r\x85\u2028\u2029]")]
 ADDRESS = re.compile(r"[^\s@/\"'<>]++")
 JOIN = re.compile(r"[\t ]*+(?:\+|\.\.?(?=[\t ]))\s*+")
 CHAIN = re.compile(r"[\t ]*+:?=(?!=)")
 
 
 class Pair(NamedTuple):
-    """A name, the literal that reaches it, where the literal's parts are written, and whether quotes hold them."""
+    """A name, the literal that reaches it (or what tells its score), the node of the literal's parts, and whether quotes hold them."""
 
     name: str
     value: str
+    node: int
+    quoted: bool
+
+
+class Node(NamedTuple):
+    """Where parts are written, and nodes that hold further ones. A text has no more of them than it has parts, however they are joined."""
+
     spans: list[tuple[int, int]]
+    nodes: list[int]
+
+
+class Part(NamedTuple):
+    """A literal or the name of one, and where the part begins that is joined to it."""
+
+    span: tuple[int, int]
+    value: str
+    name: str | None
     quoted: bool
+    word: bool
+    chained: bool
+    then: int | None
+
+
+def kept(text: str) -> str:
+    first = "".join(islice(dict.fromkeys(text), DIFFERENT))
+    return "".join(dict.fromkeys(first + "".join(m[0] for c in CLASSES if (m := c.search(text)))))
+
+
+def told(value: str) -> str:
+    return value if len(value) <= WHOLE else value[:EDGE] + kept(value[:-1]) + value[-EDGE:]  # a line that ends with the literal is no break
+
+
+class Chain:
+    """Parts that are joined. What is known of the parts from each one on is summed from the end, so every start in a chain shares it."""
+
+    def __init__(self, parts: list[Part], nodes: list[Node]):
+        n = len(parts)
+        self.parts, self.names, self.kept, self.node, self.broken, self.bare = parts, {}, [""] * (n + 1), [None] * (n + 1), -1, -1
+        self.once = parts[-1].name if parts and sum(p.name == parts[-1].name for p in parts) == 1 else None
+        for i in reversed(range(n)):
+            part = parts[i]
+            self.kept[i], self.node[i] = self.kept[i + 1], self.node[i + 1]
+            if part.chained:
+                self.broken = max(self.broken, i)
+            elif part.name:
+                self.names.setdefault(part.name, i)  # its last place, latest first
+            else:
+                self.kept[i] = kept(self.kept[i] + (part.value if i < n - 1 else part.value[:-1]))
+                nodes.append(Node([part.span], [] if self.node[i] is None else [self.node[i]]))
+                self.node[i] = len(nodes) - 1
+                if not part.quoted:
+                    self.bare = max(self.bare, i)
+
+    def joined(self, first: Pair, at: int, known_as, nodes: list[Node]) -> Pair | None:
+        """first with the parts from at on; None if one is neither a literal nor a name of one."""
+        if self.broken >= at:
+            return None
+        held, quoted_, middle = [first.node], first.quoted and self.bare < at, kept(first.value + self.kept[at])
+        for name, last in self.names.items():
+            if last < at:
+                break
+            if (was := known_as(name)) is None:
+                return None
+            held.append(was.node)
+            quoted_, middle = quoted_ and was.quoted, kept(middle + (was.value[:-1] if name == self.once else was.value))
+        if self.node[at] is not None:
+            held.append(self.node[at])
+        value_of = lambda p: known_as(p.name).value if p.name else p.value
+        head, k, end = first.value, at, ""
+        while k < len(self.parts) and len(head) <= WHOLE:
+            head += value_of(self.parts[k])
+            k += 1
+        e = len(self.parts)
+        while e > k and len(end) < EDGE:
+            e -= 1
+            end = value_of(self.parts[e]) + end
+        end = end if e > k or len(end) >= EDGE else head + end
+        nodes.append(Node([], held))
+        return Pair("", told(head) if k == len(self.parts) else head[:EDGE] + middle + end[-EDGE:], len(nodes) - 1, quoted_)
 
 
 def base_spans(text: str) -> Iterator[tuple[int, int, str]]:
@@ -81,43 +161,62 @@ def base_spans(text: str) -> Iterator[tuple[int, int, str]]:
                 yield m.start(), m.end(), kind
 
 
-def pairs(text: str) -> Iterator[Pair]:
-    """Names and literals of all assignments of a text, in order."""
+def pairs(text: str, nodes: list[Node] | None = None) -> Iterator[Pair]:
+    """Names and literals of all assignments of a text, in order; nodes gets the places of their parts."""
+    nodes = [] if nodes is None else nodes
     known: dict[str, Pair] = {}
     waiting: list[str] = []  # a = b = "..." gives the literal to both
+    chains: dict[int, tuple[Chain, int]] = {}
 
     def known_as(name: str) -> Pair | None:
         return known.get(name) or known.get(name.rpartition(".")[2])
 
+    def written(span: tuple[int, int]) -> int:
+        nodes.append(Node([span], []))
+        return len(nodes) - 1
+
+    def part(at: int) -> Part | None:
+        if not (m := VALUE.match(text, at)):
+            return None
+        start, content = (m.start("string"), m["string"]) if m["open"] else (m.start(), m[0])
+        name = m["reference"] or m["braced"] or m["name"]
+        if m["open"] and (w := WRAPPED.fullmatch(content)):
+            name = w[1] or w[2] or w[3]
+        j = JOIN.match(text, m.end())
+        return Part((start, start + len(content)), told(content), name, bool(m["open"]), bool(m["name"]), bool(m["name"] and CHAIN.match(text, m.end())), j and j.end())
+
+    def chain(at: int) -> tuple[Chain, int] | None:
+        """The chain that at lies in and its place there; parts are read once, whatever starts among them."""
+        if at not in chains:
+            places, parts, p = [], [], at
+            while p is not None and p not in chains and (found := part(p)):
+                places.append(p)
+                parts.append(found)
+                p = found.then
+            if p in chains:
+                parts += chains[p][0].parts[chains[p][1] :]
+            made = Chain(parts, nodes)
+            chains.update((p, (made, i)) for i, p in enumerate(places))
+        return chains.get(at)
+
     def expression(at: int) -> Pair | None:
         """The literals joined from at on; None if anything in it is neither a literal nor a name of one."""
-        value, spans, all_quoted = [], [], True
-        while m := VALUE.match(text, at):
-            start, content = (m.start("string"), m["string"]) if m["open"] else (m.start(), m[0])
-            name = m["reference"] or m["braced"] or m["name"]
-            if m["open"] and (w := WRAPPED.fullmatch(content)):
-                name = w[1] or w[2] or w[3]
-            if m["name"] and CHAIN.match(text, m.end()):
+        first = part(at)
+        if first is None or first.chained:
+            return None
+        was = known_as(first.name) if first.name else Pair("", first.value, written(first.span), first.quoted)
+        if was is None:
+            if not first.word:
                 return None
-            was = known_as(name) if name else Pair("", content, [(start, start + len(content))], bool(m["open"]))
-            if was is None:
-                if not m["name"] or spans:
-                    return None
-                was = Pair(name, content, [(start, start + len(content))], False)  # a bare word, as in password=hunter
-            value.append(was.value)
-            spans += was.spans
-            all_quoted = all_quoted and was.quoted
-            if len(spans) > PARTS or not (j := JOIN.match(text, m.end())):
-                break
-            at = j.end()
-        fits = spans and len(spans) <= PARTS and sum(map(len, value)) <= LONGEST
-        return Pair("", "".join(value), spans, all_quoted) if fits else None
+            was = Pair(first.name, first.value, written(first.span), False)  # a bare word, as in password=hunter
+        rest = chain(first.then) if first.then is not None else None
+        return was if rest is None else rest[0].joined(was, rest[1], known_as, nodes)
 
     for m in TARGET.finditer(text):
         if m[7]:  # inside an address
             a = ADDRESS.match(text, m.end())
             if not WRAPPED.fullmatch(a[0]):
-                yield Pair("password", a[0], [a.span()], True)
+                yield Pair("password", told(a[0]), written(a.span()), True)
             continue
         name = m[m.lastindex].strip()
         found = expression(m.end())
@@ -136,28 +235,52 @@ def pairs(text: str) -> Iterator[Pair]:
 
 
 SPANS = "array<struct<start:int,end:int>>"
-FOUND = f"struct<base:array<struct<start:int,rank:int,end:int,kind:string>>,pairs:array<struct<name:string,value:string,spans:{SPANS},quoted:boolean>>>"
+FOUND = f"struct<base:array<struct<start:int,rank:int,end:int,kind:string>>,pairs:array<struct<name:string,value:string,node:int,quoted:boolean>>,nodes:array<struct<spans:{SPANS},nodes:array<int>>>>"
 
 
 def read_texts(text: Column) -> Column:
-    """Base spans and pairs of a text; a null text has none."""
+    """Base spans, pairs and nodes of a text; a null text has none."""
     ranks = list(BASE)
-    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     base = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-    named = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("spans", pa.list_(span)), ("quoted", pa.bool_())]))
+    named = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("node", pa.int32()), ("quoted", pa.bool_())]))
+    held = pa.list_(pa.struct([("spans", spans), ("nodes", pa.list_(pa.int32()))]))
 
     @F.arrow_udf(FOUND)
     def read(texts: pa.Array) -> pa.Array:
-        one, other = [], []
+        one, other, parts = [], [], []
         for t in texts:
-            t = t.as_py() or ""
+            t, nodes = t.as_py() or "", []
             one.append([{"start": s, "rank": ranks.index(k), "end": e, "kind": k} for s, e, k in base_spans(t)])
-            other.append([{"name": p.name, "value": p.value, "spans": [{"start": s, "end": e} for s, e in p.spans], "quoted": p.quoted} for p in pairs(t)])
-        return pa.StructArray.from_arrays([pa.array(one, base), pa.array(other, named)], names=["base", "pairs"])
+            other.append([p._asdict() for p in pairs(t, nodes)])
+            parts.append([{"spans": [{"start": s, "end": e} for s, e in n.spans], "nodes": n.nodes} for n in nodes])
+        return pa.StructArray.from_arrays([pa.array(one, base), pa.array(other, named), pa.array(parts, held)], names=["base", "pairs", "nodes"])
 
     return read(text)
 
 
+def places(wanted: Column, nodes: Column) -> Column:
+    """The spans of all parts that wanted nodes reach, each once, in order."""
+
+    @F.arrow_udf(SPANS)
+    def reach(wanted: pa.Array, nodes: pa.Array) -> pa.Array:
+        out = []
+        for w, n in zip(wanted, nodes):
+            todo, held, found = w.as_py() or [], None, set()
+            seen = set(todo)
+            while todo:
+                held = n.as_py() if held is None else held
+                node = held[todo.pop()]
+                found.update((s["start"], s["end"]) for s in node["spans"])
+                new = set(node["nodes"]) - seen
+                seen |= new
+                todo += new
+            out.append([{"start": s, "end": e} for s, e in sorted(found)])
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    return reach(wanted, nodes)
+
+
 #: Names by what they tell, after camelCase is parted; the last words of names that only speak about a secret; what isn't one.
 TELLING = r"passw(or)?d|passphrase|secret|api_?key|(^|[^a-z])(pass|pwd|passcode|tokens?|bearer|credentials?|(access|private|signing|encryption|auth|account|shared|master|session)[_. -]?key)($|[^a-z])"
 HINTING = r"(^|[^a-z])(key|auth|creds?|salt|signature|sig|sas|webhook|pin|dsn)($|[^a-z])"
@@ -190,11 +313,11 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
     """
     kept = [F.col(quoted(c)) for c in docs.columns if c.lower() != out.lower()]
     rows = docs.select(F.struct(*kept).alias("row"), read_texts(F.col(quoted(text)).cast("string")).alias("found"))
-    scored = F.transform("found.pairs", lambda p: F.struct(p["spans"].alias("spans"), p["quoted"].alias("quoted"), p["value"].alias("value"), name_score(p["name"]).alias("told")))
-    scored = F.transform(F.filter(scored, lambda p: (p["told"] > 0) & (p["quoted"] | p["value"].rlike("[0-9]"))), lambda p: F.struct(p["spans"].alias("spans"), p["quoted"].alias("quoted"), (p["told"] + literal_score(p["value"])).alias("score")))
+    scored = F.transform("found.pairs", lambda p: F.struct(p["node"].alias("node"), p["quoted"].alias("quoted"), p["value"].alias("value"), name_score(p["name"]).alias("told")))
+    scored = F.transform(F.filter(scored, lambda p: (p["told"] > 0) & (p["quoted"] | p["value"].rlike("[0-9]"))), lambda p: F.struct(p["node"].alias("node"), p["quoted"].alias("quoted"), (p["told"] + literal_score(p["value"])).alias("score")))
     enough = lambda p: p["score"] >= F.when(p["quoted"], QUOTED).otherwise(BARE)
-    spans = F.flatten(F.transform(F.filter(scored, enough), lambda p: p["spans"]))
-    literals = F.transform(F.array_distinct(spans), lambda s: F.struct(s["start"].alias("start"), F.lit(len(BASE)).alias("rank"), s["end"].alias("end"), F.lit(LITERAL).alias("kind")))
+    wanted = F.array_distinct(F.transform(F.filter(scored, enough), lambda p: p["node"]))
+    literals = F.transform(places(wanted, F.col("found.nodes")), lambda s: F.struct(s["start"].alias("start"), F.lit(len(BASE)).alias("rank"), s["end"].alias("end"), F.lit(LITERAL).alias("kind")))
     return rows.select("row", F.array_sort(F.concat("found.base", literals)).alias("secrets_found")).select("row.*", F.col("secrets_found").alias(out))
 
 

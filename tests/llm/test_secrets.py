@@ -149,3 +149,31 @@ def test_hostile_texts_take_linear_time(text):
 def test_scores(spark):
     frame = spark.createDataFrame([("dbPassword", "x"), ("key", "x"), ("password_file", "x"), ("title", "x")], "n string, v string")
     assert [r[0] for r in frame.select(secrets.name_score(F.col("n"))).collect()] == [1.0, 0.6, 0.0, 0.0]
+
+
+def test_literals_of_any_length_and_number_of_parts(spark):
+    rng = random.Random(6)
+    long, parts = "".join(literal(rng) for _ in range(800)), [literal(rng) for _ in range(100)]
+    many = "password = " + " + ".join(f'"{p}"' for p in parts)
+    named = "".join(f'k{i} = "{p}"\n' for i, p in enumerate(parts)) + "password = " + " + ".join(f"k{i}" for i in range(100))
+    grown = 'a = "q9X2-llm4Zp"\n' + "a = a + a\n" * 300 + "password = a"
+    words_only = 'password = "' + "four words stand here " * 400 + '"'
+    texts = [f'password = "{long}"', many, named, grown, words_only, f'password = "{long}" + other()', many + ' + "(done)"']
+    assert found_texts(spark, texts) == [[long], parts, parts, ["q9X2-llm4Zp"], [], [long], []]
+
+
+def test_long_values_score_as_whole_ones(spark):
+    rng = random.Random(7)
+    ends = ["", "(", ")", "<", ">", "%", "{", "}", "$", "*", "...", "xxx", "\r", " ", " ", "change-me", "https://", "my ", "é", "A", "7"]
+    values = [rng.choice(ends) + rng.choice(["x", "*", "ab", "aB3", "q 9", "(a)", "a\rb", "abcdefghijklmnop"]) * 400 + rng.choice(ends) for _ in range(400)]
+    rows = spark.createDataFrame([(v, secrets.told(v)) for v in values], "a string, b string")
+    assert rows.where(secrets.literal_score(F.col("a")) != secrets.literal_score(F.col("b"))).count() == 0 and max(len(secrets.told(v)) for v in values) <= 256
+
+
+@pytest.mark.parametrize("text", ["a:b + " * 100_000, 'a = a + "x"\n' * 30_000, "c=1\n" + "c:b + c + " * 50_000, "a = b = " * 500 + '"x" + ' * 50_000])
+def test_chains_take_linear_time_and_space(text):
+    import time
+
+    began, nodes = time.thread_time(), []
+    found = list(secrets.pairs(text, nodes))
+    assert time.thread_time() - began < 20 and sum(len(n.spans) + len(n.nodes) for n in nodes) < 2 * len(text) and all(len(p.value) <= 256 for p in found)
