@@ -95,7 +95,11 @@ def convert_control(parameters: Column, paths: Sequence[str], transform: str = "
     issue. No path: both null.
     """
     texts = F.array_compact(F.array(*[F.get(F.array(parameters[p]), F.lit(0)) for p in paths]))
-    numbers = F.transform(texts, to_number)
+    return F.get(F.transform(F.array(F.transform(texts, to_number)), lambda numbers: _converted(numbers, transform, factor, low, high, above)), F.lit(0))
+
+
+def _converted(numbers: Column, transform: str, factor: float, low: float | None, high: float | None, above: float | None) -> Column:
+    """convert_control of numbers, which its caller has bound to a name: each text is read once."""
     clash = F.exists(numbers, lambda x: x.isNull()) | (F.size(F.array_distinct(numbers)) > 1)
     raw = F.get(numbers, F.lit(0))
     if transform == "amplitude_to_db":
@@ -110,7 +114,7 @@ def convert_control(parameters: Column, paths: Sequence[str], transform: str = "
     for bound, test in ((low, lambda v, b: v < b), (high, lambda v, b: v > b), (above, lambda v, b: v <= b)):
         if bound is not None:
             outside = outside | test(value, F.lit(float(bound)))
-    issue = F.when(F.size(texts) == 0, F.lit(None)).when(clash, "conflicting or nonnumeric").when((raw <= 0) if transform == "amplitude_to_db" else F.lit(False), "nonpositive amplitude").when(outside, "outside the domain")
+    issue = F.when(F.size(numbers) == 0, F.lit(None)).when(clash, "conflicting or nonnumeric").when((raw <= 0) if transform == "amplitude_to_db" else F.lit(False), "nonpositive amplitude").when(outside, "outside the domain")
     return F.struct(F.when(issue.isNull(), value).alias("value"), issue.alias("issue"))
 
 

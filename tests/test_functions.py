@@ -179,3 +179,12 @@ def test_registered_queries_and_imports_without_the_optional_part():
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", "import math\n" + code], cwd=repo, check=True)
     assert math.isfinite(1.0)
+
+
+def test_a_control_reads_its_texts_once(spark):
+    from corvane.functions import nested
+
+    texts = F.create_map(F.lit("a"), F.col("t"), F.lit("b"), F.lit("2"))
+    rows = spark.createDataFrame([("2",), ("x",), ("3",), (None,)], "t string").select(nested.convert_control(texts, ["a", "b"], "scale", 2.0, high=5.0).alias("c"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_extract") <= 2  # nullif names its operand twice
+    assert [tuple(r.c) for r in rows.collect()] == [(4.0, None), (None, "conflicting or nonnumeric"), (None, "conflicting or nonnumeric"), (4.0, None)]
