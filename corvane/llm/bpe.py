@@ -11,7 +11,6 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,8 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-#: Characters of texts that are looked up together.
-PORTION = 1 << 20
+#: Characters of texts that are parted and looked up together.
+PORTION = 1 << 22
 
 
 class ForcedBoundaryBpe:
@@ -61,8 +60,7 @@ class ForcedBoundaryBpe:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.decimal = [str(i) for i in range(self.size)]
         self.never = self.pairs_never_inside([b for t, b in zip(vocabulary, map(self.token_bytes.__getitem__, vocabulary.values())) if t not in special])
-        self.uncertain = [b for b in range(256) if chr(b) not in ASCII_SPACE and not self.never[b, [*map(ord, ASCII_SPACE)]].all()]
-        self.fragments = self.pattern().findall
+        self.space, self.ascii_letter, self.word, self.mark, self.wide_space = self.kinds_of_bytes()
         self.limit, self.key_chars = cache_entries, cache_key_chars
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -77,17 +75,42 @@ class ForcedBoundaryBpe:
                 never[x[:-1], x[1:]] = False
         return never
 
-    def pattern(self) -> re.Pattern:
-        """Matches one fragment after the other: a cut lies where a character that isn't white space meets ASCII white space, or an
-        ASCII letter that ends a word meets punctuation, and the pair of bytes there is never inside a token. The pre-tokenizer also
-        parts the text at these places. After characters beyond U+FFFF no cut is looked for."""
-        open_after = "".join(chr(c) for c in range(0xD800) if chr(c).encode()[-1] in self.uncertain) + "\uffff-\U0010ffff"
-        space = re.escape(ASCII_SPACE) + OTHER_SPACE
-        letters = [*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]
-        marks = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not chr(c).isalnum() and self.never[letters, c].all())
-        word = f"[{re.escape(ASCII_SPACE)}]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?<=[A-Za-z])(?=[{marks}])"
-        more = f"[{OTHER_SPACE}]|(?<=[{re.escape(open_after[:-3]) + open_after[-3:]}])[{re.escape(ASCII_SPACE)}]"
-        return re.compile(f"{word}|(?:[{space}]*+[^{space}]++|[{space}]++)(?:(?:{more})[{space}]*+[^{space}]*+)*+")
+    def kinds_of_bytes(self) -> tuple[np.ndarray, ...]:
+        """Tables of bytes: ASCII white space, ASCII letters, bytes of words (letters up to U+024F), punctuation that never follows a
+        letter inside a token; and [a, b]: bytes a, b may end other white space."""
+        space, letter, word, mark = np.zeros((4, 256), dtype=bool)
+        space[[*map(ord, ASCII_SPACE)]] = True
+        letter[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+        word[:] = letter
+        word[0x80:0xC0] = word[0xC3:0xCA] = True  # a character beyond starts with another byte
+        mark[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and self.never[letter, c].all()]] = True
+        wide = np.zeros((256, 256), dtype=bool)
+        for c in re.findall(f"[{OTHER_SPACE}]", "".join(map(chr, range(0xD800)))):
+            wide[tuple(c.encode()[-2:])] = True
+        return space, letter, word, mark, wide
+
+    def edges(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where fragments of data begin, ascending: UTF-8 bytes of texts that begin at starts, and one zero byte after them.
+
+        A cut lies where a character that isn't white space meets ASCII white space, or an ASCII letter that ends the word at the start
+        of a fragment meets punctuation, and the pair of bytes there is never inside a token. The pre-tokenizer also parts the text
+        at these places.
+        """
+        pair = lambda table, a, b: np.take(table.reshape(-1), a.astype(np.uint16) << np.uint16(8) | b)
+        space = np.take(self.space, data)
+        at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        before = data[at - 1]
+        at = at[pair(self.never, before, data[at]) & ~pair(self.wide_space, data[at - 2], before)]
+        begins = np.zeros(len(data), dtype=bool)
+        begins[at] = begins[starts] = True
+        begins[-1] = False
+        first = np.flatnonzero(begins)
+        first += space[first]
+        others = np.flatnonzero(~np.take(self.word, data))
+        end = others[np.searchsorted(others, first)]
+        # a word that runs on into the next text ends where that text's own first word does
+        begins[end[(end > first) & np.take(self.mark, data[end]) & np.take(self.ascii_letter, data[end - 1])]] = True
+        return np.flatnonzero(begins)
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -130,18 +153,32 @@ class ForcedBoundaryBpe:
         if len(self.known) > self.limit:
             self.older, self.known = self.known, {}
         known = self.known
-        found = [self.fragments(t or "") for t in texts]
-        new = set(chain.from_iterable(found)).difference(known)
+        raw = [(t or "").encode() for t in texts]
+        bounds = np.cumsum([0, *map(len, raw)])
+        data = np.frombuffer(b"".join((*raw, b"\0")), dtype=np.uint8)
+        edges = self.edges(data, bounds[:-1])
+        parted = pa.LargeStringArray.from_buffers(len(edges), pa.py_buffer(np.append(edges, bounds[-1])), pa.py_buffer(data)).dictionary_encode()
+        different = parted.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = set(different).difference(known)
         if new:
             unknown = new.difference(self.older)
             known.update((f, self.older[f]) for f in new - unknown)
             if unknown:
                 known.update(self.learn(unknown))
-        for f in found:
-            yield b"".join(map(known.__getitem__, f))
+        ids = list(map(known.__getitem__, different))
         for f in new:
             if len(f) > self.key_chars:
                 del known[f]
+        which = parted.indices.to_numpy()
+        lengths = np.array([*map(len, ids)], dtype=np.int64) // self.dtype.itemsize
+        n = np.take(lengths, which)
+        done = np.cumsum(n)
+        at = np.repeat(np.take(np.cumsum(lengths) - lengths, which) - done + n, n)
+        at += np.arange(len(at))
+        out = np.take(np.frombuffer(b"".join(ids), dtype=self.dtype), at)
+        ends = np.concatenate(([0], done))[np.searchsorted(edges, bounds)].tolist()
+        for a, b in zip(ends, ends[1:]):
+            yield out[a:b].tobytes()
 
     def encode_bytes(self, text: str | None) -> bytes:
         return next(self.encode_many([text]))

@@ -31,6 +31,27 @@ def test_small_caches_change_nothing(corpus):
     assert list(whole.encode_many(texts)) == list(small.encode_many(texts))
 
 
+def test_a_fragment_is_looked_up_once_for_all_texts_that_repeat_it():
+    class Counted(dict):
+        n = 0
+
+        def __getitem__(self, key):
+            Counted.n += 1
+            return super().__getitem__(key)
+
+    mine = bpe.ForcedBoundaryBpe(PATH)
+    mine.known = Counted()
+    texts = ["the cat, the dog. " * 500, "", None, "the cat", ".", "dog"]
+    assert [np.frombuffer(x, mine.dtype).tolist() for x in mine.encode_many(texts)] == [library(t) for t in texts]
+    assert Counted.n < 20
+
+
+def test_no_fragment_goes_beyond_its_text():
+    mine = bpe.ForcedBoundaryBpe(PATH)
+    for texts in (["ab", "cd."], [" ", "x.", "", "y"], ["", None], ["é", " ", ".", "\u3000", " a"], ["a\xd7b.", "<|endof", "text|>"], ["don", "'t."], []):
+        assert [np.frombuffer(x, mine.dtype).tolist() for x in mine.encode_many(texts)] == [library(t) for t in texts], texts
+
+
 def test_pairs_that_no_token_holds():
     never = bpe.ForcedBoundaryBpe.pairs_never_inside([b"ab", b"bcd", b"x"])
     assert not never[ord("a"), ord("b")] and not never[ord("c"), ord("d")] and never[ord("a"), ord("c")] and never.sum() == 65536 - 3
