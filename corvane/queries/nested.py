@@ -21,9 +21,11 @@ def spread(rows, key, most=10_000):
 
 
 def plans(spark, sf_dir):
-    """A plan for each order: its lines as steps of a chain, a send bus of the order's own levels, and a step block."""
+    """A plan for each order: its lines as steps of a chain, a send bus of the order's own levels, and a step block. Plans lie in tasks
+    of about 50,000 lines, dealt by plan_id, so what groups or joins by it needs no other shuffle."""
     line = F.struct("l_linenumber", "l_extendedprice", "l_returnflag", F.col("l_quantity").cast("int").cast("string").alias("quantity"), F.col("l_discount").cast("string").alias("discount"))
-    chains = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_quantity", "l_discount")
+    chains = spread(lines, "l_orderkey", 50_000).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     orders = table(spark, sf_dir, "orders").join(chains, F.col("o_orderkey") == F.col("l_orderkey"))
     params = lambda x: F.create_map(F.lit("quantity"), x["quantity"], F.lit("discount"), x["discount"])
     steps = F.transform("lines", lambda x: F.struct(x["l_linenumber"].cast("string").alias("name"), x["l_returnflag"].alias("operator"), params(x).alias("params")))
@@ -58,10 +60,7 @@ FROM parameters GROUP BY 1, 2, 3
 """)
 def coverage_by_operator(spark, sf_dir):
     """The graphs' parameters as one table, and what it covers."""
-    rows = N.flatten_graph(plans(spark, sf_dir))
-    return rows.groupBy("block_kind", "operator", "parameter").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("plan_id").alias("plans"), F.countDistinct("clip_id").alias("clips"), F.min("value").alias("low"), F.max("value").alias("high")
-    )
+    return S.coverage(N.flatten_graph(plans(spark, sf_dir)), ["block_kind", "operator", "parameter"])
 
 
 @register("flattened_properties", """

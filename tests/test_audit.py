@@ -123,3 +123,20 @@ def test_row_audio(spark):
     rows = spark.createDataFrame([(k, *c[:5]) for k, c in enumerate(cases)], "k long, wrapped boolean, edited string, given string, poisoned boolean, clean string")
     got = rows.select("k", N.row_audio(*[F.col(c) for c in ("wrapped", "edited", "given", "poisoned", "clean")]).alias("a")).orderBy("k").collect()
     assert [r.a and (r.a.reference_path, r.a.reference) for r in got] == [c[5] for c in cases]
+
+
+def test_coverage_counts_a_plan_once_and_where_it_lies(spark):
+    data = [(1, 7, "a", 1.0), (1, 7, "a", 3.0), (1, 8, "a", 2.0), (2, 7, "a", None), (3, None, "a", -1.0), (None, 9, "a", 0.0), (3, 7, "b", None), (3, 7, "b", None)]
+    rows = spark.createDataFrame(data, "plan_id long, clip_id long, parameter string, value double").repartition(3, "plan_id")
+    found = S.coverage(rows, ["parameter"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning(plan_id") == 1
+    assert found.columns == ["parameter", "n", "plans", "clips", "low", "high"]
+    assert rows_of(found) == [("a", 6, 3, 3, -1.0, 3.0), ("b", 2, 1, 1, None, None)]
+
+
+def test_plans_are_dealt_once_by_lines(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["coverage_by_operator"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "REPARTITION_BY_NUM" in plan
