@@ -185,17 +185,18 @@ def operator_registry(spark: SparkSession, specs: Mapping[str, Mapping]) -> Data
 def chain_violations(steps: DataFrame, registry: DataFrame, order: Sequence[str], keys: Sequence[str] = ("plan_id",), parameters: str | None = None) -> DataFrame:
     """keys, step, problem of steps (keys, step, operator): operators that the registry (operator, tags, params) lacks, parameters (an
     array column, if named) that the operator doesn't have, and steps whose least tag rank in ``order`` is under that of an earlier
-    step. Steps without a ranked tag are passed over; step is a number, and steps of one number are not earlier than each other."""
+    step. Steps without a ranked tag are passed over; step is a number, and steps of one number are not earlier than each other.
+    The registry is configuration and goes to all tasks; of a step only its rank and its own problem are sorted by keys."""
     ranks = F.array(*map(F.lit, order))
-    known = steps.join(registry, "operator", "left")
+    known = steps.join(F.broadcast(registry), "operator", "left")
     rank = F.array_min(F.filter(F.transform("tags", lambda t: F.array_position(ranks, t)), lambda r: r > 0))
-    known = known.withColumn("rank", rank)
     before = F.max("rank").over(Window.partitionBy(*keys).orderBy("step").rangeBetween(Window.unboundedPreceding, -1))
     problem = F.when(F.col("tags").isNull(), "unknown operator")
     if parameters:
         unknown = F.array_except(F.coalesce(parameters, F.array().cast("array<string>")), "params")
         problem = problem.when(F.size(unknown) > 0, F.concat(F.lit("unknown parameter: "), F.array_join(F.sort_array(unknown), ", ")))
-    problem = problem.when(F.col("rank") < before, "out of order")
+    known = known.select(*keys, "step", rank.alias("rank"), problem.alias("_own"))
+    problem = F.coalesce("_own", F.when(F.col("rank") < before, "out of order"))
     return known.withColumn("problem", problem).where("problem is not null").select(*keys, "step", "problem")
 
 

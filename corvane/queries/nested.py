@@ -257,7 +257,8 @@ def operator_registry(spark, sf_dir):
     """Steps under aliases, with parameters that not every operator has."""
     registry = R.operator_registry(spark, {"trim": {"aliases": ["A"], "tags": ["eq", "odd"], "params": ["amount", "speed"]}, "press": {"aliases": ["R"], "tags": ["level", "dynamics"], "params": ["amount"]}})
     given = F.array_compact(F.array(F.lit("amount"), F.when(F.col("l_tax") > 0.06, "speed")))
-    steps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("step"), F.col("l_returnflag").alias("operator"), given.alias("given"))
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_tax"), "l_orderkey", 100_000)
+    steps = lines.select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("step"), F.col("l_returnflag").alias("operator"), given.alias("given"))
     return R.chain_violations(steps, registry, ["eq", "dynamics"], parameters="given")
 
 

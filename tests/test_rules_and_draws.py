@@ -99,3 +99,12 @@ def test_small_operators(spark):
     assert [r[0] for r in spans.select(T.duration(F.col("a"), F.col("b"))).collect()] == [2.25, None, None]
     band = D.labelled_band(F.col("x"), F.lit("odd"), [1.0, 50.0], of_labels={"odd": ([100.5, 200.0], "descending")})
     assert [r[0] for r in values.where("x is not null").select(band["band"]).collect()] == [0, 0, 0, 0, 1]
+
+
+def test_steps_are_not_dealt_by_operator(spark):
+    steps = spark.createDataFrame([(1, 1, "eq"), (1, 2, "no"), (1, 3, "comp"), (1, 4, "eq")], "plan_id long, step int, operator string")
+    registry = R.operator_registry(spark, {"eq": {"tags": ["eq"]}, "comp": {"tags": ["dyn"]}})
+    found = R.chain_violations(steps, registry, ["eq", "dyn"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(operator" not in plan
+    assert sorted(map(tuple, found.collect())) == [(1, 2, "unknown operator"), (1, 4, "out of order")]
