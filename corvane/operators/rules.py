@@ -247,11 +247,16 @@ def guard(frame: DataFrame, required: Sequence[str] = (), version: str | None =
 def intent_filter(rows: DataFrame, policy: DataFrame, signs: Mapping[str, int] = {}, context: str | None = None, families: Mapping[str, str] = {}, family: str | None = None) -> DataFrame:
     """Observations (source, record, instance, parameter, value, routing) that a policy (parameter, low, high, blocked) lets through:
     not on a send, not blocked for their source, inside the domain, of the sign asked for; one that fails drops its instance.
-    family: only what comes from a context (a column) that ``families``, by lower-cased name, puts into it; other rows are no failures."""
+    family: only what comes from a context (a column) that ``families``, by lower-cased name, puts into it; other rows are no failures.
+    rows are read once: an instance's observations meet in one task, and one without a whole key is an instance of its own. The policy
+    is configuration and goes to all tasks."""
     if family is not None:
         rows = rows.where(F.lower(context).isin(*[c for c, f in families.items() if f == family]))
-    known = rows.join(policy, "parameter")
+    keys = ["source", "record", "instance"]
+    known = rows.join(F.broadcast(policy), "parameter")
     sign = reduce(lambda a, b: a | b, [(F.col("parameter") == p) & (F.signum("value") != s) for p, s in signs.items()], F.lit(False))
     bad = (F.col("routing") == "send") | F.array_contains("blocked", F.col("source")) | ~F.col("value").between(F.col("low"), F.col("high")) | sign
-    marked = known.withColumn("_bad", F.coalesce(bad, F.lit(False)))
-    return reject_whole(marked.where("not _bad"), marked.where("_bad"), ["source", "record", "instance"]).drop("_bad", "low", "high", "blocked")
+    alone = F.when(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]), F.monotonically_increasing_id())
+    marked = known.withColumn("_bad", F.coalesce(bad, F.lit(False))).withColumn("_alone", alone)
+    failed = F.max("_bad").over(Window.partitionBy(*keys, "_alone"))
+    return marked.withColumn("_failed", failed).where("not _failed").select(*keys, *[c for c in known.columns if c not in (*keys, "low", "high", "blocked")])

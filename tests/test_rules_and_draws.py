@@ -108,3 +108,14 @@ def test_steps_are_not_dealt_by_operator(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning(operator" not in plan
     assert sorted(map(tuple, found.collect())) == [(1, 2, "unknown operator"), (1, 4, "out of order")]
+
+
+def test_intents_read_their_rows_once(spark):
+    data = [("s", "r", "i", "a", 1.0), ("s", "r", "i", "a", 99.0), ("s", "r", "j", "a", 2.0), ("s", None, "i", "a", 3.0), ("s", None, "i", "a", 98.0), ("s", "r", "k", "b", 4.0)]
+    rows = spark.createDataFrame([(*x, "insert") for x in data], "source string, record string, instance string, parameter string, value double, routing string").repartition(3, "record")
+    policy = spark.createDataFrame([("a", 0.0, 10.0, [])], "parameter string, low double, high double, blocked array<string>")
+    found = R.intent_filter(rows, policy)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert found.columns == ["source", "record", "instance", "parameter", "value", "routing"]
+    assert sorted((r.instance, r.value) for r in found.collect()) == [("i", 3.0), ("j", 2.0)]
