@@ -201,21 +201,29 @@ def observations(records: DataFrame, keep: Sequence[str] = ("id", "source", "spl
     return rows.withColumn("value", to_number(F.col("value_text")))
 
 
+def _in_bands(parameters: DataFrame, bands: DataFrame) -> DataFrame:
+    """parameters with _name (label.parameter), _at (their place in the graph) and _term, the last two null without a number or bands."""
+    spec = F.struct("uppers", "direction", "terms")
+    any_ = bands.where("label is null").select("operator", "parameter", spec.alias("_any"))
+    own = bands.where("label is not null").select("operator", "parameter", "label", spec.alias("_own"))
+    joined = parameters.join(F.broadcast(any_), ["operator", "parameter"], "left").join(F.broadcast(own), ["operator", "parameter", "label"], "left")
+    joined = joined.withColumn("_spec", F.coalesce("_own", "_any"))
+    measured = F.when(F.col("_spec.direction") == "absolute", F.abs("value")).otherwise(F.col("value"))
+    band = F.least(F.size(F.filter("_spec.uppers", lambda u: u <= measured)), F.size("_spec.uppers") - 1)
+    usable = F.col("value").isNotNull() & ~F.isnan("value") & F.col("_spec").isNotNull()
+    name = F.concat_ws(".", "label", "parameter")
+    return joined.withColumns({"_name": name, "_at": F.when(usable, F.struct("node", "step")), "_term": F.when(usable, F.get(F.col("_spec.terms"), band))})
+
+
 def band_terms(parameters: DataFrame, bands: DataFrame, keep: Sequence[str] = ("clip_id", "plan_id")) -> DataFrame:
     """keep, terms: a map from label.parameter to the first term of the band that the value lies in.
 
     bands: operator, parameter, label (null: any), uppers, direction, terms (one a band). A row of the label itself wins over one for
     any label; the last band takes what lies above; of parameters with one name the last in the graph counts. What has no bands or
-    isn't a number is left out.
+    isn't a number is left out. Bands are configuration and go to all tasks, so parameters stay where they are.
     """
-    spec = F.struct("uppers", "direction", "terms")
-    any_ = bands.where("label is null").select("operator", "parameter", spec.alias("_any"))
-    own = bands.where("label is not null").select("operator", "parameter", "label", spec.alias("_own"))
-    joined = parameters.where("value is not null and not isnan(value)").join(any_, ["operator", "parameter"], "left").join(own, ["operator", "parameter", "label"], "left")
-    joined = joined.withColumn("_spec", F.coalesce("_own", "_any")).where("_spec is not null")
-    measured = F.when(F.col("_spec.direction") == "absolute", F.abs("value")).otherwise(F.col("value"))
-    band = F.least(F.size(F.filter("_spec.uppers", lambda u: u <= measured)), F.size("_spec.uppers") - 1)
-    named = joined.groupBy(*keep, F.concat_ws(".", "label", "parameter").alias("_name")).agg(F.max_by(F.get(F.col("_spec.terms"), band), F.struct("node", "step")).alias("_term"))
+    joined = _in_bands(parameters, bands).where("_at is not null")
+    named = joined.groupBy(*keep, "_name").agg(F.max_by("_term", "_at").alias("_term"))
     return named.groupBy(*keep).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_name", "_term")))).alias("terms"))
 
 
@@ -225,9 +233,27 @@ def overlay_terms(tags: Column, always: Sequence[str], overlays: Sequence[tuple[
     return F.array_distinct(F.concat(strings(always), *added))
 
 
+def profile_with_terms(parameters: DataFrame, registry: DataFrame, bands: DataFrame, keep: Sequence[str] = ("clip_id", "plan_id"), structural: Sequence[str] = ()) -> DataFrame:
+    """keep, operators, tags, terms: what ``profile`` and ``band_terms`` joined to it give, from one pass over the parameters. Terms are
+    null without any; what only has structural operators gives no row."""
+    plain = ~F.col("operator").isin(*structural) if structural else F.lit(True)
+    known = _in_bands(parameters, bands).join(F.broadcast(registry.select("operator", "tags")), "operator", "left")
+    place, named = F.when(plain, F.struct("node", "step")), F.struct("_name", "_at", "_term")
+    found = known.groupBy(*keep).agg(
+        F.collect_list(F.when(plain, F.struct(place.alias("at"), "operator"))).alias("_used"), F.collect_list(F.when(plain, F.coalesce("tags", F.array().cast("array<string>")))).alias("_tags"),
+        F.sort_array(F.collect_list(F.when(F.col("_at").isNotNull(), named))).alias("_named"),
+    )
+    following = lambda i: F.get("_named", i + 1)["_name"]
+    last = F.filter("_named", lambda x, i: ~x["_name"].eqNullSafe(following(i)))
+    terms = F.map_from_entries(F.transform(last, lambda x: F.struct(x["_name"], x["_term"])))
+    operators = F.array_distinct(F.transform(F.sort_array("_used"), lambda x: x["operator"]))
+    return found.where(F.size("_used") > 0).select(*keep, operators.alias("operators"), F.sort_array(F.array_distinct(F.flatten("_tags"))).alias("tags"), F.when(F.size("_named") > 0, terms).alias("terms"))
+
+
 def profile(parameters: DataFrame, registry: DataFrame, keep: Sequence[str] = ("clip_id", "plan_id"), structural: Sequence[str] = ()) -> DataFrame:
-    """keep, operators, tags: distinct operators in order and the sorted tags that a registry (operator, tags) gives them."""
+    """keep, operators, tags: distinct operators in order and the sorted tags that a registry (operator, tags) gives them. A registry is
+    configuration and goes to all tasks."""
     used = parameters.where(~F.col("operator").isin(*structural) if structural else F.lit(True)).groupBy(*keep, "operator").agg(F.min(F.struct("node", "step")).alias("at"))
-    joined = used.join(registry.select("operator", "tags"), "operator", "left")
+    joined = used.join(F.broadcast(registry.select("operator", "tags")), "operator", "left")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "operator"))), lambda x: x["operator"])
     return joined.groupBy(*keep).agg(ordered.alias("operators"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tags", F.array().cast("array<string>")))))).alias("tags"))

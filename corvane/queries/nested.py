@@ -153,11 +153,10 @@ def profile_terms(spark, sf_dir):
         [("A", "quantity", None, [10.0, 30.0, 51.0], "ascending", ["low", "mid", "high"]), ("A", "quantity", "1", [25.0, 51.0], "ascending", ["few", "many"]), ("R", "discount", None, [0.05], "absolute", ["some"])],
         "operator string, parameter string, label string, uppers array<double>, direction string, terms array<string>",
     )
-    used = N.profile(rows, registry, ["plan_id"], ["send_bus", "apply_gain"])
+    used = N.profile_with_terms(rows, registry, bands, ["plan_id"], ["send_bus", "apply_gain"])
     shown = F.array_join(F.transform(F.map_entries("terms"), lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
     overlay = N.overlay_terms(F.col("tags"), ["chain"], [(["pass"], ["bright", "chain"]), (["dynamics"], ["tight"])])
-    joined = used.join(N.band_terms(rows, bands, ["plan_id"]), "plan_id", "left")
-    return joined.select("plan_id", F.coalesce(shown, F.lit("")).alias("terms"), F.array_join(overlay, ",").alias("overlay"))
+    return used.select("plan_id", F.coalesce(shown, F.lit("")).alias("terms"), F.array_join(overlay, ",").alias("overlay"))
 
 
 @register("unwrapped_texts", """

@@ -108,3 +108,24 @@ def test_attempts_make_no_rows(spark):
     for r in found.orderBy("id", "position").collect():
         chains.setdefault(r.id, []).append(r.operator)
     assert len(chains) == 50 and all(sorted(c) == ["y", "z"] and c[0] == "z" for c in chains.values())
+
+
+def test_profiles_with_terms_are_those_of_two_passes(spark):
+    data = [
+        (1, 0, 0, "eq", "a", "gain", 1.0), (1, 0, 1, "eq", "a", "gain", 9.0), (1, 0, 2, "comp", "b", "gain", 2.0), (1, 1, 0, "bus", "bus", "level", 1.0), (2, 0, 0, "eq", "b", "gain", float("nan")),
+        (2, 0, 1, "no", None, "q", None), (3, 0, 0, "bus", "bus", "level", 1.0), (4, 0, 0, "comp", "c", "gain", -7.0), (4, 1, 0, "eq", None, "gain", 3.0), (5, 0, 0, None, "a", "gain", 1.0),
+    ]
+    rows = spark.createDataFrame(data, "plan_id long, node int, step int, operator string, label string, parameter string, value double").repartition(3, "plan_id")
+    registry = spark.createDataFrame([("eq", ["x", "a"]), ("comp", ["d", "a"])], "operator string, tags array<string>")
+    bands = spark.createDataFrame(
+        [("eq", "gain", None, [2.0, 5.0], "ascending", ["low", "high"]), ("eq", "gain", "b", [2.0], "ascending", ["own"]), ("comp", "gain", None, [5.0, 8.0], "absolute", ["near", "far"])],
+        "operator string, parameter string, label string, uppers array<double>, direction string, terms array<string>",
+    )
+    found = N.profile_with_terms(rows, registry, bands, ["plan_id"], ["bus"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    two = N.profile(rows, registry, ["plan_id"], ["bus"]).join(N.band_terms(rows, bands, ["plan_id"]), "plan_id", "left")
+    assert found.columns == two.columns
+    got = {r.plan_id: tuple(r)[1:] for r in found.collect()}
+    assert got == {r.plan_id: tuple(r)[1:] for r in two.collect()} and set(got) == {1, 2, 4}
+    assert got[1] == (["eq", "comp"], ["a", "d", "x"], {"a.gain": "high", "b.gain": "near"}) and got[4][2] == {"c.gain": "far", "gain": "high"}
