@@ -11,9 +11,11 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-#: Characters of texts that are parted and looked up together.
-PORTION = 1 << 22
+#: Characters of texts that are parted and looked up together; bytes of those that are made into lists of ids together.
+PORTION, LIST_PORTION = 1 << 22, 1 << 20
 
 
 class ForcedBoundaryBpe:
@@ -180,6 +182,20 @@ class ForcedBoundaryBpe:
         for a, b in zip(ends, ends[1:]):
             yield out[a:b].tobytes()
 
+    def encode_lists(self, texts: pa.Array) -> Iterator[pa.Array]:
+        """The ids of each text as lists of int, in arrays of texts of about LIST_PORTION bytes."""
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // LIST_PORTION)) + 1
+        for a, b in pairwise([0, *cuts.tolist(), len(texts)]):
+            parts = list(self.encode_many(texts.slice(a, b - a).to_pylist()))
+            offsets = np.cumsum([0, *map(len, parts)]) // self.dtype.itemsize
+            yield pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), self.dtype).astype(np.int32)))
+
+    def forget(self) -> None:
+        """Drop the fragments that are held. Spark keeps a task's Python worker for the tasks of later stages, which have no use for them."""
+        self.known, self.older = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def encode_bytes(self, text: str | None) -> bytes:
         return next(self.encode_many([text]))
 
@@ -206,12 +222,13 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
     """
 
     @F.arrow_udf("array<int>")
-    def encoded(texts: pa.Array) -> pa.Array:
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(tokenizer)
-        parts = [np.frombuffer(x, bpe.dtype) for x in bpe.encode_many(texts.to_pylist())]
-        offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-        values = np.concatenate([*parts, np.empty(0, bpe.dtype)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        try:
+            for texts in batches:
+                yield from bpe.encode_lists(texts)
+        finally:
+            bpe.forget()
 
     kept = [F.col(quoted(c)) for c in docs.columns if c.lower() != ids.lower()]
     return docs.select(*kept, encoded(F.col(quoted(text)).cast("string")).alias(ids))

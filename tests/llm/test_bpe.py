@@ -1,8 +1,10 @@
 import hashlib
 import random
+import shutil
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from corvane.llm import bpe
@@ -82,3 +84,25 @@ def test_clashing_and_odd_names(spark):
     assert sorted((r["a`b"], r["x.y"], r.ids) for r in coded.collect()) == [(2, 3, library("a b")), (5, 6, [])]
     back = bpe.decode_documents(coded.withColumnRenamed("text", "TEXT"), PATH)
     assert back.columns == ["a`b", "x.y", "ids", "text"] and sorted(r.text for r in back.collect()) == ["", "a b"]
+
+
+def test_a_worker_holds_no_fragments_after_its_task(spark, monkeypatch, tmp_path):
+    path = str(shutil.copy(PATH, tmp_path))  # an encoder that no other test has filled
+
+    def held(batches):
+        from corvane.llm.bpe import loaded
+
+        for batch in batches:
+            bpe = loaded(path)
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe.known) + len(bpe.older)] * batch.num_rows, pa.int64())], names=["held"])
+
+    texts = [None, "", *(f"word{i} other{i}" for i in range(400))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.ids for r in bpe.encode_documents(frame, path).collect()}
+    assert [row.held for row in spark.range(64, numPartitions=16).mapInArrow(held, "held long").collect()] == [0] * 64
+    encoder = bpe.ForcedBoundaryBpe(PATH)
+    assert [got[i] for i in range(len(texts))] == [encoder.encode(t).tolist() for t in texts]
+    monkeypatch.setattr(bpe, "LIST_PORTION", 100)
+    arrays = list(encoder.encode_lists(pa.array(texts, pa.string())))
+    assert len(arrays) > 1 and [x for a in arrays for x in a.to_pylist()] == [got[i] for i in range(len(texts))]
+    assert [a.to_pylist() for a in encoder.encode_lists(pa.array([], pa.string()))] == [[]]
