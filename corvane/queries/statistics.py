@@ -235,9 +235,9 @@ SELECT l_orderkey, arg_max(l_quantity, (l_linenumber * 1000000 + l_partkey)) FIL
 FROM lineitem GROUP BY 1 HAVING count(*) FILTER (WHERE l_returnflag = 'A') > 0 AND count(*) FILTER (WHERE l_returnflag = 'R') > 0
 """)
 def complete_settings(spark, sf_dir):
-    """Instances with all controls, as columns."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("o", F.col("l_linenumber") * 1000000 + F.col("l_partkey"))
-    return S.complete_settings(rows, ["l_orderkey"], "l_returnflag", "l_quantity", ["A", "R"], "o")
+    """Instances with all controls, as columns. Of lines with one number and part, the first in the table counts."""
+    rows = table(spark, sf_dir, "lineitem").select("*", "_metadata.file_path", "_metadata.row_index").withColumn("o", F.col("l_linenumber") * 1000000 + F.col("l_partkey"))
+    return S.complete_settings(rows, ["l_orderkey"], "l_returnflag", "l_quantity", ["A", "R"], "o", ["file_path", "row_index"])
 
 
 @register("weighted_correlations", """

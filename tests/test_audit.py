@@ -140,3 +140,28 @@ def test_plans_are_dealt_once_by_lines(spark):
 
     plan = __spark_entry__.queries()["coverage_by_operator"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_complete_settings_are_the_first_of_the_last_ones(spark):
+    rows = [(1, "A", 7.0, 2, 1), (1, "A", 32.0, 5, 2), (1, "A", 37.0, 5, 3), (1, "R", 3.0, 1, 4), (1, "R", 35.0, 9, 6), (1, "R", 2.0, 9, 7), (2, "A", 1.0, 1, 8), (3, "A", None, 9, 9), (3, "A", 4.0, 1, 10), (3, "R", None, 1, 11)]
+    rows += [(4, "A", float("nan"), 2, 12), (4, "A", 1.0, 1, 13), (4, "R", 1.0, None, 14), (5, "N", 1.0, 1, 15), (5, "A", 1.0, 1, 16), (None, "A", 1.0, 1, 17), (None, "R", 2.0, 1, 18)]
+    want = [(1, 32.0, 35.0), (3, 4.0, None), (4, "nan", None), (None, 1.0, 2.0)]
+    for given in (rows, rows[::-1]):
+        table = spark.createDataFrame(given, "k long, p string, v double, o long, place long").coalesce(1)
+        got = S.complete_settings(table, ["k"], "p", "v", ["A", "R"], "o", ["place"]).collect()
+        assert sorted(((r.k, "nan" if r.A != r.A else r.A, r.R) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_complete_settings_of_lines_alike_are_those_first_in_the_table(spark, tmp_path):
+    from corvane.queries.statistics import complete_settings
+
+    kind = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string"
+    lines = [(k, k + 5, 3, float(q), flag) for k in range(40) for flag in "AR" for q in (20, 10, 30)]
+    for part in range(2):
+        spark.createDataFrame(lines[part::2], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    names = sorted(x for x in (tmp_path / "lineitem.parquet").iterdir() if x.suffix == ".parquet")
+    first = {}
+    for x in names:
+        for r in spark.read.parquet(str(x)).collect():
+            first.setdefault((r.l_orderkey, r.l_returnflag), r.l_quantity)
+    assert {r.l_orderkey: (r.A, r.R) for r in complete_settings(spark, str(tmp_path)).collect()} == {k: (first[k, "A"], first[k, "R"]) for k in range(40)}
