@@ -3,7 +3,8 @@
 Distinct fingerprints are grouped by the bits of some of their blocks, so that any two within the radius meet in a group. Within a
 group they are sorted by Gray rank, where neighbours share many bits. Runs of them form nodes that hold the bits which all their
 members share; nodes form nodes above them. Pairs of nodes are compared from the top, differences add up over the bits that become
-common on the way down, and a pair of nodes is dropped with all below it once they pass the radius.
+common on the way down, and a pair of nodes is dropped with all below it once they pass the radius. The members of two lowest nodes
+are compared with each other directly.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import boxed, shared_dir, table, text_hash, unboxed, written
 from .graph import components
 
-#: Children of an index node, and pairs of nodes looked at together.
-FAN, SLICE = 8, 1 << 19
+#: Children of an index node, pairs of nodes looked at together (the lowest: PACE at a time), and close pairs handed on at once.
+FAN, SLICE, PACE, HELD = 8, 1 << 19, 1 << 11, 1 << 16
 #: Fingerprints of one group in one task; larger groups are dealt to pairs of tiles.
 GROUP = 40_000
 #: Classes of texts, and their shingles, of one tile when similarities are checked, and pairs looked at between two looks at what is connected.
@@ -117,19 +118,34 @@ def close_pairs(codes: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[t
         sizes = nodes
     every, some = levels[-1][:2]
     roots = np.arange(len(every))
-    stack = [(len(levels) - 1, roots, roots, np.zeros(len(roots), np.int64))]
+    stack = [(len(levels) - 1, roots, roots, np.zeros(len(roots), np.int64))] if len(levels) > 1 else []
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
     while stack:
         level, a, b, differ = stack.pop()
-        if level == 0:
-            keep = a < b
-            yield a[keep], b[keep], differ[keep]
-            continue
         if len(a) > SLICE // (FAN * FAN):
             for at in range(0, len(a), SLICE // (FAN * FAN)):
                 part = slice(at, at + SLICE // (FAN * FAN))
                 stack.append((level, a[part], b[part], differ[part]))
             continue
         every, some, first, count = levels[level]
+        if level == 1:
+            # The codes themselves: all bits of FAN x FAN pairs are counted, for PACE pairs of nodes at a time.
+            for at in range(0, len(a), PACE):
+                u, v = first[a[at : at + PACE]], first[b[at : at + PACE]]
+                x, y = (codes[np.minimum(n + np.arange(FAN)[:, None], len(codes) - 1)] for n in (u, v))
+                bits = np.bitwise_count(x[:, None] ^ y[None]).reshape(-1)
+                hit = np.flatnonzero(bits <= radius)
+                place, of = np.divmod(hit, len(u))
+                i, j = np.divmod(place, FAN)
+                x, y = u[of] + i, v[of] + j
+                keep = (i < count[a[at + of]]) & (j < count[b[at + of]]) & (x < y)
+                held.append((x[keep], y[keep], bits[hit[keep]].astype(np.int64)))
+                size += len(held[-1][0])
+                if size > HELD:
+                    yield tuple(np.concatenate(x) for x in zip(*held))
+                    held, size = [], 0
+            continue
         shared = ~(every ^ some)
         common = shared[a] & shared[b]
         below_every, below_some = levels[level - 1][:2]
@@ -144,6 +160,8 @@ def close_pairs(codes: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[t
         total = differ[of] + np.bitwise_count((below_every[x] ^ below_every[y]) & fresh)
         keep = total <= radius
         stack.append((level - 1, x[keep], y[keep], total[keep]))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def spanning_links(codes: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[list[int], list[int], list[int]]:

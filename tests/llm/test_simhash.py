@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -76,6 +77,37 @@ def test_links_reach_all_within_radius(spark):
         assert len(set(zip(mine, slow))) == len(set(mine)) == len(set(slow))
 
 
+def test_pairs_of_large_groups_cost_little_more_than_their_count():
+    rng = np.random.default_rng(5)
+    sizes = np.array([3000, 1, 9, 500])
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    codes = rng.integers(0, 1 << 64, size=len(group), dtype=np.uint64)
+    codes[1::3] = codes[: len(codes[1::3])] ^ np.uint64(0b10010000001)
+    codes = codes[np.lexsort((simhash.gray_rank(codes), group))]
+
+    def plain():
+        found = set()
+        for i in range(len(codes)):
+            bits = np.bitwise_count(codes[i + 1 :] ^ codes[i])
+            near = np.flatnonzero((bits <= 10) & (group[i + 1 :] == group[i]))
+            found |= {(i, int(j) + i + 1, int(bits[j])) for j in near}
+        return found
+
+    def indexed():
+        return {x for a, b, d in simhash.close_pairs(codes, sizes, 10) for x in zip(a.tolist(), b.tolist(), d.tolist())}
+
+    def least_time(f):
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    assert indexed() == plain() and len(plain()) > 500
+    assert least_time(indexed) < 3 * least_time(plain)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     found = dict(map(tuple, components(edges).collect()))
